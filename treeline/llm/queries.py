@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import chat, pii, quality
+from treeline.llm import bpe, chat, pii, quality
 from treeline.llm.common import table
 
 #: Production key of the pseudonyms; a deployment passes its own secret.
@@ -67,6 +67,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe.decode(coded, vocabulary, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 SQL_OP4 = f"""
@@ -121,5 +134,6 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {"op4_quality_rules": SQL_OP4, "op8_chat_formatting": SQL_OP8}
