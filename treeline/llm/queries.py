@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, chat, pii, quality
+from treeline.llm import bpe, chat, packing, pii, quality
 from treeline.llm.common import table
 
 #: Production key of the pseudonyms; a deployment passes its own secret.
@@ -67,6 +67,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), path or public_tokenizers.path("byte_bpe_50k.json"), end=0).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -134,6 +142,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLE_SQL = {"op4_quality_rules": SQL_OP4, "op8_chat_formatting": SQL_OP8}
