@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, chat, packing, pii, quality
+from treeline.llm import bpe, chat, exact_dedup, packing, pii, quality
 from treeline.llm.common import table
 
 #: Production key of the pseudonyms; a deployment passes its own secret.
@@ -13,6 +13,10 @@ PII_KEY = "treeline-pseudonym-key-1"
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def _count_of(kind: str) -> Column:
     return F.size(F.filter("_pii", lambda p: p["kind"] == kind)).cast("bigint")
 
@@ -90,6 +94,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
+SQL_OP2 = """
+with d as (
+  select doc_id, length(coalesce(text, '')) as chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) as text_sha256 from documents)
+select doc_id, first_value(doc_id) over (partition by text_sha256 order by chars desc, doc_id) as keep_id,
+       count(*) over (partition by text_sha256) as group_size,
+       doc_id = first_value(doc_id) over (partition by text_sha256 order by chars desc, doc_id) as kept, text_sha256
+from d
+"""
+
 SQL_OP4 = f"""
 with w as (
   select doc_id, coalesce(text, '') as t,
@@ -139,10 +153,11 @@ from o group by conv_id
 """
 
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL = {"op4_quality_rules": SQL_OP4, "op8_chat_formatting": SQL_OP8}
+ORACLE_SQL = {"op2_exact_dedup": SQL_OP2, "op4_quality_rules": SQL_OP4, "op8_chat_formatting": SQL_OP8}
