@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, chat, exact_dedup, packing, pii, quality
+from treeline.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality
 from treeline.llm.common import table
 
 #: Production key of the pseudonyms; a deployment passes its own secret.
@@ -13,6 +13,11 @@ PII_KEY = "treeline-pseudonym-key-1"
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "text", "n_lines", "removed_chunks", "removed_lines", "removed_spans")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -153,6 +158,7 @@ from o group by conv_id
 """
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
