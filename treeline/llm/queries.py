@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality
-from treeline.llm.common import table
+from treeline.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality, suffix_tree
+from treeline.llm.common import crc_mod, table, written
 
 #: Production key of the pseudonyms; a deployment passes its own secret.
 PII_KEY = "treeline-pseudonym-key-1"
@@ -42,6 +42,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
+    learned = docs.filter("not held_out")
+    model, counts = suffix_tree.train(learned), written(suffix_tree.unigrams(learned))
+    return suffix_tree.score(docs, model, counts, carry=("held_out",)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
     probe = spark.range(2).select(
@@ -89,7 +98,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
     vocabulary = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    return bpe.decode(coded, vocabulary, public_tokenizers.PATTERN).select(
+    return bpe.decode(coded, vocabulary).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -162,6 +171,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
