@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality, suffix_tree
+from treeline.llm import bpe, chat, exact_dedup, line_dedup, packing, pii, quality, suffix_tree, toxicity
 from treeline.llm.common import crc_mod, table, written
 
 #: Production key of the pseudonyms; a deployment passes its own secret.
@@ -42,6 +42,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    machine = toxicity.train(docs.filter("not held_out").join(labels, "doc_id"))
+    return toxicity.score(docs, machine, carry=("held_out",)).select(
+        "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
     learned = docs.filter("not held_out")
@@ -171,6 +180,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_pii": op3_pii,
     "op4_quality_rules": op4_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
