@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries a worker's cache holds before it is emptied.
-CACHE_UNITS = 1_000_000
-CACHE_PAIRS = 400_000
+CACHE_UNITS = 200_000
+CACHE_PAIRS = 100_000
 
 _ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
@@ -157,8 +157,7 @@ class ByteBpe:
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
+        return cls(ranks_of(path), pattern)
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
@@ -199,9 +198,6 @@ class ByteBpe:
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cache.ids(text), "<u4")
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
@@ -228,6 +224,11 @@ def slices(batch: pa.RecordBatch, weigh: str, limit: int = 4_000_000) -> Iterato
         yield batch.slice(start)
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids array<int>) for the rank file at ``path``."""
 
@@ -244,13 +245,15 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """df with a binary column ``decoded``: the bytes of the ids."""
+def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
+    """df with a binary column ``decoded``: the bytes of the ids.  Needs the rank table alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path, pattern)
+        token = {i: b for b, i in ranks_of(path).items()}.__getitem__
         for batch in batches:
-            out = [bpe.decode(i or []) for i in batch.column(ids).to_pylist()]
+            column = batch.column(ids)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+            out = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
