@@ -62,7 +62,7 @@ def in_class_order(plan: DataFrame) -> DataFrame:
 def assign_bundles(plan: DataFrame, target_bytes: int = 64 * MIB, buckets: int = BUCKETS) -> DataFrame:
     """plan with bucket and bundle_id: by the hash bucket of the path and, within it, by the prefix
     sum of sizes, so no window holds more than a bucket.  Raise ``buckets`` with the input."""
-    bucket = F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(buckets)).cast("bigint")
+    bucket = F.pmod(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("bigint")
     upto = F.sum("size").over(Window.partitionBy("bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
     return plan.withColumn("bucket", bucket).withColumn("bundle_id", F.floor((upto - F.col("size")) / F.lit(target_bytes)).cast("bigint"))
 

@@ -174,7 +174,7 @@ _on("a2_class_counts", "m_big", f"select {_CLASS} size_class, count(*) files, ca
     lambda m: report.class_counts(m.withColumn("size_class", planning.size_class("size"))))
 _STATS = "select count(*) filter (ok) files, cast(sum(bytes) filter (ok) as bigint) bytes, count(*) filter (not ok) errors from results"
 _on("a3_run_stats", "results", _STATS, report.run_stats)
-_on("a4_run_report", "results", f"select files, bytes, errors, printf('%.2f', bytes/1073741824.0) gb, cast(8.0 as double) seconds, printf('%.2f', bytes/1048576.0/8.0) mb_per_s from ({_STATS})",
+_on("a4_run_report", "results", f"select files, bytes, errors, printf('%.2f', bytes/1073741824.0) gb, cast(8.0 as double) as seconds, printf('%.2f', bytes/1048576.0/8.0) mb_per_s from ({_STATS})",
     lambda m: report.run_report(m, 8.0))
 _CHECKED = _verify_sql("s.digest = d.digest")
 _pair("a5_verify_summary", f"""select count(*) = 0 identical, count(*) filter (not starts_with(kind,'extra')) changed_count, count(*) filter (starts_with(kind,'extra')) extras_count,
@@ -205,8 +205,11 @@ def _bundled(m: DataFrame) -> DataFrame:
     return planning.assign_bundles(m.select("path", "size"), 50_000, 8)
 
 
-query("a8_bundle_stats")(lambda s, d: report.bundle_stats(_bundled(manifest(s, d, "m_src"))))
-query("g1_assign_bundles")(lambda s, d: _bundled(manifest(s, d, "m_src")))
+_BUNDLED = """select path, size, bucket, cast((upto - size)//50000 as bigint) bundle_id from (
+    select path, size, bucket, sum(size) over (partition by bucket order by path rows unbounded preceding) upto
+    from (select path, size, cast('0x' || substr(md5(path),1,8) as bigint) % 8 bucket from m_src))"""
+_on("a8_bundle_stats", "m_src", f"select bucket, bundle_id, count(*) files, cast(sum(size) as bigint) bytes from ({_BUNDLED}) group by bucket, bundle_id", lambda m: report.bundle_stats(_bundled(m)))
+_on("g1_assign_bundles", "m_src", _BUNDLED, lambda m: _bundled(m))
 _on("g2_should_bundle", "m_big", """select count(*) files, cast(sum(size)//count(*) as bigint) avg_size,
     count(*) > case when sum(size)//count(*) < 1024 then 200 when sum(size)//count(*) < 8192 then 500 else 1000 end bundle from m_big where size < 1048576""",
     lambda m: planning.should_bundle(m.filter("size < 1048576")))
@@ -321,7 +324,7 @@ query("s9_endpoint_column", _PARSED, "endpoints")(lambda s, d: _parsed(manifest(
 _on("s10_read_log", "log_lines", """select regexp_extract(line,'^.([^]]*)',1) ts, regexp_extract(line,'^[^ ]+ ([A-Z]+) ',1) tag,
     nullif(regexp_extract(line,' src=(.*?) dst=',1),'') src, nullif(regexp_extract(line,' dst=([^ ]*)',1),'') dst, nullif(regexp_extract(line,' path=(.*?) msg=',1),'') path,
     nullif(regexp_extract(line,' ctx=(.*?) path=',1),'') ctx, nullif(regexp_extract(line,' msg=(.*)$',1),'') msg, try_cast(nullif(regexp_extract(line,' files=([0-9]+)',1),'') as bigint) files,
-    try_cast(nullif(regexp_extract(line,' bytes=([0-9]+)',1),'') as bigint) bytes, try_cast(nullif(regexp_extract(line,' seconds=([0-9.]+)',1),'') as double) seconds from log_lines""", tree.parse_log)
+    try_cast(nullif(regexp_extract(line,' bytes=([0-9]+)',1),'') as bigint) bytes, try_cast(nullif(regexp_extract(line,' seconds=([0-9.]+)',1),'') as double) as seconds from log_lines""", tree.parse_log)
 
 # Side effects over trees made of the documents --------------------------------------------------
 
