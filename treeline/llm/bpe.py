@@ -23,18 +23,18 @@ import base64
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries a worker's cache holds before it is emptied.
-CACHE_UNITS = 200_000
-CACHE_PAIRS = 100_000
+#: Units a worker's cache holds; beyond, the KEEP_UNITS that came first (the frequent ones) stay.
+CACHE_UNITS = 600_000
+KEEP_UNITS = 300_000
+CACHE_PAIRS = 200_000
 
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
 
 _TAIL = ".,!?;:$%&*#"
@@ -77,9 +77,12 @@ class UnitCache:
         if not text:
             return b""
         if len(self.bare) + len(self.spaced) > self.limit:
-            self.bare.clear()
-            self.spaced.clear()
-        if _ODD.search(text):
+            self.bare = dict(islice(self.bare.items(), KEEP_UNITS // 8))
+            self.spaced = dict(islice(self.spaced.items(), KEEP_UNITS))
+        seps = text.count(" ") + text.count("\n")
+        plain = text.split()
+        # Odd: other white space, or white space next to white space or at an end.
+        if len(plain) != seps + 1 or sum(map(len, plain)) + seps != len(text):
             bits = _CUT.split(text)
             order = [("", bits[0]), *zip(bits[1::2], bits[2::2], strict=True)]
             self._parts(self.bare, [bit for sep, bit in order if sep != " "], "")
@@ -119,9 +122,13 @@ class ByteBpe:
                 self.right[i] += [(parts[1], i), *self.right[tail][1:]]
                 self.left[i] += [(parts[0], i), *self.left[head][1:]]
             self.auto.add_word(token.decode("latin-1"), (len(token), i))
+        #: The longest token that is a proper prefix of a token.
+        self.shorter: dict[int, int | None] = {}
+        for i in self.right:
+            cuts = (ranks.get(self.tokens[i][:k]) for k in range(len(self.tokens[i]) - 1, 0, -1))
+            self.shorter[i] = next((c for c in cuts if c in self.right), None)
         self.auto.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, bytes] = {}
         self.cache = UnitCache(lambda units: [*map(self._unit, units)])
 
     def _parts(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -163,37 +170,37 @@ class ByteBpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        at: list[list[tuple[int, int]]] = [[] for _ in data]  # tokens by start, shortest first
-        for end, (n, i) in self.auto.iter(data.decode("latin-1")):
-            at[end - n + 1].append((n, i))
+        text, fit, known = data.decode("latin-1"), self.fit, self.fits.get
+        longest = [i for _, (_, i) in self.auto.iter_long(text)]
+        if all(known(pair) or fit(*pair) for pair in zip(longest, longest[1:])):
+            return longest
+        # Some longest match doesn't fit its neighbour: shorter ones, and steps back.
         open_ = bytearray(b"\1") * (len(data) + 1)
-        stack: list[tuple[int, int, int]] = []  # start, token, how many shorter ones are left
-        pos, left = 0, len(at[0])
-        while pos < len(data):
-            last = stack[-1][1] if stack else -1
-            while left:
-                left -= 1
-                n, i = at[pos][left]
-                if open_[pos + n] and (last < 0 or self.fit(last, i)):
-                    stack.append((pos, i, left))
-                    pos += n
-                    left = len(at[pos]) if pos < len(data) else 0
+        stack: list[int] = []
+        pos, token = 0, longest[0]
+        while True:
+            while token is not None:
+                end = pos + len(self.tokens[token])
+                if open_[end] and (not stack or fit(stack[-1], token)):
                     break
-            else:
+                token = self.shorter[token]
+            if token is None:
                 open_[pos] = 0
-                pos, _, left = stack.pop()
-        return [i for _, i, _ in stack]
+                token = stack.pop()
+                pos -= len(self.tokens[token])
+                token = self.shorter[token]
+                continue
+            stack.append(token)
+            pos = end
+            if pos == len(data):
+                return stack
+            token = next(self.auto.iter_long(text, pos))[1][1]
 
     def _unit(self, unit: str) -> bytes:
-        out = b""
-        for piece in self.split(unit):
-            got = self.pieces.get(piece)
-            if got is None:
-                if len(self.pieces) >= CACHE_PAIRS:
-                    self.pieces.clear()
-                got = self.pieces[piece] = array("I", self.encode_piece(piece.encode())).tobytes()
-            out += got
-        return out
+        pieces = self.split(unit)
+        if len(pieces) == 1:
+            return array("I", self.encode_piece(unit.encode())).tobytes()
+        return b"".join(array("I", self.encode_piece(piece.encode())).tobytes() for piece in pieces)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.cache.ids(text), "<u4")
