@@ -22,7 +22,8 @@ undone by who has the key (``pseudonym(..., reverse=True)``).  Dates use Z(189)
 the days of a 400-year cycle; social security numbers Z(88902) x Z(9999).  No cycle walking.
 
 Null text gives null; empty text stays empty.  Rows are independent, so ties, repeated rows, empty
-tables and long texts need nothing special; other columns pass through untouched.
+tables and long texts need nothing special; other columns pass through
+untouched, except that one named _pii is replaced.
 """
 
 from __future__ import annotations
@@ -287,16 +288,17 @@ def pseudonym(m: Column, key: str, reverse: bool = False) -> Column:
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", reverse: bool = False) -> DataFrame:
     """df with ``text`` pseudonymised, and _pii: array of (kind, value) of what was replaced, in order."""
+    df = df.drop("_pii")
     t = F.col(text)
     # Cheap test first: every kind has a digit or an @.
     hot = t.rlike("[0-9@]")
     found = F.when(hot, F.transform(F.regexp_extract_all(t, F.lit(f"({ANY_FLAT})"), 0), lambda m: pseudonym(m, key, reverse)))
     gaps = F.when(hot, F.split(t, ANY_FLAT, -1))
     cols = [c for c in df.columns if c != text]
-    staged = df.select(*[F.col(f"`{c}`") for c in cols], t.alias(text), found.alias("_found"), gaps.alias("_gaps"))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("_gaps", 1, F.size("_found")), "_found", lambda g, f: F.concat(g, f["value"])), ""), F.element_at("_gaps", -1))
-    out = F.when(F.size("_found") > 0, joined).otherwise(F.col(text)).alias(text)
-    pii = F.filter(F.coalesce("_found", F.array().cast("array<struct<kind:string,value:string>>")), lambda f: f["kind"].isNotNull())
+    staged = df.select(*[F.col(f"`{c}`") for c in cols], t.alias(text), found.alias("__found"), gaps.alias("__gaps"))
+    joined = F.concat(F.array_join(F.zip_with(F.slice("__gaps", 1, F.size("__found")), "__found", lambda g, f: F.concat(g, f["value"])), ""), F.element_at("__gaps", -1))
+    out = F.when(F.size("__found") > 0, joined).otherwise(F.col(text)).alias(text)
+    pii = F.filter(F.coalesce("__found", F.array().cast("array<struct<kind:string,value:string>>")), lambda f: f["kind"].isNotNull())
     return staged.select(*[out if c == text else F.col(f"`{c}`") for c in df.columns], pii.alias("_pii"))
 
 
