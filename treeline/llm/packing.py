@@ -37,6 +37,7 @@ from treeline.llm.bpe import UnitCache, slices
 from treeline.llm.common import written
 
 GROUP = 256  # windows planned at a time
+BROADCAST_ROWS = 200_000
 LEAST = 100_000  # sources under 1 / LEAST of all tokens share a queue
 
 _TOKENIZERS: dict[str, UnitCache] = {}
@@ -57,9 +58,9 @@ def tokenizer(path: str) -> UnitCache:
         def encode(units: list[str]) -> list[bytes]:
             joined = "\n".join(units)
             if len(units) < 2 or len(feed) > 1 or joined.count("\n") >= len(units):
-                return [array("I", e.ids).tobytes() for e in made.encode_batch(units, add_special_tokens=False)]
+                return [array("I", e.ids).tobytes() for e in made.encode_batch_fast(units, add_special_tokens=False)]
             # Between two units the line feed is a token of its own, and none holds another.
-            ids = np.array(made.encode(joined, add_special_tokens=False).ids, "<u4")
+            ids = np.array(made.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == feed[0]).tolist()
             data = ids.tobytes()
             return [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
@@ -237,6 +238,9 @@ def pack(
     number = F.coalesce(F.element_at(F.create_map(*[x for k, n in enumerate(names) if n is not None for x in (F.lit(n), F.lit(k))]), F.col(source)), F.lit(other))
     before = Window.partitionBy("queue").orderBy(source, "part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("queue", number).select(source, "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # A row for each source and partition: sent to all where that is small, joined by shuffle else.
+    if sums.count() <= BROADCAST_ROWS:
+        base = F.broadcast(base)
     placed = tokens.join(base, [source, "part"]).select(key, source, "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
