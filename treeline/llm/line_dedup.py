@@ -11,8 +11,8 @@ documents are candidates by digest; each is then compared byte by byte with its
 dealt to one salt per SALT_ROWS of them, with the first sent to each.
 
 Null text stays null and empty text empty: nothing to remove.  Rows that share a key count as one
-document: what is first in one of them is first in all.  An empty table gives an empty result; other
-columns pass through.
+document: what is first in one of them is first in all; rows with a null key stay as they are.  An empty table gives an empty result; other
+columns pass through, except that those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
 
 def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text", listed: bool = False) -> DataFrame:
     """Rows (key, first_line, lines, digest) of the chunks of two lines or more; with ``listed``, df
-    has a column ``want`` (array of first lines), and only those chunks come, with their bytes."""
+    has a column ``__want`` (array of first lines), and only those chunks come, with their bytes."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +83,12 @@ def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text", listed:
 
     schema = f"key {kind}, first_line int, lines int, digest binary" + (", body binary" if listed else "")
     cols = [F.col(key).alias("key"), F.col(text).cast("string").alias("text")]
-    return df.select(*cols, *(["want"] if listed else [])).mapInArrow(run, schema)
+    return df.select(*cols, *([F.col("__want").alias("want")] if listed else [])).mapInArrow(run, schema)
 
 
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, first_line, lines): the chunks to remove."""
+def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", dealt_texts: DataFrame | None = None) -> DataFrame:
+    """Rows (key, first_line, lines): the chunks to remove.  dealt_texts: df dealt out by key, where
+    the caller has it."""
     found = written(chunk_table(df, key, text))
     per = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first_line")).alias("first")).filter("n > 1")
     hits = found.select("key", "first_line", "digest").join(per, "digest")
@@ -101,8 +102,8 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             F.when(is_first, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "first_line"), salts).cast("int"))).alias("salts"),
         ).distinct()
     )
-    want = dealt.groupBy(F.col("key").alias(key)).agg(F.collect_set("first_line").alias("want"))
-    bodies = chunk_table(df.select(key, text).join(want, key), key, text, listed=True)
+    want = dealt.groupBy(F.col("key").alias(key)).agg(F.collect_set("first_line").alias("__want"))
+    bodies = chunk_table((df if dealt_texts is None else dealt_texts).join(want, key), key, text, listed=True)
     spread = bodies.join(dealt, ["key", "first_line"]).withColumn("salt", F.explode("salts")).drop("salts")
     one = spread.filter("is_first").select("digest", "salt", F.col("body").alias("first_body"))
     other = spread.filter("not is_first")
@@ -112,10 +113,14 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with ``text`` cleaned, and n_lines, removed_chunks, removed_lines, removed_spans (array of
     (first_line, lines) in the original)."""
+    df = df.drop("n_lines", "removed_chunks", "removed_lines", "removed_spans")
     spans = F.sort_array(F.collect_set(F.struct("first_line", "lines")))
-    gone = repeated(df, key, text).groupBy(key).agg(spans.alias("removed_spans"))
+    # Both joins of the texts start from one exchange; rows without a key have nothing to join.
+    keyed = df.filter(F.col(key).isNotNull()).repartition(F.col(key))
+    gone = repeated(df.filter(F.col(key).isNotNull()), key, text, keyed).groupBy(key).agg(spans.alias("removed_spans"))
     none = F.array().cast("array<struct<first_line:int,lines:int>>")
-    joined = df.join(gone, key, "left").withColumn("removed_spans", F.coalesce("removed_spans", none))
+    joined = keyed.join(gone, key, "left").unionByName(df.filter(F.col(key).isNull()), allowMissingColumns=True)
+    joined = joined.withColumn("removed_spans", F.coalesce("removed_spans", none))
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(
         lines, lambda x, i: ~F.exists("removed_spans", lambda s: (i >= s["first_line"]) & (i < s["first_line"] + s["lines"]))
