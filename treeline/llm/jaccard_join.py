@@ -39,7 +39,9 @@ from treeline.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 FIRST, FURTHER, LEVELS = 2.5, 1.4, 5
-BUCKET, BLOCK = 64, 256
+BUCKET, BLOCK = 256, 1024
+PRESELECT = 1 << 20
+FEW = 24
 SKETCH, LIKELY = 64, 38  # a pair at 0.8 has fewer equal minima with probability 2e-5
 CACHE_WORDS = 200_000
 
@@ -213,22 +215,36 @@ def _likely(group: pa.Table) -> pa.RecordBatch | None:
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets numbered left with those numbered right."""
-    out = np.zeros((len(left), len(right)), "f4")
+    """Sizes of the intersections of the sets numbered left with those numbered right.
+
+    Tokens of many sets go through products of 0/1 matrices, those of few by listing their pairs."""
+    shape = (len(left), len(right))
+    out = np.zeros(shape, "f4")
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    token, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    use = shared[place]
-    owner, place = owner[use], number[place[use]]
-    order = np.argsort(place, kind="stable")
-    owner, place = owner[order], place[order]
-    width = 8192
-    for k in range(0, int(shared.sum()), width):
-        a, b = np.searchsorted(place, [k, k + width])
-        m = np.zeros((len(sets), width), "f4")
-        m[owner[a:b], place[a:b] - k] = 1
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = owner[np.argsort(place, kind="stable")]  # token after token
+    first = np.cumsum(count) - count
+    few = 2 if len(sets) <= 64 else FEW
+    many = np.flatnonzero(count >= few)
+    width = 4096
+    for k in range(0, len(many), width):
+        some = many[k : k + width]
+        rows = np.concatenate([owner[f : f + c] for f, c in zip(first[some].tolist(), count[some].tolist(), strict=True)])
+        m = np.zeros((len(sets), len(some)), "f4")
+        m[rows, np.repeat(np.arange(len(some)), count[some])] = 1
         out += m[left] @ m[right].T
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    for c in range(2, few):
+        tokens = first[count == c]
+        x, y = np.triu_indices(c, 1)
+        step = max(1, 1_000_000 // len(x))
+        for k in range(0, len(tokens), step):
+            own = owner[tokens[k : k + step, None] + np.arange(c)]
+            a, b = own[:, x].ravel(), own[:, y].ravel()
+            a, b = at_left[np.concatenate([a, b])], at_right[np.concatenate([b, a])]
+            ok = (a >= 0) & (b >= 0)
+            out += np.bincount(a[ok] * shape[1] + b[ok], minlength=out.size).reshape(shape)
     return out
 
 
@@ -279,6 +295,23 @@ def _verify(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
     return work
 
 
+def _texts_of(plain: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (rep, text) of the wanted keys.
+
+    Hash values of the keys, at most PRESELECT, first drop most other texts at the scan, so that
+    few texts are shuffled; with very many keys they drop nothing and the join alone decides."""
+    bucket = F.pmod(F.xxhash64("key"), F.lit(PRESELECT)).alias("bucket")
+    wanted = reps.select(F.col("rep").alias("key")).distinct()
+    near = plain.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    return near.join(wanted.hint("merge"), "key").select(F.col("key").alias("rep"), "text").dropDuplicates(["rep"])
+
+
+def _distinct_nodes(found: DataFrame) -> DataFrame:
+    """Rows of nodes with the same sets: those of the smallest path alone."""
+    mark = found.groupBy("path").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.hash("rep", F.lit(1)).cast("bigint")).alias("b"))
+    return found.join(mark.groupBy("size", "a", "b").agg(F.min("path").alias("path")).select("path"), "path", "left_semi")
+
+
 def _sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
 
@@ -307,26 +340,21 @@ def jaccard_join(
         if level == LEVELS or large.isEmpty():
             break
         if level == 1:
-            inside = large.select("rep").distinct()
-            sets = written(_sets(plain.join(inside.withColumnRenamed("rep", "key"), "key").select(F.col("key").alias("rep"), "text").dropDuplicates(["rep"]), size))
+            sets = written(_sets(_texts_of(plain, large), size))
         held = large.groupBy("rep").agg(F.collect_list("path").alias("paths")).join(sets, "rep")
         nodes = written(_split(held))
         level += 1
     found = leaves[0]
     for more in leaves[1:]:
         found = found.unionByName(more)
-    # Of nodes with the same sets, one is enough.
-    mark = found.groupBy("path", "size").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.hash("rep", F.lit(1)).cast("bigint")).alias("b"))
-    one = mark.groupBy("size", "a", "b").agg(F.min("path").alias("path")).select("path")
-    found = written(found.join(one, "path", "left_semi").join(info, "rep"))
+    found = written(_distinct_nodes(found).join(info, "rep"))
     likely = _grouped(found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch"), ["path"], _likely, f"path bigint, rep {kind}")
-    left = written(likely.unionByName(found.filter(F.col("size") > bucket).select("path", "rep")))
+    left = written(_distinct_nodes(written(likely.unionByName(found.filter(F.col("size") > bucket).select("path", "rep")))))
     sizes = _sizes(left)
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("rep", "path"), blocks).cast("int")
     inside = left.groupBy("rep").agg(F.collect_list("path").alias("nodes"))
-    texts = plain.join(inside.select(F.col("rep").alias("key")), "key").select(F.col("key").alias("rep"), "text").dropDuplicates(["rep"])
-    fetched = written(_sets(texts, size).join(inside, "rep").join(info.select("rep", "copies"), "rep"))
+    fetched = written(_sets(_texts_of(plain, inside), size).join(inside, "rep").join(info.select("rep", "copies"), "rep"))
     dealt = (
         left.join(sizes, "path")
         .select("path", "rep", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
