@@ -23,7 +23,7 @@ import base64
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,53 +52,58 @@ class UnitCache:
         self.spaced: dict[str, bytes] = {}  # unit after a space, which belongs to it
         self.line = encode_units(["\n"])[0]
 
-    def _fill(self, cache: dict[str, bytes], parts: list[str], lead: str) -> None:
+    def _fill(self, cache: dict[str, bytes], parts: set[str], lead: str) -> None:
         heads: dict[str, tuple[str, str]] = {}
-        for p in parts:
-            if p not in cache and p not in heads:
-                head = p.rstrip(_TAIL)
-                heads[p] = (head, p[len(head) :]) if head and head[-1].isalpha() else (p, "")
-        new = [*dict.fromkeys(h for h, _ in heads.values() if h not in cache)]
+        for p in parts.difference(cache):
+            head = p.rstrip(_TAIL)
+            heads[p] = (head, p[len(head) :]) if head and head[-1].isalpha() else (p, "")
+        new = [*{h for h, _ in heads.values()}.difference(cache)]
         cache.update(zip(new, self.encode_units([lead + h for h in new]), strict=True))
-        tails = [*dict.fromkeys(t for _, t in heads.values() if t and t not in self.bare)]
+        tails = [*{t for _, t in heads.values() if t}.difference(self.bare)]
         self.bare.update(zip(tails, self.encode_units(tails), strict=True))
         for p, (h, t) in heads.items():
             if t:
                 cache[p] = cache[h] + self.bare[t]
 
-    def _parts(self, cache: dict[str, bytes], parts: list[str], lead: str) -> list[bytes]:
-        got = [*map(cache.get, parts)]
-        if None in got:
-            self._fill(cache, parts, lead)
-            got = [*map(cache.__getitem__, parts)]
-        return got
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def ids_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; units that are new are encoded together."""
         if len(self.bare) + len(self.spaced) > self.limit:
             self.bare = dict(islice(self.bare.items(), KEEP_UNITS // 8))
             self.spaced = dict(islice(self.spaced.items(), KEEP_UNITS))
-        seps = text.count(" ") + text.count("\n")
-        plain = text.split()
-        # Odd: other white space, or white space next to white space or at an end.
-        if len(plain) != seps + 1 or sum(map(len, plain)) + seps != len(text):
-            bits = _CUT.split(text)
-            order = [("", bits[0]), *zip(bits[1::2], bits[2::2], strict=True)]
-            self._parts(self.bare, [bit for sep, bit in order if sep != " "], "")
-            self._parts(self.spaced, [bit for sep, bit in order if sep == " "], " ")
-            return b"".join(self.spaced[bit] if sep == " " else (self.line if sep else b"") + self.bare[bit] for sep, bit in order)
-        lines = [line.split(" ") for line in text.split("\n")]
-        heads = self._parts(self.bare, [x[0] for x in lines], "")
-        if len(lines) == 1:
-            return heads[0] + b"".join(self._parts(self.spaced, lines[0][1:], " "))
-        rest = self._parts(self.spaced, [*chain.from_iterable(x[1:] for x in lines)], " ")
-        out, at = [], 0
-        for head, x in zip(heads, lines, strict=True):
-            out.append(head)
-            out += rest[at : (at := at + len(x) - 1)]
-            out.append(self.line)
-        return b"".join(out[:-1])
+        bare: set[str] = set()
+        spaced: set[str] = set()
+        plans: list[list] = []
+        for text in texts:
+            # A line feed goes with the unit after it, like a space.
+            parts = text.replace("\n", " \n").split(" ")
+            some = set(parts[1:])
+            # Odd: other white space, or white space next to white space or at an end.
+            words = text.split()
+            if len(words) != len(parts) or "" in some or "\n" in some or sum(map(len, words)) + len(parts) - 1 != len(text):
+                bits = _CUT.split(text)
+                parts = [("", bits[0]), *zip(bits[1::2], bits[2::2], strict=True)] if text else []
+                bare.update(bit for sep, bit in parts if sep != " ")
+                spaced.update(bit for sep, bit in parts if sep == " ")
+            else:
+                bare.add(parts[0])
+                spaced |= some
+            plans.append(parts)
+        feeds = {p for p in spaced.difference(self.spaced) if p[0] == "\n"}
+        bare.update(p[1:] for p in feeds)
+        self._fill(self.bare, bare, "")
+        self.spaced.update((p, self.line + self.bare[p[1:]]) for p in feeds)
+        self._fill(self.spaced, spaced, " ")
+        own, after = self.bare, self.spaced.__getitem__
+        out = []
+        for parts in plans:
+            if not parts or isinstance(parts[0], tuple):
+                out.append(b"".join(after(bit) if sep == " " else (self.line if sep else b"") + own[bit] for sep, bit in parts))
+            else:
+                out.append(own[parts[0]] + b"".join(map(after, parts[1:])))
+        return out
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_many([text])[0]
 
 
 class ByteBpe:
@@ -242,10 +247,10 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for whole in batches:
-            for batch in slices(whole, text):
-                ids = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype="i4")
-                lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, "u4")]).astype("i4"))
+            for batch in slices(whole, text, 2_000_000):
+                ids = bpe.cache.ids_many([t or "" for t in batch.column(text).to_pylist()])
+                ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype="i4")
+                lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()

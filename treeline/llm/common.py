@@ -1,60 +1,30 @@
-"""Shared helpers: reading tables, the shared folder, and word splitting on bytes."""
+"""Shared helpers: reading tables, tables in the shared folder, folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zlib
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.sinks import new_folder
+
 #: What the contracts call white space: space, tab, line feed, vertical tab, form feed, return.
 WHITE = b" \t\n\x0b\x0c\r"
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a temporary one is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder.
+    """The rows of ``df`` from a Parquet table in the shared folder (spark.checkpoint.dir).
 
     Cuts the lineage durably: a lost executor loses nothing, and the table can be read again
     column by column.  The table stays until the owner of the folder clears it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/treeline-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "llm")
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n (the fold of a document)."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
-
-
-def crc_mod_py(value: object, n: int) -> int:
-    return zlib.crc32(str(value).encode()) % n
-
-
-def words(text: bytes) -> list[bytes]:
-    """Maximal runs of bytes outside WHITE; bytes.split() splits on exactly these six."""
-    return text.split()

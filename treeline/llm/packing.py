@@ -55,11 +55,17 @@ def tokenizer(path: str) -> UnitCache:
         made.encode_special_tokens = True
         feed = made.encode("\n", add_special_tokens=False).ids
 
+        def alone(units: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in made.encode_batch_fast(units, add_special_tokens=False)]
+
         def encode(units: list[str]) -> list[bytes]:
             joined = "\n".join(units)
-            if len(units) < 2 or len(feed) > 1 or joined.count("\n") >= len(units):
-                return [array("I", e.ids).tobytes() for e in made.encode_batch_fast(units, add_special_tokens=False)]
-            # Between two units the line feed is a token of its own, and none holds another.
+            bodies = [u.removeprefix(" ") for u in units]
+            plain = len("".join("".join(bodies).split())) + joined.count(" ") + len(units) - 1 == len(joined)
+            if len(units) < 2 or len(feed) > 1 or not plain or not {"", " "}.isdisjoint(b[:1] for b in bodies):
+                return alone(units)
+            # Units are words, some after a space.  Between two of them the line feed is a token of
+            # its own, and none holds another.
             ids = np.array(made.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == feed[0]).tolist()
             data = ids.tobytes()
@@ -77,8 +83,8 @@ def tokenise(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str
         part, seen, last = TaskContext.get().partitionId(), {}, array("I", [end]).tobytes()
         units = tokenizer(path)
         for whole in batches:
-            for batch in slices(whole, text):
-                ids = [units.ids(t) + last for t in batch.column(text).to_pylist()]
+            for batch in slices(whole, text, 2_000_000):
+                ids = [i + last for i in units.ids_many(batch.column(text).to_pylist())]
                 sources, at = batch.column(source).to_pylist(), []
                 for s, i in zip(sources, ids, strict=True):
                     at.append(seen.get(s, 0))
