@@ -42,8 +42,8 @@ from pyspark.sql import functions as F
 from treeline.llm.bpe import slices
 from treeline.llm.common import written
 
-DEPTH = 5
-P_MIN = 5e-5
+DEPTH = 6  # depth + 1 bytes make a code of 56 bits
+P_MIN = 1e-5
 HEAVY = 100_000
 STRETCH = 512
 END = b"\n"  # never part of a word
@@ -206,7 +206,8 @@ def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float =
     )
     root = df.sparkSession.range(1).select(F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("ctx"))
     model = known.join(suffixes.unionByName(root).distinct(), ["d", "ctx"], "left_semi").select("d", "ctx", "a", "n")
-    return build([tuple(r) for r in model.collect()], depth)  # at most depth / p_min contexts
+    columns = model.toArrow()  # at most depth / p_min contexts
+    return build([*zip(*(columns[c].to_pylist() for c in ("d", "ctx", "a", "n")), strict=True)], depth)
 
 
 def unigrams(df: DataFrame, text: str = "text") -> DataFrame:
