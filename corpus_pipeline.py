@@ -25,7 +25,7 @@ TOXIC_FROM = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under TOXIC_FROM stay; the machine learns from labelled rows of docs."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    machine = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    machine = toxicity.train(docs.select("doc_id", "text"), labels)
     scored = toxicity.score(docs.select(*COLUMNS), machine, carry=tuple(COLUMNS))
     return scored.filter(F.col("score") < TOXIC_FROM).select(*COLUMNS)
 

@@ -48,8 +48,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    machine = toxicity.train(docs.filter("not held_out").join(labels, "doc_id"))
+    labels = table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
+    machine = toxicity.train(docs.filter("not held_out"), labels)
     return toxicity.score(docs, machine, carry=("held_out",)).select(
         "doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
     )

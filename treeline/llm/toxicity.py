@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,9 +38,9 @@ from treeline.llm.bpe import slices
 
 DECAY, SPAN, LONG = 0.6, 6, 24
 FIVE_WEIGHT = 0.3  # of five characters in a row, against DECAY ** 3 of three
-FIT_ROWS = 6000  # labelled documents that the machine is fitted on, at most
+FIT_ROWS = 5000  # labelled documents that the machine is fitted on, at most
 TYPICAL, FREQUENT = 300, 100  # landmarks
-CLEAN_SENTENCES = 4000
+CLEAN_SENTENCES = 3000
 CACHE_WORDS = 200_000
 TOP = 3
 
@@ -76,8 +77,8 @@ def _code(c: str) -> int:
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0: none) and weights of the gapped subsequences of each word, one row a word; rows of
-    the weights have length 1."""
+    """Codes (0: none) and weights of the gapped subsequences of each word, one row a word; the
+    weights of a word's occurrences have length 1."""
     m = np.zeros((len(words), LONG + 2), "u4")
     for k, w in enumerate(words):
         m[k, : len(w) + 2] = [_BORDER[0], *map(_code, w), _BORDER[1]]
@@ -194,13 +195,20 @@ class Machine:
 
 
 def fit(texts: list[str], toxic: list[int]) -> Machine:
-    docs, label = [sentences(t) for t in texts], np.array(toxic, int)
+    # Words are interned: the lists of a document's sentences then hold references alone.
+    docs = [[[sys.intern(w) for w in s] for s in sentences(t)] for t in texts]
+    label = np.array(toxic, int)
     share = float(label.mean()) if len(label) else 0.0
     n_tox, n_clean = int(label.sum()), int((1 - label).sum()) if len(label) else 0
     none = Machine(np.zeros(TABLE, "f4"), 0.0, np.zeros(0), share)
     if not n_tox or not n_clean:
         return none
-    plain = [[[p for w in s for p in parts(w) if p] for s in d] for d in docs]
+    known: dict[str, list[str]] = {}
+    for d in docs:
+        for w in (w for s in d for w in s if w not in known):
+            known[w] = [sys.intern(p) for p in parts(w) if p]
+    plain = [[[p for w in s for p in known[w]] for s in d] for d in docs]
+    known.clear()
     tox, clean = Counter(), Counter()
     for d, y in zip(plain, toxic, strict=True):
         (tox if y else clean).update({w for s in d for w in s})
@@ -224,7 +232,8 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
         rows = positive + chosen
         vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for s in rows for w in s))}
         k_wm = kernel([*vocabulary], marks)
-        x = np.array([k_wm[[vocabulary[w] for w in dict.fromkeys(s)]].sum(axis=0) if s else np.zeros(len(marks)) for s in rows]) @ root
+        x = np.array([k_wm[[vocabulary[w] for w in dict.fromkeys(s)]].sum(axis=0) if s else np.zeros(len(marks), "f4") for s in rows]) @ root
+        del k_wm
         y = np.r_[np.ones(len(positive)), -np.ones(len(chosen))]
         w = _squared_hinge(x, y, np.where(y > 0, len(chosen) / max(len(positive), 1), 1.0).clip(0.2, 5))
         alpha = root @ w[:-1]
@@ -233,20 +242,37 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
         table[0] = 0
         machine = Machine(table.astype("f4"), float(w[-1]), np.zeros(0), share)
         if round_ == 0:  # the clean sentences that look worst
-            worst = machine.words([*dict.fromkeys(v for s in negative for v in s)])
-            score_of = dict(zip(dict.fromkeys(v for s in negative for v in s), worst, strict=True))
+            every = [*dict.fromkeys(v for s in negative for v in s)]
+            score_of: dict[str, float] = {}
+            for k in range(0, len(every), 4000):
+                score_of.update(zip(every[k : k + 4000], machine.words(every[k : k + 4000]), strict=True))
+            del every
             order = sorted(range(len(negative)), key=lambda k: -sum(map(score_of.__getitem__, dict.fromkeys(negative[k]))))
             chosen = chosen + [negative[k] for k in order[:CLEAN_SENTENCES]]
-    curve = _logistic(machine.tops(docs), label)
+    curve = _logistic(np.concatenate([machine.tops(docs[k : k + 200]) for k in range(0, len(docs), 200)]), label)
     machine.curve = curve
     machine.cache.clear()
     return machine
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
-    """Fits on at most fit_rows rows of labelled (key, text, label in 0, 1)."""
-    rows = labelled.filter(F.col(label).isNotNull()).orderBy(F.xxhash64(key), key).limit(fit_rows).select(F.coalesce(F.col(text), F.lit("")), F.col(label).cast("int")).collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
+    """Fits on at most fit_rows rows of docs (key, text) with labels (key, label in 0, 1).
+
+    The sample is drawn from the labels, so at most fit_rows keys are sent to find its texts, and
+    one task fits the machine; only the machine comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("key", "text", "label")), strict=True)]
+        rows.sort(key=lambda r: (str(r[0]), r[1], r[2]))  # the same machine from any order of rows
+        m = fit([r[1] for r in rows], [r[2] for r in rows])
+        cols = [[m.weight.tobytes()], [m.offset], [m.curve.astype("f8").tobytes()], [m.share]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.float64(), pa.binary(), pa.float64()), strict=True)], ["weight", "offset", "curve", "share"])
+
+    drawn = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(drawn), "key").limit(fit_rows).select("key", "text", "label")
+    row = sample.repartition(1).mapInArrow(run, "weight binary, offset double, curve binary, share double").first()
+    return Machine(np.frombuffer(row["weight"], "f4"), row["offset"], np.frombuffer(row["curve"], "f8"), row["share"])
 
 
 def score(df: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
