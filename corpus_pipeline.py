@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and gives documents with the columns of ``documents``; the
 last gives packed pieces.  Every stage's result is written as Parquet in the shared folder and read
 again, so a lost executor never reaches back beyond its stage.  Null text counts as empty, except
-that pseudonyms leave it null.  Rows that share a doc_id are judged alike.
+that pseudonyms leave it null.  Every row is judged by its own text, whatever its doc_id, which may be
+null or shared; rows that share doc_id and text are judged alike.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import exact_dedup, jaccard_join, packing, pii, toxicity
-from treeline.llm.common import table, written
+from treeline.llm.common import numbered, table, written
 from treeline.llm.queries import PII_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,14 +33,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space apart) the longest stays, then the smallest doc_id."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    docs = numbered(docs.select(*COLUMNS))
+    kept = exact_dedup.judged(docs).filter("kept").select("row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more connect, the smallest doc_id stays."""
-    kept = jaccard_join.jaccard_join(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    docs = numbered(docs.select(*COLUMNS))
+    kept = jaccard_join.judged(docs).filter("kept").select("row")
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,3 +177,39 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     want = {x: find(x) for x in up}
     assert {k: got.get(k, k) for k in want} == want
+
+
+NULLS = "doc_id long, text string"
+
+
+def test_exact_dedup_null_and_shared_keys(spark):
+    rows = [(None, "a b"), (1, "a b"), (2, "ab"), (None, "c  d"), (3, "cd"), (None, "solo"), (5, "A"), (6, "A"), (5, "B"), (6, "B"), (None, "z"), (None, "z")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, NULLS)).collect()
+    assert len(got) == len(rows)
+    kept = [(r.doc_id, r.keep_id, r.group_size) for r in got if r.kept]
+    assert sorted(kept, key=str) == sorted([(1, 1, 3), (None, None, 2), (None, None, 1), (5, 5, 2), (5, 5, 2), (None, None, 2)], key=str)
+    assert sorted(r.keep_id for r in got if r.keep_id is not None) == [1, 1, 1, 5, 5, 5, 5]
+    odd = exact_dedup.exact_dedup(spark.createDataFrame(rows, NULLS), moduli=(2,), chunk=3, segment=4).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, odd), key=str)
+
+
+def test_jaccard_join_null_and_shared_keys(spark):
+    words = [f"w{k}" for k in range(100)]
+    base, other = " ".join(words), " ".join(words[::-1])
+    rows = [(None, base), (7, base), (4, base + " x"), (5, "one text of a key"), (5, other), (6, other + " y"), (None, "alone without a key"), (None, ""), (8, "")]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, NULLS)).collect()
+    want = [(None, 4, 7, 2), (7, 4, 7, 2), (4, 4, 4, 2), (5, 5, 5, 0), (5, 5, 5, 1), (6, 5, 6, 1), (None, None, None, 0), (None, None, None, 0), (8, 8, 8, 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_keeps_null_and_shared_keys(spark):
+    import corpus_pipeline as pipe
+
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, base), (1, "a b"), (None, "a b"), (None, "c  d"), (3, "cd"), (5, "A"), (6, "A"), (5, "B"), (6, "B"), (7, base + " x"), (8, "q"), (8, "q")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    exact = pipe.drop_exact_copies(spark, docs, "")
+    want = [(None, base), (1, "a b"), (None, "c  d"), (5, "A"), (5, "B"), (7, base + " x"), (8, "q"), (8, "q")]
+    assert sorted([(r.doc_id, r.text) for r in exact.collect()], key=str) == sorted(want, key=str)
+    near = pipe.drop_near_copies(spark, exact, "")
+    assert sorted([(r.doc_id, r.text) for r in near.collect()], key=str) == sorted(want[1:], key=str)

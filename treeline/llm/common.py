@@ -25,6 +25,11 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` with ``row``, a number of its own for each, from a written table."""
+    return written(df.withColumn("row", F.monotonically_increasing_id()))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n (the fold of a document)."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))

@@ -1,7 +1,7 @@
 """Exact dedup by composable polynomial fingerprints and chunkwise comparison.
 
 Texts are equal when identical without white space (space, tab, line feed, vertical tab, form feed,
-return).  Of equal texts the one with the most code points stays, then the smallest key.
+return).  Of equal texts the one with the most code points stays, then the smallest key, null last.
 
 1. Texts are cut into segments; a task hashes segment after segment and combines the hashes by
    length-shifted arithmetic, so a huge text is never held twice.
@@ -12,9 +12,11 @@ return).  Of equal texts the one with the most code points stays, then the small
 4. Rows that differ from their keeper in spite of equal fingerprints form new groups, until none is
    left.
 
-Null text counts as empty; empty texts are equal to each other.  Rows that share a key count as
-copies of one document: each is in the result and in group_size.  An empty table gives an empty
-result.  Only key and text are read, so other columns' names cannot clash.
+Null text counts as empty; empty texts are equal to each other.  Rows are grouped and compared by
+a number of their own, not by key, so each is judged by its own text.  Rows that share key and text
+count as copies of one document: each is in the result and in group_size, and all are kept if one
+is.  A row without a key shares it with none; where it is the keeper, keep_id is null.  An empty
+table gives an empty result.  Only key and text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,24 +29,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm import fingerprint as fp
-from treeline.llm.common import WHITE, written
+from treeline.llm.common import WHITE, numbered, written
 
 SEGMENT = 1 << 22  # code points hashed at a time
 SALT_ROWS = 128
 
 
 def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return df.select("row", F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", moduli: tuple[int, ...] = fp.MODULI, segment: int = SEGMENT) -> DataFrame:
-    """Rows (key, chars, print, text_sha256): print is the fingerprint as text, text_sha256 the
-    digest of the normalised text."""
-    kind = df.schema[key].dataType.simpleString()
-    plain = _plain(df, key, text)
+def fingerprints(plain: DataFrame, moduli: tuple[int, ...] = fp.MODULI, segment: int = SEGMENT) -> DataFrame:
+    """Rows (row, key, chars, print, text_sha256) of (row, key, text): print is the fingerprint as
+    text, text_sha256 the digest of the normalised text."""
+    kind = plain.schema["key"].dataType.simpleString()
     count = F.greatest(F.ceil(F.length("text") / segment), F.lit(1)).cast("int")
-    cut = plain.select("key", F.length("text").alias("chars"), "text", count.alias("count"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seg")).select(
-        "key", "chars", "count", "seg", F.when(F.col("count") == 1, F.col("text")).otherwise(F.substring("text", F.col("seg") * segment + 1, F.lit(segment))).alias("piece")
+    cut = plain.select("row", "key", F.length("text").alias("chars"), "text", count.alias("count"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seg")).select(
+        "row", "key", "chars", "count", "seg", F.when(F.col("count") == 1, F.col("text")).otherwise(F.substring("text", F.col("seg") * segment + 1, F.lit(segment))).alias("piece")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,32 +67,32 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", moduli:
                     digests.append(sha.hexdigest())
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(at), batch.column("chars").take(at), pa.array(prints, pa.string()), pa.array(digests, pa.string())],
-                ["key", "chars", "print", "text_sha256"],
+                [*(batch.column(c).take(at) for c in ("row", "key", "chars")), pa.array(prints, pa.string()), pa.array(digests, pa.string())],
+                ["row", "key", "chars", "print", "text_sha256"],
             )
 
-    return cut.mapInArrow(run, f"key {kind}, chars int, print string, text_sha256 string")
+    return cut.mapInArrow(run, f"row bigint, key {kind}, chars int, print string, text_sha256 string")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """rows (key, chars, print) with keep_id and group_size."""
-    per = rows.groupBy("print").agg(F.count("*").alias("group_size"), F.min(F.struct(-F.col("chars"), F.col("key")))["key"].alias("keep_id"))
-    return rows.join(per, "print")
+    """rows (row, key, chars, print) with keep_row, keep_id (its key) and group_size."""
+    first = F.min(F.struct(-F.col("chars"), F.col("key").isNull(), F.col("key"), F.col("row")))
+    per = rows.groupBy("print").agg(F.count("*").alias("group_size"), first.alias("first"))
+    return rows.join(per.select("print", "group_size", F.col("first.row").alias("keep_row"), F.col("first.key").alias("keep_id")), "print")
 
 
 def _compared(plain: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
-    """pairs (key, keep_id, group_size) with same: whether the texts are equal, chunk by chunk."""
-    kind = plain.schema["key"].dataType.simpleString()
+    """pairs (row, keep_row, group_size) with same: whether the texts are equal, chunk by chunk."""
     salts = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    keeper = F.col("key") == F.col("keep_id")
+    keeper = F.col("row") == F.col("keep_row")
     # A keeper goes to every salt of its group, any other row to one.
-    dealt = pairs.distinct().select(
-        "key",
-        "keep_id",
+    dealt = pairs.select(
+        "row",
+        "keep_row",
         keeper.alias("keeper"),
-        F.when(keeper, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), salts).cast("int"))).alias("salts"),
+        F.when(keeper, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), salts).cast("int"))).alias("salts"),
     )
-    placed = plain.join(dealt, "key")
+    placed = plain.join(dealt, "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,42 +103,49 @@ def _compared(plain: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
                 one = pa.array([k] * len(starts), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).take(one) for c in ("key", "keep_id", "keeper", "salts")),
+                        *(batch.column(c).take(one) for c in ("row", "keep_row", "keeper", "salts")),
                         pa.array(range(len(starts)), pa.int32()),
                         pa.array([len(starts)] * len(starts), pa.int32()),
                         pa.array([normal[s : s + chunk] for s in starts], pa.binary()),
                     ],
-                    ["key", "keep_id", "keeper", "salts", "chunk", "chunks", "piece"],
+                    ["row", "keep_row", "keeper", "salts", "chunk", "chunks", "piece"],
                 )
 
-    cut = placed.select("key", "keep_id", "keeper", "salts", "text").mapInArrow(
-        run, f"key {kind}, keep_id {kind}, keeper boolean, salts array<int>, chunk int, chunks int, piece binary"
+    cut = placed.select("row", "keep_row", "keeper", "salts", "text").mapInArrow(
+        run, "row bigint, keep_row bigint, keeper boolean, salts array<int>, chunk int, chunks int, piece binary"
     )
     spread = cut.withColumn("salt", F.explode("salts")).drop("salts")
-    one = spread.filter("keeper").select("keep_id", "salt", "chunk", F.col("piece").alias("kept_piece"), F.col("chunks").alias("kept_chunks"))
+    one = spread.filter("keeper").select("keep_row", "salt", "chunk", F.col("piece").alias("kept_piece"), F.col("chunks").alias("kept_chunks"))
     other = spread.filter("not keeper")
     same = F.coalesce((F.col("piece") == F.col("kept_piece")) & (F.col("chunks") == F.col("kept_chunks")), F.lit(False))
-    return other.join(one, ["keep_id", "salt", "chunk"], "left").groupBy("key", "keep_id").agg(F.min(same).alias("same"))
+    return other.join(one, ["keep_row", "salt", "chunk"], "left").groupBy("row", "keep_row").agg(F.min(same).alias("same"))
 
 
-def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", moduli: tuple[int, ...] = fp.MODULI, chunk: int = fp.CHUNK, segment: int = SEGMENT) -> DataFrame:
-    """Rows (key, keep_id, group_size, kept, text_sha256), one for each row of df."""
+def judged(df: DataFrame, key: str = "doc_id", text: str = "text", moduli: tuple[int, ...] = fp.MODULI, chunk: int = fp.CHUNK, segment: int = SEGMENT) -> DataFrame:
+    """Rows (row, key, keep_id, group_size, kept, text_sha256) of a numbered table."""
     plain = _plain(df, key, text)
-    rows = written(fingerprints(df, key, text, moduli, segment))
+    rows = written(fingerprints(plain, moduli, segment))
     grouped = written(_groups(rows))
     todo, round_, odd = grouped, 0, None
     while True:
-        pairs = todo.filter("group_size > 1").select("key", "keep_id", "group_size")
-        differ = _compared(plain, pairs, chunk).filter("not same").select("key").checkpoint()
+        pairs = todo.filter("group_size > 1").select("row", "keep_row", "group_size")
+        differ = _compared(plain, pairs, chunk).filter("not same").select("row").checkpoint()
         if differ.isEmpty():
             break
         # Equal fingerprints of different texts: these rows look for a keeper among themselves.
-        todo = written(_groups(todo.select("key", "chars", "print").join(differ, "key", "left_semi")))
-        now = todo.select("key", F.col("keep_id").alias("own"), F.lit(round_).alias("round"))
+        todo = written(_groups(todo.select("row", "key", "chars", "print").join(differ, "row", "left_semi")))
+        now = todo.select("row", F.struct("keep_row", "keep_id").alias("own"), F.lit(round_).alias("round"))
         odd = now if odd is None else odd.unionByName(now)
         round_ += 1
     if odd is not None:
-        own = odd.groupBy("key").agg(F.max_by("own", "round").alias("own"))
-        moved = grouped.join(own, "key", "left").withColumn("keep_id", F.coalesce("own", "keep_id")).drop("own", "group_size")
-        grouped = moved.join(moved.groupBy("keep_id").agg(F.count("*").alias("group_size")), "keep_id")
-    return grouped.select(F.col("key").alias(key), "keep_id", "group_size", (F.col("key") == F.col("keep_id")).alias("kept"), "text_sha256")
+        own = odd.groupBy("row").agg(F.max_by("own", "round").alias("own"))
+        new = {c: F.when(F.col("own").isNull(), F.col(c)).otherwise(F.col("own")[c]) for c in ("keep_row", "keep_id")}
+        moved = grouped.join(own, "row", "left").withColumns(new).drop("own", "group_size")
+        grouped = moved.join(moved.groupBy("keep_row").agg(F.count("*").alias("group_size")), "keep_row")
+    kept = (F.col("row") == F.col("keep_row")) | F.coalesce(F.col("key") == F.col("keep_id"), F.lit(False))
+    return grouped.select("row", F.col("key").alias(key), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", moduli: tuple[int, ...] = fp.MODULI, chunk: int = fp.CHUNK, segment: int = SEGMENT) -> DataFrame:
+    """Rows (key, keep_id, group_size, kept, text_sha256), one for each row of df."""
+    return judged(numbered(df.select(key, text)), key, text, moduli, chunk, segment).drop("row")

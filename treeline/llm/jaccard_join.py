@@ -19,8 +19,9 @@ at least q, by the recursion q = 1 - exp(-choices * q) over all levels, so runs
 log(1 - q).  That is the worst case; pairs that part from others early are found with more.
 
 Null text counts as empty.  A text without words has no shingles: it is a class of its own without
-links.  Rows that share a key count as one document if their texts are equal.  An empty table gives
-an empty result.  Only key and text are read.
+links.  Rows are joined by a number of their own, not by key, so each has its own text's links; null
+keys come last where the smallest is chosen.  An empty table gives an empty result.  Only key and
+text are read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.bpe import slices
-from treeline.llm.common import written
+from treeline.llm.common import numbered, written
 from treeline.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
@@ -129,11 +130,11 @@ def _signatures(df: DataFrame, size: int, runs: int) -> DataFrame:
                     marks.append(sketch(tokens) if len(tokens) else None)
                     paths.append(first_paths(tokens, runs).astype("i8") if len(tokens) else np.zeros(0, "i8"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                    ["key", "digest", "n", "sketch", "paths"],
+                    [batch.column("row"), batch.column("key"), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
+                    ["row", "key", "digest", "n", "sketch", "paths"],
                 )
 
-    return df.mapInArrow(run, f"key {kind}, digest binary, n int, sketch binary, paths array<bigint>")
+    return df.mapInArrow(run, f"row bigint, key {kind}, digest binary, n int, sketch binary, paths array<bigint>")
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
@@ -296,14 +297,14 @@ def _verify(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
 
 
 def _texts_of(plain: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows (rep, text) of the wanted keys.
+    """Rows (rep, text) of the wanted rows.
 
-    Hash values of the keys, at most PRESELECT, first drop most other texts at the scan, so that
-    few texts are shuffled; with very many keys they drop nothing and the join alone decides."""
-    bucket = F.pmod(F.xxhash64("key"), F.lit(PRESELECT)).alias("bucket")
-    wanted = reps.select(F.col("rep").alias("key")).distinct()
+    Hash values of their numbers, at most PRESELECT, first drop most other texts at the scan, so that
+    few texts are shuffled; with very many rows they drop nothing and the join alone decides."""
+    bucket = F.pmod(F.xxhash64("row"), F.lit(PRESELECT)).alias("bucket")
+    wanted = reps.select(F.col("rep").alias("row")).distinct()
     near = plain.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-    return near.join(wanted.hint("merge"), "key").select(F.col("key").alias("rep"), "text").dropDuplicates(["rep"])
+    return near.join(wanted.hint("merge"), "row").select(F.col("row").alias("rep"), "text")
 
 
 def _distinct_nodes(found: DataFrame) -> DataFrame:
@@ -316,19 +317,17 @@ def _sizes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
 
 
-def jaccard_join(
+def judged(
     df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, bucket: int = BUCKET, block: int = BLOCK
 ) -> DataFrame:
-    """Rows (key, class_id, copy_id, n_links), one per row of df.  class_id: smallest key of all that
-    links lead to; copy_id: smallest key with an equal set; n_links: documents at least
-    ``threshold`` similar to this one, copies included."""
-    plain = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kind = df.schema[key].dataType.simpleString()
+    """Rows (row, key, class_id, copy_id, n_links, kept) of a numbered table.  kept: the row whose key
+    is class_id, and rows with the same key and an equal set."""
+    plain = df.select("row", F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     signed = written(_signatures(plain, size, runs_for(recall, threshold)))
     per = signed.filter("digest is not null").groupBy("digest", "n").agg(
-        F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
     )
-    classes = written(per)
+    classes = written(per.withColumns({"rep": F.col("first.row"), "copy_id": F.col("first.key")}).drop("first"))
     info = classes.select("rep", "n", "copies", "sketch")
     nodes = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "rep")
     leaves, level = [], 1
@@ -348,7 +347,7 @@ def jaccard_join(
     for more in leaves[1:]:
         found = found.unionByName(more)
     found = written(_distinct_nodes(found).join(info, "rep"))
-    likely = _grouped(found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch"), ["path"], _likely, f"path bigint, rep {kind}")
+    likely = _grouped(found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch"), ["path"], _likely, "path bigint, rep bigint")
     left = written(_distinct_nodes(written(likely.unionByName(found.filter(F.col("size") > bucket).select("path", "rep")))))
     sizes = _sizes(left)
     blocks = F.ceil(F.col("size") / block).cast("int")
@@ -364,15 +363,34 @@ def jaccard_join(
         dealt.join(fetched, "rep").select("path", "i", "j", "rep", "block", "copies", "nodes", "tokens"),
         ["path", "i", "j"],
         _verify(threshold),
-        f"rep {kind}, links bigint, root {kind}",
+        "rep bigint, links bigint, root bigint",
     )
     verified = written(checked)
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "root")
-    whole = classes.select("digest", "n", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left")
-    return signed.select("key", "digest", "n").join(whole, ["digest", "n"], "left").select(
+    linked = roots.unionByName(roots.select(F.col("root").alias("rep"), "root").distinct()).join(classes.select("rep", "copy_id"), "rep")
+    least = linked.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "rep")).alias("least"))
+    least = linked.select("rep", "root").join(least, "root").select("rep", F.col("least.rep").alias("keep_rep"), F.col("least.copy_id").alias("linked_id"))
+    whole = classes.select("digest", "n", "rep", "copy_id", "copies").join(links, "rep", "left").join(least, "rep", "left")
+    # Without links a class keeps its own key, and a text without words is a class of its own.
+    copy_id = F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.col("copy_id"))
+    class_id = F.when(F.col("keep_rep").isNull(), copy_id).otherwise(F.col("linked_id"))
+    first = F.col("row") == F.coalesce("keep_rep", "rep", "row")
+    alike = (F.col("key") == class_id) & (F.col("rep") == F.coalesce("keep_rep", "rep"))
+    return signed.select("row", "key", "digest", "n").join(whole, ["digest", "n"], "left").select(
+        "row",
         F.col("key").alias(key),
-        F.coalesce("root", "rep", "key").alias("class_id"),
-        F.coalesce("rep", "key").alias("copy_id"),
+        class_id.alias("class_id"),
+        copy_id.alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("bigint").alias("n_links"),
+        (first | F.coalesce(alike, F.lit(False))).alias("kept"),
     )
+
+
+def jaccard_join(
+    df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, bucket: int = BUCKET, block: int = BLOCK
+) -> DataFrame:
+    """Rows (key, class_id, copy_id, n_links), one per row of df.  class_id: smallest key of all that
+    links lead to; copy_id: smallest key with an equal set; n_links: documents at least
+    ``threshold`` similar to this one, copies included."""
+    return judged(numbered(df.select(key, text)), key, text, threshold, recall, size, bucket, block).drop("row", "kept")
