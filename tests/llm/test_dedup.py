@@ -213,3 +213,15 @@ def test_pipeline_keeps_null_and_shared_keys(spark):
     assert sorted([(r.doc_id, r.text) for r in exact.collect()], key=str) == sorted(want, key=str)
     near = pipe.drop_near_copies(spark, exact, "")
     assert sorted([(r.doc_id, r.text) for r in near.collect()], key=str) == sorted(want[1:], key=str)
+
+
+def test_short_passages_lose_lines():
+    rng = random.Random(6)
+    for size, least in ((2, 0.18), (3, 0.32), (4, 0.42), (6, 0.52), (30, 0.78)):
+        gone = 0
+        for _ in range(400):
+            own = [[b"%f" % rng.random() for _ in range(n)] for n in (size, rng.randint(3, 9), 6, rng.randint(3, 9), 6)]
+            one, two = own[1] + own[0] + own[2], own[3] + own[0] + own[4]
+            had = {tuple(one[s : s + n]) for s, n in line_dedup.chunks(one)}
+            gone += sum(n for s, n in line_dedup.chunks(two) if n > 1 and tuple(two[s : s + n]) in had)
+        assert gone >= least * 400 * size, size
