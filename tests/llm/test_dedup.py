@@ -225,3 +225,16 @@ def test_short_passages_lose_lines():
             had = {tuple(one[s : s + n]) for s, n in line_dedup.chunks(one)}
             gone += sum(n for s, n in line_dedup.chunks(two) if n > 1 and tuple(two[s : s + n]) in had)
         assert gone >= least * 400 * size, size
+
+
+def test_jaccard_join_at_a_lower_threshold(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(80):
+        w = [f"{k}-{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: 68 + k % 10] + [f"own {rng.random()}" for _ in range(13)]))]
+    want, got = brute_join(rows, 0.5), jaccard_join.jaccard_join(spark.createDataFrame(rows, NULLS), threshold=0.5).collect()
+    assert sum(v[1] for v in want.values()) > 100
+    assert sum(r.n_links for r in got) >= 0.97 * sum(v[1] for v in want.values())
+    assert all(r.n_links <= want[r.doc_id][1] for r in got)
+    assert jaccard_join.likely_for(0.99, 0.8) == 38 and jaccard_join.likely_for(0.99, 0.5) < 20

@@ -43,7 +43,8 @@ FIRST, FURTHER, LEVELS = 2.5, 1.4, 5
 BUCKET, BLOCK = 256, 1024
 PRESELECT = 1 << 20
 FEW = 24
-SKETCH, LIKELY = 64, 38  # a pair at 0.8 has fewer equal minima with probability 2e-5
+SKETCH = 64
+MISSED = 1 / 150  # of the pairs that recall gives up, the sketches may cost this part
 CACHE_WORDS = 200_000
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], "u8")
@@ -113,6 +114,17 @@ def runs_for(recall: float, threshold: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
+def likely_for(recall: float, threshold: float) -> int:
+    """The number of equal minima that a pair at the threshold has but for a MISSED part of 1 - recall
+    (binomial tail)."""
+    tail = 0.0
+    for k in range(SKETCH):
+        tail += math.comb(SKETCH, k) * threshold**k * (1 - threshold) ** (SKETCH - k)
+        if tail > MISSED * (1 - recall):
+            return k
+    return SKETCH
+
+
 def _signatures(df: DataFrame, size: int, runs: int) -> DataFrame:
     kind = df.schema["key"].dataType.simpleString()
 
@@ -203,16 +215,20 @@ def _grouped(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Recor
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _likely(group: pa.Table) -> pa.RecordBatch | None:
-    """The sets of a small node that have a likely partner."""
-    n = group["n"].to_numpy()
-    marks = np.frombuffer(b"".join(group["sketch"].to_pylist()), "u1").reshape(len(n), SKETCH)
-    equal = (marks[:, None, :] == marks[None, :, :]).sum(axis=2)
-    ok = (equal >= LIKELY) & (np.minimum.outer(n, n) >= THRESHOLD * 0.999 * np.maximum.outer(n, n))
-    np.fill_diagonal(ok, False)
-    rows = np.flatnonzero(ok.any(axis=1))
-    kept = group.select(["path", "rep"]).take(pa.array(rows))
-    return kept.combine_chunks().to_batches()[0] if len(rows) else None
+def _likely(threshold: float, least: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
+    """The sets of a small node that have a likely partner: ``least`` equal minima."""
+
+    def work(group: pa.Table) -> pa.RecordBatch | None:
+        n = group["n"].to_numpy()
+        marks = np.frombuffer(b"".join(group["sketch"].to_pylist()), "u1").reshape(len(n), SKETCH)
+        equal = (marks[:, None, :] == marks[None, :, :]).sum(axis=2)
+        ok = (equal >= least) & (np.minimum.outer(n, n) >= threshold * 0.999 * np.maximum.outer(n, n))
+        np.fill_diagonal(ok, False)
+        rows = np.flatnonzero(ok.any(axis=1))
+        kept = group.select(["path", "rep"]).take(pa.array(rows))
+        return kept.combine_chunks().to_batches()[0] if len(rows) else None
+
+    return work
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -347,7 +363,7 @@ def judged(
     for more in leaves[1:]:
         found = found.unionByName(more)
     found = written(_distinct_nodes(found).join(info, "rep"))
-    likely = _grouped(found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch"), ["path"], _likely, "path bigint, rep bigint")
+    likely = _grouped(found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch"), ["path"], _likely(threshold, likely_for(recall, threshold)), "path bigint, rep bigint")
     left = written(_distinct_nodes(written(likely.unionByName(found.filter(F.col("size") > bucket).select("path", "rep")))))
     sizes = _sizes(left)
     blocks = F.ceil(F.col("size") / block).cast("int")
