@@ -212,3 +212,11 @@ def test_sha_of_probe(spark):
     r = QUERIES["op8_chat_formatting"](spark, SMALL).filter("conv_id = -1").first()
     text = "<|im_end|><|im_start|>assistant ok"
     assert r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_toxicity_learns_from_all_toxic_rows():
+    clean = [f"the clean table stands by window {k % 50}" for k in range(600)]
+    early, late = [". ".join(["you grobnik person"] * 10)] * 320, ["you zwaffel person"] * 40
+    machine = toxicity.fit(clean + early + late, [0] * 600 + [1] * 360)
+    low, high = machine.scores(["the clean table stands by window 3", "you zwaffel person"])
+    assert high > 0.7 > low

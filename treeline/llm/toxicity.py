@@ -218,10 +218,10 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
     if not marks:
         return none
     marks += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: FREQUENT] if w not in typical]
-    positive = [s for d, y in zip(plain, toxic, strict=True) if y for s in d if typical.intersection(s)][:CLEAN_SENTENCES]
+    positive = [s for d, y in zip(plain, toxic, strict=True) if y for s in d if typical.intersection(s)]
     negative = [s for d, y in zip(plain, toxic, strict=True) if not y for s in d]
-    step = max(1, len(negative) // CLEAN_SENTENCES)
-    chosen = negative[::step][:CLEAN_SENTENCES]
+    some = min(len(negative), CLEAN_SENTENCES)
+    chosen = [negative[k * len(negative) // some] for k in range(some)]  # spread over all of them
     k_mm = kernel(marks, marks).astype("f8")
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = value > 1e-4
@@ -258,6 +258,9 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
     """Fits on at most fit_rows rows of docs (key, text) with labels (key, label in 0, 1).
 
+    All sentences of toxic rows with a typical word are learned from, and of those of clean rows
+    CLEAN_SENTENCES spread over all and as many that look worst.
+
     The sample is drawn from the labels, so at most fit_rows keys are sent to find its texts, and
     one task fits the machine; only the machine comes to the driver."""
 
