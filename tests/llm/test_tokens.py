@@ -187,3 +187,13 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     check_pieces(docs.collect())
     got = pipe.run(spark, SMALL)
     assert got.count() == docs.count()
+
+
+def test_packing_targets_of_small_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAST", 10)
+    rows = [(k, "some words of a text " * 40, "big") for k in range(20)] + [(100, "rare words " * 20, "small"), (101, "other words " * 10, "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    _, seqs = check_pieces(packing.pack(df, JSON, 0, window=128, targets={"big": 3, "small": 1}).collect(), 128)
+    first = [sum(p.length for p in seqs[0] if p.source == s) for s in ("big", "small", "tiny")]
+    assert abs(first[1] - 32) <= 2 and first[2] == 0 and first[0] > 90
+    assert {p.source for p in seqs[max(seqs)]} == {"tiny"}

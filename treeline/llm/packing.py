@@ -228,11 +228,12 @@ def pack(
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{source}` string, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, `offset` bigint"
     if not all_tokens:
         return df.sparkSession.createDataFrame([], schema)
-    # At most LEAST rows: each has that part of all tokens.
-    large = sums.groupBy(source).agg(F.sum("n").alias("n")).filter(F.col("n") * LEAST >= all_tokens).orderBy(source).collect()
+    # At most LEAST rows, each with that part of all tokens, and those that targets name.
+    own = (F.col("n") * LEAST >= all_tokens) | F.coalesce(F.col(source).isin([*(targets or {})]), F.lit(False))
+    large = sums.groupBy(source).agg(F.sum("n").alias("n")).filter(own).orderBy(source).collect()
     names, totals = [r[source] for r in large], [r["n"] for r in large]
     rest = all_tokens - sum(totals)
-    if rest * LEAST >= all_tokens or not names:
+    if rest * LEAST >= all_tokens or not names or (rest and targets is not None):
         names.append(None)
         totals.append(rest)
         other = len(names) - 1
