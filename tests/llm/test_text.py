@@ -215,8 +215,8 @@ def test_sha_of_probe(spark):
 
 
 def test_toxicity_learns_from_all_toxic_rows():
-    clean = [f"the clean table stands by window {k % 50}" for k in range(600)]
-    early, late = [". ".join(["you grobnik person"] * 10)] * 320, ["you zwaffel person"] * 40
-    machine = toxicity.fit(clean + early + late, [0] * 600 + [1] * 360)
-    low, high = machine.scores(["the clean table stands by window 3", "you zwaffel person"])
-    assert high > 0.7 > low
+    clean = [f"you clean person stand by window {k % 50}" for k in range(600)]
+    early, late = ["you grobnik person"] * (toxicity.CLEAN_SENTENCES + 10), ["you zwaffel person"] * 40
+    machine = toxicity.fit(clean + early + late, [0] * 600 + [1] * (len(early) + len(late)))
+    early_word, late_word = machine.words(["grobnik", "zwaffel"])
+    assert late_word > 0.5 * early_word > 0
