@@ -30,6 +30,14 @@ def numbered(df: DataFrame) -> DataFrame:
     return written(df.withColumn("row", F.monotonically_increasing_id()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of df has it."""
+    had = {c.lower() for c in df.columns}
+    while name.lower() in had:
+        name += "_"
+    return name
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n (the fold of a document)."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))

@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeline.llm.common import fresh
+
 ROUNDS = 8
 KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "date")
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
@@ -117,6 +119,18 @@ def feistel_text(s: Column, key: str, kind: str, reverse: bool = False) -> Colum
     return F.aggregate(_rounds(reverse), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
+def _single(c: Column, key: str, kind: str, reverse: bool) -> Column:
+    """Permutes one digit or letter within its class."""
+
+    def within(base: int, half: int) -> Column:
+        x = F.ascii(c) - base
+        pair = feistel_pair(F.floor(x / half), x % half, 2, half, key, f"{kind}.{base}", reverse)
+        return _let(pair, lambda p: F.char(p["a"] * half + p["b"] + base))
+
+    o = F.ascii(c)
+    return F.when(o < 58, within(48, 5)).when(o < 91, within(65, 13)).otherwise(within(97, 13))
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -226,7 +240,9 @@ def _phone(m: Column, key: str, reverse: bool) -> Column:
 def _email(m: Column, key: str, reverse: bool) -> Column:
     local = F.substring_index(m, "@", 1)
     chars = F.regexp_replace(local, "[^0-9A-Za-z]", "")
-    return F.concat(_let(feistel_text(chars, key, "email", reverse), lambda x: _into(local, x, "[0-9A-Za-z]")), F.substring(m, F.length(local) + 1, F.length(m)))
+    # One character has no other half to mix it with.
+    new = F.when(F.length(chars) == 1, _single(chars, key, "email", reverse)).otherwise(feistel_text(chars, key, "email", reverse))
+    return F.concat(_let(new, lambda x: _into(local, x, "[0-9A-Za-z]")), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 def _date(m: Column, key: str, reverse: bool) -> Column:
@@ -295,10 +311,11 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", reverse: bool = Fa
     found = F.when(hot, F.transform(F.regexp_extract_all(t, F.lit(f"({ANY_FLAT})"), 0), lambda m: pseudonym(m, key, reverse)))
     gaps = F.when(hot, F.split(t, ANY_FLAT, -1))
     cols = [c for c in df.columns if c != text]
-    staged = df.select(*[F.col(f"`{c}`") for c in cols], t.alias(text), found.alias("__found"), gaps.alias("__gaps"))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("__gaps", 1, F.size("__found")), "__found", lambda g, f: F.concat(g, f["value"])), ""), F.element_at("__gaps", -1))
-    out = F.when(F.size("__found") > 0, joined).otherwise(F.col(text)).alias(text)
-    pii = F.filter(F.coalesce("__found", F.array().cast("array<struct<kind:string,value:string>>")), lambda f: f["kind"].isNotNull())
+    a, b = fresh(df, "__found"), fresh(df, "__gaps")
+    staged = df.select(*[F.col(f"`{c}`") for c in cols], t.alias(text), found.alias(a), gaps.alias(b))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(b, 1, F.size(a)), a, lambda g, f: F.concat(g, f["value"])), ""), F.element_at(b, -1))
+    out = F.when(F.size(a) > 0, joined).otherwise(F.col(text)).alias(text)
+    pii = F.filter(F.coalesce(a, F.array().cast("array<struct<kind:string,value:string>>")), lambda f: f["kind"].isNotNull())
     return staged.select(*[out if c == text else F.col(f"`{c}`") for c in df.columns], pii.alias("_pii"))
 
 
