@@ -1,18 +1,25 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines (split at \\n) are hashed, and each two neighbours have a rank, a hash of both.  The pair of
-least rank becomes a chunk, then the least of those that share no line with it, and so on, so what
-is chosen depends on nearby lines only and shifts with them: a passage that two documents share has
-the same chunks in both but for those near its ends.  About one line in seven is left alone.
-
-Chunks of two lines with some non-space character that occur more than once in all
-documents are candidates by digest; each is then compared byte by byte with its first occurrence
-(smallest key, then smallest position), and equal ones are removed.  Occurrences of one chunk are
-dealt to one salt per SALT_ROWS of them, with the first sent to each.
-
-Null text stays null and empty text empty: nothing to remove.  Rows that share a key count as one
-document: what is first in one of them is first in all; rows with a null key stay as they are.  An empty table gives an empty result; other
-columns pass through, except that those named like an output are replaced.
+Lines (split at \\n) are hashed, and each two neighbours have a rank, a rolling hash over both.  The
+pair of least rank becomes a chunk, then the least of those that share no line with it, and so on, so
+what is chosen depends on nearby lines only and shifts with them: a passage that two documents share
+has the same chunks in both but for those near its ends.  About one line in seven is left alone.
+
+Chunks of two lines with some non-space character that occur more than once in all documents are
+candidates by digest; each is then compared byte by byte with its first occurrence (smallest key, null
+last, then row, then smallest position), and equal ones are removed from ``text``.
+
+Chunks near the ends of a passage differ, so a short passage may keep lines.  ``text_without_runs`` has
+none of it: every two neighbouring lines with a word (blank lines between them aside) are looked up in
+the same way, and where they occurred before, both go, with what is between them.  So of a passage of
+two lines or more that is repeated as a whole, nothing is left but its first occurrence.
+
+Occurrences of one chunk are dealt to one salt per SALT_ROWS of them, with the first sent to each.
+
+Null text stays null and empty text empty: nothing to remove.  Rows are told apart by a number of their
+own, so rows that share a key, or have none, are documents of their own; of equal rows one stays whole.
+An empty table gives an empty result; other columns pass through, except that those named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -23,106 +30,177 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from treeline.llm.common import written
+from treeline.llm.bpe import slices
+from treeline.llm.common import WHITE, written
 
 SALT_ROWS = 256
 _MASK = (1 << 64) - 1
+_SPANS = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("lines", T.IntegerType())]))
+OUTPUTS = ["n_lines", "removed_chunks", "removed_lines", "removed_spans", "run_lines", "text_without_runs"]
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk: pairs, and lines that are left between them."""
-    hashes = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines]
+def _hashes(lines: list[bytes]) -> list[bytes]:
+    return [hashlib.blake2b(x, digest_size=8).digest() for x in lines]
+
+
+def _chunks(digests: list[bytes]) -> list[tuple[int, int]]:
+    hashes = [int.from_bytes(x, "little") for x in digests]
     ranks = [(x * 0x9E3779B97F4A7C15 + y) * 0xC2B2AE3D27D4EB4F & _MASK for x, y in zip(hashes, hashes[1:])]
-    used, first = bytearray(len(lines)), bytearray(len(lines))
+    used, first = bytearray(len(hashes)), bytearray(len(hashes))
     for k in sorted(range(len(ranks)), key=ranks.__getitem__):  # of equal ranks the first
         if not used[k] and not used[k + 1]:
             used[k] = used[k + 1] = first[k] = 1
-    return [(k, 2 if first[k] else 1) for k in range(len(lines)) if first[k] or not used[k]]
+    return [(k, 2 if first[k] else 1) for k in range(len(hashes)) if first[k] or not used[k]]
+
+
+def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, number of lines) of each chunk: pairs, and lines that are left between them."""
+    return _chunks(_hashes(lines))
 
 
-def chunk_table(df: DataFrame, key: str = "doc_id", text: str = "text", listed: bool = False) -> DataFrame:
-    """Rows (key, first_line, lines, digest) of the chunks of two lines or more; with ``listed``, df
-    has a column ``__want`` (array of first lines), and only those chunks come, with their bytes."""
-    kind = df.schema[key].dataType.simpleString()
+def _pairs(lines: list[bytes]) -> Iterator[tuple[int, int, bool, bool, bytes]]:
+    """(line, later line, is chunk, is run, digest): chunks of two lines, and neighbours in the run of
+    lines with a word."""
+    digests = _hashes(lines)
+    chunk = {k for k, n in _chunks(digests) if n > 1}
+    worded = [k for k, x in enumerate(lines) if x.strip(WHITE)]
+    after = dict(zip(worded, worded[1:]))
+    for k in range(len(lines) - 1):
+        run = after.get(k)
+        is_chunk = k in chunk and (lines[k] + lines[k + 1]).strip() != b""
+        if is_chunk:
+            yield k, k + 1, True, run == k + 1, digests[k] + digests[k + 1]
+        if run is not None and not (is_chunk and run == k + 1):
+            yield k, run, False, True, digests[k] + digests[run]
+
+
+def pair_table(rows: DataFrame) -> DataFrame:
+    """Rows (row, first, last, is_chunk, is_run, digest) of (row, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                at, out = [], []
+                for k, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                    had = len(out)
+                    out += _pairs(t.split(b"\n"))
+                    at += [k] * (len(out) - had)
+                cols = [*zip(*out)] or [[]] * 5
+                kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row").take(pa.array(at, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
+                    ["row", "first", "last", "is_chunk", "is_run", "digest"],
+                )
+
+    return rows.select("row", "text").mapInArrow(run, "row bigint, first int, last int, is_chunk boolean, is_run boolean, digest binary")
+
+
+def _bodies(wanted: DataFrame) -> DataFrame:
+    """The wanted pairs (row, text, pairs) one by one, each with the bytes of its lines."""
+    pair = "first: int, last: int, digest: binary, salts: array<int>, chunk_head: boolean, run_head: boolean, chunk_other: boolean, run_other: boolean"
+    names = [x.split(":")[0] for x in pair.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, first, count, digest, data = [], [], [], [], []
-            texts = batch.column("text").cast(pa.binary())
-            wanted = batch.column("want").to_pylist() if listed else None
-            for k in range(batch.num_rows):
-                lines = (texts[k].as_py() or b"").split(b"\n")
-                only = None if wanted is None else set(wanted[k])
-                for start, n in chunks(lines):
-                    if n < 2 or (only is not None and start not in only):
-                        continue
-                    body = b"\n".join(lines[start : start + n])
-                    if not body.strip():
-                        continue
-                    rows.append(k)
-                    first.append(start)
-                    count.append(n)
-                    digest.append(hashlib.blake2b(body, digest_size=12).digest())
-                    if listed:
-                        data.append(body)
-            cols = [batch.column("key").take(pa.array(rows, pa.int32())), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(digest, pa.binary())]
-            names = ["key", "first_line", "lines", "digest"]
-            if listed:
-                cols.append(pa.array(data, pa.binary()))
-                names.append("body")
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = f"key {kind}, first_line int, lines int, digest binary" + (", body binary" if listed else "")
-    cols = [F.col(key).alias("key"), F.col(text).cast("string").alias("text")]
-    return df.select(*cols, *([F.col("__want").alias("want")] if listed else [])).mapInArrow(run, schema)
-
-
-def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", dealt_texts: DataFrame | None = None) -> DataFrame:
-    """Rows (key, first_line, lines): the chunks to remove.  dealt_texts: df dealt out by key, where
-    the caller has it."""
-    found = written(chunk_table(df, key, text))
-    per = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "first_line")).alias("first")).filter("n > 1")
-    hits = found.select("key", "first_line", "digest").join(per, "digest")
-    is_first = (F.col("key") == F.col("first.key")) & (F.col("first_line") == F.col("first.first_line"))
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    dealt = written(
-        hits.select(
-            "key",
-            "first_line",
-            is_first.alias("is_first"),
-            F.when(is_first, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key", "first_line"), salts).cast("int"))).alias("salts"),
-        ).distinct()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                pairs = batch.column("pairs")
+                flat, counts = pairs.flatten(), pairs.value_lengths().to_pylist()
+                first, last, at = flat.field(0).to_pylist(), flat.field(1).to_pylist(), 0
+                rows, bodies = [], []
+                for k, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                    lines = t.split(b"\n")
+                    bodies += [lines[first[j]] + b"\n" + lines[last[j]] for j in range(at, at + counts[k])]
+                    rows += [k] * counts[k]
+                    at += counts[k]
+                cols = [batch.column("row").take(pa.array(rows, pa.int32())), *flat.flatten(), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", *names, "body"])
+
+    return wanted.select("row", "text", "pairs").mapInArrow(run, "row bigint, " + pair.replace(":", "") + ", body binary")
+
+
+def repeated(rows: DataFrame, dealt_texts: DataFrame) -> DataFrame:
+    """Rows (row, chunks, runs) of (row, key, text): the pairs of lines that occurred before, as arrays
+    of (first, last).  dealt_texts: (row, text) dealt out by row."""
+    found = written(pair_table(rows))
+    order = rows.select("row", F.col("key").isNull().alias("no_key"), "key")
+    # Only digests that occur twice need the keys of their rows.
+    twice = found.groupBy("digest").agg(F.count_if("is_chunk").alias("n_chunk"), F.count_if("is_run").alias("n_run")).filter("n_chunk > 1 or n_run > 1")
+    hits = written(found.join(twice, "digest").join(order, "row"))
+    place = F.struct("no_key", "key", "row", "first")
+    heads = hits.groupBy("digest").agg(F.min(F.when(F.col("is_chunk"), place)).alias("chunk_at"), F.min(F.when(F.col("is_run"), place)).alias("run_at"))
+
+    def is_head(at: str) -> F.Column:
+        return F.coalesce((F.col("row") == F.col(f"{at}.row")) & (F.col("first") == F.col(f"{at}.first")), F.lit(False))
+
+    judged = hits.join(heads, "digest").select(
+        "row",
+        "first",
+        "last",
+        "digest",
+        F.ceil(F.greatest("n_chunk", "n_run") / SALT_ROWS).cast("int").alias("salts"),
+        *[(F.col(f"is_{k}") & (F.col(f"n_{k}") > 1) & is_head(f"{k}_at")).alias(f"{k}_head") for k in ("chunk", "run")],
+        *[(F.col(f"is_{k}") & (F.col(f"n_{k}") > 1) & ~is_head(f"{k}_at")).alias(f"{k}_other") for k in ("chunk", "run")],
     )
-    want = dealt.groupBy(F.col("key").alias(key)).agg(F.collect_set("first_line").alias("__want"))
-    bodies = chunk_table((df if dealt_texts is None else dealt_texts).join(want, key), key, text, listed=True)
-    spread = bodies.join(dealt, ["key", "first_line"]).withColumn("salt", F.explode("salts")).drop("salts")
-    one = spread.filter("is_first").select("digest", "salt", F.col("body").alias("first_body"))
-    other = spread.filter("not is_first")
-    return other.join(one, ["digest", "salt"]).filter(F.col("body") == F.col("first_body")).select(F.col("key").alias(key), "first_line", "lines")
+    # A first occurrence goes to every salt, any other to one.
+    salts = F.when(F.col("chunk_head") | F.col("run_head"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", "first"), F.col("salts")).cast("int")))
+    some = judged.filter("chunk_head or run_head or chunk_other or run_other").withColumn("salts", salts)
+    pairs = F.struct("first", "last", "digest", "salts", "chunk_head", "run_head", "chunk_other", "run_other")
+    want = some.groupBy("row").agg(F.collect_list(pairs).alias("pairs"))
+    spread = _bodies(dealt_texts.join(want, "row")).withColumn("salt", F.explode("salts")).drop("salts")
+    gone = None
+    for k in ("chunk", "run"):
+        one = spread.filter(f"{k}_head").select("digest", "salt", F.col("body").alias("first_body"))
+        # A pair that is first in one way and not in the other is in all salts: one counts.
+        other = spread.filter(f"{k}_other").select("row", "first", "last", "digest", "salt", "body")
+        same = other.join(one, ["digest", "salt"]).filter(F.col("body") == F.col("first_body")).select("row", F.lit(k).alias("kind"), F.struct("first", "last").alias("pair"))
+        gone = same if gone is None else gone.unionByName(same)
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("pair"))))
+    return gone.groupBy("row").agg(of("chunk").alias("chunks"), of("run").alias("runs"))
+
+
+def _without(lines: list[str], spans: list[dict]) -> list[str]:
+    """The lines that no span (first, last; sorted) covers."""
+    out, at = [], 0
+    for s in spans:
+        if s["first"] > at:
+            out += lines[at : s["first"]]
+        at = max(at, s["last"] + 1)
+    return out + lines[at:]
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with ``text`` cleaned, and n_lines, removed_chunks, removed_lines, removed_spans (array of
-    (first_line, lines) in the original)."""
-    df = df.drop("n_lines", "removed_chunks", "removed_lines", "removed_spans")
-    spans = F.sort_array(F.collect_set(F.struct("first_line", "lines")))
-    # Both joins of the texts start from one exchange; rows without a key have nothing to join.
-    keyed = df.filter(F.col(key).isNotNull()).repartition(F.col(key))
-    gone = repeated(df.filter(F.col(key).isNotNull()), key, text, keyed).groupBy(key).agg(spans.alias("removed_spans"))
-    none = F.array().cast("array<struct<first_line:int,lines:int>>")
-    joined = keyed.join(gone, key, "left").unionByName(df.filter(F.col(key).isNull()), allowMissingColumns=True)
-    joined = joined.withColumn("removed_spans", F.coalesce("removed_spans", none))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(
-        lines, lambda x, i: ~F.exists("removed_spans", lambda s: (i >= s["first_line"]) & (i < s["first_line"] + s["lines"]))
-    )
-    total = F.aggregate("removed_spans", F.lit(0), lambda acc, s: acc + s["lines"])
-    n_lines = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1
-    return joined.withColumns(
-        {
-            "n_lines": F.coalesce(n_lines, F.lit(0)).cast("bigint"),
-            "removed_chunks": F.size("removed_spans").cast("bigint"),
-            "removed_lines": total.cast("bigint"),
-        }
-    ).withColumn(text, F.when(F.size("removed_spans") > 0, F.array_join(kept, "\n")).otherwise(F.col(text)))
+    """df with ``text`` cleaned of repeated chunks, and n_lines, removed_chunks, removed_lines,
+    removed_spans (array of (first_line, lines) in the original); text_without_runs, cleaned of all
+    repeated runs of two lines and more, and run_lines, the number of its lines that are gone."""
+    df = df.drop(*(c for c in OUTPUTS if c not in (key, text)))
+    names = [f"c{k}" for k in range(len(df.columns))]  # so that no name can clash
+    own = dict(zip(df.columns, names, strict=True))
+    held = written(df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]).withColumn(own[text], F.col(own[text]).cast("string")).withColumn("row", F.monotonically_increasing_id()))
+    rows = held.select("row", F.col(own[key]).alias("key"), F.coalesce(own[text], F.lit("")).alias("text"))
+    # Both joins of the texts start from one exchange.
+    dealt = held.repartition("row")
+    gone = repeated(rows, dealt.select("row", F.coalesce(own[text], F.lit("")).alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, own[text]):
+                texts, chunked, runs = (batch.column(c).to_pylist() for c in (own[text], "chunks", "runs"))
+                new, without, cols = [], [], [[] for _ in range(5)]
+                for t, c, r in zip(texts, chunked, runs, strict=True):
+                    lines = t.split("\n") if t is not None else []
+                    new.append("\n".join(_without(lines, c)) if c else t)
+                    rest = _without(lines, r) if r else lines
+                    without.append("\n".join(rest) if r else t)
+                    spans = [{"first_line": s["first"], "lines": s["last"] - s["first"] + 1} for s in c or []]
+                    for col, x in zip(cols, (len(lines), len(spans), sum(s["lines"] for s in spans), spans, len(lines) - len(rest)), strict=True):
+                        col.append(x)
+                spans = pa.array(cols[3], pa.list_(pa.struct([("first_line", pa.int32()), ("lines", pa.int32())])))
+                made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), spans, pa.array(cols[4], pa.int64()), pa.array(without, pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == own[text] else batch.column(n) for n in names] + made, [*names, *OUTPUTS])
+
+    kinds = (T.LongType(), T.LongType(), T.LongType(), _SPANS, T.LongType(), T.StringType())
+    schema = T.StructType([*(held.schema[n] for n in names), *(T.StructField(c, k) for c, k in zip(OUTPUTS, kinds, strict=True))])
+    out = dealt.join(gone, "row", "left").drop("row").mapInArrow(run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()], *OUTPUTS)
