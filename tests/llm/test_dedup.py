@@ -53,7 +53,7 @@ def test_exact_dedup_large_group_and_ties(spark):
 def test_exact_dedup_empty_and_repeated_rows(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.group_size, r.kept) for r in got) == [(1, 2, True), (1, 2, True), (2, 1, True)]
+    assert sorted((r.doc_id, r.group_size, r.kept) for r in got) == [(1, 2, False), (1, 2, True), (2, 1, True)]  # one of equal rows stays
 
 
 def brute_lines(rows):
@@ -209,7 +209,7 @@ def test_pipeline_keeps_null_and_shared_keys(spark):
     rows = [(None, base), (1, "a b"), (None, "a b"), (None, "c  d"), (3, "cd"), (5, "A"), (6, "A"), (5, "B"), (6, "B"), (7, base + " x"), (8, "q"), (8, "q")]
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     exact = pipe.drop_exact_copies(spark, docs, "")
-    want = [(None, base), (1, "a b"), (None, "c  d"), (5, "A"), (5, "B"), (7, base + " x"), (8, "q"), (8, "q")]
+    want = [(None, base), (1, "a b"), (None, "c  d"), (5, "A"), (5, "B"), (7, base + " x"), (8, "q")]
     assert sorted([(r.doc_id, r.text) for r in exact.collect()], key=str) == sorted(want, key=str)
     near = pipe.drop_near_copies(spark, exact, "")
     assert sorted([(r.doc_id, r.text) for r in near.collect()], key=str) == sorted(want[1:], key=str)
@@ -238,3 +238,72 @@ def test_jaccard_join_at_a_lower_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.97 * sum(v[1] for v in want.values())
     assert all(r.n_links <= want[r.doc_id][1] for r in got)
     assert jaccard_join.likely_for(0.99, 0.8) == 38 and jaccard_join.likely_for(0.99, 0.5) < 20
+
+
+def brute_runs(rows):
+    """Lines go if they lie in two neighbouring worded lines that occurred before."""
+    had, out = set(), {}
+    for k, t in sorted(rows, key=lambda r: r[0]):
+        if t is None:
+            out[k] = None
+            continue
+        lines, gone = t.split("\n"), set()
+        worded = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        for i, j in zip(worded, worded[1:]):
+            if (lines[i], lines[j]) in had:
+                gone |= {*range(i, j + 1)}
+            had.add((lines[i], lines[j]))
+        out[k] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_runs(spark):
+    rng = random.Random(11)
+    shared = [[f"passage {p} line {i} {rng.random()}" for i in range(n)] for p, n in enumerate((1, 2, 2, 3, 4, 6))]
+    rows = []
+    for k in range(80):
+        blocks = [[f"own {k} {rng.random()}"] for _ in range(rng.randint(1, 6))]
+        for p in rng.sample(shared, rng.randint(0, 3)):
+            blocks.insert(rng.randint(0, len(blocks)), p if k % 3 else [x for line in p for x in (line, "", " ")])
+        rows.append((k, "\n".join(x for b in blocks for x in b)))
+    rows += [(100, None), (101, ""), (102, "long\n" * 2000), (103, rows[7][1]), (104, "x\ny"), (105, "x\ny")]
+    got = line_dedup.line_dedup(extra(spark, rows)).collect()
+    want = brute_runs(rows)
+    assert {r.doc_id: r.text_without_runs for r in got} == want
+    sizes = {k: len(t.split("\n")) if t is not None else 0 for k, t in rows}
+    assert all(r.run_lines == sizes[r.doc_id] - (len(want[r.doc_id].split("\n")) if want[r.doc_id] else 0) for r in got if r.doc_id < 100)
+    late = [r for r in got if 5 < r.doc_id < 80]
+    assert not any(r.text_without_runs.count(f"passage {p} ") for r in late for p in (1, 2, 3, 4, 5) if r.doc_id > 40)
+
+
+def test_line_runs_on_documents(spark):
+    from treeline.llm.queries import QUERIES
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert {r.doc_id: r.text_without_runs for r in QUERIES["op1_line_dedup"](spark, SMALL).collect()} == brute_runs(docs)
+
+
+def test_line_dedup_shared_keys_and_names(spark):
+    """Rows that share a key keep their own unique lines; internal names may be columns of the input."""
+    passage = "\n".join(f"line {i} of all" for i in range(12))
+    unique = "\n".join(f"unique {i}" for i in range(12))
+    rows = [(1, passage), (2, passage), (2, unique), (None, passage), (None, unique + " more"), (3, "x"), (3, "x")]
+    df = spark.createDataFrame([(k, t, 1, "p", 5) for k, t in rows], "doc_id long, text string, row long, pairs string, `first` int").withColumn("__want", F_lit())
+    got = line_dedup.line_dedup(df).collect()
+    assert sorted(((r.doc_id, r.text_without_runs) for r in got), key=str) == sorted([(1, passage), (2, ""), (2, unique), (None, ""), (None, unique.replace("unique 11", "unique 11 more").split("\n")[11]), (3, "x"), (3, "x")], key=str)
+    assert [r.text for r in got if r.doc_id == 2 and r.text_without_runs] == [unique] and all(r["row"] == 1 and r["pairs"] == "p" for r in got)
+
+
+def F_lit():
+    from pyspark.sql import functions as F
+
+    return F.lit("w")
+
+
+def test_line_removal_is_linear(spark):
+    import time
+
+    text = "\n".join(f"{k} line" for k in range(100_000))
+    began = time.time()
+    got = line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert sorted(len(r.text_without_runs) for r in got) == [0, len(text)] and time.time() - began < 60

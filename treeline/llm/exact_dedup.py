@@ -3,8 +3,8 @@
 Texts are equal when identical without white space (space, tab, line feed, vertical tab, form feed,
 return).  Of equal texts the one with the most code points stays, then the smallest key, null last.
 
-1. Texts are cut into segments; a task hashes segment after segment and combines the hashes by
-   length-shifted arithmetic, so a huge text is never held twice.
+1. Huge texts are cut into segments, which tasks hash in parallel; the hashes of a text's segments are
+   combined by length-shifted arithmetic.  Texts of one segment are hashed where they are read.
 2. Rows of one fingerprint form a group; its keeper is found with map-side combining.
 3. Rows of groups of two or more are compared with their keeper byte by byte, chunk by chunk.  A
    group's rows are dealt to one salt per SALT_ROWS rows, to each of which the keeper's chunks are
@@ -13,10 +13,9 @@ return).  Of equal texts the one with the most code points stays, then the small
    left.
 
 Null text counts as empty; empty texts are equal to each other.  Rows are grouped and compared by
-a number of their own, not by key, so each is judged by its own text.  Rows that share key and text
-count as copies of one document: each is in the result and in group_size, and all are kept if one
-is.  A row without a key shares it with none; where it is the keeper, keep_id is null.  An empty
-table gives an empty result.  Only key and text are read, so other columns' names cannot clash.
+a number of their own, not by key, so each is judged by its own text.  One row of a group is kept: of
+rows that share key and text, any one.  Where a row without a key is the keeper, keep_id is null.  An
+empty table gives an empty result.  Only key and text are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -39,46 +38,64 @@ def _plain(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select("row", F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def _hashed(rows: DataFrame, moduli: tuple[int, ...], sha: bool) -> DataFrame:
+    """rows (row, ..., text) with length, hashes and, if asked for, the digest of the normalised text
+    in place of text."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[list] = [[], [], []]
+            texts = batch.column("text").cast(pa.binary())
+            for k in range(batch.num_rows):
+                data = texts[k].as_py().translate(None, WHITE)
+                of = fp.of(data, moduli)
+                for col, x in zip(made, (of.length, of.hashes, hashlib.sha256(data).hexdigest() if sha else None), strict=True):
+                    col.append(x)
+            cols = [pa.array(made[0], pa.int64()), pa.array(made[1], pa.list_(pa.int64())), pa.array(made[2], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], [*names, "length", "hashes", "text_sha256"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(run, f"{kinds}, length bigint, hashes array<bigint>, text_sha256 string")
+
+
 def fingerprints(plain: DataFrame, moduli: tuple[int, ...] = fp.MODULI, segment: int = SEGMENT) -> DataFrame:
     """Rows (row, key, chars, print, text_sha256) of (row, key, text): print is the fingerprint as
     text, text_sha256 the digest of the normalised text."""
-    kind = plain.schema["key"].dataType.simpleString()
-    count = F.greatest(F.ceil(F.length("text") / segment), F.lit(1)).cast("int")
-    cut = plain.select("row", "key", F.length("text").alias("chars"), "text", count.alias("count"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seg")).select(
-        "row", "key", "chars", "count", "seg", F.when(F.col("count") == 1, F.col("text")).otherwise(F.substring("text", F.col("seg") * segment + 1, F.lit(segment))).alias("piece")
-    )
+    sized = plain.withColumn("chars", F.length("text"))
+    printed = F.concat_ws(".", F.col("length").cast("string"), F.col("hashes").cast("array<string>")).alias("print")
+    short = _hashed(sized.filter(F.col("chars") <= segment), moduli, True).select("row", "key", "chars", printed, "text_sha256")
+    long = sized.filter(F.col("chars") > segment)
+    seg = F.explode(F.sequence(F.lit(0), F.ceil(F.col("chars") / segment).cast("int") - 1)).alias("seg")
+    pieces = long.select("row", "text", seg).select("row", "seg", F.substring("text", F.col("seg") * segment + 1, F.lit(segment)).alias("text"))
+    hashed = _hashed(pieces.repartition("row", "seg"), moduli, False).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("seg", "length", "hashes"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        so_far, sha = fp.Print(0, ()), hashlib.sha256()
         for batch in batches:
-            rows, prints, digests = [], [], []
-            last = zip(batch.column("seg").to_pylist(), batch.column("count").to_pylist(), strict=True)
-            pieces = batch.column("piece").cast(pa.binary())
-            for k, (seg, n) in enumerate(last):
-                data = pieces[k].as_py().translate(None, WHITE)
-                if seg == 0:
-                    so_far, sha = fp.of(data, moduli), hashlib.sha256(data)
-                else:
-                    so_far = so_far.then(fp.of(data, moduli), moduli)
-                    sha.update(data)
-                if seg == n - 1:
-                    rows.append(k)
-                    prints.append(".".join(f"{x:x}" for x in (so_far.length, *so_far.hashes)))
-                    digests.append(sha.hexdigest())
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("row", "key", "chars")), pa.array(prints, pa.string()), pa.array(digests, pa.string())],
-                ["row", "key", "chars", "print", "text_sha256"],
-            )
-
-    return cut.mapInArrow(run, f"row bigint, key {kind}, chars int, print string, text_sha256 string")
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                whole = fp.Print(0, (0,) * len(moduli))
+                for p in parts:
+                    whole = whole.then(fp.Print(p["length"], tuple(p["hashes"])), moduli)
+                out.append(".".join(map(str, (whole.length, *whole.hashes))))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "print"])
+
+    joined = hashed.mapInArrow(run, "row bigint, print string")
+    # The digest isn't composable: it is worked out in one go.
+    sha = F.sha2(F.regexp_replace("text", r"[\x20\x09-\x0D]", "").cast("binary"), 256).alias("text_sha256")
+    return short.unionByName(long.select("row", "key", "chars", sha).join(joined, "row").select(short.columns))
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    """rows (row, key, chars, print) with keep_row, keep_id (its key) and group_size."""
+    """rows (row, key, chars, print) with keep_row, keep_id (its key) and group_size.
+
+    Only groups of two or more are joined, from a table of their own, so a large one can be split."""
     first = F.min(F.struct(-F.col("chars"), F.col("key").isNull(), F.col("key"), F.col("row")))
-    per = rows.groupBy("print").agg(F.count("*").alias("group_size"), first.alias("first"))
-    return rows.join(per.select("print", "group_size", F.col("first.row").alias("keep_row"), F.col("first.key").alias("keep_id")), "print")
+    per = rows.groupBy("print").agg(F.count("*").alias("group_size"), first.alias("first")).filter("group_size > 1")
+    many = written(per.select("print", "group_size", F.col("first.row").alias("keep_row"), F.col("first.key").alias("first_key")))
+    keep_id = F.when(F.col("keep_row").isNull(), F.col("key")).otherwise(F.col("first_key"))
+    joined = rows.join(many, "print", "left").withColumn("keep_id", keep_id).drop("first_key")
+    return joined.withColumns({"keep_row": F.coalesce("keep_row", "row"), "group_size": F.coalesce("group_size", F.lit(1).cast("bigint"))})
 
 
 def _compared(plain: DataFrame, pairs: DataFrame, chunk: int) -> DataFrame:
@@ -142,7 +159,7 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text", moduli: tuple
         new = {c: F.when(F.col("own").isNull(), F.col(c)).otherwise(F.col("own")[c]) for c in ("keep_row", "keep_id")}
         moved = grouped.join(own, "row", "left").withColumns(new).drop("own", "group_size")
         grouped = moved.join(moved.groupBy("keep_row").agg(F.count("*").alias("group_size")), "keep_row")
-    kept = (F.col("row") == F.col("keep_row")) | F.coalesce(F.col("key") == F.col("keep_id"), F.lit(False))
+    kept = F.col("row") == F.col("keep_row")
     return grouped.select("row", F.col("key").alias(key), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
