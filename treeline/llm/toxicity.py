@@ -6,8 +6,9 @@ power of the span, spans up to SPAN) and of five (one gap at most), normalised;
 kernel of two sentences is the sum over their distinct words.  Single characters in a row
 ("i d i o t") also count as the word they spell.
 
-Training, on a bounded sample of labelled documents (``fit_rows`` of them, those with the smallest
-hash of their key): sentences of clean documents are negative; of toxic documents those are positive
+Training, on a bounded sample of labelled documents (``fit_rows`` of them at most, those with the
+smallest hash of their key, as far as ``fit_chars`` characters go; of rows that share a key one), from
+which ``landmarks`` and ``clean_sentences`` bound what the machine is made of: sentences of clean documents are negative; of toxic documents those are positive
 that hold a word typical of them, by log odds over documents.  Landmarks are the typical words and
 frequent ones.  Sentences are mapped to the landmarks' kernel space (Nyström), a linear machine with
 squared hinge loss is fitted, the clean sentences that it scores highest are added and it is fitted
@@ -31,16 +32,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.bpe import slices
 
 DECAY, SPAN, LONG = 0.6, 6, 24
 FIVE_WEIGHT = 0.3  # of five characters in a row, against DECAY ** 3 of three
-FIT_ROWS = 5000  # labelled documents that the machine is fitted on, at most
+FIT_ROWS, FIT_CHARS = 5000, 100_000_000  # of labelled documents that the machine is fitted on, at most
 TYPICAL, FREQUENT = 300, 100  # landmarks
-CLEAN_SENTENCES = 3000
+CLEAN_SENTENCES = 3000  # of each round
 CACHE_WORDS = 200_000
 TOP = 3
 
@@ -194,7 +195,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], toxic: list[int]) -> Machine:
+def fit(texts: list[str], toxic: list[int], landmarks: tuple[int, int] = (TYPICAL, FREQUENT), clean_sentences: int = CLEAN_SENTENCES) -> Machine:
     # Words are interned: the lists of a document's sentences then hold references alone.
     docs = [[[sys.intern(w) for w in s] for s in sentences(t)] for t in texts]
     label = np.array(toxic, int)
@@ -214,13 +215,13 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
         (tox if y else clean).update({w for s in d for w in s})
     odds = {w: math.log((n + 0.5) / (n_tox + 1)) - math.log((clean[w] + 0.5) / (n_clean + 1)) for w, n in tox.items() if n >= 3}
     typical = {w for w in odds if odds[w] > 2}
-    marks = sorted(typical, key=lambda w: (-odds[w] * math.sqrt(tox[w]), w))[:TYPICAL]
+    marks = sorted(typical, key=lambda w: (-odds[w] * math.sqrt(tox[w]), w))[: landmarks[0]]
     if not marks:
         return none
-    marks += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: FREQUENT] if w not in typical]
+    marks += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: landmarks[1]] if w not in typical]
     positive = [s for d, y in zip(plain, toxic, strict=True) if y for s in d if typical.intersection(s)]
     negative = [s for d, y in zip(plain, toxic, strict=True) if not y for s in d]
-    some = min(len(negative), CLEAN_SENTENCES)
+    some = min(len(negative), clean_sentences)
     chosen = [negative[k * len(negative) // some] for k in range(some)]  # spread over all of them
     k_mm = kernel(marks, marks).astype("f8")
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
@@ -248,18 +249,30 @@ def fit(texts: list[str], toxic: list[int]) -> Machine:
                 score_of.update(zip(every[k : k + 4000], machine.words(every[k : k + 4000]), strict=True))
             del every
             order = sorted(range(len(negative)), key=lambda k: -sum(map(score_of.__getitem__, dict.fromkeys(negative[k]))))
-            chosen = chosen + [negative[k] for k in order[:CLEAN_SENTENCES]]
+            chosen = chosen + [negative[k] for k in order[:clean_sentences]]
     curve = _logistic(np.concatenate([machine.tops(docs[k : k + 200]) for k in range(0, len(docs), 200)]), label)
     machine.curve = curve
     machine.cache.clear()
     return machine
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Machine:
-    """Fits on at most fit_rows rows of docs (key, text) with labels (key, label in 0, 1).
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    fit_rows: int = FIT_ROWS,
+    fit_chars: int = FIT_CHARS,
+    landmarks: tuple[int, int] = (TYPICAL, FREQUENT),
+    clean_sentences: int = CLEAN_SENTENCES,
+) -> Machine:
+    """Fits on at most fit_rows rows of docs (key, text) with labels (key, label in 0, 1), and
+    fit_chars characters of text.
 
     All sentences of toxic rows with a typical word are learned from, and of those of clean rows
-    CLEAN_SENTENCES spread over all and as many that look worst.
+    clean_sentences spread over all and as many that look worst.  landmarks: typical words, frequent
+    words.
 
     The sample is drawn from the labels, so at most fit_rows keys are sent to find its texts, and
     one task fits the machine; only the machine comes to the driver."""
@@ -267,13 +280,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("key", "text", "label")), strict=True)]
         rows.sort(key=lambda r: (str(r[0]), r[1], r[2]))  # the same machine from any order of rows
-        m = fit([r[1] for r in rows], [r[2] for r in rows])
+        m = fit([r[1] for r in rows], [r[2] for r in rows], landmarks, clean_sentences)
         cols = [[m.weight.tobytes()], [m.offset], [m.curve.astype("f8").tobytes()], [m.share]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.float64(), pa.binary(), pa.float64()), strict=True)], ["weight", "offset", "curve", "share"])
 
-    drawn = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
+    own = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.col(label).cast("int")).alias("label"))
+    drawn = own.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(drawn), "key").limit(fit_rows).select("key", "text", "label")
+    one = texts.join(F.broadcast(drawn), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("key"), "key"))  # of fit_rows rows at most
+    sample = one.withColumn("so_far", so_far).filter(F.col("so_far") <= fit_chars).select("key", "text", "label")
     row = sample.repartition(1).mapInArrow(run, "weight binary, offset double, curve binary, share double").first()
     return Machine(np.frombuffer(row["weight"], "f4"), row["offset"], np.frombuffer(row["curve"], "f8"), row["share"])
 
