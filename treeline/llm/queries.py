@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from treeline.llm import bpe, chat, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, suffix_tree, toxicity
 from treeline.llm.common import crc_mod, table, written
 
-#: Production key of the pseudonyms; a deployment passes its own secret.
-PII_KEY = "treeline-pseudonym-key-1"
+#: Names the secret key of the pseudonyms; STAND_IN serves the driver's tables, which have no secrets.
+PII_CONF = "spark.treeline.pii.key"
+STAND_IN = "no secret"
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_CONF, STAND_IN)
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.line_dedup(docs).select("doc_id", "text", "n_lines", "removed_chunks", "removed_lines", "removed_spans")
+    return line_dedup.line_dedup(docs)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def _count_of(kind: str) -> Column:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY).select(
+    return pii.pseudonymise(docs, pii_key(spark)).select(
         "doc_id",
         "text",
         F.size("_pii").cast("bigint").alias("n_replaced"),
