@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and gives documents with the columns of `
 last gives packed pieces.  Every stage's result is written as Parquet in the shared folder and read
 again, so a lost executor never reaches back beyond its stage.  Null text counts as empty, except
 that pseudonyms leave it null.  Every row is judged by its own text, whatever its doc_id, which may be
-null or shared; rows that share doc_id and text are judged alike.
+null or shared; of rows that share doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import exact_dedup, jaccard_join, packing, pii, toxicity
 from treeline.llm.common import numbered, table, written
-from treeline.llm.queries import PII_KEY
+from treeline.llm.queries import pii_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOXIC_FROM = 0.7
@@ -47,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced within its format; n_chars follows the new text."""
-    return pii.pseudonymise(docs.select(*COLUMNS), PII_KEY).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return pii.pseudonymise(docs.select(*COLUMNS), pii_key(spark)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
