@@ -7,16 +7,24 @@ fewer).  Texts with equal sets form one class, whose smallest key represents it.
    FIRST / size it chooses FIRST on average.  A chosen token is a node; sets that share it meet there.
 2. A node of more than BUCKET sets is split: its sets choose again, FURTHER tokens on average, by a
    hash of path and token, level by level.  Similar sets stay together, others part.
-3. Nodes of up to BUCKET sets are brute-forced; so are those that are larger still at the last level
-   (many sets that are all alike), in pairs of blocks of BLOCK sets, so that no task gets a whole one.
-   Nodes with the same sets are treated once.  In small ones a sketch of 64 minima first drops sets
-   without a likely partner; then the true sets are fetched, and similarity is exact.
-4. A pair is counted in the smallest of the nodes that it shares, so counts need no list of pairs;
+3. A node whose sets are alike can't be split.  It is known by its sets' likeness to PIVOTS of them
+   (DENSE on average, by sketches) before it is; dense nodes that share a set are united, and each
+   union is brute-forced once, instead of each node at each level.
+4. Nodes of up to BUCKET sets are brute-forced.  A sketch of 64 minima first drops sets without a
+   likely partner outside their union; then the true sets are fetched, and similarity is exact.  What
+   is larger (unions; nodes that are large still at the last level) is cut into blocks of BLOCK sets
+   and BLOCK_TOKENS tokens on average, and each pair of blocks is a task's group.
+5. A pair is counted in the smallest of the nodes that it shares, so counts need no list of pairs;
    links leave a task as one edge per set and node.  Components give the class ids.
 
 The number of runs follows from ``recall``: a pair at the threshold survives a run with probability
-at least q, by the recursion q = 1 - exp(-choices * q) over all levels, so runs = log(1 - recall) /
-log(1 - q).  That is the worst case; pairs that part from others early are found with more.
+at least q, by the recursion q = 1 - exp(-choices * q) over all levels.  That is the worst case: a
+pair that meets in a node that isn't split is found at once, and a few runs are enough for it.  So
+all sets take part in the first ``base`` runs, which a pair shares no node of with a probability of
+exp(-base * FIRST * threshold), a quarter of what recall gives up; sets with a node to be split take
+part in all runs.
+
+A union of n sets takes n * n overlaps (products of 0/1 matrices in tasks) and n * n / BLOCK rows.
 
 Null text counts as empty.  A text without words has no shingles: it is a class of its own without
 links.  Rows are joined by a number of their own, not by key, so each has its own text's links; null
@@ -40,7 +48,8 @@ from treeline.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.99
 FIRST, FURTHER, LEVELS = 2.5, 1.4, 5
-BUCKET, BLOCK = 256, 1024
+BUCKET, BLOCK, BLOCK_TOKENS = 256, 2048, 2_000_000
+PIVOTS, DENSE = 8, 0.5
 PRESELECT = 1 << 20
 FEW = 24
 SKETCH = 64
@@ -87,9 +96,9 @@ def _below(size: int, choices: float) -> np.uint64:
     return np.uint64(min(int(choices / size * 2.0**64), 2**64 - 1))
 
 
-def first_paths(tokens: np.ndarray, runs: int) -> np.ndarray:
-    out = [h[h < _below(len(tokens), FIRST)] for h in (mix(tokens ^ _SEEDS[r]) for r in range(runs))]
-    return mix(np.concatenate([h + _SEEDS[r] for r, h in enumerate(out)]))
+def first_paths(tokens: np.ndarray, runs: range) -> np.ndarray:
+    out = [h[h < _below(len(tokens), FIRST)] + _SEEDS[r] for r, h in ((r, mix(tokens ^ _SEEDS[r])) for r in runs)]
+    return mix(np.concatenate([*out, np.zeros(0, "u8")]))
 
 
 def further_paths(path: int, tokens: np.ndarray) -> np.ndarray:
@@ -105,13 +114,14 @@ def sketch(tokens: np.ndarray) -> bytes:
     return (least & np.uint64(255)).astype("u1").tobytes()
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs for a pair at the threshold, the smaller set within the larger (the worst case)."""
+def runs_for(recall: float, threshold: float) -> tuple[int, int]:
+    """(base, runs) for a pair at the threshold, the smaller set within the larger (the worst case)."""
     q = 1.0
     for _ in range(LEVELS - 1):
         q = 1 - math.exp(-FURTHER * threshold * q)
     q = 1 - math.exp(-FIRST * threshold * q)
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+    base = math.ceil(-math.log((1 - recall) / 4) / (FIRST * threshold))
+    return base, max(base, math.ceil(math.log(0.75 * (1 - recall)) / math.log(1 - q)))
 
 
 def likely_for(recall: float, threshold: float) -> int:
@@ -125,7 +135,8 @@ def likely_for(recall: float, threshold: float) -> int:
     return SKETCH
 
 
-def _signatures(df: DataFrame, size: int, runs: int) -> DataFrame:
+def _signatures(df: DataFrame, size: int, base: int, runs: int) -> DataFrame:
+    """paths: nodes of the first base runs; more: those of the others."""
     kind = df.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,19 +145,27 @@ def _signatures(df: DataFrame, size: int, runs: int) -> DataFrame:
         shingles = Shingler(size)
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
-                digest, n, marks, paths = [], [], [], []
+                digest, n, marks, paths, more = [], [], [], [], []
                 for t in batch.column("text").cast(pa.binary()).to_pylist():
                     tokens = shingles(t)
                     digest.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     n.append(len(tokens))
                     marks.append(sketch(tokens) if len(tokens) else None)
-                    paths.append(first_paths(tokens, runs).astype("i8") if len(tokens) else np.zeros(0, "i8"))
+                    paths.append(first_paths(tokens, range(base if len(tokens) else 0)).astype("i8"))
+                    more.append(first_paths(tokens, range(base, runs if len(tokens) else base)).astype("i8"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("key"), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                    ["row", "key", "digest", "n", "sketch", "paths"],
+                    [
+                        batch.column("row"),
+                        batch.column("key"),
+                        pa.array(digest, pa.binary()),
+                        pa.array(n, pa.int32()),
+                        pa.array(marks, pa.binary()),
+                        *(pa.array(x, pa.list_(pa.int64())) for x in (paths, more)),
+                    ],
+                    ["row", "key", "digest", "n", "sketch", "paths", "more"],
                 )
 
-    return df.mapInArrow(run, f"row bigint, key {kind}, digest binary, n int, sketch binary, paths array<bigint>")
+    return df.mapInArrow(run, f"row bigint, key {kind}, digest binary, n int, sketch binary, paths array<bigint>, more array<bigint>")
 
 
 def _sets(df: DataFrame, size: int) -> DataFrame:
@@ -215,14 +234,38 @@ def _grouped(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Recor
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def _dense(large: DataFrame, info: DataFrame) -> DataFrame:
+    """The paths of those nodes whose sets are, on average, DENSE similar to PIVOTS of them."""
+    marked = large.select("path", "rep").join(info.select("rep", "sketch"), "rep").select("path", "rep", "sketch")
+    drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("at"), "sketch"))["sketch"] for k in range(PIVOTS)]
+    pivots = marked.groupBy("path").agg(F.concat(*drawn).alias("pivots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(batch.num_rows, -1, SKETCH) for c in ("sketch", "pivots"))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array((mark == pivot).mean(axis=(1, 2)))], ["path", "alike"])
+
+    alike = marked.join(pivots, "path").select("path", "sketch", "pivots").mapInArrow(run, "path bigint, alike double")
+    return alike.groupBy("path").agg(F.avg("alike").alias("alike")).filter(F.col("alike") >= DENSE).select("path")
+
+
+def _united(dense: DataFrame) -> DataFrame:
+    """Rows (path, rep) of the unions of nodes that share a set; a union's path is negative."""
+    apart = F.col("path").bitwiseOR(F.lit(-(1 << 63)))  # rows' numbers aren't negative
+    joined = components(dense.select(apart.alias("u"), F.col("rep").alias("v")))
+    return joined.filter("node >= 0").select(F.col("root").alias("path"), F.col("node").alias("rep"))
+
+
 def _likely(threshold: float, least: int) -> Callable[[pa.Table], pa.RecordBatch | None]:
-    """The sets of a small node that have a likely partner: ``least`` equal minima."""
+    """The sets of a small node that have a likely partner, ``least`` equal minima, that isn't in the
+    same union (home)."""
 
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        n = group["n"].to_numpy()
+        n, home = group["n"].to_numpy(), group["home"].fill_null(0).to_numpy()
         marks = np.frombuffer(b"".join(group["sketch"].to_pylist()), "u1").reshape(len(n), SKETCH)
         equal = (marks[:, None, :] == marks[None, :, :]).sum(axis=2)
         ok = (equal >= least) & (np.minimum.outer(n, n) >= threshold * 0.999 * np.maximum.outer(n, n))
+        ok &= (home[:, None] != home) | (home == 0)
         np.fill_diagonal(ok, False)
         rows = np.flatnonzero(ok.any(axis=1))
         kept = group.select(["path", "rep"]).take(pa.array(rows))
@@ -265,49 +308,45 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n places the smallest place that the pairs (a, b) connect it with."""
+    low = np.arange(n)
+    while True:
+        before, both = low.copy(), np.minimum(low[a], low[b])
+        np.minimum.at(low, low[a], both)
+        np.minimum.at(low, low[b], both)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
 def _verify(threshold: float) -> Callable[[pa.Table], pa.RecordBatch | None]:
     def work(group: pa.Table) -> pa.RecordBatch | None:
-        reps, block, copies = group["rep"].to_pylist(), group["block"].to_numpy(), group["copies"].to_numpy()
         i, j, path = group["i"][0].as_py(), group["j"][0].as_py(), group["path"][0].as_py()
-        sets = [np.frombuffer(t, "u8") for t in group["tokens"].to_pylist()]
-        size = np.array([len(s) for s in sets])
+        group = group.take(np.argsort(group["rep"].to_numpy()))  # the smallest place is the smallest number
+        block, copies = group["block"].to_numpy(), group["copies"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
             return None
+        sets = [np.frombuffer(t, "u8") for t in group["tokens"].to_pylist()]
+        size = np.array([len(s) for s in sets], "f4")
         both = overlaps(sets, left, right)
-        union = size[left][:, None] + size[right][None, :] - both
-        hit = both >= threshold * union - 1e-6
+        hit = both >= threshold * (size[left][:, None] + size[right] - both) - 1e-3
         if i == j:
             hit = np.triu(hit, 1)
         a, b = np.nonzero(hit)
         if not len(a):
             return None
+        # A pair is counted in one of the shared nodes only, the smallest.
+        before = [np.array([q for q in nodes if q < path], "i8") for nodes in group["nodes"].to_pylist()]
+        hit &= overlaps(before, left, right) < 0.5
+        links = np.zeros(len(sets), "i8")
+        links[left] += hit @ copies[right]
+        links[right] += hit.T @ copies[left]
         a, b = left[a], right[b]
-        nodes = [set(x) for x in group["nodes"].to_pylist()]
-        links, root = np.zeros(len(reps), "i8"), {k: k for k in {*a.tolist(), *b.tolist()}}
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = k = root[root[k]]
-            return k
-
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if min(nodes[x] & nodes[y]) == path:  # counted in one of the shared nodes only
-                links[x] += copies[y]
-                links[y] += copies[x]
-            x, y = find(x), find(y)
-            if x != y:
-                low, high = (x, y) if reps[x] < reps[y] else (y, x)
-                root[high] = low
-        rows = sorted(root)
-        return pa.RecordBatch.from_arrays(
-            [
-                group["rep"].take(pa.array(rows)).combine_chunks(),
-                pa.array([int(links[k]) for k in rows], pa.int64()),
-                group["rep"].take(pa.array([find(k) for k in rows])).combine_chunks(),
-            ],
-            ["rep", "links", "root"],
-        )
+        rows, root = np.unique(np.concatenate([a, b])), _least(len(sets), a, b)
+        rep = group["rep"].combine_chunks()
+        return pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.array(links[rows]), rep.take(pa.array(root[rows]))], ["rep", "links", "root"])
 
     return work
 
@@ -336,42 +375,67 @@ def _sizes(nodes: DataFrame) -> DataFrame:
 def judged(
     df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, size: int = SHINGLE, bucket: int = BUCKET, block: int = BLOCK
 ) -> DataFrame:
-    """Rows (row, key, class_id, copy_id, n_links, kept) of a numbered table.  kept: the row whose key
-    is class_id, and rows with the same key and an equal set."""
+    """Rows (row, key, class_id, copy_id, n_links, kept) of a numbered table.  kept: of each
+    class one row, whose key is class_id."""
     plain = df.select("row", F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    signed = written(_signatures(plain, size, runs_for(recall, threshold)))
+    base, runs = runs_for(recall, threshold)
+    signed = written(_signatures(plain, size, base, runs))
     per = signed.filter("digest is not null").groupBy("digest", "n").agg(
-        F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")
+        F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("first"),
+        F.count("*").alias("copies"),
+        *[F.first(c).alias(c) for c in ("sketch", "paths", "more")],
     )
     classes = written(per.withColumns({"rep": F.col("first.row"), "copy_id": F.col("first.key")}).drop("first"))
     info = classes.select("rep", "n", "copies", "sketch")
-    nodes = classes.select(F.explode(F.array_distinct("paths")).alias("path"), "rep")
-    leaves, level = [], 1
-    while True:
+    leaves, dense = [], []
+
+    def split(nodes: DataFrame) -> DataFrame:
+        """Those rows (path, rep) of nodes that are to be split; others go to leaves and dense."""
         sized = written(nodes.join(_sizes(nodes), "path"))
-        small = sized.filter(F.col("size") <= bucket)
-        leaves.append(small if level < LEVELS else sized)
+        leaves.append(sized.filter(F.col("size") <= bucket))
         large = sized.filter(F.col("size") > bucket)
-        if level == LEVELS or large.isEmpty():
-            break
-        if level == 1:
-            sets = written(_sets(_texts_of(plain, large), size))
-        held = large.groupBy("rep").agg(F.collect_list("path").alias("paths")).join(sets, "rep")
-        nodes = written(_split(held))
-        level += 1
+        if large.isEmpty():
+            return large
+        alike = written(_dense(large, info))
+        dense.append(large.join(alike, "path", "left_semi"))
+        return large.join(alike, "path", "left_anti")
+
+    def nodes_of(sets: DataFrame, paths: str) -> DataFrame:
+        return sets.select(F.explode(F.array_distinct(paths)).alias("path"), "rep")
+
+    large = split(nodes_of(classes, "paths"))
+    if not large.isEmpty():
+        large = large.unionByName(split(nodes_of(classes.join(large.select("rep").distinct(), "rep", "left_semi"), "more")))
+        sets = written(_sets(_texts_of(plain, large), size))
+        for _ in range(LEVELS - 1):
+            held = large.groupBy("rep").agg(F.collect_list("path").alias("paths")).join(sets, "rep")
+            large = split(written(_split(held)))
+            if large.isEmpty():
+                break
+    leaves.append(large)
+    united = None
+    for more in dense:
+        united = more if united is None else united.unionByName(more)
+    if united is None or united.isEmpty():
+        united = large.limit(0).select("path", "rep")
+    else:
+        united = written(_united(united))
     found = leaves[0]
     for more in leaves[1:]:
         found = found.unionByName(more)
-    found = written(_distinct_nodes(found).join(info, "rep"))
-    likely = _grouped(found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch"), ["path"], _likely(threshold, likely_for(recall, threshold)), "path bigint, rep bigint")
-    left = written(_distinct_nodes(written(likely.unionByName(found.filter(F.col("size") > bucket).select("path", "rep")))))
-    sizes = _sizes(left)
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    homes = united.select("rep", F.col("path").alias("home"))
+    found = written(_distinct_nodes(found).join(info, "rep").join(homes, "rep", "left"))
+    likely = _grouped(
+        found.filter(F.col("size") <= bucket).select("path", "rep", "n", "sketch", "home"), ["path"], _likely(threshold, likely_for(recall, threshold)), "path bigint, rep bigint"
+    )
+    left = written(_distinct_nodes(written(likely.unionByName(found.filter(F.col("size") > bucket).select("path", "rep")).unionByName(united))))
+    weighed = left.join(info.select("rep", "n"), "rep").groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).filter("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
     own = F.pmod(F.xxhash64("rep", "path"), blocks).cast("int")
     inside = left.groupBy("rep").agg(F.collect_list("path").alias("nodes"))
     fetched = written(_sets(_texts_of(plain, inside), size).join(inside, "rep").join(info.select("rep", "copies"), "rep"))
     dealt = (
-        left.join(sizes, "path")
+        left.join(weighed, "path")
         .select("path", "rep", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("path", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
@@ -392,14 +456,13 @@ def judged(
     copy_id = F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.col("copy_id"))
     class_id = F.when(F.col("keep_rep").isNull(), copy_id).otherwise(F.col("linked_id"))
     first = F.col("row") == F.coalesce("keep_rep", "rep", "row")
-    alike = (F.col("key") == class_id) & (F.col("rep") == F.coalesce("keep_rep", "rep"))
     return signed.select("row", "key", "digest", "n").join(whole, ["digest", "n"], "left").select(
         "row",
         F.col("key").alias(key),
         class_id.alias("class_id"),
         copy_id.alias("copy_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("bigint").alias("n_links"),
-        (first | F.coalesce(alike, F.lit(False))).alias("kept"),
+        first.alias("kept"),
     )
 
 
