@@ -23,84 +23,147 @@ import base64
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units a worker's cache holds; beyond, the KEEP_UNITS that came first (the frequent ones) stay.
-CACHE_UNITS = 600_000
-KEEP_UNITS = 300_000
+#: Units a worker's cache holds, and their bytes; beyond, the KEEP part that came first (the frequent
+#: ones) stays.
+CACHE_UNITS, CACHE_BYTES, KEEP = 600_000, 64_000_000, 0.5
 CACHE_PAIRS = 200_000
 
 _CUT = re.compile(r"(?<=\S)([ \n])(?=\S)")
+#: White space other than single spaces and line feeds between words.
+_ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 _TAIL = ".,!?;:$%&*#"
+_BEFORE_TAIL = r"(?s)\A.*[^.,!?;:$%&*#]"
+
+
+def ragged(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of data that codes number, one after the other, and their sizes."""
+    each = sizes[codes]
+    ends = np.cumsum(each)
+    at = np.repeat(starts[codes] - (ends - each), each)
+    at += np.arange(len(at))
+    return data[at], each
+
+
+def pool(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
 
 
 class UnitCache:
-    """ids of whole texts by units; ``encode_units`` gives the ids of units not seen yet.
+    """ids of whole texts by units, each worked out once for a batch of texts.
 
-    Ids are kept as little-endian unsigned 32-bit bytes.  On a miss, punctuation after a letter is
-    cut off first: there, too, a match of the pattern ends anyway."""
+    A unit is what stands between spaces and line feeds, with the one before it.  Punctuation after
+    a letter is cut off: there, too, a match of the pattern ends anyway.  ``encode_units`` gives the
+    ids (little-endian unsigned 32-bit bytes) of units, which are kept; ``encode_words``, where given,
+    those of words of letters, perhaps after a space, joined by line feeds, which are not."""
 
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], limit: int = CACHE_UNITS):
-        self.encode_units, self.limit = encode_units, limit
-        self.bare: dict[str, bytes] = {}  # unit as it is
-        self.spaced: dict[str, bytes] = {}  # unit after a space, which belongs to it
+    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], limit: int = CACHE_UNITS, encode_words: Callable[[str], np.ndarray] | None = None):
+        self.encode_units, self.limit, self.encode_words = encode_units, limit, encode_words
+        self.known: dict[str, bytes] = {}
+        self.weight = 0  # bytes of units and ids, about
         self.line = encode_units(["\n"])[0]
-
-    def _fill(self, cache: dict[str, bytes], parts: set[str], lead: str) -> None:
-        heads: dict[str, tuple[str, str]] = {}
-        for p in parts.difference(cache):
-            head = p.rstrip(_TAIL)
-            heads[p] = (head, p[len(head) :]) if head and head[-1].isalpha() else (p, "")
-        new = [*{h for h, _ in heads.values()}.difference(cache)]
-        cache.update(zip(new, self.encode_units([lead + h for h in new]), strict=True))
-        tails = [*{t for _, t in heads.values() if t}.difference(self.bare)]
-        self.bare.update(zip(tails, self.encode_units(tails), strict=True))
-        for p, (h, t) in heads.items():
-            if t:
-                cache[p] = cache[h] + self.bare[t]
+        self.feed = np.frombuffer(self.line, "<u4")
+
+    def _trim(self) -> None:
+        if len(self.known) > self.limit or self.weight > CACHE_BYTES:
+            kept, left, most = {}, int(CACHE_BYTES * KEEP), int(self.limit * KEEP)
+            for unit, ids in self.known.items():
+                left -= len(unit) + len(ids)
+                if left < 0 or len(kept) >= most:
+                    break
+                kept[unit] = ids
+            self.known, self.weight = kept, int(CACHE_BYTES * KEEP) - max(left, 0)
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        self._trim()
+        got = [*map(self.known.get, units)]
+        new = [u for u, i in zip(units, got, strict=True) if i is None]
+        if not new:
+            return got
+        made = dict(zip(new, self.encode_units(new), strict=True))
+        self.known |= made
+        self.weight += sum(map(len, new)) + sum(map(len, made.values()))
+        return [*map(self.known.__getitem__, units)]
+
+    def _odd(self, text: str) -> bytes:
+        bits = _CUT.split(text)
+        units = [bits[0], *(" " + b if sep == " " else b for sep, b in zip(bits[1::2], bits[2::2], strict=True))]
+        ids = self._ids(units)
+        return ids[0] + b"".join(i if sep == " " else self.line + i for sep, i in zip(bits[1::2], ids[1:], strict=True))
+
+    def _pooled(self, keys: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all keys (different strings; plain: words of letters), and how many each has."""
+        if self.encode_words is None or not plain.any():
+            return pool(self._ids(keys.to_numpy(zero_copy_only=False).tolist()))
+        ids = self.encode_words("\n".join(keys.filter(pa.array(plain)).to_numpy(zero_copy_only=False).tolist()))
+        feeds = np.flatnonzero(ids == self.feed[0])
+        words = np.diff(np.r_[-1, feeds, len(ids)]) - 1
+        rest, others = pool(self._ids(keys.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist()))
+        sizes = np.empty(len(keys), "i8")
+        sizes[plain], sizes[~plain] = words, others
+        starts = np.empty(len(keys), "i8")
+        starts[plain], starts[~plain] = np.cumsum(words) - words, words.sum() + np.cumsum(others) - others
+        return ragged(np.concatenate([np.delete(ids, feeds), rest]), starts, sizes, np.arange(len(keys)))
+
+    def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As _pooled, of units with the space or line feed before them."""
+        from pyarrow import compute as pc
+
+        feed = pc.starts_with(units, "\n")
+        body = pc.if_else(feed, pc.utf8_slice_codeunits(units, 1), units)
+        head = pc.utf8_rtrim(body, _TAIL)
+        plain = pc.utf8_is_alpha(pc.utf8_ltrim(head, " "))
+        keys = pc.if_else(plain, head, body).dictionary_encode()
+        ends = pc.and_(plain, pc.not_equal(pc.binary_length(head), pc.binary_length(body))).to_numpy(zero_copy_only=False)
+        tails = pc.replace_substring_regex(body.filter(pa.array(ends)), _BEFORE_TAIL, "").dictionary_encode()
+        plain_keys = np.zeros(len(keys.dictionary), bool)
+        plain_keys[keys.indices.to_numpy()] = plain.to_numpy(zero_copy_only=False)
+        ids, sizes = self._pooled(keys.dictionary, plain_keys)
+        tail_ids, tail_sizes = pool(self._ids(tails.dictionary.to_pylist()))
+        # A unit is the line feed or none, a key, a tail or none.
+        sizes = np.concatenate([[0, len(self.feed)], tail_sizes, sizes])
+        pieces = np.zeros((len(units), 3), "i8")
+        pieces[:, 0] = feed.to_numpy(zero_copy_only=False)
+        pieces[:, 1] = 2 + len(tail_sizes) + keys.indices.to_numpy()
+        pieces[ends, 2] = 2 + tails.indices.to_numpy()
+        data, each = ragged(np.concatenate([self.feed, tail_ids, ids]), np.cumsum(sizes) - sizes, sizes, pieces.ravel())
+        return data, each.reshape(-1, 3).sum(axis=1)
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings, no nulls) in a row, and where each text's ids end."""
+        from pyarrow import compute as pc
+
+        odd = pc.match_substring_regex(texts, _ODD)
+        # A line feed goes with the unit after it, like a space.
+        parts = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        words, odd = parts.flatten(), odd.to_numpy(zero_copy_only=False)
+        counts = np.ones(len(texts), "i8")
+        counts[~odd] = parts.value_lengths().to_numpy()
+        first = np.cumsum(counts[~odd]) - counts[~odd]
+        lead, rest = words.take(pa.array(first)).dictionary_encode(), words.dictionary_encode()
+        codes = rest.indices.to_numpy().astype("i8")
+        codes[first] = len(rest.dictionary) + lead.indices.to_numpy()
+        after = rest.dictionary
+        after = pc.if_else(pc.starts_with(after, "\n"), after, pc.binary_join_element_wise(pa.scalar(" "), after, ""))
+        ids, sizes = self._units(pa.concat_arrays([after, lead.dictionary]))
+        odd_ids, odd_sizes = pool([self._odd(t) for t in texts.filter(pa.array(odd)).to_pylist()])
+        whole, is_odd = np.empty(counts.sum(), "i8"), np.repeat(odd, counts)
+        whole[~is_odd], whole[is_odd] = codes, len(sizes) + np.arange(len(odd_sizes))
+        sizes = np.concatenate([sizes, odd_sizes])
+        data, each = ragged(np.concatenate([ids, odd_ids]), np.cumsum(sizes) - sizes, sizes, whole)
+        return data, np.cumsum(each)[np.cumsum(counts) - 1] if len(texts) else np.zeros(0, "i8")
 
     def ids_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; units that are new are encoded together."""
-        if len(self.bare) + len(self.spaced) > self.limit:
-            self.bare = dict(islice(self.bare.items(), KEEP_UNITS // 8))
-            self.spaced = dict(islice(self.spaced.items(), KEEP_UNITS))
-        bare: set[str] = set()
-        spaced: set[str] = set()
-        plans: list[list] = []
-        for text in texts:
-            # A line feed goes with the unit after it, like a space.
-            parts = text.replace("\n", " \n").split(" ")
-            some = set(parts[1:])
-            # Odd: other white space, or white space next to white space or at an end.
-            words = text.split()
-            if len(words) != len(parts) or "" in some or "\n" in some or sum(map(len, words)) + len(parts) - 1 != len(text):
-                bits = _CUT.split(text)
-                parts = [("", bits[0]), *zip(bits[1::2], bits[2::2], strict=True)] if text else []
-                bare.update(bit for sep, bit in parts if sep != " ")
-                spaced.update(bit for sep, bit in parts if sep == " ")
-            else:
-                bare.add(parts[0])
-                spaced |= some
-            plans.append(parts)
-        feeds = {p for p in spaced.difference(self.spaced) if p[0] == "\n"}
-        bare.update(p[1:] for p in feeds)
-        self._fill(self.bare, bare, "")
-        self.spaced.update((p, self.line + self.bare[p[1:]]) for p in feeds)
-        self._fill(self.spaced, spaced, " ")
-        own, after = self.bare, self.spaced.__getitem__
-        out = []
-        for parts in plans:
-            if not parts or isinstance(parts[0], tuple):
-                out.append(b"".join(after(bit) if sep == " " else (self.line if sep else b"") + own[bit] for sep, bit in parts))
-            else:
-                out.append(own[parts[0]] + b"".join(map(after, parts[1:])))
-        return out
+        ids, ends = self.flat(pa.array(texts, pa.string()))
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def ids(self, text: str) -> bytes:
         return self.ids_many([text])[0]
@@ -241,27 +304,33 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(maxsize=4)
+def tokens_of(path: str) -> dict[int, bytes]:
+    """Bytes by id, once for each worker process."""
+    return {i: b for b, i in ranks_of(path).items()}
+
+
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, ids array<int>) for the rank file at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for whole in batches:
-            for batch in slices(whole, text, 2_000_000):
-                ids = bpe.cache.ids_many([t or "" for t in batch.column(text).to_pylist()])
-                ends = np.cumsum([0, *(len(i) // 4 for i in ids)], dtype="i4")
-                lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays([batch.column(key), lists], [key, "ids"])
+            for batch in slices(whole, "text", 8_000_000):
+                ids, ends = bpe.cache.flat(batch.column("text"))
+                lists = pa.ListArray.from_arrays(np.r_[0, ends].astype("i4"), ids.view("<i4"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    texts = df.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return texts.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with a binary column ``decoded``: the bytes of the ids.  Needs the rank table alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: b for b, i in ranks_of(path).items()}.__getitem__
+        token = tokens_of(path).__getitem__
         for batch in batches:
             column = batch.column(ids)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()

@@ -53,50 +53,65 @@ def tokenizer(path: str) -> UnitCache:
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True
-        feed = made.encode("\n", add_special_tokens=False).ids
-
-        def alone(units: list[str]) -> list[bytes]:
+        def encode(units: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in made.encode_batch_fast(units, add_special_tokens=False)]
 
-        def encode(units: list[str]) -> list[bytes]:
-            joined = "\n".join(units)
-            bodies = [u.removeprefix(" ") for u in units]
-            plain = len("".join("".join(bodies).split())) + joined.count(" ") + len(units) - 1 == len(joined)
-            if len(units) < 2 or len(feed) > 1 or not plain or not {"", " "}.isdisjoint(b[:1] for b in bodies):
-                return alone(units)
-            # Units are words, some after a space.  Between two of them the line feed is a token of
-            # its own, and none holds another.
-            ids = np.array(made.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == feed[0]).tolist()
-            data = ids.tobytes()
-            return [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
-
-        _TOKENIZERS[path] = UnitCache(encode)
+        _TOKENIZERS[path] = UnitCache(encode, encode_words=_word_encoder(path))
     return _TOKENIZERS[path]
 
 
+def _word_encoder(path: str) -> Callable[[str], np.ndarray] | None:
+    """Merges lines, each taken whole, by the tokenizer's own merges; None unless these are byte-level
+    merges numbered in the order in which they apply."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+        return None
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        return None
+    # Bytes that are printable stand for themselves in the vocabulary, others for 256 and on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in shown} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in shown)}
+    vocabulary, special = model["vocab"], {t["content"] for t in spec.get("added_tokens", [])}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    merged = [vocabulary.get(a + b, -1) for a, b in pairs]
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    single = [i for b, i in ranks.items() if len(b) == 1]
+    if merged != sorted(set(merged)) or len(single) != 256 or max(single) > merged[0] or len(ranks) != 256 + len(merged):
+        return None
+    # Lines are words of letters: one match of the tokenizer's own pattern, so merging alone decides.
+    lines = tiktoken.Encoding("words", pat_str=r"\n|[^\n]+", mergeable_ranks=ranks, special_tokens={})
+    return lambda text: np.array(lines.encode_ordinary(text), "<u4")
+
+
 def tokenise(df: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows (key, source, part, at, n, ids): ids as little-endian unsigned 32-bit, ``end`` appended;
     at: the tokens of this source before it in this partition ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, last = TaskContext.get().partitionId(), {}, array("I", [end]).tobytes()
-        units = tokenizer(path)
+        part, seen, units = TaskContext.get().partitionId(), {}, tokenizer(path)
         for whole in batches:
-            for batch in slices(whole, text, 2_000_000):
-                ids = [i + last for i in units.ids_many(batch.column(text).to_pylist())]
-                sources, at = batch.column(source).to_pylist(), []
-                for s, i in zip(sources, ids, strict=True):
+            for batch in slices(whole, text, 8_000_000):
+                ids, ends = units.flat(batch.column(text))
+                ids = np.insert(ids, ends, end)  # after each text
+                ends = np.r_[0, ends + np.arange(1, len(ends) + 1)]
+                sizes, at = np.diff(ends), []
+                for s, n in zip(batch.column(source).to_pylist(), sizes.tolist(), strict=True):
                     at.append(seen.get(s, 0))
-                    seen[s] = at[-1] + len(i) // 4
+                    seen[s] = at[-1] + n
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(key),
                         batch.column(source),
-                        pa.array([part] * len(ids), pa.int32()),
+                        pa.array(np.full(len(at), part, "i4")),
                         pa.array(at, pa.int64()),
-                        pa.array([len(i) // 4 for i in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pa.array(sizes),
+                        pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((4 * ends).astype("i4")), pa.py_buffer(ids)]),
                     ],
                     [key, source, "part", "at", "n", "ids"],
                 )
