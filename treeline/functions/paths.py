@@ -56,13 +56,13 @@ def parse_endpoint(text: Column | str, scheme: str = SCHEME) -> Column:
     """Struct (host, port, path) of a remote endpoint; null for anything else, which is local.
 
     ``scheme:[//]host[:port][/path]``, scheme in any case, port 1 to 65535."""
-    t = F.trim(_col(text))
+    t = F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")  # any white space
     rest = F.regexp_extract(t, f"^(?i:{scheme}):(?://)?([^/]+)", 1)
-    tail = F.regexp_extract(t, f"^(?i:{scheme}):(?://)?[^/]+(/.*)$", 1)
+    tail = F.regexp_extract(t, f"^(?i:{scheme}):(?://)?[^/]+((?s:/.*))$", 1)
     host = F.substring_index(rest, ":", 1)
     named = F.contains(rest, F.lit(":"))
     digits = F.substring(rest, F.length(host) + 2, F.length(rest))
-    port = F.when(~named, F.lit(DEFAULT_PORT)).when(digits.rlike(r"^\+?[0-9]{1,9}$"), digits.try_cast("int"))
+    port = F.when(~named, F.lit(DEFAULT_PORT)).when(digits.rlike(r"^\+?0*[0-9]{1,9}$"), F.regexp_extract(digits, "^\\+?0*([0-9]+)$", 1).try_cast("int"))
     ok = (rest != "") & port.between(1, 65535)
     return F.when(
         ok, F.struct(host.alias("host"), port.cast("int").alias("port"), F.when(tail == "", "/").otherwise(tail).alias("path"))

@@ -26,14 +26,16 @@ def _sided(df: DataFrame, side: str) -> DataFrame:
 def need_copy(src: DataFrame, dst: DataFrame, compare: str = "size_mtime") -> DataFrame:
     """Source rows to copy, with reason: missing, size, newer (by 3 s or more), digest, unknown.
 
-    mtime in whole seconds.  ``compare="checksum"`` tests digests of pairs of equal size; those are
+    mtime in whole seconds; where both sides have mtime_us (microseconds), that decides.  ``compare="checksum"`` tests digests of pairs of equal size; those are
     what ``equal_size_pairs`` gives, so content of others need not be read."""
     unknown = F.col("size").isNull() | F.col("size_dst").isNull()
     reason = F.when(F.col("there").isNull(), "missing").when(unknown, "unknown").when(F.col("size") != F.col("size_dst"), "size")
     if compare == "checksum":
         reason = reason.when(F.coalesce(F.col("digest") != F.col("digest_dst"), F.lit(True)), "digest")
     else:
-        newer = (F.col("mtime") - F.col("mtime_dst")) * 1_000_000 >= NEWER_US
+        exact = "mtime_us" in src.columns and "mtime_us" in dst.columns
+        newer = F.col("mtime_us") - F.col("mtime_us_dst") if exact else (F.col("mtime") - F.col("mtime_dst")) * 1_000_000
+        newer = newer >= NEWER_US
         reason = reason.when(F.coalesce(newer, F.lit(True)), "newer")
     marked = src.join(_sided(dst, "dst").withColumn("there", F.lit(True)), "path", "left").withColumn("reason", reason)
     return marked.filter("reason is not null").select(*src.columns, "reason")

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OFFSET = 31  # added to every byte by the weak checksum
 _LOW = 0xFFFF
+SIGNED = 20_000  # blocks of a batch of signatures
 
 
 def file_digest(content: Column) -> Column:
@@ -19,33 +21,39 @@ def file_digest(content: Column) -> Column:
 
 
 def digest(content: Column, algo: str = "strong") -> Column:
-    """strong: 32 bytes; fast: 8 bytes; md5.  All as hex."""
+    """strong: 32 bytes; fast: its first 8 bytes; md5.  All as hex."""
     if algo == "strong":
         return F.sha2(content, 256)
     if algo == "fast":
-        return F.lpad(F.lower(F.hex(F.xxhash64(content))), 16, "0")
+        return F.substring(F.sha2(content, 256), 1, 16)
     if algo == "md5":
         return F.md5(content)
     raise ValueError(f"unknown digest {algo!r}")
 
 
+def weak_of(pieces: list[bytes]) -> np.ndarray:
+    """The weak checksum of each piece: with c[i] = byte + OFFSET, the sum of c[i] in the low half and
+    the sum of (n - i) * c[i] in the high half, both modulo 2**16."""
+    size = np.fromiter(map(len, pieces), "i8", len(pieces))
+    ends = np.cumsum(size)
+    c = np.frombuffer(b"".join(pieces), "u1").astype("i8") + OFFSET
+    left = np.repeat(ends, size) - np.arange(len(c))  # n - i
+    a, b = np.zeros(len(pieces), "i8"), np.zeros(len(pieces), "i8")
+    some = size > 0
+    if some.any():
+        a[some] = np.add.reduceat(c, (ends - size)[some])
+        b[some] = np.add.reduceat(left * c, (ends - size)[some])
+    return (a & _LOW) + ((b & _LOW) << 16)
+
+
 def weak_checksum(content: Column) -> Column:
-    """With c[i] = byte + OFFSET: sum of c[i] in the low half, sum of (n - i) * c[i] in the high
-    half, both modulo 2**16; for blocks of some KiB, inside the JVM."""
-    n = F.length(content)
-    values = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(content, i, F.lit(1))), 16, 10).cast("bigint") + OFFSET)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    # b grows by the running a: every value is counted once for each position from its own on.
-    return F.aggregate(
-        values,
-        zero,
-        lambda acc, c: F.struct(
-            (acc["a"] + c).bitwiseAND(F.lit(0xFFFFFFFF)).alias("a"), (acc["b"] + acc["a"] + c).bitwiseAND(F.lit(0xFFFFFFFF)).alias("b")
-        ),
-        lambda acc: acc["a"].bitwiseAND(F.lit(_LOW)) + F.shiftleft(acc["b"].bitwiseAND(F.lit(_LOW)), 16),
-    )
+    """weak_of as a column, a batch at a time."""
+
+    @F.pandas_udf("bigint")
+    def weak(values: pd.Series) -> pd.Series:
+        return pd.Series(weak_of([bytes(v) for v in values]))
+
+    return weak(content)
 
 
 def rolling(data: bytes, block: int) -> np.ndarray:
@@ -86,8 +94,23 @@ def block_contents(content: DataFrame, block: int) -> DataFrame:
 
 
 def block_signatures(content: DataFrame, block: int) -> DataFrame:
-    """Rows (path, block, off, len, weak, strong)."""
-    return block_contents(content, block).select("path", "block", "off", "len", weak_checksum(F.col("content")).alias("weak"), file_digest(F.col("content")).alias("strong"))
+    """Rows (path, block, off, len, weak, strong) of (path, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path")
+            for k in range(batch.num_rows):
+                data = batch.column("content")[k].as_buffer()
+                data = b"" if data is None else data.to_pybytes()
+                for first in range(0, len(data), block * SIGNED):
+                    pieces = [data[o : o + block] for o in range(first, min(first + block * SIGNED, len(data)), block)]
+                    number = np.arange(len(pieces)) + first // block
+                    strong = [hashlib.sha256(x).hexdigest() for x in pieces]
+                    size = np.fromiter(map(len, pieces), "i8", len(pieces))
+                    cols = [pa.array(number), pa.array(number * block), pa.array(size), pa.array(weak_of(pieces)), pa.array(strong)]
+                    yield pa.RecordBatch.from_arrays([paths.take(pa.array([k] * len(pieces), pa.int32())), *cols], ["path", "block", "off", "len", "weak", "strong"])
+
+    return content.select("path", "content").mapInArrow(run, "path string, block bigint, off bigint, len bigint, weak bigint, strong string")
 
 
 def need_ranges(sig_src: DataFrame, sig_dst: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def glob_match(col: Column, pattern: str) -> Column:
     inside is an ordinary character."""
     if pattern == "*":
         return F.lit(True)
-    if len(pattern) > 2 and pattern[0] == pattern[-1] == "*":
+    if len(pattern) > 1 and pattern[0] == pattern[-1] == "*":
         return F.contains(col, F.lit(pattern[1:-1]))
     if pattern.startswith("*"):
         return F.endswith(col, F.lit(pattern[1:]))
@@ -30,7 +30,7 @@ def matches(name: str, pattern: str) -> bool:
     """glob_match for one name, for the scan that prunes while it walks."""
     if pattern == "*":
         return True
-    if len(pattern) > 2 and pattern[0] == pattern[-1] == "*":
+    if len(pattern) > 1 and pattern[0] == pattern[-1] == "*":
         return pattern[1:-1] in name
     if pattern.startswith("*"):
         return name.endswith(pattern[1:])

@@ -12,6 +12,8 @@ SMALL, LARGE = MIB, 100 * MIB
 PUSH_SMALL, RANGED = 1_000_000, 256 * MIB
 STRIDE = 16 * MIB
 BUCKETS = 64
+BUCKET_FILES, BUCKET_BYTES = 100_000, 1 << 30  # of a bucket, about
+FILE_OVERHEAD = 4096  # what a file of a bundle counts for, besides its bytes
 
 
 def direction(src: Column, dst: Column, scheme: str = paths.SCHEME) -> Column:
@@ -59,12 +61,20 @@ def in_class_order(plan: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def assign_bundles(plan: DataFrame, target_bytes: int = 64 * MIB, buckets: int = BUCKETS) -> DataFrame:
+def assign_bundles(plan: DataFrame, target_bytes: int = 64 * MIB, buckets: int = BUCKETS, overhead: int = 0) -> DataFrame:
     """plan with bucket and bundle_id: by the hash bucket of the path and, within it, by the prefix
-    sum of sizes, so no window holds more than a bucket.  Raise ``buckets`` with the input."""
+    sum of sizes, so no window holds more than a bucket (``buckets_for`` a plan).  Each file counts for ``overhead``
+    bytes more, which bounds the files of a bundle too."""
     bucket = F.pmod(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("bigint")
-    upto = F.sum("size").over(Window.partitionBy("bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    return plan.withColumn("bucket", bucket).withColumn("bundle_id", F.floor((upto - F.col("size")) / F.lit(target_bytes)).cast("bigint"))
+    weight = F.col("size") + overhead
+    upto = F.sum(weight).over(Window.partitionBy("bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
+    return plan.withColumn("bucket", bucket).withColumn("bundle_id", F.floor((upto - weight) / F.lit(target_bytes)).cast("bigint"))
+
+
+def buckets_for(plan: DataFrame, bucket_files: int = BUCKET_FILES, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """As many buckets as the plan's files and bytes ask for."""
+    files, size = plan.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(1, -(-files // bucket_files), -(-size // bucket_bytes))
 
 
 def should_bundle(plan: DataFrame, force: bool = False, forbid: bool = False) -> DataFrame:

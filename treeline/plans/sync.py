@@ -4,6 +4,7 @@ A plan is stored before anything is done, and a verb's outcome is a table of res
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,9 @@ class Options:
     force_bundle: bool = False
     forbid_bundle: bool = False
     allow_empty_source: bool = False
+    fold: bool = False  # extras are judged by keys without case
+    clear_readonly: bool = False  # what is read-only is deleted too
+    drop_links: bool = False  # links of the source are left out
 
 
 def transfer_plan(src: DataFrame, dst: DataFrame, options: Options, skip_unchanged: bool) -> DataFrame:
@@ -47,17 +51,25 @@ def transfer_plan(src: DataFrame, dst: DataFrame, options: Options, skip_unchang
     return need.select("path", "kind", "link_target", "size", "mtime", "reason", planning.size_class("size").alias("size_class"))
 
 
-def delete_plan(src: DataFrame, dst: DataFrame, options: Options, fold: bool = False) -> DataFrame:
+def delete_plan(src: DataFrame, dst: DataFrame, options: Options) -> DataFrame:
     """(path, kind) of what only the destination has."""
+    fold = options.fold
     gone = compare.extra_files(dst.filter("kind <> 'dir'"), src.filter("kind <> 'dir'"), fold).select("path", "kind")
     if options.files_only:
         return gone
     return gone.unionByName(compare.extra_dirs(dst, src, fold).select("path", "kind"))
 
 
-def _manifests(spark: SparkSession, src_root: str, dst_root: str, options: Options) -> tuple[DataFrame, DataFrame]:
-    src = manifest_seconds(scan_tree(spark, src_root, options.spec, options.follow_links))
-    dst = manifest_seconds(scan_tree(spark, dst_root, None if options.delete_excluded else options.spec))
+def _split_root(root: str) -> tuple[str, str | None]:
+    """A root and, where it is a single file, the folder that holds it and its name."""
+    plain = root.removeprefix("file://").rstrip("/")
+    return (os.path.dirname(plain) or "/", os.path.basename(plain)) if os.path.isfile(plain) else (root, None)
+
+
+def _manifests(spark: SparkSession, src_root: str, dst_root: str, options: Options, only: str | None = None) -> tuple[DataFrame, DataFrame]:
+    src = manifest_seconds(scan_tree(spark, src_root, options.spec, options.follow_links, only=only))
+    dst = manifest_seconds(scan_tree(spark, dst_root, None if options.delete_excluded else options.spec, only=only))
+    src = filters.link_policy(src, drop_links=True) if options.drop_links else src
     src = stored(filters.empty_dirs(src, options.include_empty_dirs))
     dst = stored(dst)
     if options.compare == "checksum":
@@ -80,7 +92,8 @@ def _transfer(spark: SparkSession, plan: DataFrame, src_root: str, dst_root: str
     out = []
     if planning.should_bundle(small, options.force_bundle, options.forbid_bundle).first()["bundle"]:
         folder = new_folder(spark, "bundles")
-        packed = stored(jobs.write_bundles(planning.assign_bundles(small), src_root, folder))
+        dealt = planning.assign_bundles(small, buckets=planning.buckets_for(small), overhead=planning.FILE_OVERHEAD)
+        packed = stored(jobs.write_bundles(dealt, src_root, folder))
         out.append(jobs.unpack_bundles(read_bundles(spark, folder), dst_root))
         lost = packed.filter("error is not null")
         out.append(lost.select(F.format_string("bundle %d-%d", "bucket", "bundle_id").alias("path"), F.lit("bundle").alias("action"), F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("bytes"), "error", F.lit(0.0).alias("seconds")))
@@ -96,14 +109,16 @@ def _transfer(spark: SparkSession, plan: DataFrame, src_root: str, dst_root: str
 
 
 def _run(spark: SparkSession, src_root: str, dst_root: str, options: Options, skip: bool, delete: bool) -> DataFrame:
-    src, dst = _manifests(spark, src_root, dst_root, options)
+    src_root, only = _split_root(src_root)
+    delete = delete and only is None  # a single file has no extras
+    src, dst = _manifests(spark, src_root, dst_root, options, only)
     if delete and not options.allow_empty_source and src.isEmpty():
         raise ValueError("the source is empty; allow_empty_source=True mirrors it all the same")
     plan = stored(transfer_plan(src, dst, options, skip))
     doomed = stored(delete_plan(src, dst, options)) if delete else None
     results = stored(jobs.make_dirs(src.filter("kind = 'dir'"), dst_root)).unionByName(_transfer(spark, plan, src_root, dst_root, options))
     if doomed is not None:
-        results = results.unionByName(stored(jobs.run_delete(doomed, dst_root)))
+        results = results.unionByName(stored(jobs.run_delete(doomed, dst_root, options.clear_readonly)))
     return results
 
 
@@ -122,28 +137,72 @@ def mirror(spark: SparkSession, src_root: str, dst_root: str, options: Options =
 
 
 def move(spark: SparkSession, src_root: str, dst_root: str, confirm: bool = False, options: Options = Options()) -> DataFrame:
-    """mirror, verification by content, then deletion of the source tree's rows."""
+    """mirror, verification of files by content, of links by target and of directories, then deletion
+    of what was verified.
+
+    Nothing is deleted if any row of the mirror failed or anything differs.  Only rows of the manifest
+    that was verified go, and only those whose size and mtime are as they were then: what was made or
+    changed since stays, as do the directories that hold it (their rows fail)."""
     if not confirm:
         raise ValueError("move deletes the source; pass confirm=True")
     if src_root.rstrip("/") in ("", "file:"):
         raise ValueError("refusing to move a filesystem root")
     results = mirror(spark, src_root, dst_root, options)
-    diff = stored(verify(spark, src_root, dst_root, "checksum", options))
-    if not diff.isEmpty():
-        raise RuntimeError(f"the trees differ in {diff.count()} paths after copying; the source stays")
-    everything = stored(scan_tree(spark, src_root, options.spec).select("path", "kind"))
-    return results.unionByName(stored(jobs.run_delete(everything, src_root)))
+    failed = results.filter("not ok").count()
+    if failed:
+        raise RuntimeError(f"{failed} paths were not copied or deleted; the source stays")
+    root, only = _split_root(src_root)
+    src = stored(manifest_seconds(scan_tree(spark, root, options.spec, options.follow_links, only=only)))
+    dst = stored(manifest_seconds(scan_tree(spark, dst_root, options.spec, only=only)))
+    files = _digested(src, dst, root, dst_root)
+    bad = compare.verify(*(m.filter("kind = 'file'") for m in files), "checksum").filter("kind not like 'extra%'").count()
+    had = dst.select("path", F.col("kind").alias("kind_dst"), F.col("link_target").alias("target_dst"))
+    alike = (F.col("kind") == F.col("kind_dst")) & ((F.col("kind") == "dir") | F.col("link_target").eqNullSafe(F.col("target_dst")))
+    kept = F.lit(False) if options.include_empty_dirs else F.col("kind") == "dir"
+    bad += src.filter("kind <> 'file'").filter(~kept).join(had, "path", "left").filter(~F.coalesce(alike, F.lit(False))).count()
+    if bad:
+        raise RuntimeError(f"the trees differ in {bad} paths after copying; the source stays")
+    now = manifest_seconds(scan_tree(spark, root, options.spec, options.follow_links, only=only)).select("path", "kind", F.col("size").alias("size_now"), F.col("mtime_us").alias("us_now"))
+    same = (F.col("kind") == "dir") | ((F.col("size") == F.col("size_now")) & (F.col("mtime_us") == F.col("us_now")))
+    verified = stored(src.join(now, ["path", "kind"]).filter(same).select("path", "kind"))
+    return results.unionByName(stored(jobs.run_delete(verified, root, options.clear_readonly)))
 
 
 def verify(spark: SparkSession, src_root: str, dst_root: str, mode: str = "size", options: Options = Options(), labels: str = "local") -> DataFrame:
-    """The differences of two trees' files; content is read for pairs of equal size only."""
-    src = stored(manifest_seconds(scan_tree(spark, src_root, options.spec, kinds=("file",))))
-    dst = stored(manifest_seconds(scan_tree(spark, dst_root, options.spec, kinds=("file",))))
+    """The differences of two trees' files, or of two files of one name; content is read for pairs of
+    equal size only."""
+    (src_root, only), (dst_root, _) = _split_root(src_root), _split_root(dst_root)
+    src = stored(manifest_seconds(scan_tree(spark, src_root, options.spec, kinds=("file",), only=only)))
+    dst = stored(manifest_seconds(scan_tree(spark, dst_root, options.spec, kinds=("file",), only=only)))
     if mode == "checksum":
         src, dst = _digested(src, dst, src_root, dst_root)
     return compare.verify(src, dst, mode, labels)
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """code: 0 where the trees are alike, 1 else; diff and summary are tables, text a table of lines."""
+
+    code: int
+    diff: DataFrame
+    summary: DataFrame
+    text: DataFrame
+
+
+def verify_report(
+    spark: SparkSession, src_root: str, dst_root: str, mode: str = "size", options: Options = Options(), csv: str | None = None, json: str | None = None, sample: int = report.SAMPLE
+) -> Verdict:
+    """verify as a whole: the differences once, their summary, reports in the folders csv and json
+    where these are given, and the result code."""
+    diff = stored(verify(spark, src_root, dst_root, mode, options))
+    summary = stored(report.verify_summary(diff, sample))
+    if csv:
+        report.write_diff_csv(diff, csv)
+    if json:
+        report.summary_json(summary).write.mode("overwrite").text(json)
+    return Verdict(report.result_code(summary), diff, summary, report.summary_text(summary, sample))
+
+
 def push_plan(src: DataFrame, dst: DataFrame, spec: FilterSpec = FilterSpec(), need: str = "delta") -> DataFrame:
     """(path, kind, size, mtime, reason, push_class): what goes to a remote side.  ``need="all"``
     asks for every file and link."""

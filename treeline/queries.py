@@ -237,10 +237,16 @@ query("h1_file_digest", "select concat(source,'/',lang,'/',cast(doc_id as string
     lambda s, d: contents(s, d).select("path", delta.file_digest(F.col("content")).alias("digest")))
 query("h2_digest_md5", "select concat(source,'/',lang,'/',cast(doc_id as string),'.txt') path, md5(text) digest from documents")(
     lambda s, d: contents(s, d).select("path", delta.digest(F.col("content"), "md5").alias("digest")))
-query("h2_digest_fast")(lambda s, d: contents(s, d).select("path", delta.digest(F.col("content"), "fast").alias("digest")))
+query("h2_digest_fast", "select concat(source,'/',lang,'/',cast(doc_id as string),'.txt') path, substr(sha256(text),1,16) digest from documents")(
+    lambda s, d: contents(s, d).select("path", delta.digest(F.col("content"), "fast").alias("digest")))
 query("h3_weak_checksum", f"select path, block, weak from ({_SIG})")(
     lambda s, d: delta.block_contents(contents(s, d), BLOCK).select("path", "block", delta.weak_checksum(F.col("content")).alias("weak")))
-query("h4_rolling_checksums")(
+query("h4_rolling_checksums", f"""with {_B}, v as (select path, off, x, len(x)//2 n,
+    list_transform(range(0, len(x)//2), lambda i: (strpos('0123456789ABCDEF', x[2*i+1])-1)*16 + strpos('0123456789ABCDEF', x[2*i+2])-1 + 31) c from b),
+    e as (select path, off + unnest(range(0, n)) i, cast(unnest(c) as bigint) c from v),
+    w as (select path, i, sum(c) over w a, sum(i*c) over w t, count(*) over w n from e window w as (partition by path order by i rows between 63 preceding and current row)),
+    r as (select path, cast(a as bigint) a, cast((64 + i - 63) * a - t as bigint) b from w where n = 64)
+    select path, count(*) windows, cast(sum((a & 65535) + ((b & 65535) << 16)) as bigint) weak_sum from r group by path""")(
     lambda s, d: delta.rolling_checksums(contents(s, d), BLOCK).groupBy("path").agg(F.count("*").alias("windows"), F.sum("weak").alias("weak_sum")))
 query("h5_block_signatures", _SIG)(lambda s, d: delta.block_signatures(contents(s, d).select("path", "content"), BLOCK))
 

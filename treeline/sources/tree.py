@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -48,13 +49,15 @@ class FileTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = options["root"].removeprefix("file://").rstrip("/") or "/"
         self.follow = options.get("follow_links", "false").lower() == "true"
+        self.only, self.subtrees = options.get("only"), int(options.get("subtrees", SUBTREES))
+        self.real_root = os.path.realpath(self.root)
         self.kinds = set(options.get("kinds", "file,dir,symlink").split(","))
         self.spec = FilterSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(options.get("filter", "{}")).items()})
 
     def _entries(self, rel: str) -> list[os.DirEntry]:
         try:
             with os.scandir(os.path.join(self.root, rel) if rel else self.root) as found:
-                return sorted(found, key=lambda e: e.name)
+                return sorted((e for e in found if self.only in (None, e.name)), key=lambda e: e.name)
         except OSError:
             return []  # unreadable: skipped
 
@@ -66,7 +69,9 @@ class FileTreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         shallow, deep = [], [""]
-        while deep and len(deep) < SUBTREES and len(shallow) < 4 * SUBTREES:
+        if self.only is not None:
+            return [_Subtree("", False)]
+        while deep and len(deep) < self.subtrees and len(shallow) < 4 * self.subtrees:
             below = [os.path.join(r, e.name) for r in deep for e in self._entries(r) if self._enter(e) and not e.is_symlink()]
             shallow += deep
             deep = below
@@ -102,7 +107,8 @@ class FileTreeReader(DataSourceReader):
             stat.S_IMODE(st.st_mode),
             not st.st_mode & stat.S_IWUSR,
             to_text(os.readlink(full)) if kind == "symlink" else None,
-            to_text(os.path.realpath(full)),
+            # Without links on the way the real path is the path.
+            to_text(os.path.realpath(full) if self.follow or kind == "symlink" else os.path.join(self.real_root, rel)),
             to_text(self.root),
         )
 
@@ -110,10 +116,11 @@ class FileTreeReader(DataSourceReader):
         todo, seen = [partition.rel], set()
         while todo:
             rel = todo.pop()
-            real = os.path.realpath(os.path.join(self.root, rel))
-            if real in seen:  # links in a circle
-                continue
-            seen.add(real)
+            if self.follow:
+                real = os.path.realpath(os.path.join(self.root, rel))
+                if real in seen:  # links in a circle
+                    continue
+                seen.add(real)
             for e in self._entries(rel):
                 path = os.path.join(rel, e.name) if rel else e.name
                 inside = self._enter(e)
@@ -140,8 +147,11 @@ class FileTree(DataSource):
         return FileTreeReader(dict(self.options))
 
 
-def scan_tree(spark: SparkSession, root: str, spec: FilterSpec | None = None, follow_links: bool = False, kinds: tuple[str, ...] = ("file", "dir", "symlink")) -> DataFrame:
-    """The manifest of a tree.  With follow_links one route per real file and directory stays, the
+def scan_tree(
+    spark: SparkSession, root: str, spec: FilterSpec | None = None, follow_links: bool = False, kinds: tuple[str, ...] = ("file", "dir", "symlink"), only: str | None = None
+) -> DataFrame:
+    """The manifest of a tree, or of the entry ``only`` of its top.  Top levels are split until there
+    are several subtrees for each core.  With follow_links one route per real file and directory stays, the
     shortest, then first by path; links in a circle end."""
     spark.dataSource.register(FileTree)
     chosen = {k: v for k, v in vars(spec or FilterSpec()).items() if v not in (None, ())}
@@ -150,9 +160,10 @@ def scan_tree(spark: SparkSession, root: str, spec: FilterSpec | None = None, fo
         .option("root", root)
         .option("follow_links", str(follow_links).lower())
         .option("kinds", ",".join(kinds))
+        .option("subtrees", str(max(SUBTREES, 4 * spark.sparkContext.defaultParallelism)))
         .option("filter", json.dumps(chosen))
-        .load()
     )
+    df = (df if only is None else df.option("only", only)).load()
     if follow_links:
         one = Window.partitionBy("real_path").orderBy(paths.depth("path"), "path")
         df = df.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
@@ -160,8 +171,8 @@ def scan_tree(spark: SparkSession, root: str, spec: FilterSpec | None = None, fo
 
 
 def manifest_seconds(df: DataFrame) -> DataFrame:
-    """A manifest with mtime in whole epoch seconds, as comparisons take it."""
-    return df.withColumn("mtime", paths.mtime_sec("mtime"))
+    """A manifest with mtime in whole epoch seconds, as comparisons take it, and exact in mtime_us."""
+    return df.withColumns({"mtime_us": F.unix_micros("mtime"), "mtime": paths.mtime_sec("mtime")})
 
 
 def list_dir(manifest: DataFrame, path: str = "", limit: int = LIST_LIMIT) -> DataFrame:
@@ -195,15 +206,16 @@ def edges(manifest: DataFrame) -> DataFrame:
 
 
 def expand_edges(edge_table: DataFrame, base: str) -> DataFrame:
-    """(path, kind) of all below base, from one-level listings."""
-    edge_table.createOrReplaceTempView("treeline_edges")
-    where = base.replace("'", "''")
-    return edge_table.sparkSession.sql(
-        f"""with recursive t(path, kind) as (
-              select child, kind from treeline_edges where parent = '{where}'
-              union all select e.child, e.kind from treeline_edges e join t on e.parent = t.path)
-            select path, kind from t"""
-    )
+    """(path, kind) of all below base, from one-level listings: a join for each level, each checkpointed,
+    so depth and number of rows have no bound.  What was met before is not entered again."""
+    known = edge_table.select("parent", F.col("child").alias("path"), "kind")
+    level = known.filter(F.col("parent") == base).select("path", "kind").checkpoint()
+    out = level
+    while not level.isEmpty():
+        below = known.join(level.filter("kind <> 'file'").select(F.col("path").alias("parent")).distinct(), "parent").select("path", "kind")
+        level = below.join(out.select("path"), "path", "left_anti").checkpoint()
+        out = out.unionByName(level)
+    return out
 
 
 def suggest(manifest: DataFrame, host: str, port: int, path: str = "", scheme: str = paths.SCHEME) -> DataFrame:
@@ -214,42 +226,55 @@ def suggest(manifest: DataFrame, host: str, port: int, path: str = "", scheme: s
 
 
 def read_content(manifest: DataFrame, limit: int = CONTENT_LIMIT) -> DataFrame:
-    """Rows (path, content) of files of up to ``limit`` bytes; larger ones go by ranges (``read_ranges``)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, root in zip(part["path"], part["root"], strict=True):
-                try:
-                    with open(os.path.join(to_name(root), to_name(path)), "rb") as f:
-                        yield pd.DataFrame({"path": [path], "content": [f.read()]})
-                except OSError:
-                    continue
-
-    return manifest.filter((F.col("kind") == "file") & (F.col("size") <= limit)).select("path", "root").mapInPandas(run, "path string, content binary")
+    """Rows (path, content, error) of all files.  Where content is null error says why: a file can't be
+    read, or has more than ``limit`` bytes and goes by ranges (``read_ranges``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, root, size in zip(*(batch.column(c).to_pylist() for c in ("path", "root", "size")), strict=True):
+                content = error = None
+                if size > limit:
+                    error = f"more than {limit} bytes"
+                else:
+                    try:
+                        with open(os.path.join(to_name(root), to_name(path)), "rb") as f:
+                            content = f.read()
+                    except (OSError, ValueError) as e:
+                        error = f"{type(e).__name__}: {getattr(e, 'strerror', None) or e}"
+                cols = [pa.array([path], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, ["path", "content", "error"])
+
+    return manifest.filter("kind = 'file'").select("path", "root", "size").mapInArrow(run, "path string, content binary, error string")
 
 
 def read_ranges(ranges: DataFrame, root: str) -> DataFrame:
-    """Rows (path, off, len, content) of (path, off, len)."""
+    """Rows (path, off, len, content) of (path, off, len); content is null where it can't be read."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, off, n in zip(part["path"], part["off"], part["len"], strict=True):
-                with open(os.path.join(root, to_name(path)), "rb") as f:
-                    f.seek(off)
-                    yield pd.DataFrame({"path": [path], "off": [off], "len": [n], "content": [f.read(n)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (path, off, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "off", "len")), strict=True)):
+                content = None
+                try:
+                    with open(os.path.join(root, to_name(path)), "rb") as f:
+                        f.seek(off)
+                        content = f.read(n)
+                except (OSError, ValueError):
+                    pass
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([content], pa.binary())], ["path", "off", "len", "content"])
 
-    return ranges.select("path", "off", "len").mapInPandas(run, "path string, off bigint, len bigint, content binary")
+    return ranges.select("path", "off", "len").mapInArrow(run, "path string, off bigint, len bigint, content binary")
 
 
 def tree_digests(manifest: DataFrame, root: str, stride: int = CONTENT_LIMIT) -> DataFrame:
     """Rows (path, digest): SHA-256 of the content; of files over ``stride``, of the list of their
-    ranges' digests.  Both sides of a comparison must use one stride."""
+    ranges' digests; null where content can't be read.  Both sides of a comparison must use one stride."""
     from treeline.plans.planning import split_ranges
 
-    whole = read_content(manifest, stride).select("path", F.sha2("content", 256).alias("digest"))
+    whole = read_content(manifest.filter(F.col("size") <= stride), stride).select("path", F.sha2("content", 256).alias("digest"))
     big = manifest.filter((F.col("kind") == "file") & (F.col("size") > stride))
     parts = read_ranges(split_ranges(big, stride, 0), root).select("path", "off", F.sha2("content", 256).alias("d"))
-    ranged = parts.groupBy("path").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    listed = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("off", "d"))), lambda x: x["d"]), ""), 256)
+    ranged = parts.groupBy("path").agg(F.when(F.count("d") == F.count("*"), listed).alias("digest"))
     return whole.unionByName(ranged)
 
 
