@@ -307,3 +307,26 @@ def test_line_removal_is_linear(spark):
     began = time.time()
     got = line_dedup.line_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
     assert sorted(len(r.text_without_runs) for r in got) == [0, len(text)] and time.time() - began < 60
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_jaccard_join_dense_and_split_nodes(spark, threshold):
+    """A large group of near copies (united, in blocks) and a passage in many texts (split)."""
+    rng = random.Random(12)
+    base, passage = [f"b{i}" for i in range(90)], [f"p{i}" for i in range(40)]
+    rows = []
+    for k in range(500):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(90)] = f"edit {rng.random()}"
+        rows.append((k, " ".join(w)))
+    for k in range(500, 800):
+        own = [f"{k}-{i}" for i in range(40)]
+        rows.append((k, " ".join(own[:20] + passage + own[20:])))
+        if k % 5 == 0:
+            rows.append((k + 1000, " ".join(own[:20] + passage + own[20:] + ["more"])))
+    want = brute_join(rows, threshold)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, NULLS), threshold=threshold, bucket=50, block=200).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] <= want[k][1] for k in want)
+    assert sum(v[1] for v in got.values()) >= jaccard_join.RECALL * sum(v[1] for v in want.values())

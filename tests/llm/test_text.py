@@ -220,3 +220,16 @@ def test_toxicity_learns_from_all_toxic_rows():
     machine = toxicity.fit(clean + early + late, [0] * 600 + [1] * (len(early) + len(late)))
     early_word, late_word = machine.words(["grobnik", "zwaffel"])
     assert late_word > 0.5 * early_word > 0
+
+
+def test_tree_dealt_to_several_automata(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    df = spark.createDataFrame([(k, t, "w") for k, t in enumerate(texts)], "word long, text string, _row string")
+    one = suffix_tree.train(df, min_count=30)
+    many = suffix_tree.Tree(one.rows, one.depth, 4)
+    assert many.scores(texts[:20]) == pytest.approx(one.scores(texts[:20]), rel=1e-6)
+    counts = suffix_tree.unigrams(df)
+    a, b = ({r.word: (r.score, r.base_score, r._row) for r in suffix_tree.score(df, m, counts, key="word", carry=("_row",)).collect()} for m in (one, many))
+    assert set(a) == set(b) == set(range(len(texts)))
+    assert all(a[k] == (pytest.approx(b[k][0]), pytest.approx(b[k][1]), "w") for k in a)
+    assert one.rows.select("d", "ctx").distinct().count() < suffix_tree.train(df, min_count=5).rows.select("d", "ctx").distinct().count()

@@ -3,10 +3,9 @@
 A text is the byte sequence of its words (ASCII lower case, joined by one space) and an end symbol.
 The tree holds contexts of up to DEPTH bytes, across words.  Training:
 
-1. Tasks count all windows of DEPTH + 1 bytes of the training texts; Spark sums them up, and
-   shorter windows are sums of these.
-2. A context is a candidate if it makes up at least P_MIN of all positions, so there are at most
-   DEPTH / P_MIN of them, whatever the corpus; that bounds what is broadcast.
+1. Tasks count all windows of DEPTH + 1 bytes of the training texts, and Spark sums them up; shorter
+   windows are sums of these.
+2. A context seen MIN_COUNT times or more is a candidate, so their number grows with the corpus.
 3. Divergence test: a context stays if the information that it adds over its suffix, its count times
    the Kullback-Leibler divergence of the two next-symbol distributions, exceeds the cost of
    describing it, half its number of next symbols times the log of all positions.  Suffixes of what
@@ -16,10 +15,13 @@ The tree holds contexts of up to DEPTH bytes, across words.  Training:
 
 Scoring walks an automaton whose state is the longest suffix of the history among the contexts, many
 stretches of text at a time; each stretch is led in by the DEPTH bytes before it, which fix its state.
+The tree is a written table.  It is dealt to as many automata as keep each under SHARD_BYTES, by the
+last two bytes of the contexts: a position is scored by the automaton of the two bytes before it, which
+has all contexts that end so.  Each is sent to the tasks on its own, and texts are read once for each.
 
-``unigrams`` is the smoothed word baseline.  Words of at least 1 / HEAVY of all tokens (at most
-HEAVY words) are looked up in each task; all others go through a join on the word, so neither the
-vocabulary nor a frequent word lands in one place.
+``unigrams`` is the smoothed word baseline.  The most frequent words, at most HEAVY (all those above
+some power of two), are looked up in each task; all others go through a join on the word, so neither
+the vocabulary nor a frequent word lands in one place.
 
 Null text counts as empty: the end symbol alone.  Rows are scored one by one, repeated ones too.
 Without a training text all 256 bytes are alike, and the baseline has no known token.  Only key and
@@ -35,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,9 @@ from treeline.llm.bpe import slices
 from treeline.llm.common import written
 
 DEPTH = 6  # depth + 1 bytes make a code of 56 bits
-P_MIN = 1e-5
-HEAVY = 100_000
+MIN_COUNT = 100
+SHARD_BYTES = 192_000_000
+HEAVY = 200_000
 STRETCH = 512
 END = b"\n"  # never part of a word
 _FLUSH = 300_000
@@ -98,90 +101,138 @@ def count_windows(df: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
 
 @dataclass(frozen=True)
 class Automaton:
-    """next and logp (log10) by state * width + symbol; symbol: by byte, others share one."""
+    """next and logp (log10) by state * width + symbol; symbol: by byte, others share one.  owns: by
+    the two bytes before a position, whether this automaton scores it (none: all positions)."""
 
     depth: int
     width: int
     symbol: np.ndarray
     next: np.ndarray
     logp: np.ndarray
+    owns: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """log10 probability of each text."""
+        """log10 probability of each text (of the positions that are owned)."""
         seqs = [symbols(t) for t in texts]
-        lead, d = self.symbol[np.frombuffer(END * self.depth, "u1")], self.depth
+        d = self.depth
         none = self.width - 1  # probability 1, for places behind a text's end
-        rows, owner = [], []
+        rows, owner, raw = [], [], []
         for k, s in enumerate(seqs):
-            x = np.concatenate([lead, self.symbol[np.frombuffer(s, "u1")]])
+            x = np.frombuffer(END * d + s, "u1")
             n = -(-len(s) // STRETCH)
-            padded = np.full(n * STRETCH + d, none, x.dtype)
-            padded[: len(x)] = x
+            padded = np.full(n * STRETCH + d, none, self.symbol.dtype)
+            padded[: len(x)] = self.symbol[x]
             rows.append(np.lib.stride_tricks.sliding_window_view(padded, STRETCH + d)[::STRETCH])
             owner += [k] * n
+            if self.owns is not None:
+                padded = np.zeros(n * STRETCH + d, "i4")
+                padded[: len(x)] = x
+                raw.append(np.lib.stride_tricks.sliding_window_view(padded, STRETCH + d)[::STRETCH])
         if not rows:
             return np.zeros(0)
         steps = np.ascontiguousarray(np.concatenate(rows).T)
+        bytes_ = np.ascontiguousarray(np.concatenate(raw).T) if raw else None
         state, total = np.zeros(steps.shape[1], "i8"), np.zeros(steps.shape[1])
         for t, sym in enumerate(steps):
             at = state * self.width + sym
             if t >= d:
-                total += self.logp[at]
+                total += self.logp[at] if bytes_ is None else self.logp[at] * self.owns[bytes_[t - 2] * 256 + bytes_[t - 1]]
             state = self.next[at].astype("i8")
         return np.bincount(owner, total, len(seqs))
 
 
-def build(rows: list[tuple[int, int, int, int]], depth: int) -> Automaton:
-    """rows: (d, context code, next byte, n) of the contexts that stay, the root (d = 0) included."""
-    seen = sorted({a for _, _, a, _ in rows})
-    col = {a: k for k, a in enumerate(seen)}
+def _place(level: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the codes are in a sorted level, and whether they are."""
+    at = np.minimum(np.searchsorted(level, codes), max(len(level) - 1, 0))
+    return at, level[at] == codes if len(level) else np.zeros(len(codes), bool)
+
+
+def build(d: np.ndarray, ctx: np.ndarray, a: np.ndarray, n: np.ndarray, depth: int, owns: np.ndarray | None = None) -> Automaton:
+    """From the contexts that stay (depth, code, next byte, count), the root (depth 0) included."""
+    seen = np.unique(a)
     width = len(seen) + 2  # any other byte; no byte
     symbol = np.full(256, len(seen), "u1" if width < 256 else "u2")
-    symbol[seen] = range(len(seen))
-    counts: dict[bytes, dict[int, int]] = {b"": {}}
-    for d, code, a, n in rows:
-        counts.setdefault(code.to_bytes(d, "big"), {})[col[a]] = n
-    dist: dict[bytes, np.ndarray] = {}
-    for ctx in sorted(counts, key=len):
-        up = dist[ctx[1:]] if ctx else np.full(len(seen) + 1, 1 / 256)
-        c = counts[ctx]
-        n, kinds = sum(c.values()), len(c)
-        p = up * (kinds / (n + kinds)) if n else up.copy()
-        for k, v in c.items():
-            p[k] += v / (n + kinds)
-        dist[ctx] = p
-    # All prefixes of contexts are states; a state's distribution is that of its longest context.
-    states = sorted({c[:k] for c in counts for k in range(len(c) + 1)}, key=lambda s: (len(s), s))
-    number = {s: k for k, s in enumerate(states)}
-    nexts = np.zeros((len(states), width), "i4")
-    logp = np.zeros((len(states), width), "f4")
-    longest: dict[bytes, bytes] = {}
-    for k, s in enumerate(states):
-        own = s
-        while own not in dist:
-            own = own[1:]
-        logp[k, :-1] = np.log10(dist[own])
-        if s:
-            up = s[1:]
-            while up not in number:
-                up = up[1:]
-            nexts[k] = nexts[number[up]]  # shorter, so done, but for its own children
-            longest[s] = up
-    for s in states:  # by length: a state's suffix has its children before the state gets its own
-        if s:
-            nexts[number[s]] = nexts[number[longest[s]]]
-        for a in seen:
-            child = number.get(s + bytes([a]))
-            if child is not None:
-                nexts[number[s], col[a]] = child
-    return Automaton(depth, width, symbol, nexts.ravel(), logp.ravel())
-
-
-def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float = P_MIN) -> Automaton:
+    symbol[seen] = np.arange(len(seen))
+    contexts = [np.unique(ctx[d == k]) for k in range(depth + 1)]
+    contexts[0] = np.zeros(1, "i8")
+    # All prefixes of contexts are states, level by level.
+    states = list(contexts)
+    for k in range(depth - 1, -1, -1):
+        states[k] = np.union1d(states[k], states[k + 1] >> 8)
+    first = np.cumsum([0, *map(len, states)])
+    nexts, logp = np.zeros((first[-1], width), "i4"), np.zeros((first[-1], width), "f4")
+    p = np.full((1, width - 1), 1 / 256, "f4")
+    for k, level in enumerate(states):
+        if not len(level):
+            break
+        own = slice(first[k], first[k + 1])
+        if k:  # the longest proper suffix that is a state
+            link = np.zeros(len(level), "i8")
+            for j in range(1, k):
+                at, found = _place(states[j], level & ((1 << 8 * j) - 1))
+                link[found] = first[j] + at[found]
+            nexts[own], logp[own] = nexts[link], logp[link]
+        if len(contexts[k]):
+            up = p[_place(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1))[0]] if k else p
+            here = d == k
+            row, count = np.searchsorted(contexts[k], ctx[here]), n[here]
+            kinds = np.bincount(row, minlength=len(contexts[k]))
+            total = np.bincount(row, count, len(contexts[k])) + kinds
+            p = up if k else up.copy()
+            p *= np.where(total > 0, kinds / np.maximum(total, 1), 1.0).astype("f4")[:, None]
+            p[row, symbol[a[here]]] += (count / total[row]).astype("f4")
+            # Of other states the distribution is that of the longest context, their suffix's.
+            logp[first[k] + np.searchsorted(level, contexts[k]), :-1] = np.log10(p)
+        if k < depth and len(states[k + 1]):
+            parent = np.searchsorted(level, states[k + 1] >> 8)
+            nexts[first[k] + parent, symbol[states[k + 1] & 255]] = first[k + 1] + np.arange(len(states[k + 1]))
+    return Automaton(depth, width, symbol, nexts.ravel(), logp.ravel(), owns)
+
+
+class Shard:
+    """Contexts as arrays, which is what is sent; a worker builds the automaton from them when it
+    first scores."""
+
+    def __init__(self, d: np.ndarray, ctx: np.ndarray, a: np.ndarray, n: np.ndarray, depth: int, owns: np.ndarray | None):
+        self.given, self.built = (d.astype("i1"), ctx, a.astype("u1"), n, depth, owns), None
+
+    def __getstate__(self) -> dict:
+        return {"given": self.given, "built": None}
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.built is None:
+            d, ctx, a, n, depth, owns = self.given
+            self.built = build(d, ctx, a, n, depth, owns)
+        return self.built.scores(texts)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """The contexts that stay, a written table (d, ctx, a, n), dealt to so many automata."""
+
+    rows: DataFrame
+    depth: int
+    shards: int
+
+    def automaton(self, shard: int) -> Shard:
+        owner = F.pmod(F.hash(F.col("ctx").bitwiseAND(F.lit(0xFFFF))), F.lit(self.shards))
+        got = self.rows.filter((F.col("d") < 2) | (owner == shard)).toArrow()
+        owns = None
+        if self.shards > 1:
+            pairs = self.rows.sparkSession.range(1 << 16).select("id", F.pmod(F.hash("id"), F.lit(self.shards)).alias("shard")).toArrow()
+            owns = np.zeros(1 << 16, bool)
+            owns[pairs["id"].to_numpy()] = pairs["shard"].to_numpy() == shard
+        return Shard(*(got[c].to_numpy() for c in ("d", "ctx", "a", "n")), self.depth, owns)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return sum(self.automaton(k).scores(texts) for k in range(self.shards))
+
+
+def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float = 0.0, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> Tree:
+    """Learns from all rows.  A candidate is a context seen min_count times or more (and in p_min of
+    all positions, where that is asked for)."""
     windows = written(count_windows(df, text, depth))
-    total = windows.agg(F.sum("n")).first()[0]
-    if not total:
-        return build([], depth)
+    total = windows.agg(F.sum("n")).first()[0] or 0
     cut = F.col("code").bitwiseAND(F.expr("shiftleft(1L, 8 * (d + 1)) - 1"))
     levels = (
         windows.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth))))
@@ -189,8 +240,8 @@ def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float =
         .agg(F.sum("n").alias("n"))
         .select("d", F.shiftright("code", 8).alias("ctx"), F.col("code").bitwiseAND(F.lit(255)).alias("a"), "n")
     )
-    totals = levels.groupBy("d", "ctx").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter(F.col("all") >= max(1.0, p_min * total))
-    known = written(levels.join(totals, ["d", "ctx"]))
+    often = levels.groupBy("d", "ctx").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    known = written(levels.join(often.filter((F.col("all") >= max(min_count, p_min * total)) | (F.col("d") == 0)), ["d", "ctx"]))
     up = known.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("up"), "a", F.col("n").alias("up_n"), F.col("all").alias("up_all"))
     gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / (F.col("up_n") / F.col("up_all"))))
     stay = (
@@ -201,13 +252,13 @@ def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float =
         .agg(gain.alias("gain"))
         .filter(F.col("gain") > F.col("kinds") * (0.5 * math.log(total + 1)))
     )
-    suffixes = stay.select(F.explode(F.sequence(F.lit(0), "d")).alias("k"), "ctx").select(
-        F.col("k").alias("d"), F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 8 * k) - 1")).alias("ctx")
+    suffixes = stay.select(F.explode(F.sequence(F.lit(1), "d")).alias("d"), "ctx").select(
+        "d", F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 8 * d) - 1")).alias("ctx")
     )
-    root = df.sparkSession.range(1).select(F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("ctx"))
-    model = known.join(suffixes.unionByName(root).distinct(), ["d", "ctx"], "left_semi").select("d", "ctx", "a", "n")
-    columns = model.toArrow()  # at most depth / p_min contexts
-    return build([*zip(*(columns[c].to_pylist() for c in ("d", "ctx", "a", "n")), strict=True)], depth)
+    kept = known.filter("d > 0").join(suffixes.distinct(), ["d", "ctx"], "left_semi").unionByName(known.filter("d = 0"))
+    rows = written(kept.select("d", "ctx", F.col("a").cast("int").alias("a"), "n"))
+    contexts, width = rows.agg(F.count_distinct("d", "ctx"), F.count_distinct("a")).first()
+    return Tree(rows, depth, max(1, math.ceil(contexts * (width + 2) * 8 / shard_bytes)))
 
 
 def unigrams(df: DataFrame, text: str = "text") -> DataFrame:
@@ -231,28 +282,38 @@ def unigrams(df: DataFrame, text: str = "text") -> DataFrame:
     return _texts(df, text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(df: DataFrame, model: Automaton, counts: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def score(df: DataFrame, model: Tree, counts: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows (key, carry..., n_tokens, n_known, train_tokens, base_score, score)."""
-    spark = df.sparkSession
+    spark, names = df.sparkSession, [key, *carry]
+    own = [f"_own{k}" for k in range(len(names))]  # so that no name can clash
+    plain = df.select(
+        F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(o) for c, o in zip(names, own, strict=True)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
+    )
+    if model.shards > 1:  # texts are read once for each automaton: fix their numbers
+        plain = written(plain)
     all_tokens, kinds = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    heavy_from = max(1, -(-all_tokens // HEAVY))
     log_all = math.log10(all_tokens + 0.1 * (kinds + 1))
-    # At most HEAVY rows, since each has that part of all tokens.
-    heavy = {r["word"].encode(): math.log10(r["n"] + 0.1) - log_all for r in counts.filter(F.col("n") >= heavy_from).collect()}
-    shared = spark.sparkContext.broadcast((model, heavy))
+    # The lowest power of two that no more than HEAVY words reach.
+    heavy_from, words = 1, 0
+    power = F.floor(F.log2("n")).cast("int").alias("power")
+    for r in counts.groupBy(power).count().orderBy(F.desc("power")).collect():  # 63 rows at most
+        words += r["count"]
+        if words > HEAVY:
+            heavy_from = 1 << r["power"] + 1
+            break
+    often = counts.filter(F.col("n") >= heavy_from).toArrow()
+    heavy = dict(zip((w.encode() for w in often["word"].to_pylist()), (np.log10(often["n"].to_numpy() + 0.1) - log_all).tolist(), strict=True))
+    shared = spark.sparkContext.broadcast((model.automaton(0), heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, heavy = shared.value
-        part, row, get = TaskContext.get().partitionId(), 0, shared.value[1].get
+        automaton, heavy = shared.value
         for whole in batches:
-            for batch in slices(whole, "text", 1_000_000):
-                texts = batch.column("text").to_pylist()
-                ids = [(part << 40) + row + k for k in range(len(texts))]
-                row += len(texts)
+            for batch in slices(whole, "_text", 1_000_000):
+                texts, ids = batch.column("_text").to_pylist(), batch.column("_row").to_pylist()
                 n, known, base, owner, words, times = [], [], [], [], [], []
                 for i, t in zip(ids, texts, strict=True):
                     toks = tokens(t)
-                    got = [*map(get, toks)]
+                    got = [*map(heavy.get, toks)]
                     rest = Counter([w for w, g in zip(toks, got, strict=True) if g is None]) if None in got else {}
                     found = [g for g in got if g is not None]
                     n.append(len(toks))
@@ -268,31 +329,48 @@ def score(df: DataFrame, model: Automaton, counts: DataFrame, key: str = "doc_id
                     pa.concat_arrays([pa.array([b"\n%d" % i for i in ids], pa.binary()), pa.array(words, pa.binary())]).cast(pa.string()),
                     pa.array(ids + owner, pa.int64()),
                     pa.array([0] * m + times, pa.int64()),
-                    *(pa.concat_arrays([batch.column(c), pa.nulls(w, batch.column(c).type)]) for c in (key, *carry)),
+                    *(pa.concat_arrays([batch.column(c), pa.nulls(w, batch.column(c).type)]) for c in own),
                     pa.concat_arrays([pa.array(n, pa.int64()), none]),
                     pa.concat_arrays([pa.array(known, pa.int64()), none]),
                     pa.concat_arrays([pa.array(base, pa.float64()), pa.nulls(w, pa.float64())]),
-                    pa.concat_arrays([pa.array(model.scores(texts), pa.float64()), pa.nulls(w, pa.float64())]),
+                    pa.concat_arrays([pa.array(automaton.scores(texts), pa.float64()), pa.nulls(w, pa.float64())]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, ["word", "row", "times", key, *carry, "n_tokens", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays(cols, ["word", "_row", "_times", *own, "_tokens", "_known", "_base", "_score"])
 
     kinds_of = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = f"word string, row bigint, times bigint, {', '.join(f'`{c}` {kinds_of[c]}' for c in (key, *carry))}, n_tokens bigint, known bigint, base double, score double"
-    plain = df.select(key, *carry, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rare = counts.filter(F.col("n") < heavy_from)
-    joined = plain.mapInArrow(run, schema).join(rare, "word", "left")
+    schema = f"word string, _row bigint, _times bigint, {', '.join(f'{o} {kinds_of[c]}' for c, o in zip(names, own, strict=True))}, _tokens bigint, _known bigint, _base double, _score double"
+    joined = plain.mapInArrow(run, schema).join(counts.filter(F.col("n") < heavy_from), "word", "left")
     had = F.coalesce("n", F.lit(0))
-    by_word = F.sum(F.when(F.col("times") > 0, F.col("times") * (F.log10(had + 0.1) - F.lit(log_all))).otherwise(0.0))
-    known_words = F.sum(F.when(had > 0, F.col("times")).otherwise(0))
-    return (
-        joined.groupBy("row")
-        .agg(
-            *[F.first(c, ignorenulls=True).alias(c) for c in (key, *carry)],
-            F.max("n_tokens").alias("n_tokens"),
-            (F.max("known") + known_words).alias("n_known"),
-            F.lit(all_tokens).cast("bigint").alias("train_tokens"),
-            (F.max("base") + by_word).alias("base_score"),
-            F.max("score").alias("score"),
-        )
-        .drop("row")
+    by_word = F.sum(F.when(F.col("_times") > 0, F.col("_times") * (F.log10(had + 0.1) - F.lit(log_all))).otherwise(0.0))
+    out = joined.groupBy("_row").agg(
+        *[F.first(o, ignorenulls=True).alias(o) for o in own],
+        F.max("_tokens").alias("_tokens"),
+        (F.max("_known") + F.sum(F.when(had > 0, F.col("_times")).otherwise(0))).alias("_known"),
+        (F.max("_base") + by_word).alias("_base"),
+        F.max("_score").alias("_score"),
     )
+    more = None
+    for k in range(1, model.shards):
+        part = _scored(plain, spark.sparkContext.broadcast(model.automaton(k)))
+        more = part if more is None else more.unionByName(part)
+    if more is not None:
+        out = out.join(more.groupBy("_row").agg(F.sum("_more").alias("_more")), "_row").withColumn("_score", F.col("_score") + F.col("_more"))
+    return out.select(
+        *[F.col(o).alias(c) for c, o in zip(names, own, strict=True)],
+        F.col("_tokens").alias("n_tokens"),
+        F.col("_known").alias("n_known"),
+        F.lit(all_tokens).cast("bigint").alias("train_tokens"),
+        F.col("_base").alias("base_score"),
+        F.col("_score").alias("score"),
+    )
+
+
+def _scored(plain: DataFrame, automaton: Broadcast[Shard]) -> DataFrame:
+    """Rows (_row, _more): what one automaton adds to each text's score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text", 1_000_000):
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(automaton.value.scores(batch.column("_text").to_pylist()))], ["_row", "_more"])
+
+    return plain.select("_row", "_text").mapInArrow(run, "_row bigint, _more double")
