@@ -96,19 +96,27 @@ def block_contents(content: DataFrame, block: int) -> DataFrame:
 def block_signatures(content: DataFrame, block: int) -> DataFrame:
     """Rows (path, block, off, len, weak, strong) of (path, content)."""
 
+    def signed(batch: pa.RecordBatch, row: list[int], number: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+        size, k = np.fromiter(map(len, pieces), "i8", len(pieces)), np.array(number, "i8")
+        strong = pa.array([hashlib.sha256(x).hexdigest() for x in pieces], pa.string())
+        cols = [pa.array(k), pa.array(k * block), pa.array(size), pa.array(weak_of(pieces)), strong]
+        return pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row, pa.int32())), *cols], ["path", "block", "off", "len", "weak", "strong"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column("path")
+            row, number, pieces = [], [], []
             for k in range(batch.num_rows):
-                data = batch.column("content")[k].as_buffer()
-                data = b"" if data is None else data.to_pybytes()
+                data = batch.column("content")[k].as_py() or b""
                 for first in range(0, len(data), block * SIGNED):
-                    pieces = [data[o : o + block] for o in range(first, min(first + block * SIGNED, len(data)), block)]
-                    number = np.arange(len(pieces)) + first // block
-                    strong = [hashlib.sha256(x).hexdigest() for x in pieces]
-                    size = np.fromiter(map(len, pieces), "i8", len(pieces))
-                    cols = [pa.array(number), pa.array(number * block), pa.array(size), pa.array(weak_of(pieces)), pa.array(strong)]
-                    yield pa.RecordBatch.from_arrays([paths.take(pa.array([k] * len(pieces), pa.int32())), *cols], ["path", "block", "off", "len", "weak", "strong"])
+                    own = [data[o : o + block] for o in range(first, min(first + block * SIGNED, len(data)), block)]
+                    row += [k] * len(own)
+                    number += range(first // block, first // block + len(own))
+                    pieces += own
+                    if len(pieces) >= SIGNED:
+                        yield signed(batch, row, number, pieces)
+                        row, number, pieces = [], [], []
+            if pieces:
+                yield signed(batch, row, number, pieces)
 
     return content.select("path", "content").mapInArrow(run, "path string, block bigint, off bigint, len bigint, weak bigint, strong string")
 
