@@ -149,15 +149,13 @@ def repeated(rows: DataFrame, dealt_texts: DataFrame) -> DataFrame:
     pairs = F.struct("first", "last", "digest", "salts", "chunk_head", "run_head", "chunk_other", "run_other")
     want = some.groupBy("row").agg(F.collect_list(pairs).alias("pairs"))
     spread = _bodies(dealt_texts.join(want, "row")).withColumn("salt", F.explode("salts")).drop("salts")
-    gone = None
-    for k in ("chunk", "run"):
-        one = spread.filter(f"{k}_head").select("digest", "salt", F.col("body").alias("first_body"))
-        # A pair that is first in one way and not in the other is in all salts: one counts.
-        other = spread.filter(f"{k}_other").select("row", "first", "last", "digest", "salt", "body")
-        same = other.join(one, ["digest", "salt"]).filter(F.col("body") == F.col("first_body")).select("row", F.lit(k).alias("kind"), F.struct("first", "last").alias("pair"))
-        gone = same if gone is None else gone.unionByName(same)
-    of = lambda k: F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("pair"))))
-    return gone.groupBy("row").agg(of("chunk").alias("chunks"), of("run").alias("runs"))
+    # A digest has one first occurrence among chunks and one among runs, perhaps the same.
+    one = spread.filter("chunk_head or run_head").select("digest", "salt", F.col("body").alias("first_body"), F.col("chunk_head").alias("of_chunk"), F.col("run_head").alias("of_run"))
+    other = spread.filter("chunk_other or run_other").select("row", "first", "last", "digest", "salt", "body", "chunk_other", "run_other")
+    same = other.join(one, ["digest", "salt"]).filter(F.col("body") == F.col("first_body"))
+    pair = F.struct("first", "last")
+    of = lambda k: F.sort_array(F.collect_set(F.when(F.col(f"{k}_other") & F.col(f"of_{k}"), pair)))
+    return same.groupBy("row").agg(of("chunk").alias("chunks"), of("run").alias("runs"))
 
 
 def _without(lines: list[str], spans: list[dict]) -> list[str]:
