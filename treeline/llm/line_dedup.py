@@ -125,11 +125,12 @@ def repeated(rows: DataFrame, dealt_texts: DataFrame) -> DataFrame:
     of (first, last).  dealt_texts: (row, text) dealt out by row."""
     found = written(pair_table(rows))
     order = rows.select("row", F.col("key").isNull().alias("no_key"), "key")
-    # Only digests that occur twice need the keys of their rows.
-    twice = found.groupBy("digest").agg(F.count_if("is_chunk").alias("n_chunk"), F.count_if("is_run").alias("n_run")).filter("n_chunk > 1 or n_run > 1")
+    # Only digests that occur twice need the keys of their rows.  Both sides of the joins by digest are
+    # tables, so AQE can split the partition of a digest that is in very many rows.
+    twice = written(found.groupBy("digest").agg(F.count_if("is_chunk").alias("n_chunk"), F.count_if("is_run").alias("n_run")).filter("n_chunk > 1 or n_run > 1"))
     hits = written(found.join(twice, "digest").join(order, "row"))
     place = F.struct("no_key", "key", "row", "first")
-    heads = hits.groupBy("digest").agg(F.min(F.when(F.col("is_chunk"), place)).alias("chunk_at"), F.min(F.when(F.col("is_run"), place)).alias("run_at"))
+    heads = written(hits.groupBy("digest").agg(F.min(F.when(F.col("is_chunk"), place)).alias("chunk_at"), F.min(F.when(F.col("is_run"), place)).alias("run_at")))
 
     def is_head(at: str) -> F.Column:
         return F.coalesce((F.col("row") == F.col(f"{at}.row")) & (F.col("first") == F.col(f"{at}.first")), F.lit(False))
@@ -177,8 +178,9 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     own = dict(zip(df.columns, names, strict=True))
     held = written(df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()]).withColumn(own[text], F.col(own[text]).cast("string")).withColumn("row", F.monotonically_increasing_id()))
     rows = held.select("row", F.col(own[key]).alias("key"), F.coalesce(own[text], F.lit("")).alias("text"))
-    # Both joins of the texts start from one exchange.
-    dealt = held.repartition("row")
+    # Both joins of the texts start from one exchange; it stays one as long as both are inner joins of
+    # the same columns, so other columns come by a join of their own.
+    dealt = held.select("row", own[text]).repartition("row")
     gone = repeated(rows, dealt.select("row", F.coalesce(own[text], F.lit("")).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,5 +202,5 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     kinds = (T.LongType(), T.LongType(), T.LongType(), _SPANS, T.LongType(), T.StringType())
     schema = T.StructType([*(held.schema[n] for n in names), *(T.StructField(c, k) for c, k in zip(OUTPUTS, kinds, strict=True))])
-    out = dealt.join(gone, "row", "left").drop("row").mapInArrow(run, schema)
+    out = dealt.join(held.drop(own[text]), "row").join(gone, "row", "left").drop("row").mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in own.items()], *OUTPUTS)
