@@ -26,16 +26,16 @@ _LOG = """select concat('[',cast(event_id as string),'] ', case event_type
   when 'purchase' then concat('DONE files=',cast(user_id as string),' bytes=',cast(event_id*10 as string),' seconds=1.500')
   else concat('COPY src=/s/',cast(event_id as string),' dst=/d/',cast(event_id as string),' bytes=',cast(event_id*7 as string)) end) line
 from {events}"""
-_KINDS = """select concat(lower(replace(r_name,' ','_')),'/',lower(replace(n_name,' ','_')),'/keep') path,
-       case n_nationkey%3 when 0 then 'dir' when 1 then 'symlink' else 'file' end kind,
-       case n_nationkey%3 when 1 then '../../latest' end link_target
-from {nation} join {region} on n_regionkey=r_regionkey"""
+_KINDS = """select concat(source,'/',lang,'/',cast(doc_id as string)) path,
+       case doc_id%3 when 0 then 'dir' when 1 then 'symlink' else 'file' end kind,
+       case when doc_id%6 = 1 then '../../latest' when doc_id%6 = 4 then concat('../',lang) end link_target
+from {documents}"""
 _RESULTS = """select concat('u',cast(user_id as string),'/',cast(event_id as string)) path, 'copy' action, event_type <> 'error' ok,
        case when event_type <> 'error' then event_id*7 else 0 end bytes, case when event_type = 'error' then 'denied' end error,
        cast(user_id % 8 as double) / 4 as seconds from {events}"""
 
 _TEXTS = {"m_src": _SRC, "m_dst": _DST, "m_big": _BIG, "endpoints": _ENDPOINTS, "log_lines": _LOG, "m_kinds": _KINDS, "results": _RESULTS}
-_TABLES = ("documents", "lineitem", "pages", "events", "nation", "region")
+_TABLES = ("documents", "lineitem", "pages", "events")
 
 
 def manifest(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -105,6 +105,8 @@ _on("f3_size_between", "m_src", "select path, size from m_src where size between
 _on("f4_glob_match", "m_src", "select path, true a, contains(path,'/e') b, ends_with(path,'3.txt') c, starts_with(path,'src2') d, path = 'src*1' e from m_src",
     lambda m: m.select("path", *[filters.glob_match(F.col("path"), p).alias(n) for n, p in zip("abcde", ("*", "*/e*", "*3.txt", "src2*", "src*1"), strict=True)]))
 _on("f5_link_policy", "m_kinds", "select path, kind from m_kinds where kind <> 'symlink'", lambda m: filters.link_policy(m, drop_links=True).select("path", "kind"))
+_on("f5_dir_links", "m_kinds", "select path, kind from m_kinds where kind <> 'symlink' or link_target = '../../latest'",
+    lambda m: filters.link_policy(m, drop_dir_links=True).select("path", "kind"))
 _on("f6_empty_dirs", "m_kinds", "select path from m_kinds where kind <> 'dir'", lambda m: filters.empty_dirs(m, include=False).select("path"))
 _on("f7_files_only", "m_kinds", "select path from m_kinds where kind = 'file'", lambda m: filters.files_only(m).select("path"))
 _pair("f8_need_membership", "select path from m_src where path in (select path from m_dst where size > 1000)",
@@ -202,12 +204,13 @@ _pair("a11_distinct_keys", "select path from m_src union select path from m_dst"
 
 
 def _bundled(m: DataFrame) -> DataFrame:
-    return planning.assign_bundles(m.select("path", "size"), 50_000, 8)
+    return planning.assign_bundles(m.select("path", "size"), 50_000, planning.buckets_for(m, 1000, 1_000_000))
 
 
 _BUNDLED = """select path, size, bucket, cast((upto - size)//50000 as bigint) bundle_id from (
     select path, size, bucket, sum(size) over (partition by bucket order by path rows unbounded preceding) upto
-    from (select path, size, cast('0x' || substr(md5(path),1,8) as bigint) % 8 bucket from m_src))"""
+    from (select path, size, cast('0x' || substr(md5(path),1,8) as bigint) % n bucket
+          from m_src, (select greatest(1, (count(*)+999)//1000, cast((sum(size)+999999)//1000000 as bigint)) n from m_src)))"""
 _on("a8_bundle_stats", "m_src", f"select bucket, bundle_id, count(*) files, cast(sum(size) as bigint) bytes from ({_BUNDLED}) group by bucket, bundle_id", lambda m: report.bundle_stats(_bundled(m)))
 _on("g1_assign_bundles", "m_src", _BUNDLED, lambda m: _bundled(m))
 _on("g2_should_bundle", "m_big", """select count(*) files, cast(sum(size)//count(*) as bigint) avg_size,
@@ -319,11 +322,11 @@ query("s3_scan_manifest", f"select path, 'file' kind from ({_FILES}) union all s
     lambda s, d: tree.scan_tree(s, _tree(s, d)).select("path", "kind"))
 query("s4_scan_filtered", f"select path, size from ({_FILES}) where path not like '%/fr/%' and path not like '%7.txt' and size >= 500")(
     lambda s, d: tree.scan_tree(s, _tree(s, d), filters.FilterSpec(("*7.txt",), ("fr",), 500), kinds=("file",)).select("path", "size"))
-_on("s5_list_dir", "m_kinds", "select '..' as name, true is_dir, false truncated union all select distinct split_part(path,'/',2), true, false from m_kinds where starts_with(path,'asia/')",
-    lambda m: tree.list_dir(m, "asia"))
-_on("s6_expand_tree", "m_kinds", "select path, kind from m_kinds where starts_with(path,'asia/')", lambda m: tree.expand_tree(m, "asia").select("path", "kind"))
-_on("s6_expand_edges", "m_kinds", "select path, kind from m_kinds where starts_with(path,'asia/') union select distinct 'asia/' || split_part(path,'/',2), 'dir' from m_kinds where starts_with(path,'asia/')",
-    lambda m: tree.expand_edges(tree.edges(m), "asia"))
+_on("s5_list_dir", "m_kinds", "select '..' as name, true is_dir, false truncated union all select distinct split_part(path,'/',2), true, false from m_kinds where starts_with(path,'src1/')",
+    lambda m: tree.list_dir(m, "src1"))
+_on("s6_expand_tree", "m_kinds", "select path, kind from m_kinds where starts_with(path,'src1/')", lambda m: tree.expand_tree(m, "src1").select("path", "kind"))
+_on("s6_expand_edges", "m_kinds", "select path, kind from m_kinds where starts_with(path,'src1/') union select distinct 'src1/' || split_part(path,'/',2), 'dir' from m_kinds where starts_with(path,'src1/')",
+    lambda m: tree.expand_edges(tree.edges(m), "src1"))
 query("s7_read_content", f"select {_NAMES} path, sha256(text) digest from documents")(
     lambda s, d: tree.read_content(tree.scan_tree(s, _tree(s, d))).select("path", F.sha2("content", 256).alias("digest")))
 query("s9_endpoint_column", _PARSED, "endpoints")(lambda s, d: _parsed(manifest(s, d, "endpoints")))
@@ -419,7 +422,8 @@ def _k11(s: SparkSession, d: str) -> DataFrame:
 
 def _packed(s: SparkSession, d: str) -> tuple[DataFrame, str]:
     root, out = _tree(s, d), new_folder(s, "bundles")
-    return stored(jobs.write_bundles(planning.assign_bundles(_plan(s, root), 100_000, 8), root, out)), out
+    plan = stored(_plan(s, root))
+    return stored(jobs.write_bundles(planning.assign_bundles(plan, 100_000, planning.buckets_for(plan, 1000, 1_000_000)), root, out)), out
 
 
 query("k12_write_bundles", f"select count(*) files, cast(sum(size) as bigint) bytes, 0 as errors from ({_FILES})")(
