@@ -316,7 +316,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for whole in batches:
-            for batch in slices(whole, "text", 8_000_000):
+            for batch in slices(whole, "text", 2_000_000):
                 ids, ends = bpe.cache.flat(batch.column("text"))
                 lists = pa.ListArray.from_arrays(np.r_[0, ends].astype("i4"), ids.view("<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "ids"])
@@ -331,7 +331,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = tokens_of(path).__getitem__
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             column = batch.column(ids)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy()
             out = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
