@@ -2,9 +2,10 @@
 
 Words are lower-cased, reduced to letters and digits and given border marks.  The kernel of two
 words is the inner product of their gapped subsequences of three characters (weight DECAY to the
-power of the span, spans up to SPAN) and of five (one gap at most), normalised; a gap or an inserted character lowers it a little.  The
-kernel of two sentences is the sum over their distinct words.  Single characters in a row
-("i d i o t") also count as the word they spell.
+power of the span, spans up to SPAN) and of five (one gap at most), normalised; a gap or an inserted
+character lowers it a little.  In words of more than STEM letters those of five count more, so that
+words of one stem are told from others.  The kernel of two sentences is the sum over their distinct
+words.  Single characters in a row ("i d i o t") also count as the word they spell.
 
 Training, on a bounded sample of labelled documents (``fit_rows`` of them at most, those with the
 smallest hash of their key, as far as ``fit_chars`` characters go; of rows that share a key one), from
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from treeline.llm.bpe import slices
 
 DECAY, SPAN, LONG = 0.6, 6, 24
-FIVE_WEIGHT = 0.3  # of five characters in a row, against DECAY ** 3 of three
+FIVE_WEIGHT, STEM_WEIGHT = 0.3, 1.0  # of five characters in a row, against DECAY ** 3 of three
+STEM = 6  # words of more letters take STEM_WEIGHT: by threes alone long words are alike by chance
 FIT_ROWS, FIT_CHARS = 5000, 100_000_000  # of labelled documents that the machine is fitted on, at most
 TYPICAL, FREQUENT = 300, 100  # landmarks
 CLEAN_SENTENCES = 3000  # of each round
@@ -84,12 +86,13 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k, w in enumerate(words):
         m[k, : len(w) + 2] = [_BORDER[0], *map(_code, w), _BORDER[1]]
     width = m.shape[1]
+    five = np.where(np.count_nonzero(m, axis=1) - 2 > STEM, STEM_WEIGHT, FIVE_WEIGHT).astype("f4")[:, None]
     codes, weights = [], []
     for a, b in _PATTERNS:
         n = width - a - b
         last = m[:, a + b :]
         codes.append(np.where(last > 0, m[:, :n] << 12 | m[:, a : a + n] << 6 | last, 0))
-        weights.append(np.full(n, DECAY ** (a + b + 1), "f4"))
+        weights.append(np.full((len(words), n), DECAY ** (a + b + 1), "f4"))
     for steps in _FIVE:
         span = sum(steps)
         n, x, at = width - span, m[:, : width - span], 0
@@ -98,9 +101,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             x = x * np.uint32(1_000_003) ^ m[:, at : at + n]
         x = (x ^ x >> 13) * np.uint32(0x9E3779B1) >> 14 | 1 << 18
         codes.append(np.where(m[:, span:] > 0, x, 0))
-        weights.append(np.full(n, FIVE_WEIGHT * DECAY ** (span - 4), "f4"))
+        weights.append(np.repeat(five * np.float32(DECAY ** (span - 4)), n, axis=1))
     code = np.concatenate(codes, axis=1)
-    weight = np.where(code > 0, np.concatenate(weights), np.float32(0))
+    weight = np.where(code > 0, np.concatenate(weights, axis=1), np.float32(0))
     return code, weight / np.sqrt(np.maximum((weight**2).sum(axis=1, keepdims=True), 1e-12))
 
 
