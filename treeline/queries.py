@@ -81,7 +81,7 @@ _on("p12_safe_path", "m_src", """select path, case when size%4 > 1 then case whe
     lambda m: m.select("path", paths.safe_path(F.expr(_ODD_SPARK)).alias("s")).select("path", F.col("s.path").alias("safe"), "s.reason"))
 _on("p13_clean_path", "m_src", "select path, case when size%4=2 then path||'/x' else path end as clean from m_src",
     lambda m: m.select("path", paths.clean_path(F.expr(_ODD_SPARK)).alias("clean")))
-_on("p14_is_under_root", "m_src", "select path, starts_with(path,'src1/') ok from m_src", lambda m: m.select("path", paths.is_under_root(F.col("path"), F.lit("src1")).alias("ok")))
+_on("p14_is_under_root", "m_src", "select path, starts_with(path,'src1/') ok from m_src", lambda m: m.select("path", paths.is_under_root(paths.normalize_path(F.concat(F.lit("src1/../"), F.col("path"), F.lit("/."))), F.lit("src1")).alias("ok")))
 _on("p15_normalize_path", "m_src", "select path, case when size%2=0 then '/'||path else '../'||path end normal from m_src",
     lambda m: m.select("path", paths.normalize_path(F.when(F.col("size") % 2 == 0, F.concat(F.lit("/x/../"), F.col("path"), F.lit("/./y/.."))).otherwise(F.concat(F.lit("../"), F.col("path")))).alias("normal")))
 _CLASS = "case when size < 1048576 then 'small' when size < 104857600 then 'medium' else 'large' end"
@@ -317,7 +317,20 @@ def _scan(s: SparkSession, root: str, **more) -> DataFrame:
 
 _FILES = f"select {_NAMES} path, cast(octet_length(encode(text)) as bigint) size, 1700000000+doc_id*60 mtime from documents"
 query("s1_scan_tree", _FILES)(lambda s, d: _scan(s, _tree(s, d), kinds=("file",)).select("path", "size", "mtime"))
-query("s2_scan_follow_links", f"select path, size from ({_FILES})")(lambda s, d: tree.scan_tree(s, _tree(s, d), follow_links=True, kinds=("file",)).select("path", "size"))
+
+
+@query("s2_scan_follow_links", f"""select case when doc_id % 10 = 0 then 'links/' || doc_id else {_NAMES} end path, cast(octet_length(encode(text)) as bigint) size from documents""")
+def _s2(s: SparkSession, d: str) -> DataFrame:
+    """Links to every tenth file, which are its shortest route, and from each source back to the top."""
+    root = _tree(s, d)
+    rows = contents(s, d)
+    links = rows.filter("doc_id % 10 = 0").selectExpr("concat('links/', doc_id) path", "concat('../', path) link_target")
+    links = links.unionByName(rows.selectExpr("concat(split_part(path, '/', 1), '/back') path", "'..' link_target").distinct())
+    stored(jobs.run_copy(stored(links.selectExpr("path", "'symlink' kind", "link_target", "cast(0 as bigint) size")), root, root))
+    return tree.scan_tree(s, root, follow_links=True, kinds=("file",)).select("path", "size")
+
+
+
 query("s3_scan_manifest", f"select path, 'file' kind from ({_FILES}) union all select distinct source, 'dir' from documents union all select distinct source||'/'||lang, 'dir' from documents")(
     lambda s, d: tree.scan_tree(s, _tree(s, d)).select("path", "kind"))
 query("s4_scan_filtered", f"select path, size from ({_FILES}) where path not like '%/fr/%' and path not like '%7.txt' and size >= 500")(
@@ -410,7 +423,20 @@ def _deleted(s: SparkSession, d: str, **more) -> DataFrame:
 _LEFT = f"""select path, 'file' kind from ({_FILES}) where path like 'src1%' union select distinct source, 'dir' from documents where source like 'src1%'
     union select distinct source||'/'||lang, 'dir' from documents where source like 'src1%'"""
 query("k9_delete", _LEFT)(_deleted)
-query("k10_delete_readonly", _LEFT)(lambda s, d: _deleted(s, d, clear_readonly=True))
+
+
+@query("k10_delete_readonly", f"select {_NAMES} path, doc_id % 3 = 0 readonly, source not like 'src1%' deleted from documents")
+def _k10(s: SparkSession, d: str) -> DataFrame:
+    root = new_folder(s, "tree")
+    rows = contents(s, d).withColumn("mode", F.expr("case when doc_id % 3 = 0 then 292 else 420 end"))  # r--r--r--, rw-r--r--
+    stored(jobs.write_files(rows.repartition(16, F.xxhash64("path")), root))
+    before = stored(tree.scan_tree(s, root, kinds=("file",)).select("path", "kind", "readonly"))
+    done = stored(jobs.run_delete(before.filter("path not like 'src1%'").select("path", "kind"), root, clear_readonly=True)).filter("ok")
+    left = tree.scan_tree(s, root, kinds=("file",)).select("path", F.lit(True).alias("left"))
+    both = before.join(done.select("path", "ok"), "path", "left").join(left, "path", "left")
+    return both.select("path", "readonly", (F.coalesce("ok", F.lit(False)) & F.isnull("left")).alias("deleted"))
+
+
 
 
 @query("k11_remove_subtree", f"select path from ({_FILES}) where path not like 'src2/%'")
@@ -426,8 +452,9 @@ def _packed(s: SparkSession, d: str) -> tuple[DataFrame, str]:
     return stored(jobs.write_bundles(planning.assign_bundles(plan, 100_000, planning.buckets_for(plan, 1000, 1_000_000)), root, out)), out
 
 
-query("k12_write_bundles", f"select count(*) files, cast(sum(size) as bigint) bytes, 0 as errors from ({_FILES})")(
-    lambda s, d: _packed(s, d)[0].agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.count("error").cast("int").alias("errors")))
+_PACKED = _BUNDLED.replace("m_src", f"({_FILES})").replace("50000", "100000")
+query("k12_write_bundles", f"select bucket, bundle_id, count(*) files, cast(sum(size) as bigint) bytes, true ok from ({_PACKED}) group by bucket, bundle_id")(
+    lambda s, d: _packed(s, d)[0].select("bucket", "bundle_id", "files", "bytes", F.isnull("error").alias("ok")))
 query("k13_bundle_tree", f"select path, size, mtime from ({_FILES})")(lambda s, d: tree.read_bundles(s, _packed(s, d)[1]).select("path", "size", "mtime"))
 query("s8_read_bundles", f"select {_NAMES} path, sha256(text) digest from documents")(
     lambda s, d: tree.read_bundles(s, _packed(s, d)[1]).select("path", F.sha2("content", 256).alias("digest")))
@@ -446,8 +473,9 @@ def _k14(s: SparkSession, d: str) -> DataFrame:
 
 
 query("k15_summary_json", f"""select '{{"identical":' || (count(*)=0) || ',"changed_count":' || count(*) filter (not starts_with(kind,'extra')) || ',"extras_count":' || count(*) filter (starts_with(kind,'extra'))
-    as head from ({_CHECKED})""", "m_src", "m_dst")(
-    lambda s, d: report.summary_json(report.verify_summary(_diff(s, d))).select(F.regexp_extract("json", '^(.*),"sample"', 1).alias("head")))
+    || ',"sample":[' || (select coalesce(string_agg('{{"path":"' || path || '","kind":"' || kind || '","size_src":' || size_src || ',"size_dest":' || size_dest || ',"mtime_src":' || mtime_src
+    || ',"mtime_dest":' || mtime_dest || '}}', ',' order by path), '') from (select * from ({_CHECKED}) order by path limit 50)) || ']}}' as json from ({_CHECKED})""", "m_src", "m_dst")(
+    lambda s, d: report.summary_json(report.verify_summary(_diff(s, d))))
 query("k16_summary_text", f"""select 0 as n, 'identical=' || (count(*)=0) || ' changed=' || count(*) filter (not starts_with(kind,'extra')) || ' extras=' || count(*) filter (starts_with(kind,'extra')) as line from ({_CHECKED})
     union all select cast(row_number() over (order by path) as int), kind || ' ' || path from (select * from ({_CHECKED}) order by path limit 5)""", "m_src", "m_dst")(
     lambda s, d: report.summary_text(report.verify_summary(_diff(s, d)), 5))
@@ -492,10 +520,36 @@ query("w4_move", _SRC_TEXT)(_verb(lambda s, a, b: sync.move(s, a, b, confirm=Tru
 query("w5_verify", """select case when s.path is null then 'extra_dest' when d.path is null then 'missing_dest' else 'changed' end kind, coalesce(s.path, d.path) path
     from m_src s full join m_dst d on s.path = d.path where s.path is null or d.path is null or s.digest <> d.digest""", "m_src", "m_dst")(
     lambda s, d: sync.verify(s, *_two(s, d), "checksum").select("kind", "path"))
-_pair("w6_push_plan", f"select path, reason, 'small' push_class from ({_NEED}) where reason is not null and path not like 'src1/%'",
-      lambda a, b: sync.push_plan(a.withColumn("kind", F.lit("file")), b, filters.FilterSpec((), ("src1",))).select("path", "reason", "push_class"))
+_pair("w6_push_plan", f"""select path, reason, case when size * 20011 < 1000000 then 'small' when size * 20011 < 268435456 then 'whole' else 'ranged' end push_class
+    from ({_NEED}) where reason is not null and path not like 'src1/%'""",
+      lambda a, b: sync.push_plan(*(m.withColumn("size", F.col("size") * 20011).withColumn("kind", F.lit("file")) for m in (a, b)), filters.FilterSpec((), ("src1",))).select("path", "reason", "push_class"))
 _pair("w7_pull_plan", f"select path, 'write' action from ({_NEED}) where reason is not null union all select path, 'delete' from m_dst where path not in (select path from m_src)",
       lambda a, b: sync.pull_plan(a.withColumn("kind", F.lit("file")), b.withColumn("kind", F.lit("file"))).select("path", "action"))
-query("w8_dry_run", """select 'file' kind, count(*) n from m_dst where path not in (select path from m_src)
-    union all select 'plan', count(*) from m_src s left join m_dst d using (path) where d.path is null or d.size <> s.size""", "m_src", "m_dst")(
-    lambda s, d: (lambda t: t["delete_counts"].filter("kind = 'file'").unionByName(t["totals"].select(F.lit("plan").alias("kind"), F.col("files").alias("n"))))(sync.dry_run(s, *_two(s, d))))
+_WANTED = "select s.path, s.size from m_src s left join m_dst d using (path) where d.path is null or d.size <> s.size"
+
+
+def _dirs_sql(m: str) -> str:
+    return f"select split_part(path,'/',1) path from {m} union select regexp_extract(path,'^(.*)/[^/]*$',1) from {m}"
+
+
+_GONE = f"select path, 'file' kind from m_dst where path not in (select path from m_src) union all select path, 'dir' from ({_dirs_sql('m_dst')} except ({_dirs_sql('m_src')}))"
+
+
+@query("w8_dry_run", f"""select 'classes' part, {_CLASS} as name, count(*) n, cast(sum(size) as bigint) m from ({_WANTED}) group by 2
+    union all (select 'files', path, size, greatest((select count(*) from ({_WANTED})) - 20, 0)
+        from ({_WANTED}) order by case when size < 1048576 then 0 when size < 104857600 then 1 else 2 end, path limit 20)
+    union all select 'delete_counts', kind, count(*), 0 from ({_GONE}) group by kind
+    union all select 'deletes ' || kind, path, r, greatest(n - 10, 0) from (
+        select kind, path, row_number() over (partition by kind order by path) r, count(*) over (partition by kind) n from ({_GONE})) where r <= 10
+    union all select 'totals', '', count(*), cast(sum(size) as bigint) from ({_WANTED})""", "m_src", "m_dst")
+def _w8(s: SparkSession, d: str) -> DataFrame:
+    """All five tables of a dry run, one below the other."""
+    t = sync.dry_run(s, *_two(s, d))
+    parts = [
+        t["classes"].selectExpr("'classes' part", "size_class name", "files n", "bytes m"),
+        t["files"].selectExpr("'files' part", "path name", "size n", "more m"),
+        t["delete_counts"].selectExpr("'delete_counts' part", "kind name", "n", "cast(0 as bigint) m"),
+        t["deletes"].selectExpr("concat('deletes ', kind) part", "path name", "rank n", "more m"),
+        t["totals"].selectExpr("'totals' part", "'' name", "files n", "bytes m"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
