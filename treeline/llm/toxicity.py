@@ -294,6 +294,8 @@ def train(
     so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("key"), "key"))  # of fit_rows rows at most
     sample = one.withColumn("so_far", so_far).filter(F.col("so_far") <= fit_chars).select("key", "text", "label")
     row = sample.repartition(1).mapInArrow(run, "weight binary, offset double, curve binary, share double").first()
+    if row is None:  # an empty sample may have no task at all
+        return fit([], [])
     return Machine(np.frombuffer(row["weight"], "f4"), row["offset"], np.frombuffer(row["curve"], "f8"), row["share"])
 
 
