@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import bpe, chat, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, suffix_tree, toxicity
+from treeline.llm import bpe, chat, clustering, divergence, embedding_dedup, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, suffix_tree, toxicity
 from treeline.llm.common import crc_mod, table, written
 
 #: Names the secret key of the pseudonyms; STAND_IN serves the driver's tables, which have no secrets.
@@ -124,6 +124,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
 
 SQL_OP2 = """
@@ -184,6 +196,71 @@ select conv_id, count(*) as n_turns,
 from o group by conv_id
 """
 
+_SHARE = "1 + (1000000000 * ({n} + 5)) // ({total} + 5 * v)"
+SQL_OP11 = f"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as t from documents),
+o as (select k, lang, source, unnest(t) as term from d),
+kept as materialized (select lang, term, cast(count(*) as bigint) as lang_n from o group by lang, term having count(distinct k) >= 30),
+l as (select lang, count(*) as v, cast(sum(lang_n) as bigint) as lang_total from kept group by lang),
+c as materialized (select lang, source, term, count(*) as n from o join kept using (lang, term) group by lang, source, term),
+t as (select lang, source, cast(sum(n) as bigint) as total from c group by lang, source),
+g as materialized (select lang, source, coalesce(total, 0) as total, coalesce(v, 0) as v, coalesce(lang_total, 0) as lang_total
+                   from (select distinct lang, source from d) left join t using (lang, source) left join l using (lang)),
+p as materialized (select lang, source, term, coalesce(n, 0) as n, {_SHARE.format(n="coalesce(n, 0)", total="total")} as p,
+                          {_SHARE.format(n="lang_n", total="lang_total")} as q
+                   from g join kept using (lang) left join c using (lang, source, term)),
+s as (select a.lang, a.source, b.source as item, cast(sum(abs(a.p - b.p)) as bigint) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+      union all select lang, source, 'term', term, p - q from p where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value, cast(k as int) as rank from (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as k from r) where part = 'pair' or k <= 50
+"""
+
+SQL_OP12 = """
+with recursive u as (
+  select *, label is not null and embedding is not null and len(embedding) > 0
+            and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)), true)
+            and list_contains(list_transform(embedding, lambda x: x <> 0), true) as fine from embeddings),
+e as materialized (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.embedding) = len(b.embedding)
+  where a.fine and b.fine and list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.93),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, e.b from r join e on e.a = r.b)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from (select a as vec_id, min(b) as component_id from r group by a) left join (select a as vec_id, count(*) as n from e group by a) using (vec_id)
+"""
+
+
+def _sql_op13(rounds: int = 10) -> str:
+    dist = "cast(list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    parts = [
+        """v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as p from embeddings
+           where len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: x is null or isnan(x) or isinf(x)), true))""",
+        "c0 as materialized (select row_number() over (order by h) - 1 as c, p from (select p, sha256('3:' || vec_id) as h from v order by h limit 8))",
+    ]
+    for k in range(rounds + 1):
+        parts.append(
+            f"""a{k} as materialized (select vec_id, p, c, d from (
+            select vec_id, p, c, d, row_number() over (partition by vec_id order by d, c) as r
+            from (select v.vec_id, v.p, c.c, {dist} as d from v, c{k} c)) where r = 1)"""
+        )
+        if k < rounds:
+            parts.append(
+                f"""c{k + 1} as materialized (select c.c, coalesce(m.p, c.p) as p from c{k} c left join (
+                select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as p from (
+                  select c, j, cast(sum(x) as bigint) as s, count(*) as n from (select c, unnest(p) as x, unnest(range(64)) as j from a{k}) group by c, j)
+                group by c) m on m.c = c.c)"""
+            )
+    return f"""with {", ".join(parts)}
+    select vec_id, cast(a.c as int) as cluster, d as distance, cast(sum(d) over (partition by a.c) as bigint) as cluster_inertia,
+           cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c.p, ',')) as centroid_sha256
+    from a{rounds} a join c{rounds} c on a.c = c.c"""
+
+
+SQL_OP13 = _sql_op13()
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -195,5 +272,15 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_packing": op9_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
+}
+ORACLE_SQL = {
+    "op2_exact_dedup": SQL_OP2,
+    "op4_quality_rules": SQL_OP4,
+    "op8_chat_formatting": SQL_OP8,
+    "op11_source_divergence": SQL_OP11,
+    "op12_embedding_dedup": SQL_OP12,
+    "op13_centroid_clustering": SQL_OP13,
 }
-ORACLE_SQL = {"op2_exact_dedup": SQL_OP2, "op4_quality_rules": SQL_OP4, "op8_chat_formatting": SQL_OP8}
