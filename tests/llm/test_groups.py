@@ -63,8 +63,8 @@ def test_audit_empty(spark):
     assert audited(spark, [(None, None, None)]) == []
 
 
-def test_audit_by_ranges_and_long_texts(spark, monkeypatch):
-    for name, value in (("RANGE_BITS", 2), ("PIECE", 50), ("COUNTED", 100)):
+def test_audit_in_parts_and_long_texts(spark, monkeypatch):
+    for name, value in (("PART_BITS", 2), ("PIECE", 50), ("COUNTED", 100)):
         monkeypatch.setattr(divergence, name, value)
     rng = random.Random(4)
     docs = [("en", f"s{k % 4}", " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(5))}" for _ in range(300)) + " " + "x" * 170 + " tail") for k in range(12)]

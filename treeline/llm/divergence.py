@@ -8,8 +8,8 @@ N all its occurrences of kept terms, V the kept terms of the language.
 pair    each other source of the language, valued with the sum of |p - q| over all kept terms
 term    the group's kept terms that it uses more than the language does, valued with p - q; the first TOP
 
-For ``pair`` each group has sorted arrays (term id, count), cut into ranges of RANGE term ids, so an array
-is bounded whatever the vocabulary.  Every unordered pair of groups is a task for each range: the two
+For ``pair`` each group has sorted arrays (term id, count), one for each part of the language's terms; terms are
+dealt by hash to one part per 2 ** PART_BITS of them, so an array is bounded whatever the vocabulary.  Every unordered pair of groups is a task for each part: the two
 groups' arrays are co-grouped, the ids of the shorter one gallop through the longer one, and overlaps and
 terms of one side are priced; terms that both lack have one price and are multiplied out at the end.
 
@@ -36,7 +36,7 @@ MIN_DOCS = 30
 SCALE = 1_000_000_000
 SMOOTH = 5
 TOP = 50
-RANGE_BITS = 16  # ids of a range
+PART_BITS = 16  # terms of a part, about
 COUNTED = 2_000_000
 PIECE = 1 << 20
 GALLOP = 64  # ids that gallop together
@@ -131,7 +131,7 @@ def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
 
 
 def _merged(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One row (pair, value, met) of one pair of groups and one range of ids: the sum over terms that at least
+    """One row (pair, value, met) of one pair of groups and one part of the terms: the sum over terms that at least
     one of them has, and their number."""
     def side(table: pa.Table, other: pa.Table, name: str, over: str) -> tuple[np.ndarray, np.ndarray, int]:
         total = (table if table.num_rows else other).column(name if table.num_rows else over)[0].as_py()
@@ -175,15 +175,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, lang: str =
 
     g, h = groups.select("lang", "kept", F.col("row").alias("a"), F.col("total").alias("a_total"), F.col("source").alias("a_source")), groups.select("lang", F.col("row").alias("b"), F.col("total").alias("b_total"), F.col("source").alias("b_source"))
     pairs = numbered(g.join(h, "lang").filter("a < b")).withColumnRenamed("row", "pair")  # these pairs are the result's rows
-    arrays = known.join(groups.select("lang", "source", "row"), ["lang", "source"]).groupBy("row", F.shiftright("id", RANGE_BITS).alias("range"))
-    arrays = arrays.agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x")).select("row", "range", F.col("x.id").alias("ids"), F.col("x.n").alias("counts"))
+    part = F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / (1 << PART_BITS)).cast("bigint"))
+    arrays = known.join(groups.select("lang", "source", "row", "kept"), ["lang", "source"]).groupBy("row", part.alias("share"))
+    arrays = arrays.agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("x")).select("row", "share", F.col("x.id").alias("ids"), F.col("x.n").alias("counts"))
     arrays = written(arrays)
 
     def side(own_row: str, own_total: str, other_total: str) -> GroupedData:
         named = pairs.select("pair", "kept", F.col(own_row).alias("row"), F.col(own_total).alias("own_total"), F.col(other_total).alias("other_total"))
         both = named.join(arrays, "row")
-        fields = ("pair", "range", "kept", "own_total", "other_total", "ids", "counts")
-        return both.select(*[F.col(c).alias(c) for c in fields]).groupBy("pair", "range")  # columns of its own: the sides share a table
+        fields = ("pair", "share", "kept", "own_total", "other_total", "ids", "counts")
+        return both.select(*[F.col(c).alias(c) for c in fields]).groupBy("pair", "share")  # columns of its own: the sides share a table
 
     left, right = side("a", "a_total", "b_total"), side("b", "b_total", "a_total")
     merged = left.cogroup(right).applyInArrow(_merged, "pair bigint, value bigint, met bigint")
