@@ -1,9 +1,21 @@
-"""Digests, weak rolling checksums, block signatures and block-level deltas."""
+"""Digests, weak rolling checksums, block signatures and block-level deltas.
+
+Signatures and deltas come from contents in rows, or from files of any size by ranges, so that no
+file is ever one row.  What can't be read is never taken for unchanged: its row has a null block, and
+what is needed of it is a row with null off and len.
+
+A delta takes three steps.  Offsets of the source whose weak checksum is among the destination's, by a
+bitmap for each path, become rows; joined with the destination's blocks they are matches.  The greedy cover from the
+left is found range by range: for each place where a range can be entered the matches that follow lead
+to one exit; exits are linked to entries of the next range, and pointer doubling from the first match of a file tells where
+each range is entered in fact.  Then each range takes its matches on its own."""
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,9 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeline.plans.planning import split_ranges
+from treeline.schema import MIB
+from treeline.sinks import stored
+from treeline.sources.rooted import Rooted
+
 OFFSET = 31  # added to every byte by the weak checksum
 _LOW = 0xFFFF
 SIGNED = 20_000  # blocks of a batch of signatures
+STRIDE = 16 * MIB  # of a range that is signed or searched, about
+FILTER_BITS = 27  # log2 of a bitmap's bits at most; it has 16 for each block below that
+MIX = 1_640_531_527  # spreads weak checksums over a bitmap
+RUN_BLOCKS = 4096  # blocks whose runs are found together before runs are joined
 
 
 def file_digest(content: Column) -> Column:
@@ -47,11 +68,14 @@ def weak_of(pieces: list[bytes]) -> np.ndarray:
 
 
 def weak_checksum(content: Column) -> Column:
-    """weak_of as a column, a batch at a time."""
+    """weak_of as a column, a batch at a time; null where content is."""
 
     @F.pandas_udf("bigint")
     def weak(values: pd.Series) -> pd.Series:
-        return pd.Series(weak_of([bytes(v) for v in values]))
+        known = values.notna()
+        out = pd.Series(pd.NA, values.index, "Int64")
+        out[known] = weak_of([bytes(v) for v in values[known]])
+        return out
 
     return weak(content)
 
@@ -71,11 +95,14 @@ def rolling(data: bytes, block: int) -> np.ndarray:
 
 
 def rolling_checksums(content: DataFrame, block: int, path: str = "path") -> DataFrame:
-    """Rows (path, off, weak): all windows of each content."""
+    """Rows (path, off, weak): all windows of each content; off and weak null where content is."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for p, data in zip(part["path"], part["content"], strict=True):
+                if data is None:
+                    yield pd.DataFrame({"path": [p], "off": pd.array([None], "Int64"), "weak": pd.array([None], "Int64")})
+                    continue
                 weak = rolling(bytes(data), block)
                 for k in range(0, len(weak), 100_000):
                     some = weak[k : k + 100_000]
@@ -93,20 +120,31 @@ def block_contents(content: DataFrame, block: int) -> DataFrame:
     return each.select("path", F.col("block").cast("bigint"), F.col("off").cast("bigint"), F.length(piece).cast("bigint").alias("len"), piece.alias("content"))
 
 
+_SIGNATURES = "path string, block bigint, off bigint, len bigint, weak bigint, strong string"
+_NAMES = [f.split()[0] for f in _SIGNATURES.split(", ")]
+
+
+def _unsigned(path: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([path, *(pa.nulls(1, pa.int64()) for _ in range(4)), pa.nulls(1, pa.string())], _NAMES)
+
+
 def block_signatures(content: DataFrame, block: int) -> DataFrame:
-    """Rows (path, block, off, len, weak, strong) of (path, content)."""
+    """Rows (path, block, off, len, weak, strong) of (path, content); null content gives a row with a null block."""
 
     def signed(batch: pa.RecordBatch, row: list[int], number: list[int], pieces: list[bytes]) -> pa.RecordBatch:
         size, k = np.fromiter(map(len, pieces), "i8", len(pieces)), np.array(number, "i8")
         strong = pa.array([hashlib.sha256(x).hexdigest() for x in pieces], pa.string())
         cols = [pa.array(k), pa.array(k * block), pa.array(size), pa.array(weak_of(pieces)), strong]
-        return pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row, pa.int32())), *cols], ["path", "block", "off", "len", "weak", "strong"])
+        return pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row, pa.int32())), *cols], _NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, number, pieces = [], [], []
             for k in range(batch.num_rows):
-                data = batch.column("content")[k].as_py() or b""
+                data = batch.column("content")[k].as_py()
+                if data is None:
+                    yield _unsigned(batch.column("path").slice(k, 1))
+                    continue
                 for first in range(0, len(data), block * SIGNED):
                     own = [data[o : o + block] for o in range(first, min(first + block * SIGNED, len(data)), block)]
                     row += [k] * len(own)
@@ -118,55 +156,229 @@ def block_signatures(content: DataFrame, block: int) -> DataFrame:
             if pieces:
                 yield signed(batch, row, number, pieces)
 
-    return content.select("path", "content").mapInArrow(run, "path string, block bigint, off bigint, len bigint, weak bigint, strong string")
+    return content.select("path", "content").mapInArrow(run, _SIGNATURES)
+
+
+def _dealt(files: DataFrame, stride: int) -> DataFrame:
+    """Ranges (path, off, len, size) of all files that aren't empty, dealt to tasks."""
+    ranges = split_ranges(files.withColumn("kind", F.lit("file")).select("path", "size"), stride, 0)
+    return ranges.join(files.select("path", "size"), "path").repartition(F.xxhash64("path", "off"))
+
+
+def file_signatures(files: DataFrame, root: str, block: int, stride: int = STRIDE) -> DataFrame:
+    """block_signatures of files (path, size) below root, of any size: ranges cut at multiples of block are read and signed
+    in pieces.  A range that can't be read, or ends before its size says, gives a row with a null block."""
+    base, step = Rooted(root), max(1, stride // block) * block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (path, off, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "off", "len")), strict=True)):
+                own = batch.column("path").slice(k, 1)
+                try:
+                    with base.reading(path) as fd:
+                        for at in range(off, off + n, block * SIGNED):
+                            pieces = [os.pread(fd, min(block, off + n - o), o) for o in range(at, min(at + block * SIGNED, off + n), block)]
+                            if sum(map(len, pieces)) < min(block * SIGNED, off + n - at):
+                                raise OSError("ends early")
+                            number = np.arange(at // block, at // block + len(pieces), dtype="i8")
+                            size, strong = np.fromiter(map(len, pieces), "i8", len(pieces)), [hashlib.sha256(x).hexdigest() for x in pieces]
+                            cols = [pa.array(number), pa.array(number * block), pa.array(size), pa.array(weak_of(pieces)), pa.array(strong, pa.string())]
+                            yield pa.RecordBatch.from_arrays([own.take(pa.array(np.zeros(len(pieces), "i4"))), *cols], _NAMES)
+                except (OSError, ValueError):
+                    yield _unsigned(own)
+
+    return _dealt(files, step).select("path", "off", "len").mapInArrow(run, _SIGNATURES)
 
 
 def need_ranges(sig_src: DataFrame, sig_dst: DataFrame) -> DataFrame:
-    """Rows (path, off, len): runs of source blocks that differ from, or lack, the destination's."""
-    old = sig_dst.select("path", "block", F.col("strong").alias("old"))
-    need = sig_src.join(old, ["path", "block"], "left").filter(F.col("old").isNull() | (F.col("old") != F.col("strong")))
+    """Rows (path, off, len): runs of source blocks that differ from, or lack, the destination's.  Where part of the
+    source wasn't read, a row with null off and len too.
+
+    Runs are found among RUN_BLOCKS blocks at a time; then neighbouring runs are joined."""
+    old = sig_dst.filter("block is not null").select("path", "block", F.col("strong").alias("old"))
+    known = sig_src.filter("block is not null")
+    need = known.join(old, ["path", "block"], "left").filter(F.col("old").isNull() | (F.col("old") != F.col("strong")))
     # Neighbouring blocks have the same difference between number and rank.
-    rank = F.row_number().over(Window.partitionBy("path").orderBy("block"))
-    return (
-        need.withColumn("run", F.col("block") - rank)
-        .groupBy("path", "run")
-        .agg(F.min("off").alias("off"), F.sum("len").alias("len"))
-        .select("path", "off", "len")
-    )
+    near = need.withColumn("part", F.floor(F.col("block") / RUN_BLOCKS))
+    rank = F.row_number().over(Window.partitionBy("path", "part").orderBy("block"))
+    runs = near.withColumn("run", F.col("block") - rank).groupBy("path", "part", "run").agg(F.min("off").alias("off"), F.sum("len").alias("len"))
+    before = Window.partitionBy("path").orderBy("off")
+    end = F.lag(F.col("off") + F.col("len")).over(before)
+    whole = runs.withColumn("new", F.when(end == F.col("off"), 0).otherwise(1)).withColumn("n", F.sum("new").over(before))
+    joined = whole.groupBy("path", "n").agg(F.min("off").alias("off"), F.sum("len").alias("len")).select("path", "off", "len")
+    none = F.lit(None).cast("bigint")
+    return joined.unionByName(sig_src.filter("block is null").select("path").distinct().select("path", none.alias("off"), none.alias("len")))
 
 
-def delta_match(src: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
-    """Rows (path, off, len, dst_off): the source content as copies of destination blocks (dst_off
-    their place) and literals (dst_off null), in order and without overlap.
+def weak_filter(sig_dst: DataFrame, block: int) -> DataFrame:
+    """Rows (path, bits, words): a bitmap of 2 ** bits of the weak checksums of a path's whole blocks, as its words
+    (number, 64 bits) that aren't zero."""
+    full = sig_dst.filter(F.col("len") == block).select("path", "weak").distinct()
+    bits = F.least(F.greatest(F.ceil(F.log2(F.count("*") * 16)).cast("int"), F.lit(10)), F.lit(FILTER_BITS))
+    sized = full.join(full.groupBy("path").agg(bits.alias("bits")), "path")
+    # The highest ``bits`` of 32 mixed bits.
+    place = F.floor((F.col("weak") * MIX).bitwiseAND(F.lit(0xFFFFFFFF)) / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("bigint")
+    each = sized.withColumn("place", place).groupBy("path", "bits", F.shiftright("place", 6).alias("number"))
+    words = each.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("place") % 64).cast("int"))).alias("word"))
+    return words.groupBy("path", "bits").agg(F.collect_list(F.struct("number", "word")).alias("words"))
 
-    Weak checksums of all source offsets are met with those of the file's destination blocks; hits
-    are confirmed by the strong digest, and taken greedily from the left."""
-    full = sig_dst.filter(F.col("len") == block)
-    known = full.groupBy("path").agg(F.collect_list(F.struct("weak", "strong", "off")).alias("blocks"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for p, data, blocks in zip(part["path"], part["content"], part["blocks"], strict=True):
-                data = bytes(data)
-                place: dict[int, dict[str, int]] = {}
-                for b in blocks if blocks is not None else []:
-                    at = place.setdefault(b["weak"], {})
-                    at[b["strong"]] = min(b["off"], at.get(b["strong"], b["off"]))
-                weak = rolling(data, block)
-                hits = np.flatnonzero(np.isin(weak, np.fromiter(place, "i8", len(place))))
-                rows, done = [], 0
-                for k in hits.tolist():
-                    if k < done:
-                        continue
-                    old = place[int(weak[k])].get(hashlib.sha256(data[k : k + block]).hexdigest())
-                    if old is None:
-                        continue
-                    if k > done:
-                        rows.append((p, done, k - done, None))
-                    rows.append((p, k, block, old))
-                    done = k + block
-                if done < len(data):
-                    rows.append((p, done, len(data) - done, None))
-                yield pd.DataFrame(rows, columns=["path", "off", "len", "dst_off"]).astype({"dst_off": "Int64"})
-
-    return src.select("path", "content").join(known, "path", "left").mapInPandas(run, "path string, off bigint, len bigint, dst_off bigint")
+def _hits(data: bytes, keep: int, block: int, bits: int, number: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """(place, weak, strong) of the first ``keep`` windows that pass the bitmap."""
+    weak = rolling(data, block)[:keep]
+    table = np.zeros(1 << bits >> 6, "u8")
+    table[number] = word.astype("i8").view("u8")
+    place = (weak * MIX & 0xFFFFFFFF) >> (32 - bits)
+    last, strong = -2, ""
+    for k in np.flatnonzero(table[place >> 6] >> (place & 63).astype("u8") & np.uint64(1)).tolist():
+        if last != k - 1 or data[k : k + block] != data[last : last + block]:  # else a run of one byte
+            strong = hashlib.sha256(data[k : k + block]).hexdigest()
+        last = k
+        yield k, int(weak[k]), strong
+
+
+_HITS = "path string, off bigint, weak bigint, strong string"
+
+
+def _hit_batches(found: Iterator[tuple[str, int, int, str]]) -> Iterator[pa.RecordBatch]:
+    while rows := list(islice(found, 50_000)):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "off", "weak", "strong"])
+
+
+def _words(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(value.values.field(k).to_numpy() for k in (0, 1))
+
+
+def rolling_hits(content: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
+    """Rows (path, off, weak, strong): the windows of (path, content) whose weak checksum may be one of the
+    destination's blocks of that path (all that are, and a few more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (path, bits) in enumerate(zip(batch.column("path").to_pylist(), batch.column("bits").to_pylist(), strict=True)):
+                data = batch.column("content")[k].as_py()
+                hits = _hits(data, len(data), block, bits, *_words(batch.column("words")[k]))
+                yield from _hit_batches((path, *h) for h in hits)
+
+    known = content.select("path", "content").filter("content is not null").join(weak_filter(sig_dst, block), "path")
+    return known.select("path", "content", "bits", "words").mapInArrow(run, _HITS)
+
+
+def file_hits(files: DataFrame, root: str, sig_dst: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
+    """rolling_hits of files (path, size) below root, of any size: ranges that overlap by a window less one byte.  A
+    range that can't be read, or ends early, gives a row with a null off."""
+    base = Rooted(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (path, off, n, size, bits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "off", "len", "size", "bits")), strict=True)):
+                want = min(n + block - 1, size - off)
+                data = b""
+                try:
+                    with base.reading(path) as fd:
+                        while len(data) < want and (more := os.pread(fd, want - len(data), off + len(data))):
+                            data += more
+                except (OSError, ValueError):
+                    pass
+                if len(data) < want:
+                    yield from _hit_batches(iter([(path, None, None, None)]))
+                elif bits is not None:
+                    hits = _hits(data, n, block, bits, *_words(batch.column("words")[k]))
+                    yield from _hit_batches((path, off + at, weak, strong) for at, weak, strong in hits)
+
+    known = _dealt(files, stride).join(weak_filter(sig_dst, block), "path", "left")
+    return known.select("path", "off", "len", "size", "bits", "words").mapInArrow(run, _HITS)
+
+
+def _followed(offs: np.ndarray, block: int) -> np.ndarray:
+    """For each match of a range, the next one that doesn't overlap it; its own number where there is none."""
+    after = np.searchsorted(offs, offs + block)
+    return np.where(after < len(offs), after, np.arange(len(offs)))
+
+
+def cover(matches: DataFrame, sizes: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
+    """Rows (path, off, len, dst_off): each file of sizes (path, size) as matches (path, off, dst_off) of ``block`` bytes, taken
+    greedily from the left, and literals (dst_off null) between them.
+
+    A task holds the matches of one range of a file."""
+    stride = max(stride, block)
+    matches = stored(matches.withColumn("part", F.floor(F.col("off") / stride)))
+
+    def entered(rows: pd.DataFrame) -> pd.DataFrame:
+        offs = np.sort(rows["off"].to_numpy())
+        start = int(rows["part"].iloc[0]) * stride
+        jump = _followed(offs, block)
+        while ((far := jump[jump]) != jump).any():
+            jump = far
+        n = int(np.searchsorted(offs, start + block)) + 1  # all that an exit of the range before can lead to
+        return pd.DataFrame({"path": rows["path"].iloc[0], "part": rows["part"].iloc[0], "entry": offs[:n], "exit": offs[jump[:n]] + block})
+
+    entries = stored(matches.groupBy("path", "part").applyInPandas(entered, "path string, part bigint, entry bigint, exit bigint"))
+    # At most block + 1 entries a range, and a row a range.
+    ranges = entries.groupBy("path", "part").agg(F.sort_array(F.collect_list("entry")).alias("ways"))
+    onward = Window.partitionBy("path").orderBy("part")
+    ranges = ranges.select("path", "part", *[F.lead(F.struct("part", "ways"), k).over(onward).alias(f"next{k}") for k in (1, 2)], F.row_number().over(onward).alias("n"))
+    ranges = stored(ranges.select("path", "part", "next1", F.struct(F.col("next2.part").alias("part"), F.col("next2.ways")[0].alias("entry")).alias("next2"), "n"))
+    landing = F.get(F.filter("next1.ways", lambda x: x >= F.col("exit")), F.lit(0))
+    led = entries.join(ranges, ["path", "part"]).withColumn("landing", landing)
+    to = F.when(F.col("landing").isNotNull(), F.struct(F.col("next1.part").alias("part"), F.col("landing").alias("entry"))).when(F.col("next2.entry").isNotNull(), F.col("next2"))
+    jump = stored(led.withColumn("to", to).filter("to is not null").select("path", "entry", F.col("to.entry").alias("to")))
+    reached = stored(entries.join(ranges.filter("n = 1").select("path", "part"), ["path", "part"]).groupBy("path").agg(F.min("entry").alias("entry")))
+    while not jump.isEmpty():  # as often as log2 of the ranges of the longest file
+        reached = stored(reached.unionByName(reached.join(jump, ["path", "entry"]).select("path", F.col("to").alias("entry"))).distinct())
+        jump = stored(jump.join(jump.select("path", F.col("entry").alias("to"), F.col("to").alias("far")), ["path", "to"]).select("path", "entry", F.col("far").alias("to")))
+
+    used = entries.join(reached, ["path", "entry"]).withColumn("done", F.coalesce(F.lag("exit").over(onward), F.lit(0)))
+    used = stored(used.select("path", "part", "entry", "exit", "done"))
+
+    def taken(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("off")
+        offs, old = rows["off"].to_numpy(), rows["dst_off"].to_numpy()
+        jump, k, done = _followed(offs, block), int(np.searchsorted(offs, rows["entry"].iloc[0])), int(rows["done"].iloc[0])
+        out = []
+        while True:
+            if offs[k] > done:
+                out.append((done, offs[k] - done, None))
+            out.append((offs[k], block, old[k]))
+            done = int(offs[k]) + block
+            if jump[k] == k:
+                break
+            k = jump[k]
+        frame = pd.DataFrame(out, columns=["off", "len", "dst_off"]).astype({"dst_off": "Int64"})
+        return frame.assign(path=rows["path"].iloc[0])[["path", "off", "len", "dst_off"]]
+
+    chosen = matches.join(used, ["path", "part"]).groupBy("path", "part").applyInPandas(taken, "path string, off bigint, len bigint, dst_off bigint")
+    ends = used.groupBy("path").agg(F.max("exit").alias("done"))
+    rest = sizes.join(ends, "path", "left").select("path", F.coalesce("done", F.lit(0)).cast("bigint").alias("off"), "size").filter("size > off")
+    return chosen.unionByName(rest.select("path", "off", (F.col("size") - F.col("off")).alias("len"), F.lit(None).cast("bigint").alias("dst_off")))
+
+
+def _matched(hits: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
+    """Hits that are blocks of the destination, with the first place of each."""
+    first = sig_dst.filter(F.col("len") == block).groupBy("path", "weak", "strong").agg(F.min("off").alias("dst_off"))
+    return hits.join(first, ["path", "weak", "strong"]).select("path", "off", "dst_off")
+
+
+def _untold(paths: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("bigint")
+    return paths.select("path", none.alias("off"), none.alias("len"), none.alias("dst_off"))
+
+
+def delta_match(src: DataFrame, sig_dst: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
+    """Rows (path, off, len, dst_off): the source content (path, content) as copies of destination blocks (dst_off
+    their place, the first of equal ones) and literals (dst_off null), in order and without overlap, copies taken
+    greedily from the left.  An empty content has no row; null content has one with null off."""
+    sizes = src.filter("content is not null").select("path", F.length("content").cast("bigint").alias("size"))
+    made = cover(_matched(rolling_hits(src, sig_dst, block), sig_dst, block), sizes, block, stride)
+    return made.unionByName(_untold(src.filter("content is null").select("path")))
+
+
+def file_delta(files: DataFrame, root: str, sig_dst: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
+    """delta_match of files (path, size) below root, of any size.  A file of which part couldn't be read has one row
+    with null off alone."""
+    hits = stored(file_hits(files, root, sig_dst, block, stride))
+    bad = hits.filter("off is null").select("path").distinct()
+    sizes = files.select("path", "size").join(bad, "path", "left_anti")
+    good = hits.filter("off is not null").join(bad, "path", "left_anti")
+    return cover(_matched(good, sig_dst, block), sizes, block, stride).unionByName(_untold(bad))

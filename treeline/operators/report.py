@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def delete_counts(deletes: DataFrame) -> DataFrame:
 
 
 def bundle_stats(bundles: DataFrame) -> DataFrame:
-    return bundles.groupBy("bucket", "bundle_id").agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"))
+    return bundles.groupBy("bundle_id").agg(F.count("*").alias("files"), F.sum("size").cast("bigint").alias("bytes"))
 
 
 def connection_summary(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -118,3 +120,17 @@ def log_lines(results: DataFrame, src_root: str, dst_root: str, stamp: Column |
 
 def write_log(results: DataFrame, path: str, src_root: str, dst_root: str, stamp: Column | None = None) -> None:
     log_lines(results, src_root, dst_root, stamp).select("line").write.mode("append").text(path)
+
+
+def write_run_log(results: DataFrame, path: str, src_root: str, dst_root: str, began: datetime, ended: datetime) -> None:
+    """The lines of a whole run: START, COPY for each path that was copied or written, ERROR for what failed in any
+    action, DONE with the totals of what was copied."""
+    copied = F.col("action").isin("copy", "write")
+    none = F.lit(None).cast("string")
+    # COPY and ERROR lines, between the two of the run itself.
+    each = log_lines(results.filter(copied | ~F.col("ok")), src_root, dst_root, F.lit(ended.isoformat()))
+    start = log_line(F.lit(began.isoformat()), F.lit("START"), F.lit(src_root), F.lit(dst_root), none, none, none, none, none, none)
+    totals = results.filter(copied & F.col("ok")).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    done = log_line(F.lit(ended.isoformat()), F.lit("DONE"), none, none, none, none, none, F.col("files"), F.col("bytes"), F.lit((ended - began).total_seconds()))
+    lines = results.sparkSession.range(1).select(start.alias("line")).unionByName(each).unionByName(totals.select(done.alias("line")))
+    lines.write.mode("append").text(path)

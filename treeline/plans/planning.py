@@ -22,12 +22,6 @@ def direction(src: Column, dst: Column, scheme: str = paths.SCHEME) -> Column:
     return F.when(s & d, "both_remote").when(d, "push").when(s, "pull").otherwise("local")
 
 
-def split_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Jobs (src, dst) with direction, and those rejected because both sides are remote."""
-    marked = jobs.withColumn("direction", direction(F.col("src"), F.col("dst")))
-    return marked.filter("direction <> 'both_remote'"), marked.filter("direction = 'both_remote'")
-
-
 def is_root(path: Column) -> Column:
     """A filesystem root: only slashes, or a bare drive."""
     return path.rlike(r"^(?:/+|[A-Za-z]:[/\\]?)$")
@@ -62,13 +56,20 @@ def in_class_order(plan: DataFrame) -> DataFrame:
 
 
 def assign_bundles(plan: DataFrame, target_bytes: int = 64 * MIB, buckets: int = BUCKETS, overhead: int = 0) -> DataFrame:
-    """plan with bucket and bundle_id: by the hash bucket of the path and, within it, by the prefix
-    sum of sizes, so no window holds more than a bucket (``buckets_for`` a plan).  Each file counts for ``overhead``
-    bytes more, which bounds the files of a bundle too."""
+    """plan with bucket and bundle_id: the prefix sum of sizes, by bucket (hash of the path) and path, in units of
+    target_bytes.
+
+    The sum has two levels: within a bucket by a window, so none holds more than a bucket (``buckets_for`` a
+    plan), and over the buckets' totals, one row each.  So bundles fill to the target across buckets, and only the last
+    one is short.  Each file counts for ``overhead`` bytes more, which bounds the files of a bundle too."""
     bucket = F.pmod(F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("bigint")
     weight = F.col("size") + overhead
+    dealt = plan.withColumn("bucket", bucket)
+    totals = dealt.groupBy("bucket").agg(F.sum(weight).alias("_sum"))
+    ahead = totals.select("bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     upto = F.sum(weight).over(Window.partitionBy("bucket").orderBy("path").rowsBetween(Window.unboundedPreceding, 0))
-    return plan.withColumn("bucket", bucket).withColumn("bundle_id", F.floor((upto - weight) / F.lit(target_bytes)).cast("bigint"))
+    placed = dealt.withColumn("_upto", upto).join(ahead, "bucket")
+    return placed.withColumn("bundle_id", F.floor((F.col("_ahead") + F.col("_upto") - weight) / F.lit(target_bytes)).cast("bigint")).select(*plan.columns, "bucket", "bundle_id")
 
 
 def buckets_for(plan: DataFrame, bucket_files: int = BUCKET_FILES, bucket_bytes: int = BUCKET_BYTES) -> int:

@@ -4,17 +4,21 @@ A plan is stored before anything is done, and a verb's outcome is a table of res
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.functions import paths
 from treeline.operators import compare, filters, jobs, report
 from treeline.operators.filters import FilterSpec
 from treeline.plans import planning
-from treeline.sinks import new_folder, stored
-from treeline.sources.tree import manifest_seconds, read_bundles, scan_tree, tree_digests
+from treeline.sinks import new_folder, shared_dir, stored
+from treeline.sources.rooted import local_path
+from treeline.sources.tree import bundle_members, manifest_seconds, scan, scan_tree, tree_digests
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,8 @@ class Options:
     fold: bool = False  # extras are judged by keys without case
     clear_readonly: bool = False  # what is read-only is deleted too
     drop_links: bool = False  # links of the source are left out
+    journal: str | None = None  # table folder of ranges that are done; one of the two roots' own where None
+    log: str | None = None  # folder for the lines of the run: START, a line for each path, DONE
 
 
 def transfer_plan(src: DataFrame, dst: DataFrame, options: Options, skip_unchanged: bool) -> DataFrame:
@@ -48,33 +54,65 @@ def transfer_plan(src: DataFrame, dst: DataFrame, options: Options, skip_unchang
         need = regular.unionByName(links.withColumn("reason", F.lit("link")), allowMissingColumns=True)
     else:
         need = wanted.withColumn("reason", F.lit("all"))
-    return need.select("path", "kind", "link_target", "size", "mtime", "reason", planning.size_class("size").alias("size_class"))
+    need = need if "mtime_us" in need.columns else need.withColumn("mtime_us", F.lit(None).cast("bigint"))
+    return need.select("path", "kind", "link_target", "size", "mtime", "mtime_us", "reason", planning.size_class("size").alias("size_class"))
 
 
-def delete_plan(src: DataFrame, dst: DataFrame, options: Options) -> DataFrame:
-    """(path, kind) of what only the destination has."""
+def delete_plan(src: DataFrame, dst: DataFrame, options: Options, unread: DataFrame | None = None) -> DataFrame:
+    """(path, kind) of what only the destination has.  Nothing at or below a path of ``unread``, what could not
+    be read of the source, and no file where the ranges of a source file gather."""
     fold = options.fold
     gone = compare.extra_files(dst.filter("kind <> 'dir'"), src.filter("kind <> 'dir'"), fold).select("path", "kind")
-    if options.files_only:
+    gone = gone.join(src.filter("kind = 'file'").select(jobs.part_path().alias("path")), "path", "left_anti")
+    if not options.files_only:
+        gone = gone.unionByName(compare.extra_dirs(dst, src, fold).select("path", "kind"))
+    if unread is None:
         return gone
-    return gone.unionByName(compare.extra_dirs(dst, src, fold).select("path", "kind"))
+    # Folders above what is kept would fail to go; they stay too.
+    up = F.concat(F.array(F.lit(""), "path"), paths.ancestors("path"))
+    hit = gone.select("path", F.explode(up).alias("at")).join(unread.select(F.col("path").alias("at")).distinct(), "at", "left_semi").select("path").distinct()
+    above = hit.select(F.explode(paths.ancestors("path")).alias("path")).distinct()
+    return gone.join(hit.unionByName(above), "path", "left_anti")
+
+
+def conflict_plan(src: DataFrame, dst: DataFrame, options: Options, delete: bool) -> DataFrame:
+    """(path, kind) of what stands at the destination in the way of another kind of thing, to go before anything
+    is copied.
+
+    Where extras are deleted, that is files and links where the source has something else, and folders where it has
+    a file or link, with all below them (all of it is extra anyway; with files_only folders stay, and copying
+    fails there).  Elsewhere only links where the source has a folder: writing through them would
+    leave the destination."""
+    wanted = src.select("path", "kind").unionByName(compare.all_dirs(src).withColumn("kind", F.lit("dir"))).groupBy("path").agg(F.min("kind").alias("wanted"))
+    odd = dst.select("path", "kind").join(wanted, "path").filter("kind <> wanted")
+    if not delete:
+        return odd.filter("kind = 'symlink' and wanted = 'dir'").select("path", "kind")
+    first = odd.filter("kind <> 'dir'").select("path", "kind")
+    if options.files_only:
+        return first
+    folders = odd.filter("kind = 'dir'").select(F.col("path").alias("at"))
+    up = F.concat(F.array("path"), paths.ancestors("path"))
+    below = dst.select("path", "kind", F.explode(up).alias("at")).join(folders, "at", "left_semi").select("path", "kind")
+    return first.unionByName(below).distinct()
 
 
 def _split_root(root: str) -> tuple[str, str | None]:
     """A root and, where it is a single file, the folder that holds it and its name."""
-    plain = root.removeprefix("file://").rstrip("/")
+    plain = local_path(root)
     return (os.path.dirname(plain) or "/", os.path.basename(plain)) if os.path.isfile(plain) else (root, None)
 
 
-def _manifests(spark: SparkSession, src_root: str, dst_root: str, options: Options, only: str | None = None) -> tuple[DataFrame, DataFrame]:
-    src = manifest_seconds(scan_tree(spark, src_root, options.spec, options.follow_links, only=only))
+def _manifests(spark: SparkSession, src_root: str, dst_root: str, options: Options, only: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Manifests of both sides, and what of the source could not be read."""
+    found = scan(spark, src_root, options.spec, options.follow_links, only=only)
+    src = manifest_seconds(found.manifest)
     dst = manifest_seconds(scan_tree(spark, dst_root, None if options.delete_excluded else options.spec, only=only))
     src = filters.link_policy(src, drop_links=True) if options.drop_links else src
     src = stored(filters.empty_dirs(src, options.include_empty_dirs))
     dst = stored(dst)
     if options.compare == "checksum":
         src, dst = _digested(src, dst, src_root, dst_root)
-    return src, dst
+    return src, dst, found.unread
 
 
 def _digested(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str) -> tuple[DataFrame, DataFrame]:
@@ -84,24 +122,33 @@ def _digested(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str) -> t
     return stored(out[0]), stored(out[1])
 
 
+def _journal(spark: SparkSession, src_root: str, dst_root: str) -> str:
+    """The journal of all runs between two roots, so a repeat finds what the run before it has done."""
+    both = hashlib.sha256(f"{local_path(src_root)}\0{local_path(dst_root)}".encode()).hexdigest()
+    return f"{shared_dir(spark)}/treeline-journal-{both[:32]}"
+
+
 def _transfer(spark: SparkSession, plan: DataFrame, src_root: str, dst_root: str, options: Options) -> DataFrame:
     """Small files in bundles where that pays, ranged files by ranges, all others one by one."""
     big = plan.filter((F.col("kind") == "file") & (F.col("size") >= planning.RANGED))
-    small = plan.filter("kind = 'file' and size_class = 'small'")
-    rest = plan.filter((F.col("kind") != "file") | ((F.col("size_class") != "small") & (F.col("size") < planning.RANGED)))
+    other = plan.filter((F.col("kind") != "file") | (F.col("size") < planning.RANGED))
+    small, rest = other.filter("kind = 'file' and size_class = 'small'"), other.filter("kind <> 'file' or size_class <> 'small'")
     out = []
-    if planning.should_bundle(small, options.force_bundle, options.forbid_bundle).first()["bundle"]:
+    # Bundles keep times and take no link for what it leads to.
+    plain = options.preserve_mtime and not options.follow_links
+    if planning.should_bundle(small, options.force_bundle, options.forbid_bundle or not plain).first()["bundle"]:
         folder = new_folder(spark, "bundles")
         dealt = planning.assign_bundles(small, buckets=planning.buckets_for(small), overhead=planning.FILE_OVERHEAD)
-        packed = stored(jobs.write_bundles(dealt, src_root, folder))
-        out.append(jobs.unpack_bundles(read_bundles(spark, folder), dst_root))
-        lost = packed.filter("error is not null")
-        out.append(lost.select(F.format_string("bundle %d-%d", "bucket", "bundle_id").alias("path"), F.lit("bundle").alias("action"), F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("bytes"), "error", F.lit(0.0).alias("seconds")))
+        jobs.write_bundles(dealt, src_root, folder)
+        out.append(jobs.unpack_bundles(bundle_members(spark, folder), folder, dst_root))
+        lost = jobs.bundle_index(spark, folder).filter("error is not null")
+        out.append(lost.select("path", F.lit("bundle").alias("action"), F.lit(False).alias("ok"), F.lit(0).cast("bigint").alias("bytes"), "error", F.lit(0.0).alias("seconds")))
     else:
         rest = rest.unionByName(small)
-    out.append(jobs.run_copy(rest, src_root, dst_root, options.preserve_mtime))
+    out.append(jobs.run_copy(rest, src_root, dst_root, options.preserve_mtime, options.follow_links))
     if not big.isEmpty():
-        out.append(jobs.run_copy_ranges(big, planning.split_ranges(big), src_root, dst_root))
+        journal = options.journal or _journal(spark, src_root, dst_root)
+        out.append(jobs.run_copy_ranges(big, planning.split_ranges(big), src_root, dst_root, journal, options.follow_links))
     results = out[0]
     for more in out[1:]:
         results = results.unionByName(more)
@@ -109,16 +156,22 @@ def _transfer(spark: SparkSession, plan: DataFrame, src_root: str, dst_root: str
 
 
 def _run(spark: SparkSession, src_root: str, dst_root: str, options: Options, skip: bool, delete: bool) -> DataFrame:
+    began = datetime.now(timezone.utc)
     src_root, only = _split_root(src_root)
     delete = delete and only is None  # a single file has no extras
-    src, dst = _manifests(spark, src_root, dst_root, options, only)
+    src, dst, unread = _manifests(spark, src_root, dst_root, options, only)
     if delete and not options.allow_empty_source and src.isEmpty():
         raise ValueError("the source is empty; allow_empty_source=True mirrors it all the same")
     plan = stored(transfer_plan(src, dst, options, skip))
-    doomed = stored(delete_plan(src, dst, options)) if delete else None
-    results = stored(jobs.make_dirs(src.filter("kind = 'dir'"), dst_root)).unionByName(_transfer(spark, plan, src_root, dst_root, options))
+    in_the_way = stored(conflict_plan(src, dst, options, delete))
+    doomed = stored(delete_plan(src, dst, options, unread).join(in_the_way, "path", "left_anti")) if delete else None
+    results = stored(jobs.run_delete(in_the_way, dst_root, options.clear_readonly)) if not in_the_way.isEmpty() else None
+    done = stored(jobs.make_dirs(src.filter("kind = 'dir'"), dst_root)).unionByName(_transfer(spark, plan, src_root, dst_root, options))
+    results = done if results is None else results.unionByName(done)
     if doomed is not None:
         results = results.unionByName(stored(jobs.run_delete(doomed, dst_root, options.clear_readonly)))
+    if options.log:
+        report.write_run_log(results, options.log, src_root, dst_root, began, datetime.now(timezone.utc))
     return results
 
 
@@ -164,8 +217,12 @@ def move(spark: SparkSession, src_root: str, dst_root: str, confirm: bool = Fals
         raise RuntimeError(f"the trees differ in {bad} paths after copying; the source stays")
     now = manifest_seconds(scan_tree(spark, root, options.spec, options.follow_links, only=only)).select("path", "kind", F.col("size").alias("size_now"), F.col("mtime_us").alias("us_now"))
     same = (F.col("kind") == "dir") | ((F.col("size") == F.col("size_now")) & (F.col("mtime_us") == F.col("us_now")))
-    verified = stored(src.join(now, ["path", "kind"]).filter(same).select("path", "kind"))
-    return results.unionByName(stored(jobs.run_delete(verified, root, options.clear_readonly)))
+    verified = stored(src.join(now, ["path", "kind"]).filter(same).select("path", "kind", "real_path"))
+    if options.follow_links:
+        # Links go as links, and only what lies in the source itself goes, by whatever route it was reached.
+        own = scan_tree(spark, root, options.spec, only=only).select("path", "kind", "real_path")
+        verified = stored(own.join(verified.select("real_path").distinct(), "real_path", "left_semi"))
+    return results.unionByName(stored(jobs.run_delete(verified.select("path", "kind"), root, options.clear_readonly)))
 
 
 def verify(spark: SparkSession, src_root: str, dst_root: str, mode: str = "size", options: Options = Options(), labels: str = "local") -> DataFrame:
@@ -229,6 +286,6 @@ def pull_plan(remote: DataFrame, local: DataFrame, spec: FilterSpec = FilterSpec
 
 
 def dry_run(spark: SparkSession, src_root: str, dst_root: str, options: Options = Options()) -> dict[str, DataFrame]:
-    src, dst = _manifests(spark, src_root, dst_root, options)
+    src, dst, unread = _manifests(spark, src_root, dst_root, options)
     plan = stored(transfer_plan(src, dst, options, options.skip_unchanged is not False))
-    return planning.dry_run(plan, stored(delete_plan(src, dst, options))) | {"totals": report.tree_totals(plan)}
+    return planning.dry_run(plan, stored(delete_plan(src, dst, options, unread))) | {"totals": report.tree_totals(plan)}

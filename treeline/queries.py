@@ -208,10 +208,10 @@ def _bundled(m: DataFrame) -> DataFrame:
 
 
 _BUNDLED = """select path, size, bucket, cast((upto - size)//50000 as bigint) bundle_id from (
-    select path, size, bucket, sum(size) over (partition by bucket order by path rows unbounded preceding) upto
+    select path, size, bucket, sum(size) over (order by bucket, path rows unbounded preceding) upto
     from (select path, size, cast('0x' || substr(md5(path),1,8) as bigint) % n bucket
           from m_src, (select greatest(1, (count(*)+999)//1000, cast((sum(size)+999999)//1000000 as bigint)) n from m_src)))"""
-_on("a8_bundle_stats", "m_src", f"select bucket, bundle_id, count(*) files, cast(sum(size) as bigint) bytes from ({_BUNDLED}) group by bucket, bundle_id", lambda m: report.bundle_stats(_bundled(m)))
+_on("a8_bundle_stats", "m_src", f"select bundle_id, count(*) files, cast(sum(size) as bigint) bytes from ({_BUNDLED}) group by bundle_id", lambda m: report.bundle_stats(_bundled(m)))
 _on("g1_assign_bundles", "m_src", _BUNDLED, lambda m: _bundled(m))
 _on("g2_should_bundle", "m_big", """select count(*) files, cast(sum(size)//count(*) as bigint) avg_size,
     count(*) > case when sum(size)//count(*) < 1024 then 200 when sum(size)//count(*) < 8192 then 500 else 1000 end bundle from m_big where size < 1048576""",
@@ -261,16 +261,50 @@ def _need_ranges(s: SparkSession, d: str) -> DataFrame:
 
 def _delta(s: SparkSession, d: str) -> DataFrame:
     a, b = _texts(s, d)
-    return delta.delta_match(a, delta.block_signatures(b, BLOCK), BLOCK)
+    return delta.delta_match(a, delta.block_signatures(b, BLOCK), BLOCK, 1024)
+
+
+def _text_trees(s: SparkSession, d: str) -> tuple[str, DataFrame, str, DataFrame]:
+    """Roots and manifests of trees of both sides' files."""
+    out = []
+    for df in _texts(s, d):
+        root = new_folder(s, "tree")
+        stored(jobs.write_files(df.withColumn("mtime", F.lit(1_700_000_000)).repartition(16, F.xxhash64("path")), root))
+        out += [root, stored(tree.scan_tree(s, root, kinds=("file",)).select("path", "size"))]
+    return tuple(out)
+
+
+def _file_ranges(s: SparkSession, d: str) -> DataFrame:
+    a_root, a, b_root, b = _text_trees(s, d)
+    return delta.need_ranges(delta.file_signatures(a, a_root, BLOCK, 1000), delta.file_signatures(b, b_root, BLOCK, 1000))
+
+
+def _file_delta(s: SparkSession, d: str) -> DataFrame:
+    a_root, a, b_root, b = _text_trees(s, d)
+    return delta.file_delta(a, a_root, delta.file_signatures(b, b_root, BLOCK), BLOCK, 1024)
 
 
 _CUT2 = """(select path, k, h[k*128+1:(k+1)*128] x, len(h[k*128+1:(k+1)*128])//2 n from (select path, h, unnest(range(0, (len(h)+127)//128)) k from {0}))"""
-query("h6_need_ranges", f"""with t as (select concat(source,'/',lang,'/',cast(doc_id as string),'.txt') path, hex(encode(text)) h, doc_id from documents),
-    u as (select path, case doc_id%3 when 0 then '23' || h when 1 then h[1:len(h)-2] || '7E' else h end h from t),
-    a as {_CUT2.format("t")}, b as {_CUT2.format("u")},
+_BOTH = f"""t as (select concat(source,'/',lang,'/',cast(doc_id as string),'.txt') path, hex(encode(text)) h, doc_id from documents),
+    u as (select path, case doc_id%3 when 0 then '23' || h when 1 then h[1:len(h)-2] || '7E' else h end h from t)"""
+_RANGES = f"""with {_BOTH}, a as {_CUT2.format("t")}, b as {_CUT2.format("u")},
     n as (select a.path, a.k, a.n, a.k - row_number() over (partition by a.path order by a.k) r from a left join b using (path, k) where b.x is null or a.x <> b.x)
-    select path, cast(min(k)*64 as bigint) off, cast(sum(n) as bigint) len from n group by path, r""")(_need_ranges)
-query("h7_delta_match")(_delta)
+    select path, cast(min(k)*64 as bigint) off, cast(sum(n) as bigint) len from n group by path, r"""
+query("h6_need_ranges", _RANGES)(_need_ranges)
+query("h6_need_ranges_of_files", _RANGES)(_file_ranges)
+query("h5_file_signatures", _SIG)(lambda s, d: (lambda t: delta.file_signatures(t[1], t[0], BLOCK, 1000))(_text_trees(s, d)))
+_MATCHES = f"""{_BOTH}, b as (select path, x, min(k*64) dst_off from {_CUT2.format("u")} where n = 64 group by path, x),
+    w as (select path, h, unnest(range(0, len(h)//2 - 63)) off from t),
+    m as materialized (select w.path, w.off, b.dst_off from w join b on w.path = b.path and h[off*2+1:off*2+128] = b.x)"""
+query("h4_rolling_hits", f"with {_MATCHES} select path, off from m")(
+    lambda s, d: (lambda a, sig: delta._matched(delta.rolling_hits(a, sig, BLOCK), sig, BLOCK).select("path", "off"))(_texts(s, d)[0], delta.block_signatures(_texts(s, d)[1], BLOCK)))
+_DELTA = f"""with recursive {_MATCHES},
+    g as (select path, min(off) off from m group by path union all select g.path, min(m.off) from g join m on m.path = g.path and m.off >= g.off + 64 group by g.path, g.off),
+    c as (select g.path, g.off, dst_off, coalesce(lag(g.off + 64) over (partition by g.path order by g.off), 0) done from g join m on m.path = g.path and m.off = g.off)
+    select path, off, cast(64 as bigint) len, dst_off from c union all select path, done, off - done, null from c where off > done
+    union all select path, done, n - done, null from (select t.path, len(h)//2 n, coalesce((select max(off) + 64 from g where g.path = t.path), 0) done from t) where n > done"""
+query("h7_delta_match", _DELTA)(_delta)
+query("h7_delta_of_files", _DELTA)(_file_delta)
 
 # Sorts, limits ---------------------------------------------------------------------------------
 
@@ -330,6 +364,20 @@ def _s2(s: SparkSession, d: str) -> DataFrame:
     return tree.scan_tree(s, root, follow_links=True, kinds=("file",)).select("path", "size")
 
 
+@query("s2_scan_linked_folders", f"""select case when source < 'src2' then 'a/' || source || '/' || lang || '/' || doc_id || '.txt'
+    else 'deep/down/' || {_NAMES} end path, cast(octet_length(encode(text)) as bigint) size from documents""")
+def _s2_folders(s: SparkSession, d: str) -> DataFrame:
+    """The files lie outside the root, behind links to folders: a/<source> for some sources (which is their
+    shortest route), one link to the folder of all sources further down, and links in circles."""
+    base = new_folder(s, "tree")
+    rows = contents(s, d)
+    stored(jobs.write_files(rows.repartition(16, F.xxhash64("path")), f"{base}/elsewhere"))
+    links = rows.selectExpr("split_part(path, '/', 1) source").distinct()
+    near = links.filter("source < 'src2'").selectExpr("concat('a/', source) path", "concat('../../elsewhere/', source) link_target")
+    more = s.createDataFrame([("deep/down", "../../elsewhere"), ("deep/again", "../deep"), ("deep/up", "..")], "path string, link_target string")
+    stored(jobs.run_copy(stored(near.unionByName(more).selectExpr("path", "'symlink' kind", "link_target", "cast(0 as bigint) size")), f"{base}/root", f"{base}/root"))
+    return tree.scan_tree(s, f"{base}/root", follow_links=True, kinds=("file",)).select("path", "size")
+
 
 query("s3_scan_manifest", f"select path, 'file' kind from ({_FILES}) union all select distinct source, 'dir' from documents union all select distinct source||'/'||lang, 'dir' from documents")(
     lambda s, d: tree.scan_tree(s, _tree(s, d)).select("path", "kind"))
@@ -374,6 +422,24 @@ def _k2(s: SparkSession, d: str) -> DataFrame:
     return _after(s, jobs.run_copy_ranges(plan, planning.split_ranges(plan, 4096, 0), root, new_folder(s, "ranges")))
 
 
+@query("k2_repeat_ranges", f"select {_NAMES} path, sha256(text) digest, 1700000000+doc_id*60 mtime, doc_id % 3 <> 0 first_ok, true again_ok from documents where octet_length(encode(text)) > 0")
+def _k2_repeat(s: SparkSession, d: str) -> DataFrame:
+    """A run over a source in which every third file is away fails there; a repeat with the same journal,
+    when they are back, copies these alone, and all contents are right."""
+    root, out, journal = _tree(s, d), new_folder(s, "ranges"), new_folder(s, "journal")
+    plan = stored(_plan(s, root).filter("size > 0"))
+    ranges = planning.split_ranges(plan, 1000, 0)
+    away = stored(plan.filter("cast(regexp_extract(path, '([0-9]+).txt', 1) as int) % 3 = 0").select("path", F.lit("file").alias("kind")))
+    stored(jobs.run_delete(away, root))
+    first = stored(jobs.run_copy_ranges(plan, ranges, root, out, journal)).select("path", F.col("ok").alias("first_ok"))
+    back = contents(s, d).join(away.select("path"), "path", "left_semi")
+    stored(jobs.write_files(back.repartition(16, F.xxhash64("path")), root))
+    again = stored(jobs.run_copy_ranges(plan, ranges, root, out, journal)).select("path", F.col("ok").alias("again_ok"))
+    found = stored(_scan(s, out, kinds=("file",)))
+    digests = tree.tree_digests(found, out).join(found.select("path", "mtime"), "path")
+    return digests.join(first, "path").join(again, "path").select("path", "digest", "mtime", "first_ok", "again_ok")
+
+
 @query("k3_copy_one", f"select path, true ok, size bytes from ({_FILES}) order by path limit 1")
 def _k3(s: SparkSession, d: str) -> DataFrame:
     root = _tree(s, d)
@@ -453,11 +519,40 @@ def _packed(s: SparkSession, d: str) -> tuple[DataFrame, str]:
 
 
 _PACKED = _BUNDLED.replace("m_src", f"({_FILES})").replace("50000", "100000")
-query("k12_write_bundles", f"select bucket, bundle_id, count(*) files, cast(sum(size) as bigint) bytes, true ok from ({_PACKED}) group by bucket, bundle_id")(
-    lambda s, d: _packed(s, d)[0].select("bucket", "bundle_id", "files", "bytes", F.isnull("error").alias("ok")))
-query("k13_bundle_tree", f"select path, size, mtime from ({_FILES})")(lambda s, d: tree.read_bundles(s, _packed(s, d)[1]).select("path", "size", "mtime"))
-query("s8_read_bundles", f"select {_NAMES} path, sha256(text) digest from documents")(
-    lambda s, d: tree.read_bundles(s, _packed(s, d)[1]).select("path", F.sha2("content", 256).alias("digest")))
+query("k12_write_bundles", f"select path, bundle_id, size, mtime, true ok from ({_PACKED.replace('path, size,', 'path, mtime, size,')})")(
+    lambda s, d: jobs.bundle_index(s, _packed(s, d)[1]).select("path", "bundle_id", "size", F.floor(F.col("mtime_us") / 1_000_000).alias("mtime"), F.isnull("error").alias("ok")))
+query("k12_bundle_totals", f"select bundle_id, count(*) files, cast(sum(size) as bigint) bytes, true ok from ({_PACKED}) group by bundle_id")(
+    lambda s, d: _packed(s, d)[0].select("bundle_id", "files", "bytes", F.isnull("error").alias("ok")))
+_FORK = f"""select path, 'file' kind, size, null link_target, sha256(text) digest from (select {_NAMES} path, cast(octet_length(encode(text)) as bigint) size, text from documents)
+    union all select distinct source, 'dir', 0, null, null from documents union all select distinct source||'/'||lang, 'dir', 0, null, null from documents
+    union all select distinct source||'/to_'||lang, 'symlink', 0, lang, null from documents"""
+
+
+def _bundled_tree(s: SparkSession, d: str) -> tuple[str, str]:
+    """A tree with a link to each language's folder, and the folder of its bundles."""
+    root, out = _tree(s, d), new_folder(s, "bundles")
+    links = contents(s, d).selectExpr("concat(split_part(path, '/', 1), '/to_', split_part(path, '/', 2)) path", "split_part(path, '/', 2) link_target").distinct()
+    stored(jobs.run_copy(stored(links.selectExpr("path", "'symlink' kind", "link_target", "cast(0 as bigint) size")), root, root))
+    plan = stored(tree.scan_tree(s, root))
+    jobs.write_bundles(planning.assign_bundles(plan, 100_000, planning.buckets_for(plan, 1000, 1_000_000)), root, out)
+    return root, out
+
+
+query("k13_bundle_tree", _FORK)(
+    lambda s, d: tree.read_bundles(s, _bundled_tree(s, d)[1]).select("path", "kind", "size", "link_target", F.sha2("content", 256).alias("digest")))
+
+
+@query("k13_unpack_tree", _FORK)
+def _k13(s: SparkSession, d: str) -> DataFrame:
+    """The whole tree from its bundles again: files, folders, links."""
+    folder, out = _bundled_tree(s, d)[1], new_folder(s, "unpacked")
+    stored(jobs.unpack_bundles(tree.bundle_members(s, folder), folder, out))
+    m = stored(tree.scan_tree(s, out))
+    return m.join(tree.tree_digests(m, out), "path", "left").select("path", "kind", "size", "link_target", "digest")
+
+
+query("s8_read_bundles", f"select {_NAMES} path, cast(octet_length(encode(text)) as bigint) size, 1700000000+doc_id*60 mtime, sha256(text) digest from documents")(
+    lambda s, d: tree.read_bundles(s, _packed(s, d)[1]).select("path", "size", "mtime", F.sha2("content", 256).alias("digest")))
 
 
 def _diff(s: SparkSession, d: str) -> DataFrame:
@@ -516,6 +611,23 @@ def _verb(verb: Callable) -> Callable:
 query("w1_copy", f"{_SRC_TEXT} union all {_DST_ONLY}")(_verb(sync.copy))
 query("w2_update", f"{_SRC_TEXT} union all {_DST_ONLY}")(_verb(sync.update))
 query("w3_mirror", _SRC_TEXT)(_verb(sync.mirror))
+@query("w3_mirror_conflicts", _SRC_TEXT + " union all select 'kept', sha256('outside')")
+def _w3_conflicts(s: SparkSession, d: str) -> DataFrame:
+    """Mirror onto a destination with links to a folder elsewhere in place of one language's folders, folders in
+    place of some files and files in place of one source's folder; what is elsewhere stays as it is."""
+    root, base = _tree(s, d, "doc_id % 13 <> 0"), new_folder(s, "tree")
+    rows = contents(s, d)
+    bytes_of = lambda t: F.encode(F.lit(t), "utf-8")
+    odd = rows.filter("doc_id % 7 = 0 and path not like '%/en/%' and path not like 'src1/%'").select(F.concat("path", F.lit("/below")).alias("path"))
+    odd = odd.unionByName(s.createDataFrame([("src1",)], "path string"))
+    stored(jobs.write_files(odd.select("path", bytes_of("odd").alias("content"), F.lit(5).alias("mtime")), f"{base}/dst"))
+    stored(jobs.write_files(s.range(1).select(F.lit("kept").alias("path"), bytes_of("outside").alias("content"), F.lit(5).alias("mtime")), f"{base}/outside"))
+    links = rows.filter("path like '%/en/%' and path not like 'src1/%'").selectExpr("concat(split_part(path, '/', 1), '/en') path").distinct()
+    stored(jobs.run_copy(stored(links.selectExpr("path", "'symlink' kind", "'../../outside' link_target", "cast(0 as bigint) size")), base, f"{base}/dst"))
+    stored(sync.mirror(s, root, f"{base}/dst"))
+    return _digests(s, f"{base}/dst").unionByName(_digests(s, f"{base}/outside"))
+
+
 query("w4_move", _SRC_TEXT)(_verb(lambda s, a, b: sync.move(s, a, b, confirm=True)))
 query("w5_verify", """select case when s.path is null then 'extra_dest' when d.path is null then 'missing_dest' else 'changed' end kind, coalesce(s.path, d.path) path
     from m_src s full join m_dst d on s.path = d.path where s.path is null or d.path is null or s.digest <> d.digest""", "m_src", "m_dst")(

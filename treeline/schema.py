@@ -4,11 +4,6 @@ MANIFEST = (
     "path string, kind string, size bigint, mtime timestamp, mode int, readonly boolean, "
     "link_target string, real_path string, root string"
 )
-DIFF = "kind string, path string, size_src bigint, size_dest bigint, mtime_src bigint, mtime_dest bigint"
-PLAN = "path string, action string, reason string, size bigint, mtime bigint, size_class string, bundle_id bigint"
-RANGES = "path string, off bigint, len bigint"
 RESULTS = "path string, action string, ok boolean, bytes bigint, error string, seconds double"
-SIGNATURES = "path string, block bigint, off bigint, len bigint, weak bigint, strong string"
 
-KINDS = ("file", "dir", "symlink")
 MIB = 1 << 20

@@ -1,173 +1,194 @@
-"""File trees as tables: the ``filetree`` data source, listings, contents, bundles and run logs.
+"""File trees as tables: scans, listings, contents, bundles and run logs.
 
-Roots must be paths that all executors see (a shared mount).  Names that aren't UTF-8 are written
-with ``\\udcXX`` for each odd byte and found again by ``to_name``."""
+Roots must be paths that all executors see (a shared mount)."""
 
 from __future__ import annotations
 
-import io
-import json
 import os
 import re
 import stat
 import tarfile
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from treeline.functions import paths
 from treeline.operators.filters import FilterSpec, matches
 from treeline.schema import MANIFEST, MIB
+from treeline.sinks import new_folder, stored
+from treeline.sources.rooted import local_path, to_name, to_text
 
 CONTENT_LIMIT = 64 * MIB
-SUBTREES = 64
 LIST_LIMIT = 1000
+SLICE = 5000  # names of a folder that one task looks at
+BUDGET = 20_000  # entries that one row of the frontier leads to in one round
 
+INDEX = "members"  # the table of a folder of bundles that tells what is in them
+MEMBERS = "bundle_id bigint, bundle string, path string, kind string, size bigint, mtime_us bigint, mode bigint, link_target string, offset bigint, error string"
+_FOUND = MANIFEST + ", step string, lo string, hi string, error string"
+_KINDS = {"size": pa.int64(), "mtime": pa.timestamp("us", "UTC"), "mode": pa.int32(), "readonly": pa.bool_()}
+_FOUND_ARROW = pa.schema([(n, _KINDS.get(n, pa.string())) for n in (f.split()[0] for f in _FOUND.split(", "))])
 
-def to_text(name: str) -> str:
-    return "".join(f"\\udc{ord(c) - 0xDC00:02x}" if 0xDC80 <= ord(c) <= 0xDCFF else c for c in name)
 
+@dataclass(frozen=True)
+class Scan:
+    """manifest: what was found; unread: rows (path, error) of what couldn't be read, "" for the root."""
 
-def to_name(text: str) -> str:
-    return re.sub(r"\\udc([89a-f][0-9a-f])", lambda m: chr(0xDC00 + int(m[1], 16)), text)
+    manifest: DataFrame
+    unread: DataFrame
 
 
-class _Subtree(InputPartition):
-    def __init__(self, rel: str, deep: bool):
-        self.rel, self.deep = rel, deep
+class _Walk:
+    """Lists folders for one task: rows of step ``row`` (entries), ``todo`` (folders or slices of folders
+    for the next round) and ``error``."""
 
+    def __init__(self, root: str, spec: FilterSpec, kinds: tuple[str, ...], follow: bool, only: str | None, slice_: int, budget: int):
+        self.root, self.spec, self.kinds, self.follow, self.only = root, spec, kinds, follow, only
+        self.slice, self.budget = slice_, budget
+        self.real_root = os.path.realpath(root)
 
-class FileTreeReader(DataSourceReader):
-    """Each partition walks a subtree; large levels are split breadth first on the driver, down to
-    SUBTREES subtrees, so one big top directory doesn't become one task."""
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
 
-    def __init__(self, options: dict[str, str]):
-        self.root = options["root"].removeprefix("file://").rstrip("/") or "/"
-        self.follow = options.get("follow_links", "false").lower() == "true"
-        self.only, self.subtrees = options.get("only"), int(options.get("subtrees", SUBTREES))
-        self.real_root = os.path.realpath(self.root)
-        self.kinds = set(options.get("kinds", "file,dir,symlink").split(","))
-        self.spec = FilterSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(options.get("filter", "{}")).items()})
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND_ARROW, strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=_FOUND_ARROW)
 
-    def _entries(self, rel: str) -> list[os.DirEntry]:
-        try:
-            with os.scandir(os.path.join(self.root, rel) if rel else self.root) as found:
-                return sorted((e for e in found if self.only in (None, e.name)), key=lambda e: e.name)
-        except OSError:
-            return []  # unreadable: skipped
+        for given in batches:
+            for path, lo, hi in zip(*(given.column(c).to_pylist() for c in ("path", "lo", "hi")), strict=True):
+                for row in self._from(path, lo, hi):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield batch()
+        if rows:
+            yield batch()
 
-    def _enter(self, e: os.DirEntry) -> bool:
-        try:
-            return e.is_dir(follow_symlinks=self.follow) and not any(matches(e.name, p) for p in self.spec.exclude_dirs)
-        except OSError:
-            return False
-
-    def partitions(self) -> list[InputPartition]:
-        shallow, deep = [], [""]
-        if self.only is not None:
-            return [_Subtree("", False)]
-        while deep and len(deep) < self.subtrees and len(shallow) < 4 * self.subtrees:
-            below = [os.path.join(r, e.name) for r in deep for e in self._entries(r) if self._enter(e) and not e.is_symlink()]
-            shallow += deep
-            deep = below
-        return [*(_Subtree(r, False) for r in shallow), *(_Subtree(r, True) for r in deep)]
-
-    def _row(self, rel: str, e: os.DirEntry) -> tuple | None:
+    def _step(self, path: str, step: str, lo: str | None = None, hi: str | None = None, error: str | None = None, real: str | None = None) -> tuple:
+        return (path, None, None, None, None, None, None, real, self.root, step, lo, hi, error)
+
+    def _from(self, path: str, lo: str | None, hi: str | None) -> Iterator[tuple]:
+        todo, left = [(path, lo, hi)], self.budget
+        while todo:
+            path, lo, hi = todo.pop()
+            if left <= 0:
+                yield self._step(path, "todo", lo, hi)
+                continue
+            folder = os.path.join(self.root, to_name(path)) if path else self.root
+            try:
+                with os.scandir(folder) as found:
+                    named = [(to_text(e.name), e) for e in found if self.only in (None, e.name)]
+            except OSError as e:
+                yield self._step(path, "error", error=f"{type(e).__name__}: {e.strerror}")
+                continue
+            named = sorted((n for n in named if (lo is None or n[0] >= lo) and (hi is None or n[0] < hi)), key=lambda n: n[0])
+            for k in range(self.slice, len(named), self.slice):
+                yield self._step(path, "todo", named[k][0], named[k + self.slice][0] if k + self.slice < len(named) else hi)
+            left -= min(len(named), self.slice) + 1
+            for name, e in named[: self.slice]:
+                rel = f"{path}/{name}" if path else name
+                try:
+                    row, enter = self._entry(rel, e)
+                except OSError as error:
+                    yield self._step(rel, "error", error=f"{type(error).__name__}: {error.strerror}")
+                    continue
+                if row is not None:
+                    yield (*row, "row", None, None, None)
+                if enter and self.only is None:
+                    if self.follow:
+                        yield self._step(rel, "todo", real=to_text(os.path.realpath(os.path.join(folder, e.name))))
+                    else:
+                        todo.append((rel, None, None))
+
+    def _entry(self, rel: str, e: os.DirEntry) -> tuple[tuple | None, bool]:
+        """(row of the manifest or None, whether it is a folder to list)."""
+        link = e.is_symlink()
         try:
-            link = e.is_symlink()
             st = e.stat(follow_symlinks=self.follow)
         except OSError:
             if not link:
-                return None
+                raise
             st = e.stat(follow_symlinks=False)  # a link without a target
-        if link and not (self.follow and not stat.S_ISLNK(st.st_mode)):
-            kind = "symlink"
-        elif stat.S_ISDIR(st.st_mode):
-            kind = "dir"
-        elif stat.S_ISREG(st.st_mode):
-            kind = "file"
-        else:
-            return None
-        if kind not in self.kinds or (kind == "file" and any(matches(e.name, p) for p in self.spec.exclude_files)):
-            return None
+        kind = "symlink" if stat.S_ISLNK(st.st_mode) else "dir" if stat.S_ISDIR(st.st_mode) else "file" if stat.S_ISREG(st.st_mode) else None
+        if kind == "dir" and any(matches(e.name, p) for p in self.spec.exclude_dirs):
+            return None, False
         size = st.st_size if kind == "file" else 0
-        if kind == "file" and ((self.spec.min_size is not None and size < self.spec.min_size) or (self.spec.max_size is not None and size > self.spec.max_size)):
-            return None
-        full = os.path.join(self.root, rel)
-        return (
-            to_text(rel),
+        low, high = self.spec.min_size, self.spec.max_size
+        left_out = kind == "file" and (any(matches(e.name, p) for p in self.spec.exclude_files) or (low is not None and size < low) or (high is not None and size > high))
+        if kind not in self.kinds or left_out:
+            return None, kind == "dir"
+        row = (
+            rel,
             kind,
             size,
-            datetime.fromtimestamp(st.st_mtime_ns // 1000 / 1e6, timezone.utc),
+            datetime.fromtimestamp(st.st_mtime_ns // 1_000_000_000, timezone.utc) + timedelta(microseconds=st.st_mtime_ns // 1000 % 1_000_000),
             stat.S_IMODE(st.st_mode),
             not st.st_mode & stat.S_IWUSR,
-            to_text(os.readlink(full)) if kind == "symlink" else None,
+            to_text(os.readlink(e.path)) if kind == "symlink" else None,
             # Without links on the way the real path is the path.
-            to_text(os.path.realpath(full) if self.follow or kind == "symlink" else os.path.join(self.real_root, rel)),
+            to_text(os.path.realpath(e.path)) if self.follow or kind == "symlink" else f"{to_text(self.real_root).rstrip('/')}/{rel}",
             to_text(self.root),
         )
-
-    def read(self, partition: _Subtree) -> Iterator[tuple]:
-        todo, seen = [partition.rel], set()
-        while todo:
-            rel = todo.pop()
-            if self.follow:
-                real = os.path.realpath(os.path.join(self.root, rel))
-                if real in seen:  # links in a circle
-                    continue
-                seen.add(real)
-            for e in self._entries(rel):
-                path = os.path.join(rel, e.name) if rel else e.name
-                inside = self._enter(e)
-                try:
-                    left_out = e.is_dir(follow_symlinks=self.follow) and not inside
-                except OSError:
-                    left_out = False
-                if not left_out and (row := self._row(path, e)) is not None:
-                    yield row
-                # Linked directories are entered by the walk that meets the link.
-                if inside and (partition.deep or e.is_symlink()):
-                    todo.append(path)
-
-
-class FileTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "filetree"
-
-    def schema(self) -> str:
-        return MANIFEST
-
-    def reader(self, schema) -> DataSourceReader:
-        return FileTreeReader(dict(self.options))
-
-
-def scan_tree(
-    spark: SparkSession, root: str, spec: FilterSpec | None = None, follow_links: bool = False, kinds: tuple[str, ...] = ("file", "dir", "symlink"), only: str | None = None
-) -> DataFrame:
-    """The manifest of a tree, or of the entry ``only`` of its top.  Top levels are split until there
-    are several subtrees for each core.  With follow_links one route per real file and directory stays, the
-    shortest, then first by path; links in a circle end."""
-    spark.dataSource.register(FileTree)
-    chosen = {k: v for k, v in vars(spec or FilterSpec()).items() if v not in (None, ())}
-    df = (
-        spark.read.format("filetree")
-        .option("root", root)
-        .option("follow_links", str(follow_links).lower())
-        .option("kinds", ",".join(kinds))
-        .option("subtrees", str(max(SUBTREES, 4 * spark.sparkContext.defaultParallelism)))
-        .option("filter", json.dumps(chosen))
-    )
-    df = (df if only is None else df.option("only", only)).load()
+        return row, kind == "dir"
+
+
+def scan(
+    spark: SparkSession, root: str, spec: FilterSpec | None = None, follow_links: bool = False, kinds: tuple[str, ...] = ("file", "dir", "symlink"), only: str | None = None,
+    slice_: int = SLICE, budget: int = BUDGET,
+) -> Scan:
+    """The manifest of a tree, or of the entry ``only`` of its top, as a written table, so that filters and
+    columns of what is done with it reach its Parquet scan.
+
+    The tree is listed in rounds.  A round deals the frontier, folders to list, to tasks.  A task goes on
+    downwards for ``budget`` entries for each row of the frontier and leaves the rest to the next round,
+    so rounds grow with the logarithm of the tree, not its depth.  Of a folder with more than ``slice_`` names a task
+    looks at the first, the others are ranges of names in the next round.  ``spec`` is applied while walking.
+
+    With follow_links a round is one level, and a table of visited real folders is joined against, so each is
+    listed once, by the shortest route to it, of these the first by path; links in a circle end.  Of
+    files that several routes lead to, one row stays by the same rule.
+
+    What can't be read is left out of the manifest and told in ``unread``."""
+    place = local_path(root)
+    walk = _Walk(place, spec or FilterSpec(), kinds, follow_links, only, slice_, budget)
+    frontier = spark.createDataFrame([("", None, None)], "path string, lo string, hi string")
+    folder, tasks = new_folder(spark, "scan"), 4 * spark.sparkContext.defaultParallelism
+    rounds = []
+
+    visited = None
+    while True:
+        rounds.append(f"{folder}/{len(rounds)}")
+        frontier.mapInArrow(walk.run, _FOUND).write.parquet(rounds[-1])
+        todo = spark.read.schema(_FOUND).parquet(rounds[-1]).filter("step = 'todo'")
+        if follow_links:
+            first = F.min_by("path", F.struct(paths.depth("path"), "path")).alias("path")
+            new = todo.filter("real_path is not null").groupBy("real_path").agg(first)
+            if visited is None:
+                visited = stored(spark.createDataFrame([(to_text(os.path.realpath(place)),)], "real_path string"))
+            new = stored(new.join(visited, "real_path", "left_anti"))
+            visited = stored(visited.unionByName(new.select("real_path")))
+            todo = todo.filter("real_path is null").select("path", "lo", "hi").unionByName(new.select("path", F.lit(None).cast("string").alias("lo"), F.lit(None).cast("string").alias("hi")))
+        left = todo.count()
+        if not left:
+            break
+        frontier = todo.select("path", "lo", "hi").repartition(min(left, tasks))
+    found = spark.read.schema(_FOUND).parquet(*rounds)
+    rows = found.filter("step = 'row'").drop("step", "lo", "hi", "error")
     if follow_links:
-        one = Window.partitionBy("real_path").orderBy(paths.depth("path"), "path")
-        df = df.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
-    return df
+        rest = [c for c in rows.columns if c != "real_path"]
+        one = rows.groupBy("real_path").agg(F.min_by(F.struct(*rest), F.struct(paths.depth("path"), "path")).alias("r"))
+        rows = stored(one.select("r.*", "real_path").select(*rows.columns))
+    return Scan(rows, found.filter("step = 'error'").select("path", "error"))
+
+
+def scan_tree(spark: SparkSession, root: str, spec: FilterSpec | None = None, follow_links: bool = False, kinds: tuple[str, ...] = ("file", "dir", "symlink"), only: str | None = None) -> DataFrame:
+    """The manifest of ``scan``."""
+    return scan(spark, root, spec, follow_links, kinds, only).manifest
 
 
 def manifest_seconds(df: DataFrame) -> DataFrame:
@@ -278,19 +299,65 @@ def tree_digests(manifest: DataFrame, root: str, stride: int = CONTENT_LIMIT) ->
     return whole.unionByName(ranged)
 
 
-def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (bundle, path, size, mtime, content) of the members of all tar files in a folder."""
+def bundle_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (bundle_id, bundle, path, kind, size, mtime_us, mode, link_target, offset, error) of the members of the tar files in a
+    folder: from its index, or, where tars came without one, from their headers."""
+    place = local_path(folder)
+    if os.path.isdir(os.path.join(place, INDEX)):
+        return spark.read.schema(MEMBERS).parquet(f"{folder}/{INDEX}").filter("error is null")
+    names = sorted(n for n in os.listdir(place) if n.endswith(".tar"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, data in zip(part["name"], part["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(bytes(data))) as tar:
-                    for m in tar:
-                        if m.isfile():
-                            yield pd.DataFrame({"bundle": [name], "path": [to_text(m.name)], "size": [m.size], "mtime": [int(m.mtime)], "content": [tar.extractfile(m).read()]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(folder)
-    return files.select(paths.base_name("path").alias("name"), "content").mapInPandas(run, "bundle string, path string, size bigint, mtime bigint, content binary")
+        for name in (n for part in parts for n in part["bundle"]):
+            rows = []
+            with tarfile.open(os.path.join(place, name)) as tar:
+                for m in tar:
+                    kind = "file" if m.isfile() else "dir" if m.isdir() else "symlink" if m.issym() else None
+                    if kind:
+                        rows.append((0, name, to_text(m.name), kind, m.size if kind == "file" else 0, round(m.mtime * 1e6), m.mode, to_text(m.linkname) if m.issym() else None, m.offset_data, None))
+                    if len(rows) >= 10_000:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+                    tar.members = []  # else it remembers all
+            yield pd.DataFrame(rows, columns=columns)
+
+    columns = [f.split()[0] for f in MEMBERS.split(", ")]
+    files = spark.createDataFrame([(n,) for n in names], "bundle string").repartition(max(1, len(names)))
+    return files.mapInPandas(run, MEMBERS)
+
+
+def read_bundles(spark: SparkSession, folder: str, limit: int = CONTENT_LIMIT) -> DataFrame:
+    """Rows (bundle, path, kind, size, mtime, mtime_us, mode, link_target, content, error) of all members.  content is null for folders, links
+    and files over ``limit`` bytes, which ``unpack_bundles`` writes without holding them."""
+    place = local_path(folder)
+    names = ["bundle", "path", "kind", "size", "mtime", "mtime_us", "mode", "link_target"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, held, contents, errors = 0, 0, [], []
+            for k, (bundle, kind, size, offset) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bundle", "kind", "size", "offset")), strict=True)):
+                content = error = None
+                if kind == "file" and size > limit:
+                    error = f"more than {limit} bytes"
+                elif kind == "file":
+                    try:
+                        with open(os.path.join(place, bundle), "rb") as f:
+                            f.seek(offset)
+                            content = f.read(size)
+                        if len(content) < size:
+                            content, error = None, "the bundle ends early"
+                    except OSError as e:
+                        error = f"{type(e).__name__}: {e.strerror}"
+                contents.append(content)
+                errors.append(error)
+                held += len(content or b"")
+                if held > limit or k + 1 == batch.num_rows:
+                    cols = [*batch.slice(begin, k + 1 - begin).columns[:-1], pa.array(contents, pa.binary()), pa.array(errors, pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, [*names, "content", "error"])
+                    begin, held, contents, errors = k + 1, 0, [], []
+
+    members = bundle_members(spark, folder).withColumn("mtime", F.floor(F.col("mtime_us") / 1_000_000)).select(*names, "offset")
+    return members.mapInArrow(run, "bundle string, path string, kind string, size bigint, mtime bigint, mtime_us bigint, mode bigint, link_target string, content binary, error string")
 
 
 def parse_log(lines: DataFrame, line: str = "line") -> DataFrame:
