@@ -9,16 +9,19 @@ kind       validated by                                      permuted
 email      address shape                                     letters and digits of the local part
 card       13 to 19 digits, Luhn sum                         all digits but the check digit, which
                                                              is computed anew
-iban       country, length, mod-97 sum                       account part; check digits anew
+iban       country, its length, mod-97 sum                   account part; check digits anew
 ssn        area, group and serial ranges                     index among all valid numbers
 ip         four octets up to 255                             the 32-bit address
 phone      +country or (area), 8 to 15 digits                all digits but the country code
 date       a calendar day in the years 1000 to 2999          day number in its 400-year cycle
 =========  ================================================  =====================================
 
-Values that fail validation stay as they are.  Each permutation is a keyed Feistel network: two
+Values that fail validation stay as they are.  What follows a value is no part of it: accounts have their
+country's length, phone numbers 15 digits at most and end before another value's shape, and runs of fours are searched for
+cards from each of them on; one takes up to three more digits only where it fails without them.  Each permutation is a keyed Feistel network: two
 halves, each in turn moved by a SHA-256 digest of key, kind, round and other half, so it can be
-undone by who has the key (``pseudonym(..., reverse=True)``).  Dates use Z(189) x Z(773) = 146097,
+undone by who has the key (``reverse=True``; a card in a longer run of fours may be
+read otherwise then).  Dates use Z(189) x Z(773) = 146097,
 the days of a 400-year cycle; social security numbers Z(88902) x Z(9999).  No cycle walking.
 
 Null text gives null; empty text stays empty.  Rows are independent, so ties, repeated rows, empty
@@ -36,16 +39,61 @@ from treeline.llm.common import fresh
 ROUNDS = 8
 KINDS = ("email", "card", "iban", "ssn", "ip", "phone", "date")
 _B, _E = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+
+# Lengths of account numbers by country, and the countries that have each.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Accounts of just their country's length, in fours or without spaces, so no word after one is taken for
+    part of it; of other countries those without spaces."""
+    known = []
+    for length, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        known.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    own = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
+    return _B + rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|(?!{own})[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})" + _E
+
+
+def _date_shapes() -> str:
+    """Both orders with each separator, without back references: group numbers shift inside an alternation."""
+    by_sep = []
+    for sep in ("-", "/", r"\."):
+        by_sep.append(r"[12][0-9]{3}" + sep + r"[01]?[0-9]" + sep + r"[0-3]?[0-9]")
+        by_sep.append(r"[0-3]?[0-9]" + sep + r"[0-3]?[0-9]" + sep + r"[12][0-9]{3}")
+    return "|".join(by_sep)
+
+
+_CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3,}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+_IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
+
+
+def _phone_abroad(other: str) -> str:
+    """Up to 15 digits that don't go on into another value: no group begins like ``other``, or after a space like an address."""
+    stop = rf"(?!(?:{_date_shapes()}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{other}){_E})"
+    return rf"\+[0-9](?:(?:[ .-]?\(|\)[ .-]?|[.-]{stop}| {stop}(?!{_IP}{_E}))?[0-9]){{7,14}}\)?{_E}"
+
+
 # Java patterns; each is tried at a word's start only.
 PATTERNS = {
     "email": r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z_%+-][0-9A-Za-z._%+-]{0,63}@(?:[0-9A-Za-z-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _E,
-    "iban": _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
-    "ip": r"(?<![0-9A-Za-z_.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9])",
-    "date": _B + r"(?:[12][0-9]{3}([-/.])[01]?[0-9]\1[0-3]?[0-9]|[0-3]?[0-9]([-/.])[0-3]?[0-9]\2[12][0-9]{3})" + _E,
+    "iban": _iban_pattern(),
+    "ip": rf"(?<![0-9A-Za-z_.]){_IP}(?![0-9A-Za-z_]|\.[0-9])",
+    "date": _B + f"(?:{_date_shapes()})" + _E,
     "ssn": r"(?<![0-9A-Za-z_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_-])",
-    "card": r"(?<![0-9A-Za-z_-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z_]|-[0-9])",
-    "phone": r"(?<![0-9A-Za-z_+])(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9A-Za-z_])",
+    "card": rf"(?<![0-9A-Za-z_-])(?:{_CARD})" + _E,
+    "phone": r"(?<![0-9A-Za-z_+])(?:(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    # Not into a card either, unless nothing is left then: fours may belong to both.
+    + f"|{_phone_abroad('|' + _CARD)}|{_phone_abroad('')})" + _E,
 }
+#: A run of fours is searched for cards: one may begin at any of them, and end in up to three digits.
+_FOURS = r"^[0-9]{4}(?:[ -][0-9]{4}){3,}(?:[ -][0-9]{1,3})?$"
+_FOUND = "array<struct<kind:string,value:string>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -292,14 +340,52 @@ def _date(m: Column, key: str, reverse: bool) -> Column:
 _BY_KIND = {"email": _email, "card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "phone": _phone, "date": _date}
 
 
-def pseudonym(m: Column, key: str, reverse: bool = False) -> Column:
-    """Struct (kind, value) for a matched text; kind null and the text itself where no kind's
-    validation holds."""
+def _fours(m: Column, key: str, reverse: bool) -> Column:
+    """Struct (text, found) of a run of fours, searched from the left; 16 digits come before 17 to 19."""
+
+    def by_units(units: Column) -> Column:
+        n = F.size(units)
+        short = F.length(_digits(F.element_at(units, -1))) < 4
+
+        def piece(i: Column, k: int) -> Column:
+            return F.array_join(F.slice(units, i, F.lit(k)), "")
+
+        def step(acc: Column, i: Column) -> Column:
+            four = F.when(i + 3 <= n - F.when(short, 1).otherwise(0), _card(piece(i, 4), key, reverse))
+            hit = F.coalesce(
+                F.when(four.isNotNull(), F.struct(four.alias("value"), F.lit(3).alias("skip"))),
+                F.when((i + 4 == n) & short, F.struct(_card(piece(i, 5), key, reverse).alias("value"), F.lit(4).alias("skip"))),
+            )
+
+            def told(h: Column) -> Column:
+                value = F.struct(F.lit("card").alias("kind"), F.regexp_replace(h["value"], "^[ -]", "").alias("value"))
+                some = h["value"].isNotNull()
+                return F.struct(
+                    F.when(some, h["skip"]).otherwise(0).alias("skip"),
+                    F.concat(acc["text"], F.coalesce(h["value"], F.element_at(units, i))).alias("text"),
+                    F.when(some, F.concat(acc["found"], F.array(value))).otherwise(acc["found"]).cast(_FOUND).alias("found"),
+                )
+
+            return F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["text"].alias("text"), acc["found"].alias("found"))).otherwise(_let(hit, told))
+
+        start = F.struct(F.lit(0).alias("skip"), F.lit("").alias("text"), F.array().cast(_FOUND).alias("found"))
+        return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: F.struct(acc["text"].alias("text"), acc["found"].alias("found")))
+
+    return _let(F.regexp_extract_all(m, F.lit("([ -]?[0-9]+)"), 1), by_units)
+
+
+def pseudonyms(m: Column, key: str, reverse: bool = False) -> Column:
+    """Struct (text, found) for a matched text: what it becomes, and an array (kind, value) of what was replaced
+    in it; the text itself where no kind's validation holds."""
     tries = []
     for kind, pattern in PATTERNS.items():
         value = F.when(m.rlike(f"^(?:{pattern})$"), _BY_KIND[kind](m, key, reverse))
         tries.append(F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value"))))
-    return F.coalesce(*tries, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
+    one = _let(
+        F.coalesce(*tries, F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))),
+        lambda p: F.struct(p["value"].alias("text"), F.when(p["kind"].isNotNull(), F.array(p)).otherwise(F.array()).cast(_FOUND).alias("found")),
+    )
+    return F.when(m.rlike(_FOURS), _fours(m, key, reverse)).otherwise(one)
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", reverse: bool = False) -> DataFrame:
@@ -308,25 +394,15 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", reverse: bool = Fa
     t = F.col(text)
     # Cheap test first: every kind has a digit or an @.
     hot = t.rlike("[0-9@]")
-    found = F.when(hot, F.transform(F.regexp_extract_all(t, F.lit(f"({ANY_FLAT})"), 0), lambda m: pseudonym(m, key, reverse)))
+    found = F.when(hot, F.transform(F.regexp_extract_all(t, F.lit(f"({ANY_FLAT})"), 0), lambda m: pseudonyms(m, key, reverse)))
     gaps = F.when(hot, F.split(t, ANY_FLAT, -1))
     cols = [c for c in df.columns if c != text]
     a, b = fresh(df, "__found"), fresh(df, "__gaps")
     staged = df.select(*[F.col(f"`{c}`") for c in cols], t.alias(text), found.alias(a), gaps.alias(b))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(b, 1, F.size(a)), a, lambda g, f: F.concat(g, f["value"])), ""), F.element_at(b, -1))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(b, 1, F.size(a)), a, lambda g, f: F.concat(g, f["text"])), ""), F.element_at(b, -1))
     out = F.when(F.size(a) > 0, joined).otherwise(F.col(text)).alias(text)
-    pii = F.filter(F.coalesce(a, F.array().cast("array<struct<kind:string,value:string>>")), lambda f: f["kind"].isNotNull())
+    pii = F.coalesce(F.flatten(F.transform(a, lambda f: f["found"])), F.array().cast(_FOUND))
     return staged.select(*[out if c == text else F.col(f"`{c}`") for c in df.columns], pii.alias("_pii"))
 
 
-def _flat(patterns: dict[str, str]) -> str:
-    """One alternation; back references are replaced by the three separators spelled out, since
-    group numbers shift inside an alternation."""
-    by_sep = []
-    for sep in ("-", "/", r"\."):
-        by_sep.append(r"[12][0-9]{3}" + sep + r"[01]?[0-9]" + sep + r"[0-3]?[0-9]")
-        by_sep.append(r"[0-3]?[0-9]" + sep + r"[0-3]?[0-9]" + sep + r"[12][0-9]{3}")
-    return "|".join(p if k != "date" else _B + "(?:" + "|".join(by_sep) + ")" + _E for k, p in patterns.items())
-
-
-ANY_FLAT = _flat(PATTERNS)
+ANY_FLAT = "|".join(PATTERNS.values())
