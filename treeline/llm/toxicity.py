@@ -8,9 +8,10 @@ words of one stem are told from others.  The kernel of two sentences is the sum
 words.  Single characters in a row ("i d i o t") also count as the word they spell.
 
 Training, on a bounded sample of labelled documents (``fit_rows`` of them at most, those with the
-smallest hash of their key, as far as ``fit_chars`` characters go; of rows that share a key one), from
+smallest hash of their key, the shortest of them as far as ``fit_chars`` characters go; of rows that share a key one), from
 which ``landmarks`` and ``clean_sentences`` bound what the machine is made of: sentences of clean documents are negative; of toxic documents those are positive
-that hold a word typical of them, by log odds over documents.  Landmarks are the typical words and
+that hold a word typical of them, by log odds over documents, and after the first fit, where none does, the
+one that looks worst.  Landmarks are the typical words and
 frequent ones.  Sentences are mapped to the landmarks' kernel space (Nyström), a linear machine with
 squared hinge loss is fitted, the clean sentences that it scores highest are added and it is fitted
 again.  The machine is linear in subsequences, so it folds into one weight per subsequence: scoring
@@ -30,6 +31,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ STEM = 6  # words of more letters take STEM_WEIGHT: by threes alone long words a
 FIT_ROWS, FIT_CHARS = 5000, 100_000_000  # of labelled documents that the machine is fitted on, at most
 TYPICAL, FREQUENT = 300, 100  # landmarks
 CLEAN_SENTENCES = 3000  # of each round
+ROUNDS = 2  # of labelling sentences and fitting
 CACHE_WORDS = 200_000
 TOP = 3
 
@@ -223,6 +226,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: tuple[int, int] = (TYPICA
         return none
     marks += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: landmarks[1]] if w not in typical]
     positive = [s for d, y in zip(plain, toxic, strict=True) if y for s in d if typical.intersection(s)]
+    toxic_docs = [d for d, y in zip(plain, toxic, strict=True) if y]
     negative = [s for d, y in zip(plain, toxic, strict=True) if not y for s in d]
     some = min(len(negative), clean_sentences)
     chosen = [negative[k * len(negative) // some] for k in range(some)]  # spread over all of them
@@ -232,7 +236,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: tuple[int, int] = (TYPICA
     root = vector[:, keep] / np.sqrt(value[keep])  # K_mm^-1/2
     code, weight = subsequences(marks)
     machine = none
-    for round_ in range(2):
+    for round_ in range(ROUNDS):
         rows = positive + chosen
         vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for s in rows for w in s))}
         k_wm = kernel([*vocabulary], marks)
@@ -245,14 +249,21 @@ def fit(texts: list[str], toxic: list[int], landmarks: tuple[int, int] = (TYPICA
         np.add.at(table, code, weight * alpha[:, None])
         table[0] = 0
         machine = Machine(table.astype("f4"), float(w[-1]), np.zeros(0), share)
-        if round_ == 0:  # the clean sentences that look worst
-            every = [*dict.fromkeys(v for s in negative for v in s)]
-            score_of: dict[str, float] = {}
-            for k in range(0, len(every), 4000):
-                score_of.update(zip(every[k : k + 4000], machine.words(every[k : k + 4000]), strict=True))
-            del every
-            order = sorted(range(len(negative)), key=lambda k: -sum(map(score_of.__getitem__, dict.fromkeys(negative[k]))))
-            chosen = chosen + [negative[k] for k in order[:clean_sentences]]
+        if round_ == ROUNDS - 1:
+            break
+        # What the machine makes of all sentences of the sample.
+        every = [*dict.fromkeys(v for s in chain(negative, *toxic_docs) for v in s)]
+        score_of: dict[str, float] = {}
+        for k in range(0, len(every), 4000):
+            score_of.update(zip(every[k : k + 4000], machine.words(every[k : k + 4000]), strict=True))
+        del every
+
+        def value(s: list[str]) -> float:
+            return sum(map(score_of.__getitem__, dict.fromkeys(s))) + machine.offset
+
+        # A toxic document has a toxic sentence: where none holds a typical word, the one that looks worst.
+        positive += [max(d, key=value) for d in toxic_docs if d and not any(typical.intersection(s) for s in d)]
+        chosen = chosen + sorted(negative, key=lambda s: -value(s))[:clean_sentences]  # the clean ones that look worst
     curve = _logistic(np.concatenate([machine.tops(docs[k : k + 200]) for k in range(0, len(docs), 200)]), label)
     machine.curve = curve
     machine.cache.clear()
@@ -267,15 +278,16 @@ def train(
     label: str = "toxic",
     fit_rows: int = FIT_ROWS,
     fit_chars: int = FIT_CHARS,
-    landmarks: tuple[int, int] = (TYPICAL, FREQUENT),
-    clean_sentences: int = CLEAN_SENTENCES,
+    landmarks: tuple[int, int] | None = None,
+    clean_sentences: int | None = None,
 ) -> Machine:
     """Fits on at most fit_rows rows of docs (key, text) with labels (key, label in 0, 1), and
     fit_chars characters of text.
 
-    All sentences of toxic rows with a typical word are learned from, and of those of clean rows
+    Of the drawn rows the shortest come first, until fit_chars is reached, so a huge text leaves out itself
+    alone.  All sentences of toxic rows with a typical word are learned from, and of those of clean rows
     clean_sentences spread over all and as many that look worst.  landmarks: typical words, frequent
-    words.
+    words.  Where these two aren't given they grow with fit_rows beyond FIT_ROWS.
 
     The sample is drawn from the labels, so at most fit_rows keys are sent to find its texts, and
     one task fits the machine; only the machine comes to the driver."""
@@ -287,11 +299,14 @@ def train(
         cols = [[m.weight.tobytes()], [m.offset], [m.curve.astype("f8").tobytes()], [m.share]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.float64(), pa.binary(), pa.float64()), strict=True)], ["weight", "offset", "curve", "share"])
 
+    more = max(1.0, fit_rows / FIT_ROWS)
+    landmarks = landmarks or (int(TYPICAL * more), int(FREQUENT * more))
+    clean_sentences = clean_sentences or int(CLEAN_SENTENCES * more)
     own = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.col(label).cast("int")).alias("label"))
     drawn = own.orderBy(F.xxhash64("key"), "key").limit(fit_rows)
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     one = texts.join(F.broadcast(drawn), "key").groupBy("key", "label").agg(F.min("text").alias("text"))
-    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("key"), "key"))  # of fit_rows rows at most
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.length("text"), F.xxhash64("key"), "key"))  # of fit_rows rows at most
     sample = one.withColumn("so_far", so_far).filter(F.col("so_far") <= fit_chars).select("key", "text", "label")
     row = sample.repartition(1).mapInArrow(run, "weight binary, offset double, curve binary, share double").first()
     if row is None:  # an empty sample may have no task at all
