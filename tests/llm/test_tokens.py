@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import public_tokenizers
 import pytest
@@ -197,3 +198,30 @@ def test_packing_targets_of_small_sources(spark, monkeypatch):
     first = [sum(p.length for p in seqs[0] if p.source == s) for s in ("big", "small", "tiny")]
     assert abs(first[1] - 32) <= 2 and first[2] == 0 and first[0] > 90
     assert {p.source for p in seqs[max(seqs)]} == {"tiny"}
+
+
+def test_hundreds_of_sources(spark):
+    """Every queue is cut as the closed form says, and what a task keeps of the plan stays bounded."""
+    rng = random.Random(11)
+    totals = [rng.randrange(1, 40) for _ in range(300)]
+    plan = packing.Plan(64, packing.Plan.phases(totals, [Fraction(n) for n in totals]))
+    filler = packing.Filler(plan)
+    seen, hint = {}, {}
+    for q, n in enumerate(totals):
+        for start, length, sequence, offset in filler.pieces(q, 0, n, hint):
+            for a, k, w, o in zip(start.tolist(), length.tolist(), sequence.tolist(), offset.tolist()):
+                seen.setdefault(w, []).append((o, k, q, a))
+    held = sum(x.nbytes for g in filler.groups.values() for x in g)
+    assert held < 200_000_000 and len(filler.groups) <= filler.kept
+    taken = dict.fromkeys(range(300), 0)
+    for w in sorted(seen):
+        at = 0
+        for o, k, q, a in sorted(seen[w]):
+            assert (o, a) == (at, taken[q])
+            at, taken[q] = at + k, a + k
+        assert at == 64 or w == max(seen)
+    assert [taken[q] for q in range(300)] == totals
+    df = spark.createDataFrame([(k, f"s{k % 200}", "some words") for k in range(4000)], "doc_id long, source string, text string")
+    got = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), 0).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").collect()
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values()) and len({r.doc_id for r in got}) == 4000
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)

@@ -37,6 +37,8 @@ from treeline.llm.bpe import UnitCache, slices
 from treeline.llm.common import written
 
 GROUP = 256  # windows planned at a time
+PLANNED = 1 << 22  # numbers of a plan of windows at most: one for each queue and window
+CACHED = 1 << 24  # numbers of plans that a task keeps
 BROADCAST_ROWS = 200_000
 LEAST = 100_000  # sources under 1 / LEAST of all tokens share a queue
 
@@ -171,7 +173,9 @@ class Filler:
 
     def __init__(self, plan: Plan):
         self.plan, self.starts = plan, plan.starts()
-        self.size = plan.window * GROUP
+        queues = len(plan.takes[0])
+        self.size = plan.window * max(1, min(GROUP, PLANNED // queues))
+        self.kept = max(2, CACHED // (2 * queues * (self.size // plan.window + 1)))
         self.before = [tuple(sum(t[s] for t in plan.takes[:p]) for s in range(len(plan.takes[0]))) for p in range(len(plan.takes) + 1)]
         self.groups: dict[tuple[int, int], tuple] = {}
 
@@ -182,7 +186,7 @@ class Filler:
 
     def _group(self, p: int, g: int) -> tuple:
         if (p, g) not in self.groups:
-            if len(self.groups) > 256:
+            if len(self.groups) >= self.kept:
                 self.groups.clear()
             lo, hi = max(self.starts[p], g * self.size), min(self.starts[p + 1], (g + 1) * self.size)
             first, last = self._had(p, lo), self._had(p, hi)
@@ -257,9 +261,10 @@ def pack(
         totals[other] += rest
     weights = [Fraction(totals[k] if targets is None else targets.get(n, 0)) for k, n in enumerate(names)]
     plan = Plan(window, Plan.phases(totals, weights))
-    number = F.coalesce(F.element_at(F.create_map(*[x for k, n in enumerate(names) if n is not None for x in (F.lit(n), F.lit(k))]), F.col(source)), F.lit(other))
+    queues = df.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names) if n is not None], f"`{source}` string, queue int")
     before = Window.partitionBy("queue").orderBy(source, "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("queue", number).select(source, "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = sums.join(F.broadcast(queues), source, "left").withColumn("queue", F.coalesce("queue", F.lit(other)))  # at most LEAST queues
+    base = placed.select(source, "part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # A row for each source and partition: sent to all where that is small, joined by shuffle else.
     if sums.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
