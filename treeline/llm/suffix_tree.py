@@ -5,7 +5,8 @@ The tree holds contexts of up to DEPTH bytes, across words.  Training:
 
 1. Tasks count all windows of DEPTH + 1 bytes of the training texts, and Spark sums them up; shorter
    windows are sums of these.
-2. A context seen MIN_COUNT times or more is a candidate, so their number grows with the corpus.
+2. A context seen often enough is a candidate: once in RARE positions, but from MIN_COUNT sightings on in any
+   corpus and never for fewer than LEAST_COUNT, so a small corpus has a tree too and a large one a larger one.
 3. Divergence test: a context stays if the information that it adds over its suffix, its count times
    the Kullback-Leibler divergence of the two next-symbol distributions, exceeds the cost of
    describing it, half its number of next symbols times the log of all positions.  Suffixes of what
@@ -45,7 +46,7 @@ from treeline.llm.bpe import slices
 from treeline.llm.common import written
 
 DEPTH = 6  # depth + 1 bytes make a code of 56 bits
-MIN_COUNT = 100
+MIN_COUNT, LEAST_COUNT, RARE = 100, 3, 1_000_000
 SHARD_BYTES = 192_000_000
 HEAVY = 200_000
 STRETCH = 512
@@ -228,11 +229,13 @@ class Tree:
         return sum(self.automaton(k).scores(texts) for k in range(self.shards))
 
 
-def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float = 0.0, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> Tree:
-    """Learns from all rows.  A candidate is a context seen min_count times or more (and in p_min of
-    all positions, where that is asked for)."""
+def train(df: DataFrame, text: str = "text", depth: int = DEPTH, p_min: float = 0.0, min_count: int | None = None, shard_bytes: int = SHARD_BYTES) -> Tree:
+    """Learns from all rows.  A candidate is a context seen min_count times or more (None: the rule above),
+    and in p_min of all positions, where that is asked for."""
     windows = written(count_windows(df, text, depth))
     total = windows.agg(F.sum("n")).first()[0] or 0
+    if min_count is None:
+        min_count = min(MIN_COUNT, max(LEAST_COUNT, total // RARE))
     cut = F.col("code").bitwiseAND(F.expr("shiftleft(1L, 8 * (d + 1)) - 1"))
     levels = (
         windows.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(depth))))
