@@ -1,20 +1,24 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines (split at \\n) are hashed, and each two neighbours have a rank, a rolling hash over both.  The
-pair of least rank becomes a chunk, then the least of those that share no line with it, and so on, so
-what is chosen depends on nearby lines only and shifts with them: a passage that two documents share
-has the same chunks in both but for those near its ends.  About one line in seven is left alone.
-
-Chunks of two lines with some non-space character that occur more than once in all documents are
-candidates by digest; each is then compared byte by byte with its first occurrence (smallest key, null
-last, then row, then smallest position), and equal ones are removed from ``text``.
-
-Chunks near the ends of a passage differ, so a short passage may keep lines.  ``text_without_runs`` has
-none of it: every two neighbouring lines with a word (blank lines between them aside) are looked up in
-the same way, and where they occurred before, both go, with what is between them.  So of a passage of
-two lines or more that is repeated as a whole, nothing is left but its first occurrence.
-
-Occurrences of one chunk are dealt to one salt per SALT_ROWS of them, with the first sent to each.
+Lines (split at \\n) are hashed, and ROLLS rolling hashes run over windows of two line hashes.  Where the
+top bit of one is 0 a chunk of that chunking ends, so a boundary depends on the two lines beside it only
+and shifts with them: a passage that two documents share has the same chunks in both but for the first
+and the last of each chunking.  Chunks have any number of lines, two on average; several chunkings find
+what one has cut into single lines.
+
+A chunk of two lines with a word or more that occurs more than once in all documents, as a chunk, is a
+candidate by digest, but for its first occurrence (smallest key, null last, then row, then smallest
+position).  Then bytes are compared: every two neighbouring lines with a word (blank lines between them
+aside) are looked up by digest, and compared byte by byte with where they occurred first.  A candidate
+goes only if all neighbours in it occurred before in these bytes, and with it the lines around it, one by
+one, as long as the next two neighbours occurred before: the whole run that holds the chunk leaves
+``text``.  A digest that two chunks share by chance thus never removes lines that are new.
+
+A short passage may hold no whole chunk (README: shares found by length).  ``text_without_runs`` needs
+none: of it all runs are gone, and of a passage of two lines or more that is repeated as a whole, nothing
+is left but its first occurrence.
+
+Occurrences of two neighbours are dealt to one salt per SALT_ROWS of them, with the first sent to each.
 
 Null text stays null and empty text empty: nothing to remove.  Rows are told apart by a number of their
 own, so rows that share a key, or have none, are documents of their own; of equal rows one stays whole.
@@ -25,8 +29,10 @@ output are replaced.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +42,10 @@ from treeline.llm.bpe import slices
 from treeline.llm.common import WHITE, written
 
 SALT_ROWS = 256
-_MASK = (1 << 64) - 1
+ROLLS = 4
+_FACTORS = [int.from_bytes(hashlib.blake2b(b"roll %d" % k, digest_size=8).digest(), "little") | 1 for k in range(ROLLS)]
 _SPANS = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("lines", T.IntegerType())]))
+_WHITE = WHITE.decode()
 OUTPUTS = ["n_lines", "removed_chunks", "removed_lines", "removed_spans", "run_lines", "text_without_runs"]
 
 
@@ -45,35 +53,35 @@ def _hashes(lines: list[bytes]) -> list[bytes]:
     return [hashlib.blake2b(x, digest_size=8).digest() for x in lines]
 
 
-def _chunks(digests: list[bytes]) -> list[tuple[int, int]]:
-    hashes = [int.from_bytes(x, "little") for x in digests]
-    ranks = [(x * 0x9E3779B97F4A7C15 + y) * 0xC2B2AE3D27D4EB4F & _MASK for x, y in zip(hashes, hashes[1:])]
-    used, first = bytearray(len(hashes)), bytearray(len(hashes))
-    for k in sorted(range(len(ranks)), key=ranks.__getitem__):  # of equal ranks the first
-        if not used[k] and not used[k + 1]:
-            used[k] = used[k + 1] = first[k] = 1
-    return [(k, 2 if first[k] else 1) for k in range(len(hashes)) if first[k] or not used[k]]
+def _chunks(digests: list[bytes]) -> list[list[tuple[int, int]]]:
+    hashes = np.frombuffer(b"".join(digests), "<u8")
+    out = []
+    for factor in _FACTORS:
+        f = np.uint64(factor)
+        rolled = (hashes[:-1] * f + hashes[1:]) * f  # modulo 2^64
+        starts = [0, *(np.flatnonzero(rolled < np.uint64(1 << 63)) + 1).tolist(), len(digests)]
+        out.append(list(zip(starts, starts[1:])))
+    return out
 
 
-def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk: pairs, and lines that are left between them."""
+def chunks(lines: list[bytes]) -> list[list[tuple[int, int]]]:
+    """(first line, line after the last) of each chunk, for each of the ROLLS chunkings."""
     return _chunks(_hashes(lines))
 
 
 def _pairs(lines: list[bytes]) -> Iterator[tuple[int, int, bool, bool, bytes]]:
-    """(line, later line, is chunk, is run, digest): chunks of two lines, and neighbours in the run of
-    lines with a word."""
+    """(first, last, is chunk, is run, digest): chunks of two lines with a word and more, and neighbours
+    in the run of lines with a word.  A chunk that is two neighbours is one row."""
     digests = _hashes(lines)
-    chunk = {k for k, n in _chunks(digests) if n > 1}
     worded = [k for k, x in enumerate(lines) if x.strip(WHITE)]
     after = dict(zip(worded, worded[1:]))
-    for k in range(len(lines) - 1):
-        run = after.get(k)
-        is_chunk = k in chunk and (lines[k] + lines[k + 1]).strip() != b""
-        if is_chunk:
-            yield k, k + 1, True, run == k + 1, digests[k] + digests[k + 1]
-        if run is not None and not (is_chunk and run == k + 1):
-            yield k, run, False, True, digests[k] + digests[run]
+    before = np.concatenate(([0], np.cumsum(np.bincount(worded, minlength=len(lines))))).tolist()
+    chunk = {(i, j - 1) for one in _chunks(digests) for i, j in one if before[j] - before[i] > 1}
+    for k, run in after.items():
+        yield k, run, run == k + 1 and (k, run) in chunk, True, digests[k] + digests[run]
+    for i, j in sorted(chunk):
+        if j > i + 1:
+            yield i, j, True, False, hashlib.blake2b(b"".join(digests[i : j + 1]), digest_size=12).digest()
 
 
 def pair_table(rows: DataFrame) -> DataFrame:
@@ -99,7 +107,7 @@ def pair_table(rows: DataFrame) -> DataFrame:
 
 def _bodies(wanted: DataFrame) -> DataFrame:
     """The wanted pairs (row, text, pairs) one by one, each with the bytes of its lines."""
-    pair = "first: int, last: int, digest: binary, salts: array<int>, chunk_head: boolean, run_head: boolean, chunk_other: boolean, run_other: boolean"
+    pair = "first: int, last: int, digest: binary, salts: array<int>, head: boolean"
     names = [x.split(":")[0] for x in pair.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +129,9 @@ def _bodies(wanted: DataFrame) -> DataFrame:
 
 
 def repeated(rows: DataFrame, dealt_texts: DataFrame) -> DataFrame:
-    """Rows (row, chunks, runs) of (row, key, text): the pairs of lines that occurred before, as arrays
-    of (first, last).  dealt_texts: (row, text) dealt out by row."""
+    """Rows (row, chunks, runs) of (row, key, text), both arrays of (first, last): the chunks whose digest
+    occurred before, and the neighbours whose bytes occurred before.  dealt_texts: (row, text) dealt out
+    by row."""
     found = written(pair_table(rows))
     order = rows.select("row", F.col("key").isNull().alias("no_key"), "key")
     # Only digests that occur twice need the keys of their rows.  Both sides of the joins by digest are
@@ -140,39 +149,65 @@ def repeated(rows: DataFrame, dealt_texts: DataFrame) -> DataFrame:
         "first",
         "last",
         "digest",
-        F.ceil(F.greatest("n_chunk", "n_run") / SALT_ROWS).cast("int").alias("salts"),
-        *[(F.col(f"is_{k}") & (F.col(f"n_{k}") > 1) & is_head(f"{k}_at")).alias(f"{k}_head") for k in ("chunk", "run")],
-        *[(F.col(f"is_{k}") & (F.col(f"n_{k}") > 1) & ~is_head(f"{k}_at")).alias(f"{k}_other") for k in ("chunk", "run")],
+        (F.col("is_chunk") & ~is_head("chunk_at")).alias("chunk"),
+        (F.col("is_run") & (F.col("n_run") > 1)).alias("run"),
+        is_head("run_at").alias("head"),
+        F.ceil(F.col("n_run") / SALT_ROWS).cast("int").alias("salts"),
     )
     # A first occurrence goes to every salt, any other to one.
-    salts = F.when(F.col("chunk_head") | F.col("run_head"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", "first"), F.col("salts")).cast("int")))
-    some = judged.filter("chunk_head or run_head or chunk_other or run_other").withColumn("salts", salts)
-    pairs = F.struct("first", "last", "digest", "salts", "chunk_head", "run_head", "chunk_other", "run_other")
-    want = some.groupBy("row").agg(F.collect_list(pairs).alias("pairs"))
-    spread = _bodies(dealt_texts.join(want, "row")).withColumn("salt", F.explode("salts")).drop("salts")
-    # A digest has one first occurrence among chunks and one among runs, perhaps the same.
-    one = spread.filter("chunk_head or run_head").select("digest", "salt", F.col("body").alias("first_body"), F.col("chunk_head").alias("of_chunk"), F.col("run_head").alias("of_run"))
-    other = spread.filter("chunk_other or run_other").select("row", "first", "last", "digest", "salt", "body", "chunk_other", "run_other")
+    salts = F.when(F.col("head"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", "first"), F.col("salts")).cast("int")))
+    # The bytes of a row's pairs and its chunks come from one exchange by row.
+    pair = F.when(F.col("run"), F.struct("first", "last", "digest", salts.alias("salts"), "head"))
+    span = F.struct("first", "last")
+    want = written(judged.filter("chunk or run").groupBy("row").agg(F.collect_list(pair).alias("pairs"), F.collect_set(F.when(F.col("chunk"), span)).alias("chunks")))
+    spread = _bodies(dealt_texts.join(want.select("row", "pairs"), "row")).withColumn("salt", F.explode("salts")).drop("salts")
+    one = spread.filter("head").select("digest", "salt", F.col("body").alias("first_body"))
+    other = spread.filter("not head").select("row", "first", "last", "digest", "salt", "body")
     same = other.join(one, ["digest", "salt"]).filter(F.col("body") == F.col("first_body"))
-    pair = F.struct("first", "last")
-    of = lambda k: F.sort_array(F.collect_set(F.when(F.col(f"{k}_other") & F.col(f"of_{k}"), pair)))
-    return same.groupBy("row").agg(of("chunk").alias("chunks"), of("run").alias("runs"))
-
-
-def _without(lines: list[str], spans: list[dict]) -> list[str]:
-    """The lines that no span (first, last; sorted) covers."""
+    runs = same.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("runs"))
+    return runs.join(want.select("row", "chunks"), "row")
+
+
+def _whole_runs(pairs: list[dict]) -> list[tuple[int, int]]:
+    """The pairs (first, last; sorted) joined where one ends at the line at which the next begins."""
+    out: list[tuple[int, int]] = []
+    for p in pairs:
+        if out and out[-1][1] == p["first"]:
+            out[-1] = out[-1][0], p["last"]
+        else:
+            out.append((p["first"], p["last"]))
+    return out
+
+
+def _with_chunks(lines: list[str], runs: list[tuple[int, int]], chunks: list[dict]) -> tuple[list[tuple[int, int]], int]:
+    """The runs that hold all lines with a word of some chunk, and how many chunks they hold."""
+    starts, held, n = [r[0] for r in runs], set(), 0
+    for c in chunks:
+        first, last = c["first"], c["last"]
+        while first < last and not lines[first].strip(_WHITE):
+            first += 1
+        while last > first and not lines[last].strip(_WHITE):
+            last -= 1
+        k = bisect_right(starts, first) - 1
+        if k >= 0 and last <= runs[k][1]:
+            held.add(k)
+            n += 1
+    return [runs[k] for k in sorted(held)], n
+
+
+def _without(lines: list[str], spans: list[tuple[int, int]]) -> list[str]:
+    """The lines that no span (first, last; sorted, apart) covers."""
     out, at = [], 0
-    for s in spans:
-        if s["first"] > at:
-            out += lines[at : s["first"]]
-        at = max(at, s["last"] + 1)
+    for first, last in spans:
+        out += lines[at:first]
+        at = last + 1
     return out + lines[at:]
 
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with ``text`` cleaned of repeated chunks, and n_lines, removed_chunks, removed_lines,
-    removed_spans (array of (first_line, lines) in the original); text_without_runs, cleaned of all
-    repeated runs of two lines and more, and run_lines, the number of its lines that are gone."""
+    """df with ``text`` cleaned of repeated chunks and the runs around them, and n_lines, removed_chunks,
+    removed_lines, removed_spans (array of (first_line, lines) in the original); text_without_runs, cleaned
+    of all repeated runs of two lines and more, and run_lines, the number of its lines that are gone."""
     df = df.drop(*(c for c in OUTPUTS if c not in (key, text)))
     names = [f"c{k}" for k in range(len(df.columns))]  # so that no name can clash
     own = dict(zip(df.columns, names, strict=True))
@@ -186,15 +221,17 @@ def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, own[text]):
-                texts, chunked, runs = (batch.column(c).to_pylist() for c in (own[text], "chunks", "runs"))
+                texts, chunked, paired = (batch.column(c).to_pylist() for c in (own[text], "chunks", "runs"))
                 new, without, cols = [], [], [[] for _ in range(5)]
-                for t, c, r in zip(texts, chunked, runs, strict=True):
+                for t, c, p in zip(texts, chunked, paired, strict=True):
                     lines = t.split("\n") if t is not None else []
-                    new.append("\n".join(_without(lines, c)) if c else t)
-                    rest = _without(lines, r) if r else lines
-                    without.append("\n".join(rest) if r else t)
-                    spans = [{"first_line": s["first"], "lines": s["last"] - s["first"] + 1} for s in c or []]
-                    for col, x in zip(cols, (len(lines), len(spans), sum(s["lines"] for s in spans), spans, len(lines) - len(rest)), strict=True):
+                    runs = _whole_runs(p or [])
+                    gone_runs, n_chunks = _with_chunks(lines, runs, c or [])
+                    kept, rest = _without(lines, gone_runs), _without(lines, runs)
+                    new.append("\n".join(kept) if gone_runs else t)
+                    without.append("\n".join(rest) if runs else t)
+                    spans = [{"first_line": i, "lines": j - i + 1} for i, j in gone_runs]
+                    for col, x in zip(cols, (len(lines), n_chunks, len(lines) - len(kept), spans, len(lines) - len(rest)), strict=True):
                         col.append(x)
                 spans = pa.array(cols[3], pa.list_(pa.struct([("first_line", pa.int32()), ("lines", pa.int32())])))
                 made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), spans, pa.array(cols[4], pa.int64()), pa.array(without, pa.string())]
