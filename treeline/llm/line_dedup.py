@@ -42,7 +42,7 @@ from treeline.llm.bpe import slices
 from treeline.llm.common import WHITE, written
 
 SALT_ROWS = 256
-ROLLS = 4
+ROLLS = 6
 _FACTORS = [int.from_bytes(hashlib.blake2b(b"roll %d" % k, digest_size=8).digest(), "little") | 1 for k in range(ROLLS)]
 _SPANS = T.ArrayType(T.StructType([T.StructField("first_line", T.IntegerType()), T.StructField("lines", T.IntegerType())]))
 _WHITE = WHITE.decode()
