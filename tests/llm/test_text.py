@@ -160,12 +160,13 @@ def test_suffix_tree_against_brute_force(spark):
         if ctx and n >= max(1, p_min * total):
             up = counts[ctx[1:]]
             gain = sum(x * math.log((x / n) / (up[a] / sum(up.values()))) for a, x in c.items())
-            if gain > len(c) * 0.5 * math.log(total + 1):
+            if gain > len(c) * suffix_tree.KIND_COST * math.log(total + 1):
                 stay |= {ctx[j:] for j in range(len(ctx) + 1)}
 
     def prob(ctx, a):
         c = counts[ctx]
-        return (c[a] + len(c) * (prob(ctx[1:], a) if ctx else 1 / 256)) / (sum(c.values()) + len(c))
+        novel = suffix_tree.NOVEL * len(c)
+        return (c[a] + novel * (prob(ctx[1:], a) if ctx else 1 / 256)) / (sum(c.values()) + novel)
 
     def score(t):
         s, out = suffix_tree.END * depth + suffix_tree.symbols(t), 0.0
@@ -222,6 +223,12 @@ def test_toxicity_learns_from_all_toxic_rows():
     assert late_word > 0.5 * early_word > 0
 
 
+def test_lm_beats_word_counts_held_out(spark):
+    rows = [r for r in QUERIES["op7_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert len(rows) > 50
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
 def test_tree_dealt_to_several_automata(spark):
     texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
     df = spark.createDataFrame([(k, t, "w") for k, t in enumerate(texts)], "word long, text string, _row string")
