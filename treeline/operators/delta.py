@@ -115,9 +115,10 @@ def block_contents(content: DataFrame, block: int) -> DataFrame:
     """Rows (path, block, off, len, content) of (path, content): aligned blocks, the last one short."""
     n = F.length("content")
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
-    each = content.select("path", "content", F.posexplode(starts).alias("block", "off"))
-    piece = F.substring(F.col("content"), F.col("off") + 1, F.lit(block))
-    return each.select("path", F.col("block").cast("bigint"), F.col("off").cast("bigint"), F.length(piece).cast("bigint").alias("len"), piece.alias("content"))
+    # Cut before they become rows, so that no row has the whole content beside its piece.
+    pieces = F.transform(starts, lambda at: F.substring(F.col("content"), at + 1, F.lit(block)))
+    each = content.select("path", F.posexplode(pieces).alias("block", "content"))
+    return each.select("path", F.col("block").cast("bigint"), (F.col("block").cast("bigint") * block).alias("off"), F.length("content").cast("bigint").alias("len"), "content")
 
 
 _SIGNATURES = "path string, block bigint, off bigint, len bigint, weak bigint, strong string"
