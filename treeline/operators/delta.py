@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.plans.planning import split_ranges
 from treeline.schema import MIB
 from treeline.sinks import stored
 from treeline.sources.rooted import Rooted
@@ -32,8 +32,9 @@ OFFSET = 31  # added to every byte by the weak checksum
 _LOW = 0xFFFF
 SIGNED = 20_000  # blocks of a batch of signatures
 STRIDE = 16 * MIB  # of a range that is signed or searched, about
-FILTER_BITS = 27  # log2 of a bitmap's bits at most; it has 16 for each block below that
+FILTER_BITS = 27  # log2 of a bitmap's bits at most; it has 512 for each block below that
 MIX = 1_640_531_527  # spreads weak checksums over a bitmap
+COVERED = 200_000  # matches whose ranges are covered together, about
 RUN_BLOCKS = 4096  # blocks whose runs are found together before runs are joined
 
 
@@ -161,9 +162,30 @@ def block_signatures(content: DataFrame, block: int) -> DataFrame:
 
 
 def _dealt(files: DataFrame, stride: int) -> DataFrame:
-    """Ranges (path, off, len, size) of all files that aren't empty, dealt to tasks."""
-    ranges = split_ranges(files.withColumn("kind", F.lit("file")).select("path", "size"), stride, 0)
-    return ranges.join(files.select("path", "size"), "path").repartition(F.xxhash64("path", "off"))
+    """Ranges (path, off, len, size) of all files that aren't empty, dealt to tasks; those of a file that lie near each
+    other are neighbours in one task."""
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(stride).cast("bigint"))
+    ranges = files.filter("size > 0").select("path", F.explode(starts).alias("off"), "size")
+    ranges = ranges.select("path", "off", F.least(F.lit(stride).cast("bigint"), F.col("size") - F.col("off")).alias("len"), "size")
+    return ranges.repartition(F.xxhash64("path", F.floor(F.col("off") / max(stride, STRIDE)))).sortWithinPartitions("path", "off")
+
+
+class _Open:
+    """The file of the range before stays open while the next one is of it too."""
+
+    def __init__(self, base: Rooted):
+        self.base, self.path, self.stack = base, None, ExitStack()
+
+    def at(self, path: str) -> int:
+        if path != self.path:
+            self.close()
+            self.fd = self.stack.enter_context(self.base.reading(path))
+            self.path = path
+        return self.fd
+
+    def close(self) -> None:
+        self.path = None
+        self.stack.close()
 
 
 def file_signatures(files: DataFrame, root: str, block: int, stride: int = STRIDE) -> DataFrame:
@@ -171,34 +193,57 @@ def file_signatures(files: DataFrame, root: str, block: int, stride: int = STRID
     in pieces.  A range that can't be read, or ends before its size says, gives a row with a null block."""
     base, step = Rooted(root), max(1, stride // block) * block
 
+    def ranges(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+        """(row, first block, pieces) of at most SIGNED blocks; no pieces where a range can't be read."""
+        file = _Open(base)
+        for k, (path, off, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "off", "len")), strict=True)):
+            try:
+                for at in range(off, off + n, block * SIGNED):
+                    data = _read(file.at(path), at, min(block * SIGNED, off + n - at))
+                    yield k, at // block, [data[o : o + block] for o in range(0, len(data), block)]
+            except (OSError, ValueError):
+                file.close()
+                yield k, 0, []
+        file.close()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, (path, off, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "off", "len")), strict=True)):
-                own = batch.column("path").slice(k, 1)
-                try:
-                    with base.reading(path) as fd:
-                        for at in range(off, off + n, block * SIGNED):
-                            pieces = [os.pread(fd, min(block, off + n - o), o) for o in range(at, min(at + block * SIGNED, off + n), block)]
-                            if sum(map(len, pieces)) < min(block * SIGNED, off + n - at):
-                                raise OSError("ends early")
-                            number = np.arange(at // block, at // block + len(pieces), dtype="i8")
-                            size, strong = np.fromiter(map(len, pieces), "i8", len(pieces)), [hashlib.sha256(x).hexdigest() for x in pieces]
-                            cols = [pa.array(number), pa.array(number * block), pa.array(size), pa.array(weak_of(pieces)), pa.array(strong, pa.string())]
-                            yield pa.RecordBatch.from_arrays([own.take(pa.array(np.zeros(len(pieces), "i4"))), *cols], _NAMES)
-                except (OSError, ValueError):
-                    yield _unsigned(own)
+            row, number, pieces = [], [], []
+            for k, first, own in chain(ranges(batch), [(None, 0, [])]):
+                if k is not None and not own:
+                    yield _unsigned(batch.column("path").slice(k, 1))
+                row += [k] * len(own)
+                number += range(first, first + len(own))
+                pieces += own
+                if pieces and (k is None or len(pieces) >= SIGNED):
+                    size, at = np.fromiter(map(len, pieces), "i8", len(pieces)), np.array(number, "i8")
+                    strong = pa.array([hashlib.sha256(x).hexdigest() for x in pieces], pa.string())
+                    cols = [pa.array(at), pa.array(at * block), pa.array(size), pa.array(weak_of(pieces)), strong]
+                    yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row, pa.int32())), *cols], _NAMES)
+                    row, number, pieces = [], [], []
 
     return _dealt(files, step).select("path", "off", "len").mapInArrow(run, _SIGNATURES)
 
 
+def _read(fd: int, off: int, size: int) -> bytes:
+    """size bytes from off on; fewer raise an error."""
+    parts, done = [], 0
+    while done < size:
+        if not (data := os.pread(fd, size - done, off + done)):
+            raise OSError("ends early")
+        parts.append(data)
+        done += len(data)
+    return b"".join(parts)
+
+
 def need_ranges(sig_src: DataFrame, sig_dst: DataFrame) -> DataFrame:
     """Rows (path, off, len): runs of source blocks that differ from, or lack, the destination's.  Where part of the
     source wasn't read, a row with null off and len too.
 
     Runs are found among RUN_BLOCKS blocks at a time; then neighbouring runs are joined."""
     old = sig_dst.filter("block is not null").select("path", "block", F.col("strong").alias("old"))
-    known = sig_src.filter("block is not null")
-    need = known.join(old, ["path", "block"], "left").filter(F.col("old").isNull() | (F.col("old") != F.col("strong")))
+    # Rows without a block meet no other and come out as one run a path, without off and len.
+    need = sig_src.join(old, ["path", "block"], "left").filter(F.col("old").isNull() | (F.col("old") != F.col("strong")))
     # Neighbouring blocks have the same difference between number and rank.
     near = need.withColumn("part", F.floor(F.col("block") / RUN_BLOCKS))
     rank = F.row_number().over(Window.partitionBy("path", "part").orderBy("block"))
@@ -206,16 +251,14 @@ def need_ranges(sig_src: DataFrame, sig_dst: DataFrame) -> DataFrame:
     before = Window.partitionBy("path").orderBy("off")
     end = F.lag(F.col("off") + F.col("len")).over(before)
     whole = runs.withColumn("new", F.when(end == F.col("off"), 0).otherwise(1)).withColumn("n", F.sum("new").over(before))
-    joined = whole.groupBy("path", "n").agg(F.min("off").alias("off"), F.sum("len").alias("len")).select("path", "off", "len")
-    none = F.lit(None).cast("bigint")
-    return joined.unionByName(sig_src.filter("block is null").select("path").distinct().select("path", none.alias("off"), none.alias("len")))
+    return whole.groupBy("path", "n").agg(F.min("off").alias("off"), F.sum("len").alias("len")).select("path", "off", "len")
 
 
 def weak_filter(sig_dst: DataFrame, block: int) -> DataFrame:
     """Rows (path, bits, words): a bitmap of 2 ** bits of the weak checksums of a path's whole blocks, as its words
     (number, 64 bits) that aren't zero."""
     full = sig_dst.filter(F.col("len") == block).select("path", "weak").distinct()
-    bits = F.least(F.greatest(F.ceil(F.log2(F.count("*") * 16)).cast("int"), F.lit(10)), F.lit(FILTER_BITS))
+    bits = F.least(F.greatest(F.ceil(F.log2(F.count("*") * 512)).cast("int"), F.lit(10)), F.lit(FILTER_BITS))
     sized = full.join(full.groupBy("path").agg(bits.alias("bits")), "path")
     # The highest ``bits`` of 32 mixed bits.
     place = F.floor((F.col("weak") * MIX).bitwiseAND(F.lit(0xFFFFFFFF)) / F.pow(F.lit(2.0), F.lit(32) - F.col("bits"))).cast("bigint")
@@ -255,12 +298,15 @@ def rolling_hits(content: DataFrame, sig_dst: DataFrame, block: int) -> DataFram
     """Rows (path, off, weak, strong): the windows of (path, content) whose weak checksum may be one of the
     destination's blocks of that path (all that are, and a few more)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, str]]:
         for batch in batches:
             for k, (path, bits) in enumerate(zip(batch.column("path").to_pylist(), batch.column("bits").to_pylist(), strict=True)):
                 data = batch.column("content")[k].as_py()
-                hits = _hits(data, len(data), block, bits, *_words(batch.column("words")[k]))
-                yield from _hit_batches((path, *h) for h in hits)
+                for hit in _hits(data, len(data), block, bits, *_words(batch.column("words")[k])):
+                    yield path, *hit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _hit_batches(found(batches))
 
     known = content.select("path", "content").filter("content is not null").join(weak_filter(sig_dst, block), "path")
     return known.select("path", "content", "bits", "words").mapInArrow(run, _HITS)
@@ -271,31 +317,71 @@ def file_hits(files: DataFrame, root: str, sig_dst: DataFrame, block: int, strid
     range that can't be read, or ends early, gives a row with a null off."""
     base = Rooted(root)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int | None, int | None, str | None]]:
+        file = _Open(base)
         for batch in batches:
             for k, (path, off, n, size, bits) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "off", "len", "size", "bits")), strict=True)):
-                want = min(n + block - 1, size - off)
-                data = b""
                 try:
-                    with base.reading(path) as fd:
-                        while len(data) < want and (more := os.pread(fd, want - len(data), off + len(data))):
-                            data += more
+                    data = _read(file.at(path), off, min(n + block - 1, size - off))
                 except (OSError, ValueError):
-                    pass
-                if len(data) < want:
-                    yield from _hit_batches(iter([(path, None, None, None)]))
-                elif bits is not None:
-                    hits = _hits(data, n, block, bits, *_words(batch.column("words")[k]))
-                    yield from _hit_batches((path, off + at, weak, strong) for at, weak, strong in hits)
+                    file.close()
+                    yield path, None, None, None
+                    continue
+                if bits is not None:
+                    for at, weak, strong in _hits(data, n, block, bits, *_words(batch.column("words")[k])):
+                        yield path, off + at, weak, strong
+        file.close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _hit_batches(found(batches))
 
     known = _dealt(files, stride).join(weak_filter(sig_dst, block), "path", "left")
     return known.select("path", "off", "len", "size", "bits", "words").mapInArrow(run, _HITS)
 
 
-def _followed(offs: np.ndarray, block: int) -> np.ndarray:
-    """For each match of a range, the next one that doesn't overlap it; its own number where there is none."""
-    after = np.searchsorted(offs, offs + block)
-    return np.where(after < len(offs), after, np.arange(len(offs)))
+class _Ranges:
+    """Matches of many ranges (path, part), sorted by path, part and off: for each match the next one of its range that
+    doesn't overlap it (its own number where there is none), and the first match of each range."""
+
+    def __init__(self, table: pa.Table, block: int, stride: int):
+        self.part, self.offs = table["part"].to_numpy(), table["off"].to_numpy()
+        path = table["path"].combine_chunks().dictionary_encode().indices.to_numpy()
+        self.head = np.r_[True, (path[1:] != path[:-1]) | (self.part[1:] != self.part[:-1])]
+        self.first, self.group = np.flatnonzero(self.head), np.cumsum(self.head) - 1
+        self.inside = self.offs - self.part * stride
+        line = self.group * (stride + block) + self.inside  # ranges one behind the other, none reaches the next
+        after = np.searchsorted(line, line + block)
+        near = np.minimum(after, len(line) - 1)
+        self.next = np.where((after < len(line)) & (self.group[near] == self.group), after, np.arange(len(line)))
+
+
+def _by_range(df: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """work over whole ranges, many at a time; df has path, part and off."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                rows += batch.num_rows
+                if rows < COVERED or all(held[0][c][0] == batch[c][-1] for c in ("path", "part")):
+                    continue
+            if not rows:
+                continue
+            table, held, rows = pa.Table.from_batches(held), [], 0
+            if batch is not None:  # the last range may go on in the next batch
+                part, path = table["part"].to_numpy(), table["path"].combine_chunks().dictionary_encode().indices.to_numpy()
+                other = np.flatnonzero((path != path[-1]) | (part != part[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                rest = table.slice(cut)
+                held, rows, table = rest.to_batches(), rest.num_rows, table.slice(0, cut)
+            if table.num_rows:
+                yield from work(table).select(names).combine_chunks().to_batches()
+
+    return df.repartition("path", "part").sortWithinPartitions("path", "part", "off").mapInArrow(run, schema)
 
 
 def cover(matches: DataFrame, sizes: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
@@ -306,16 +392,17 @@ def cover(matches: DataFrame, sizes: DataFrame, block: int, stride: int = STRIDE
     stride = max(stride, block)
     matches = stored(matches.withColumn("part", F.floor(F.col("off") / stride)))
 
-    def entered(rows: pd.DataFrame) -> pd.DataFrame:
-        offs = np.sort(rows["off"].to_numpy())
-        start = int(rows["part"].iloc[0]) * stride
-        jump = _followed(offs, block)
+    def entered(table: pa.Table) -> pa.Table:
+        r = _Ranges(table, block, stride)
+        jump = r.next
         while ((far := jump[jump]) != jump).any():
             jump = far
-        n = int(np.searchsorted(offs, start + block)) + 1  # all that an exit of the range before can lead to
-        return pd.DataFrame({"path": rows["path"].iloc[0], "part": rows["part"].iloc[0], "entry": offs[:n], "exit": offs[jump[:n]] + block})
+        # All that an exit of the range before can lead to.
+        way = np.flatnonzero(r.head | np.r_[False, r.inside[:-1] < block])
+        known = table.select(["path", "part"]).take(pa.array(way))
+        return known.append_column("entry", pa.array(r.offs[way])).append_column("exit", pa.array(r.offs[jump[way]] + block))
 
-    entries = stored(matches.groupBy("path", "part").applyInPandas(entered, "path string, part bigint, entry bigint, exit bigint"))
+    entries = stored(_by_range(matches, entered, "path string, part bigint, entry bigint, exit bigint"))
     # At most block + 1 entries a range, and a row a range.
     ranges = entries.groupBy("path", "part").agg(F.sort_array(F.collect_list("entry")).alias("ways"))
     onward = Window.partitionBy("path").orderBy("part")
@@ -333,23 +420,24 @@ def cover(matches: DataFrame, sizes: DataFrame, block: int, stride: int = STRIDE
     used = entries.join(reached, ["path", "entry"]).withColumn("done", F.coalesce(F.lag("exit").over(onward), F.lit(0)))
     used = stored(used.select("path", "part", "entry", "exit", "done"))
 
-    def taken(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("off")
-        offs, old = rows["off"].to_numpy(), rows["dst_off"].to_numpy()
-        jump, k, done = _followed(offs, block), int(np.searchsorted(offs, rows["entry"].iloc[0])), int(rows["done"].iloc[0])
-        out = []
-        while True:
-            if offs[k] > done:
-                out.append((done, offs[k] - done, None))
-            out.append((offs[k], block, old[k]))
-            done = int(offs[k]) + block
-            if jump[k] == k:
-                break
-            k = jump[k]
-        frame = pd.DataFrame(out, columns=["off", "len", "dst_off"]).astype({"dst_off": "Int64"})
-        return frame.assign(path=rows["path"].iloc[0])[["path", "off", "len", "dst_off"]]
-
-    chosen = matches.join(used, ["path", "part"]).groupBy("path", "part").applyInPandas(taken, "path string, off bigint, len bigint, dst_off bigint")
+    def taken(table: pa.Table) -> pa.Table:
+        r = _Ranges(table, block, stride)
+        entry, done = table["entry"].to_numpy()[r.first], table["done"].to_numpy()[r.first]
+        at = np.searchsorted(r.group * (stride + block) + r.inside, np.arange(len(r.first)) * (stride + block) + entry - r.part[r.first] * stride)
+        picked, before = [], []
+        while len(at):  # a match of each range at a time
+            picked.append(at)
+            before.append(done)
+            on = r.next[at] != at
+            done, at = r.offs[at[on]] + block, r.next[at[on]]
+        k, done = np.concatenate(picked), np.concatenate(before)
+        gap = r.offs[k] > done
+        row, lit = np.r_[k, k[gap]], np.r_[np.zeros(len(k), bool), np.ones(int(gap.sum()), bool)]
+        off, size = np.r_[r.offs[k], done[gap]], np.r_[np.full(len(k), block), (r.offs[k] - done)[gap]]
+        old = pa.array(table["dst_off"].to_numpy()[row], mask=lit)
+        return pa.table({"path": table["path"].take(pa.array(row)), "off": off, "len": size, "dst_off": old})
+
+    chosen = _by_range(matches.join(used, ["path", "part"]), taken, "path string, off bigint, len bigint, dst_off bigint")
     ends = used.groupBy("path").agg(F.max("exit").alias("done"))
     rest = sizes.join(ends, "path", "left").select("path", F.coalesce("done", F.lit(0)).cast("bigint").alias("off"), "size").filter("size > off")
     return chosen.unionByName(rest.select("path", "off", (F.col("size") - F.col("off")).alias("len"), F.lit(None).cast("bigint").alias("dst_off")))
@@ -361,6 +449,12 @@ def _matched(hits: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
     return hits.join(first, ["path", "weak", "strong"]).select("path", "off", "dst_off")
 
 
+def matched_windows(content: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
+    """Rows (path, off, dst_off): all windows of (path, content) that are blocks of the destination."""
+    sig_dst = stored(sig_dst)  # read twice
+    return _matched(rolling_hits(content, sig_dst, block), sig_dst, block)
+
+
 def _untold(paths: DataFrame) -> DataFrame:
     none = F.lit(None).cast("bigint")
     return paths.select("path", none.alias("off"), none.alias("len"), none.alias("dst_off"))
@@ -371,13 +465,14 @@ def delta_match(src: DataFrame, sig_dst: DataFrame, block: int, stride: int = ST
     their place, the first of equal ones) and literals (dst_off null), in order and without overlap, copies taken
     greedily from the left.  An empty content has no row; null content has one with null off."""
     sizes = src.filter("content is not null").select("path", F.length("content").cast("bigint").alias("size"))
-    made = cover(_matched(rolling_hits(src, sig_dst, block), sig_dst, block), sizes, block, stride)
+    made = cover(matched_windows(src, sig_dst, block), sizes, block, stride)
     return made.unionByName(_untold(src.filter("content is null").select("path")))
 
 
 def file_delta(files: DataFrame, root: str, sig_dst: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
     """delta_match of files (path, size) below root, of any size.  A file of which part couldn't be read has one row
     with null off alone."""
+    sig_dst = stored(sig_dst)  # read twice
     hits = stored(file_hits(files, root, sig_dst, block, stride))
     bad = hits.filter("off is null").select("path").distinct()
     sizes = files.select("path", "size").join(bad, "path", "left_anti")
