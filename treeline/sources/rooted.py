@@ -54,17 +54,25 @@ class Rooted:
         if any(n in ("", ".", "..") or "\0" in n for n in names):
             raise ValueError("not a path below the root")
         flags = os.O_RDONLY | os.O_DIRECTORY | os.O_CLOEXEC
-        if make:
+        try:
+            fd = os.open(self.root, flags)
+        except FileNotFoundError:
+            if not make:
+                raise
             os.makedirs(self.root, exist_ok=True)
-        fd = os.open(self.root, flags)
+            fd = os.open(self.root, flags)
         try:
             for name in names[:-1]:
-                if make:
+                try:
+                    below = os.open(name, flags | self.nofollow, dir_fd=fd)
+                except FileNotFoundError:  # made only where missing: even a mkdir in vain locks the parent for all tasks
+                    if not make:
+                        raise
                     try:
                         os.mkdir(name, dir_fd=fd)
                     except FileExistsError:
                         pass
-                below = os.open(name, flags | self.nofollow, dir_fd=fd)
+                    below = os.open(name, flags | self.nofollow, dir_fd=fd)
                 os.close(fd)
                 fd = below
             yield fd, names[-1]
@@ -90,11 +98,12 @@ class Rooted:
             try:
                 fill(fd, temp)
                 os.replace(temp, name, src_dir_fd=fd, dst_dir_fd=fd)
-            finally:
+            except BaseException:
                 try:
                     os.remove(temp, dir_fd=fd)
                 except FileNotFoundError:
                     pass
+                raise
 
 
 def written_to(fd: int, name: str) -> int:
