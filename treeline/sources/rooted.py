@@ -8,11 +8,13 @@ import hashlib
 import os
 import re
 import stat
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 PART = ".treeline-part"  # ends the name of a file whose ranges aren't all there
+HOLD = 1.0  # seconds that the handle of a folder serves for more of its files
 
 
 def to_text(name: str) -> str:
@@ -42,10 +44,23 @@ class Rooted:
 
     A link on the way is refused (unless ``follow``), as are ``..``, ``.``, empty components and NUL, so
     nothing outside the root is reached, whatever is put in place of a folder meanwhile.  The root
-    itself may be a link."""
+    itself may be a link.  With ``hold`` the handle of the last folder serves for that many seconds."""
 
-    def __init__(self, root: str, follow: bool = False):
-        self.root, self.nofollow = local_path(root), 0 if follow else os.O_NOFOLLOW
+    held: tuple[list[str], float, int] | None = None  # folder, until when, handle
+
+    def __init__(self, root: str, follow: bool = False, hold: float = 0.0):
+        self.root, self.nofollow, self.hold = local_path(root), 0 if follow else os.O_NOFOLLOW, hold
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"held": None}
+
+    def __del__(self):
+        self._put(None)
+
+    def _put(self, held: tuple[list[str], float, int] | None) -> None:
+        held, self.held = self.held, held
+        if held:
+            os.close(held[2])
 
     @contextmanager
     def at(self, path: str, make: bool = False) -> Iterator[tuple[int, str]]:
@@ -53,6 +68,22 @@ class Rooted:
         names = to_name(path).split("/")
         if any(n in ("", ".", "..") or "\0" in n for n in names):
             raise ValueError("not a path below the root")
+        now = time.monotonic()
+        if self.held and self.held[0] == names[:-1] and now < self.held[1]:
+            (_, until, fd), self.held = self.held, None  # taken, so that what is opened meanwhile doesn't close it
+        else:
+            until, fd = now + self.hold, self._folder(names[:-1], make)
+        try:
+            yield fd, names[-1]
+        except BaseException:
+            os.close(fd)
+            raise
+        if self.hold:
+            self._put((names[:-1], until, fd))
+        else:
+            os.close(fd)
+
+    def _folder(self, names: list[str], make: bool) -> int:
         flags = os.O_RDONLY | os.O_DIRECTORY | os.O_CLOEXEC
         try:
             fd = os.open(self.root, flags)
@@ -62,7 +93,7 @@ class Rooted:
             os.makedirs(self.root, exist_ok=True)
             fd = os.open(self.root, flags)
         try:
-            for name in names[:-1]:
+            for name in names:
                 try:
                     below = os.open(name, flags | self.nofollow, dir_fd=fd)
                 except FileNotFoundError:  # made only where missing: even a mkdir in vain locks the parent for all tasks
@@ -75,9 +106,10 @@ class Rooted:
                     below = os.open(name, flags | self.nofollow, dir_fd=fd)
                 os.close(fd)
                 fd = below
-            yield fd, names[-1]
-        finally:
+        except BaseException:
             os.close(fd)
+            raise
+        return fd
 
     @contextmanager
     def reading(self, path: str) -> Iterator[int]:
