@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,19 @@ def test_tree_dealt_to_several_automata(spark):
     assert set(a) == set(b) == set(range(len(texts)))
     assert all(a[k] == (pytest.approx(b[k][0]), pytest.approx(b[k][1]), "w") for k in a)
     assert one.rows.select("d", "ctx").distinct().count() < suffix_tree.train(df, min_count=5).rows.select("d", "ctx").distinct().count()
+
+
+def test_suffix_tree_automaton_is_small(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(600).collect()]
+    model = suffix_tree.train(spark.createDataFrame([(t,) for t in texts], "text string"), min_count=5)
+    shard = model.automaton(0)
+    scores = shard.scores([*texts[:50], "Zq\x01 \u4e2d", ""])
+    assert shard.given is None  # the automaton took their place
+    parts = [*vars(shard.built).values(), *vars(getattr(shard.built, "entries", shard.built)).values()]
+    held = sum(x.nbytes for x in {id(x): x for x in parts if isinstance(x, np.ndarray)}.values())
+    contexts, width = model.rows.agg(F.count_distinct("d", "ctx"), F.count_distinct("a")).first()
+    assert held < 0.75 * 8 * contexts * width  # of following states and probabilities for all symbols
+    for whole in (0, suffix_tree.DEPTH):
+        monkeypatch.setattr(suffix_tree, "WHOLE", whole)
+        monkeypatch.setattr(suffix_tree, "AT_ONCE", 100)
+        assert model.automaton(0).scores([*texts[:50], "Zq\x01 \u4e2d", ""]) == pytest.approx(scores, rel=1e-6)

@@ -19,8 +19,10 @@ KIND_COST and NOVEL were chosen within the training rows: learned from remainder
 
 Scoring walks an automaton whose state is the longest suffix of the history among the contexts, many
 stretches of text at a time; each stretch is led in by the DEPTH bytes before it, which fix its state.
-The tree is a written table.  It is dealt to as many automata as keep each under SHARD_BYTES, by the
-last two bytes of the contexts: a position is scored by the automaton of the two bytes before it, which
+The states and their following states are a table; probabilities are held by the longer contexts for
+the symbols seen there only and found by the place of a bit, all others follow from the suffix.
+The tree is a written table.  It is dealt to as many automata as keep each under SHARD_BYTES, were each
+context to hold 8 bytes for all symbols (it takes about a third of that), by the last two bytes of the contexts: a position is scored by the automaton of the two bytes before it, which
 has all contexts that end so.  Each is sent to the tasks on its own, and texts are read once for each.
 
 ``unigrams`` is the smoothed word baseline.  The most frequent words, at most HEAVY (all those above
@@ -54,6 +56,9 @@ KIND_COST, NOVEL = 0.1, 4.0
 SHARD_BYTES = 192_000_000
 HEAVY = 200_000
 STRETCH = 512
+WHOLE = 4  # contexts up to this depth hold probabilities of all symbols
+AT_ONCE = 10_000  # contexts that are built together
+TOGETHER = 12_000  # positions whose probabilities are looked up together: more of them leave the cache
 END = b"\n"  # never part of a word
 _FLUSH = 300_000
 
@@ -104,23 +109,60 @@ def count_windows(df: DataFrame, text: str = "text", depth: int = DEPTH) -> Data
     return rows.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+class Entries:
+    """The probabilities (log10) that contexts have of their own, by context * width + symbol: a bit for each
+    that there is, and how many there are before each 64 of them.  All others are those of the suffix times
+    the share that a context leaves to it."""
+
+    def __init__(self, contexts: int, width: int, size: int):
+        words = contexts * width // 64 + 1
+        self.width, self.size, self.contexts = width, 0, 0
+        self.bits, self.before, self.logp = np.zeros(words, "u8"), np.zeros(words, "i4"), np.zeros(size + 1, "f4")
+        self.up, self.left = np.zeros(contexts, "i4"), np.zeros(contexts, "f4")
+
+    def add(self, contexts: np.ndarray, symbols: np.ndarray, logp: np.ndarray, up: np.ndarray, left: np.ndarray) -> None:
+        """More entries, in order, of the next contexts, whose suffixes and shares (log10) are up and left."""
+        keys = contexts.astype("i8") * self.width + symbols
+        words = keys >> 6
+        starts = np.flatnonzero(np.diff(words, prepend=-1))
+        new = self.bits[words[starts]] == 0  # else the first word goes on
+        self.before[words[starts][new]] = self.size + starts[new]
+        self.bits[words[starts]] |= np.bitwise_or.reduceat(np.uint64(1) << (keys & 63).astype("u8"), starts)
+        self.logp[self.size : self.size + len(logp)] = logp
+        self.up[self.contexts : self.contexts + len(up)], self.left[self.contexts : self.contexts + len(up)] = up, left
+        self.size, self.contexts = self.size + len(logp), self.contexts + len(up)
+
+    def of(self, contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        keys = contexts * np.int64(self.width) + symbols
+        word, shift = keys >> 6, (keys & 63).view("u8")
+        bits = self.bits[word]
+        out = self.logp[self.before[word] + np.bitwise_count(bits & ((np.uint64(1) << shift) - np.uint64(1)))].astype("f8")
+        lacks = np.flatnonzero(~bits >> shift & np.uint64(1))
+        if len(lacks):
+            out[lacks] = self.left[contexts[lacks]] + self.of(self.up[contexts[lacks]], symbols[lacks])
+        return out
+
+
 @dataclass(frozen=True)
 class Automaton:
-    """next and logp (log10) by state * width + symbol; symbol: by byte, others share one.  owns: by
-    the two bytes before a position, whether this automaton scores it (none: all positions)."""
+    """next: the following state by row * width + symbol, where states that nothing goes on from share the
+    row of their suffix; row * width and longest context by state; symbol: by byte, others share one.
+    owns: by the two bytes before a position, whether this automaton scores it (none: all positions)."""
 
     depth: int
     width: int
     symbol: np.ndarray
     next: np.ndarray
-    logp: np.ndarray
+    row: np.ndarray
+    context: np.ndarray
+    entries: Entries
     owns: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """log10 probability of each text (of the positions that are owned)."""
         seqs = [symbols(t) for t in texts]
         d = self.depth
-        none = self.width - 1  # probability 1, for places behind a text's end
+        none = self.width  # for places behind a text's end
         rows, owner, raw = [], [], []
         for k, s in enumerate(seqs):
             x = np.frombuffer(END * d + s, "u1")
@@ -137,12 +179,24 @@ class Automaton:
             return np.zeros(0)
         steps = np.ascontiguousarray(np.concatenate(rows).T)
         bytes_ = np.ascontiguousarray(np.concatenate(raw).T) if raw else None
-        state, total = np.zeros(steps.shape[1], "i8"), np.zeros(steps.shape[1])
+        real, steps, m = steps < none, np.minimum(steps, none - 1), steps.shape[1]
+        state, total = np.zeros(m, "i8"), np.zeros(m)
+        held = max(1, TOGETHER // m)  # steps whose probabilities are looked up together
+        states = np.zeros((held, m), "i4")
         for t, sym in enumerate(steps):
-            at = state * self.width + sym
             if t >= d:
-                total += self.logp[at] if bytes_ is None else self.logp[at] * self.owns[bytes_[t - 2] * 256 + bytes_[t - 1]]
-            state = self.next[at].astype("i8")
+                states[(t - d) % held] = state
+            if t >= d and ((t - d + 1) % held == 0 or t + 1 == len(steps)):
+                some = slice(t - (t - d) % held, t + 1)
+                found, wanted, syms = states[: some.stop - some.start], real[some], steps[some]
+                if bytes_ is None:
+                    total += (self.entries.of(self.context[found.ravel()], syms.ravel()).reshape(syms.shape) * wanted).sum(0)
+                else:
+                    wanted = wanted & self.owns[bytes_[some.start - 2 : some.stop - 2] * 256 + bytes_[some.start - 1 : some.stop - 1]]
+                    logp = np.zeros(syms.shape)
+                    logp[wanted] = self.entries.of(self.context[found[wanted]], syms[wanted])
+                    total += logp.sum(0)
+            state = self.next[self.row[state] + sym]
         return np.bincount(owner, total, len(seqs))
 
 
@@ -152,62 +206,75 @@ def _place(level: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, level[at] == codes if len(level) else np.zeros(len(codes), bool)
 
 
+def _suffix(codes: np.ndarray, k: int) -> np.ndarray:
+    return codes & ((1 << 8 * k) - 1)
+
+
 def build(d: np.ndarray, ctx: np.ndarray, a: np.ndarray, n: np.ndarray, depth: int, owns: np.ndarray | None = None) -> Automaton:
-    """From the contexts that stay (depth, code, next byte, count), the root (depth 0) included."""
-    seen = np.unique(a)
-    width = len(seen) + 2  # any other byte; no byte
+    """From the contexts that stay (depth, code, next byte, count), sorted by these, the root (depth 0) included."""
+    seen = np.flatnonzero(np.bincount(a, minlength=256))
+    width = len(seen) + 1  # any other byte
     symbol = np.full(256, len(seen), "u1" if width < 256 else "u2")
     symbol[seen] = np.arange(len(seen))
-    contexts = [np.unique(ctx[d == k]) for k in range(depth + 1)]
+    of = [slice(*np.searchsorted(d, (k, k + 1))) for k in range(depth + 1)]
+    starts = [np.flatnonzero(np.diff(ctx[o], prepend=-1)) for o in of]
+    contexts = [ctx[o][s] for o, s in zip(of, starts, strict=True)]
     contexts[0] = np.zeros(1, "i8")
     # All prefixes of contexts are states, level by level.
     states = list(contexts)
     for k in range(depth - 1, -1, -1):
         states[k] = np.union1d(states[k], states[k + 1] >> 8)
-    first = np.cumsum([0, *map(len, states)])
-    nexts, logp = np.zeros((first[-1], width), "i4"), np.zeros((first[-1], width), "f4")
-    p = np.full((1, width - 1), 1 / 256, "f4")
+    inner = [np.unique(states[k + 1] >> 8) for k in range(depth)]  # states that go on
+    first, begin = np.cumsum([0, *map(len, states)]), np.cumsum([0, *map(len, contexts)])
+    row, context = np.zeros(first[-1], "i4"), np.zeros(first[-1], "i4")
+    nexts = np.zeros((max(1, sum(map(len, inner))), width), "i4")
+    entries, rows = Entries(begin[-1], width, sum(len(contexts[k]) * width if k <= WHOLE else len(range(*of[k].indices(len(d)))) for k in range(depth + 1))), 0
     for k, level in enumerate(states):
         if not len(level):
             break
         own = slice(first[k], first[k + 1])
         if k:  # the longest proper suffix that is a state
-            link = np.zeros(len(level), "i8")
+            link = np.zeros(len(level), "i4")
             for j in range(1, k):
-                at, found = _place(states[j], level & ((1 << 8 * j) - 1))
+                at, found = _place(states[j], _suffix(level, j))
                 link[found] = first[j] + at[found]
-            nexts[own], logp[own] = nexts[link], logp[link]
-        if len(contexts[k]):
-            up = p[_place(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1))[0]] if k else p
-            here = d == k
-            row, count = np.searchsorted(contexts[k], ctx[here]), n[here]
-            novel = NOVEL * np.bincount(row, minlength=len(contexts[k]))
-            total = np.bincount(row, count, len(contexts[k])) + novel
-            p = up if k else up.copy()
-            p *= np.where(total > 0, novel / np.maximum(total, 1), 1.0).astype("f4")[:, None]
-            p[row, symbol[a[here]]] += (count / total[row]).astype("f4")
-            # Of other states the distribution is that of the longest context, their suffix's.
-            logp[first[k] + np.searchsorted(level, contexts[k]), :-1] = np.log10(p)
-        if k < depth and len(states[k + 1]):
-            parent = np.searchsorted(level, states[k + 1] >> 8)
-            nexts[first[k] + parent, symbol[states[k + 1] & 255]] = first[k + 1] + np.arange(len(states[k + 1]))
-    return Automaton(depth, width, symbol, nexts.ravel(), logp.ravel(), owns)
+            row[own], context[own] = row[link], context[link]
+        if k < depth and len(inner[k]):
+            at = first[k] + np.searchsorted(level, inner[k])
+            nexts[rows : rows + len(at)] = nexts[row[at]]  # those of the suffix, the root has zeros
+            row[at] = rows + np.arange(len(at))
+            nexts[rows + np.searchsorted(inner[k], states[k + 1] >> 8), symbol[_suffix(states[k + 1], 1)]] = first[k + 1] + np.arange(len(states[k + 1]))
+            rows += len(at)
+        # Of other states the distribution is that of the longest context, their suffix's.
+        context[first[k] + np.searchsorted(level, contexts[k])] = begin[k] + np.arange(len(contexts[k]))
+        up = begin[k - 1] + np.searchsorted(contexts[k - 1], _suffix(contexts[k], k - 1)) if k else np.zeros(1, "i8")
+        ends = np.append(starts[k][1:], len(ctx[of[k]]))
+        for c in range(0, len(contexts[k]), AT_ONCE):
+            some = slice(c, c + AT_ONCE)
+            lo, hi = (starts[k][c], ends[some][-1]) if len(starts[k]) else (0, 0)
+            kinds = (ends - starts[k])[some] if hi else np.zeros(1, "i8")
+            which, sym, count = np.repeat(np.arange(len(kinds)), kinds), symbol[a[of[k]][lo:hi]], n[of[k]][lo:hi]
+            total = np.bincount(which, count, len(kinds)) + NOVEL * kinds
+            if k <= WHOLE:
+                counts = np.zeros((len(kinds), width))
+                counts[which, sym] = count
+                which, sym, count = np.repeat(np.arange(len(kinds)), width), np.tile(np.arange(width), len(kinds)), counts.ravel()
+            share = np.where(total > 0, NOVEL * kinds / np.maximum(total, 1), 1.0)
+            above = 10.0 ** entries.of(up[some][which], sym) if k else 1 / 256
+            entries.add(begin[k] + c + which, sym, np.log10(above * share[which] + count / np.maximum(total[which], 1)), up[some], np.log10(share))
+    return Automaton(depth, width, symbol, nexts.ravel(), row * np.int32(width), context, entries, owns)
 
 
 class Shard:
-    """Contexts as arrays, which is what is sent; a worker builds the automaton from them when it
+    """Contexts as arrays, which is what is sent; a worker builds the automaton in their place when it
     first scores."""
 
     def __init__(self, d: np.ndarray, ctx: np.ndarray, a: np.ndarray, n: np.ndarray, depth: int, owns: np.ndarray | None):
         self.given, self.built = (d.astype("i1"), ctx, a.astype("u1"), n, depth, owns), None
 
-    def __getstate__(self) -> dict:
-        return {"given": self.given, "built": None}
-
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.built is None:
-            d, ctx, a, n, depth, owns = self.given
-            self.built = build(d, ctx, a, n, depth, owns)
+            self.built, self.given = build(*self.given), None
         return self.built.scores(texts)
 
 
@@ -221,7 +288,7 @@ class Tree:
 
     def automaton(self, shard: int) -> Shard:
         owner = F.pmod(F.hash(F.col("ctx").bitwiseAND(F.lit(0xFFFF))), F.lit(self.shards))
-        got = self.rows.filter((F.col("d") < 2) | (owner == shard)).toArrow()
+        got = self.rows.filter((F.col("d") < 2) | (owner == shard)).orderBy("d", "ctx", "a").toArrow()
         owns = None
         if self.shards > 1:
             pairs = self.rows.sparkSession.range(1 << 16).select("id", F.pmod(F.hash("id"), F.lit(self.shards)).alias("shard")).toArrow()
