@@ -241,9 +241,12 @@ def need_ranges(sig_src: DataFrame, sig_dst: DataFrame) -> DataFrame:
     source wasn't read, a row with null off and len too.
 
     Runs are found among RUN_BLOCKS blocks at a time; then neighbouring runs are joined."""
-    old = sig_dst.filter("block is not null").select("path", "block", F.col("strong").alias("old"))
+    old = sig_dst.filter("block is not null").select("path", "block", F.unhex("strong").alias("old"))
+    # Spark takes signatures for as small as the names they are made of and would send all of them through the driver to
+    # every executor, so the join is told to sort and merge.
+    new = sig_src.select("path", "block", "off", "len", F.unhex("strong").alias("new"))
     # Rows without a block meet no other and come out as one run a path, without off and len.
-    need = sig_src.join(old, ["path", "block"], "left").filter(F.col("old").isNull() | (F.col("old") != F.col("strong")))
+    need = new.join(old.hint("merge"), ["path", "block"], "left").filter(F.col("old").isNull() | (F.col("old") != F.col("new")))
     # Neighbouring blocks have the same difference between number and rank.
     near = need.withColumn("part", F.floor(F.col("block") / RUN_BLOCKS))
     rank = F.row_number().over(Window.partitionBy("path", "part").orderBy("block"))
