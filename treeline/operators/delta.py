@@ -4,7 +4,11 @@ Signatures and deltas come from contents in rows, or from files of any size by r
 file is ever one row.  What can't be read is never taken for unchanged: its row has a null block, and
 what is needed of it is a row with null off and len.
 
-A delta takes three steps.  Offsets of the source whose weak checksum is among the destination's, by a
+A file whose content and whose destination's blocks a task can hold is covered where they meet: the blocks, sorted
+before it, are what its windows are looked up in, and after each copy the search goes on behind it.  No match becomes
+a row unless it is taken.
+
+The delta of a larger one takes three steps.  Offsets of the source whose weak checksum is among the destination's, by a
 bitmap for each path, become rows; joined with the destination's blocks they are matches.  The greedy cover from the
 left is found range by range: for each place where a range can be entered the matches that follow lead
 to one exit; exits are linked to entries of the next range, and pointer doubling from the first match of a file tells where
@@ -36,6 +40,9 @@ FILTER_BITS = 27  # log2 of a bitmap's bits at most; it has 512 for each block b
 MIX = 1_640_531_527  # spreads weak checksums over a bitmap
 COVERED = 200_000  # matches whose ranges are covered together, about
 RUN_BLOCKS = 4096  # blocks whose runs are found together before runs are joined
+ALONE = STRIDE  # of a content that one task covers on its own, at most
+KNOWN = 262_144  # blocks of its destination that the task holds beside it, at most
+WINDOWS = MIB  # of a content that are searched at a time
 
 
 def file_digest(content: Column) -> Column:
@@ -287,10 +294,13 @@ def _hits(data: bytes, keep: int, block: int, bits: int, number: np.ndarray, wor
 _HITS = "path string, off bigint, weak bigint, strong string"
 
 
-def _hit_batches(found: Iterator[tuple[str, int, int, str]]) -> Iterator[pa.RecordBatch]:
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+
+
+def _row_batches(found: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(f.split() for f in schema.split(", ")), strict=True)
     while rows := list(islice(found, 50_000)):
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "off", "weak", "strong"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
 def _words(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +319,7 @@ def rolling_hits(content: DataFrame, sig_dst: DataFrame, block: int) -> DataFram
                     yield path, *hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _hit_batches(found(batches))
+        yield from _row_batches(found(batches), _HITS)
 
     known = content.select("path", "content").filter("content is not null").join(weak_filter(sig_dst, block), "path")
     return known.select("path", "content", "bits", "words").mapInArrow(run, _HITS)
@@ -336,7 +346,7 @@ def file_hits(files: DataFrame, root: str, sig_dst: DataFrame, block: int, strid
         file.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _hit_batches(found(batches))
+        yield from _row_batches(found(batches), _HITS)
 
     known = _dealt(files, stride).join(weak_filter(sig_dst, block), "path", "left")
     return known.select("path", "off", "len", "size", "bits", "words").mapInArrow(run, _HITS)
@@ -446,6 +456,101 @@ def cover(matches: DataFrame, sizes: DataFrame, block: int, stride: int = STRIDE
     return chosen.unionByName(rest.select("path", "off", (F.col("size") - F.col("off")).alias("len"), F.lit(None).cast("bigint").alias("dst_off")))
 
 
+def _greedy(data: bytes, block: int, weak: np.ndarray, place: dict[bytes, int], windows: int) -> Iterator[tuple[int, int, int | None]]:
+    """(off, len, dst_off) of a whole content: copies of the blocks that have these weak checksums and, by digest, these places,
+    taken greedily from the left, and literals (dst_off None) between them; ``windows`` are searched at a time."""
+    at = done = 0
+    weak = np.unique(weak)
+    shift = 32 - max(10, (len(weak) * 32).bit_length())
+    seen = np.zeros(1 << 32 - shift, bool)
+    seen[(weak * MIX & 0xFFFFFFFF) >> shift] = True
+    while place and at <= len(data) - block:
+        found = rolling(data[at : at + windows + block - 1], block)
+        near = np.flatnonzero(seen[(found * MIX & 0xFFFFFFFF) >> shift])
+        near = near[weak[np.minimum(np.searchsorted(weak, found[near]), len(weak) - 1)] == found[near]]
+        for k in (near + at).tolist():
+            if k < done or (old := place.get(hashlib.sha256(data[k : k + block]).digest())) is None:
+                continue
+            if k > done:
+                yield done, k - done, None
+            yield k, block, old
+            done = k + block
+        at = max(at + windows, done)
+    if done < len(data):
+        yield done, len(data) - done, None
+
+
+_ALONE = "path string, off bigint, len bigint, dst_off bigint, ranged boolean"
+
+
+def _alone(asked: DataFrame, root: str | None, sig_dst: DataFrame, block: int) -> DataFrame:
+    """Rows (path, off, len, dst_off, ranged): the deltas of asked (path, size, content), each made by one task, which reads content from
+    the file below root, if there is one.  What can't be read has one row with null off; what has more than KNOWN blocks at
+    the destination has one too, with ranged, and goes by ranges."""
+    base = None if root is None else Rooted(root)
+
+    def content(path: str, size: int) -> bytes:
+        with base.reading(path) as fd:
+            return _read(fd, 0, size)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[int], list[bytes | None]]]:
+        """(path, weak checksums, places, digests) of known blocks, which may come in several, then (path, none, sizes, contents)."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column("path").dictionary_encode()
+            number = path.indices.to_numpy()
+            known = batch.column("weak").is_valid().to_numpy(zero_copy_only=False)
+            weak = batch.column("weak").fill_null(0).to_numpy()
+            at, data = batch.column("at").to_pylist(), batch.column("data").to_pylist()
+            cuts = np.flatnonzero((number[1:] != number[:-1]) | (known[1:] != known[:-1])) + 1
+            for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                yield path.dictionary[number[b]].as_py(), weak[b:e] if known[b] else weak[:0], at[b:e], data[b:e]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int | None, int | None, int | None, bool]]:
+        of, n, weak, place = None, 0, [], {}
+        for path, checksums, at, data in groups(batches):
+            if path != of:
+                of, n, weak, place = path, 0, [], {}
+            if len(checksums):
+                n += len(checksums)
+                weak = [*weak, checksums] if n <= KNOWN else []
+                # The first of equal blocks is the first to come.
+                place = dict(zip(data[::-1], at[::-1], strict=True)) | place if n <= KNOWN else {}
+                continue
+            for size, have in zip(at, data, strict=True):
+                if n > KNOWN:
+                    yield path, None, None, None, True
+                    continue
+                try:
+                    have = have if base is None else content(path, size)
+                except (OSError, ValueError):
+                    yield path, None, None, None, False
+                    continue
+                for row in _greedy(have, block, np.concatenate([checksums, *weak]), place, WINDOWS):
+                    yield path, *row, False
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _row_batches(found(batches), _ALONE)
+
+    none = F.lit(None).cast("bigint")
+    known = sig_dst.filter(F.col("len") == block).select("path", "weak", F.col("off").alias("at"), F.unhex("strong").alias("data"))
+    both = known.unionByName(asked.select("path", none.alias("weak"), F.col("size").alias("at"), F.col("content").alias("data")))
+    return both.repartition("path").sortWithinPartitions("path", F.col("weak").isNull(), "at").mapInArrow(run, _ALONE)
+
+
+def _delta(asked: DataFrame, root: str | None, sig_dst: DataFrame, block: int, ranged: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The deltas of asked (path, size, content): by ``_alone`` where a task can hold both sides, by ``ranged`` (paths, their
+    signatures) else."""
+    told = stored(_alone(asked.filter((F.col("size") > 0) & (F.col("size") <= ALONE)), root, sig_dst, block))
+    large = asked.filter(F.col("size") > ALONE).select("path").unionByName(told.filter("ranged").select("path"))
+    told = told.filter("not ranged").drop("ranged")
+    if large.isEmpty():
+        return told
+    large = stored(large)
+    return told.unionByName(ranged(large, stored(sig_dst.join(large, "path", "left_semi"))))
+
+
 def _matched(hits: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
     """Hits that are blocks of the destination, with the first place of each."""
     first = sig_dst.filter(F.col("len") == block).groupBy("path", "weak", "strong").agg(F.min("off").alias("dst_off"))
@@ -467,17 +572,24 @@ def delta_match(src: DataFrame, sig_dst: DataFrame, block: int, stride: int = ST
     """Rows (path, off, len, dst_off): the source content (path, content) as copies of destination blocks (dst_off
     their place, the first of equal ones) and literals (dst_off null), in order and without overlap, copies taken
     greedily from the left.  An empty content has no row; null content has one with null off."""
-    sizes = src.filter("content is not null").select("path", F.length("content").cast("bigint").alias("size"))
-    made = cover(matched_windows(src, sig_dst, block), sizes, block, stride)
-    return made.unionByName(_untold(src.filter("content is null").select("path")))
+    def ranged(paths: DataFrame, sig: DataFrame) -> DataFrame:
+        own = src.join(paths, "path", "left_semi")
+        sizes = own.select("path", F.length("content").cast("bigint").alias("size"))
+        return cover(matched_windows(own, sig, block), sizes, block, stride)
+
+    asked = src.select("path", F.length("content").cast("bigint").alias("size"), "content")
+    return _delta(asked, None, sig_dst, block, ranged).unionByName(_untold(src.filter("content is null").select("path")))
 
 
 def file_delta(files: DataFrame, root: str, sig_dst: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
     """delta_match of files (path, size) below root, of any size.  A file of which part couldn't be read has one row
     with null off alone."""
-    sig_dst = stored(sig_dst)  # read twice
-    hits = stored(file_hits(files, root, sig_dst, block, stride))
-    bad = hits.filter("off is null").select("path").distinct()
-    sizes = files.select("path", "size").join(bad, "path", "left_anti")
-    good = hits.filter("off is not null").join(bad, "path", "left_anti")
-    return cover(_matched(good, sig_dst, block), sizes, block, stride).unionByName(_untold(bad))
+    def ranged(paths: DataFrame, sig: DataFrame) -> DataFrame:
+        own = files.join(paths, "path", "left_semi")
+        hits = stored(file_hits(own, root, sig, block, stride))
+        bad = hits.filter("off is null").select("path").distinct()
+        sizes = own.select("path", "size").join(bad, "path", "left_anti")
+        good = hits.filter("off is not null").join(bad, "path", "left_anti")
+        return cover(_matched(good, sig, block), sizes, block, stride).unionByName(_untold(bad))
+
+    return _delta(files.select("path", "size", F.lit(None).cast("binary").alias("content")), root, sig_dst, block, ranged)
