@@ -553,8 +553,9 @@ def _delta(asked: DataFrame, root: str | None, sig_dst: DataFrame, block: int, r
 
 def _matched(hits: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
     """Hits that are blocks of the destination, with the first place of each."""
-    first = sig_dst.filter(F.col("len") == block).groupBy("path", "weak", "strong").agg(F.min("off").alias("dst_off"))
-    return hits.join(first, ["path", "weak", "strong"]).select("path", "off", "dst_off")
+    strong = F.unhex("strong").alias("strong")
+    first = sig_dst.filter(F.col("len") == block).groupBy("path", "weak", strong).agg(F.min("off").alias("dst_off"))
+    return hits.select("path", "off", "weak", strong).join(first, ["path", "weak", "strong"]).select("path", "off", "dst_off")
 
 
 def matched_windows(content: DataFrame, sig_dst: DataFrame, block: int) -> DataFrame:
@@ -572,6 +573,7 @@ def delta_match(src: DataFrame, sig_dst: DataFrame, block: int, stride: int = ST
     """Rows (path, off, len, dst_off): the source content (path, content) as copies of destination blocks (dst_off
     their place, the first of equal ones) and literals (dst_off null), in order and without overlap, copies taken
     greedily from the left.  An empty content has no row; null content has one with null off."""
+
     def ranged(paths: DataFrame, sig: DataFrame) -> DataFrame:
         own = src.join(paths, "path", "left_semi")
         sizes = own.select("path", F.length("content").cast("bigint").alias("size"))
@@ -584,12 +586,13 @@ def delta_match(src: DataFrame, sig_dst: DataFrame, block: int, stride: int = ST
 def file_delta(files: DataFrame, root: str, sig_dst: DataFrame, block: int, stride: int = STRIDE) -> DataFrame:
     """delta_match of files (path, size) below root, of any size.  A file of which part couldn't be read has one row
     with null off alone."""
+
     def ranged(paths: DataFrame, sig: DataFrame) -> DataFrame:
         own = files.join(paths, "path", "left_semi")
         hits = stored(file_hits(own, root, sig, block, stride))
         bad = hits.filter("off is null").select("path").distinct()
-        sizes = own.select("path", "size").join(bad, "path", "left_anti")
-        good = hits.filter("off is not null").join(bad, "path", "left_anti")
-        return cover(_matched(good, sig, block), sizes, block, stride).unionByName(_untold(bad))
+        # Dropped from what is covered: there are far more hits.
+        made = cover(_matched(hits.filter("off is not null"), sig, block), own.select("path", "size"), block, stride)
+        return made.join(bad, "path", "left_anti").unionByName(_untold(bad))
 
     return _delta(files.select("path", "size", F.lit(None).cast("binary").alias("content")), root, sig_dst, block, ranged)
